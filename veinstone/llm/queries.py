@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import packing, topk
+from veinstone.llm import chat, mixing, packing, secrets, topk
 from veinstone.session import read_table
 
 #: The SQL of the queries that SQL can express; filled below.
@@ -23,6 +23,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.collapse_and_render(read_table(spark, sf_dir, "conversations"))
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """20 best neighbours of every 20th vector."""
     q = topk.quantize(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
@@ -45,4 +55,14 @@ WITH x AS (
 SELECT * FROM r WHERE rank <= 20
 """
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op8_exact_top_k)}
+ORACLES["op5_chat_formatting"] = chat.ORACLE
+ORACLES["op7_secret_scans"] = secrets.ORACLE
+ORACLES["op10_source_mixing"] = mixing.ORACLE
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 1, 2, 3."""
+    return mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_chat_formatting, op7_secret_scans, op8_exact_top_k, op10_source_mixing)}
