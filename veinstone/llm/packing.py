@@ -19,44 +19,64 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinstone.llm.text import sliced
+from veinstone.llm.text import sliced_by_bytes
 from veinstone.session import cut_lineage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
-#: Characters for which splitting and lower-casing need no Unicode tables.
-_PLAIN = r"[\x21-\x7E\xC0-\xFF]+"
-_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^a-z0-9\xDF-\xF6\xF8-\xFF]+"
+#: Words of these characters need no Unicode tables to be split and lower-cased.
+_PLAIN = r"^[\x21-\x7E\x{C0}-\x{FF}]+$"
+#: The pre-tokens of such a word, lower-cased.
+_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+|[0-9]|[^a-z0-9\x{DF}-\x{F6}\x{F8}-\x{FF}\s]+"
+
+
+class Ragged:
+    """Rows of ids in one flat array."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.flat, self.lengths = flat, lengths.astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def pick(self, rows: np.ndarray) -> Ragged:
+        """The given rows, in the given order."""
+        lengths = self.lengths[rows]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[rows] - ends + lengths, lengths)
+        return Ragged(self.flat[at], lengths)
+
+    def joined(self, groups: np.ndarray) -> Ragged:
+        """Consecutive rows joined: groups[i] rows make row i."""
+        ends = np.concatenate([[0], np.cumsum(groups)])
+        total = np.concatenate([[0], np.cumsum(self.lengths)])
+        return Ragged(self.flat, total[ends[1:]] - total[ends[:-1]])
 
 
 class WordEncoder:
-    """Token ids of texts, with each distinct word encoded once.
+    """Token ids of texts, with each distinct word of a batch encoded once.
 
     Valid for tokenizers that drop white space and end every pre-token with an
     end-of-word token, so that a text's ids are its words' ids in a row. Words of
-    plain Latin letters, digits and punctuation are split into pre-tokens here;
-    all others are given to the tokenizer as they are.
+    plain Latin letters, digits and punctuation are split into pre-tokens by Arrow,
+    whose ids are kept from batch to batch; all other words are given to the
+    tokenizer as they are.
     """
 
-    def __init__(self, path: str, limit: int = 600_000) -> None:
-        import re
-
+    def __init__(self, path: str, limit: int = 1_200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.plain, self.piece = re.compile(_PLAIN).fullmatch, re.compile(_PIECE).findall
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
         self.limit = limit
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """One call for many pieces; the end-of-word ids say where each ends."""
         for at in range(0, len(pieces), 20_000):
             part = pieces[at : at + 20_000]
@@ -69,40 +89,45 @@ class WordEncoder:
                 self.pieces[p] = raw[begin:stop]
                 begin = stop
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(self.pieces) > self.limit:
-            self.words.clear()
+    def _rows(self, found: list[bytes]) -> Ragged:
+        return Ragged(np.frombuffer(b"".join(found), dtype="<u4"), np.array([len(x) // 4 for x in found], dtype=np.int64))
+
+    def _pieces(self, pieces: list[str]) -> Ragged:
+        if len(self.pieces) > self.limit:
             self.pieces.clear()
-        odd: list[bytes] = []
-        split: dict[bytes, list[str]] = {}
-        for w in words:
-            s = w.decode("utf-8", "surrogatepass")
-            if self.plain(s) and "<|" not in s:
-                split[w] = self.piece(s.lower())
-            else:
-                odd.append(w)
-        new = {p for ps in split.values() for p in ps if p not in self.pieces}
-        if new:
-            self._learn_pieces(list(new))
-        known = self.pieces
-        for w, ps in split.items():
-            self.words[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
-        for w in odd:
-            ids = self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-            self.words[w] = np.array(ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; empty for null."""
-        split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        unseen = {w for ws in split for w in ws} - self.words.keys()
-        if unseen:
-            self.learn(unseen)
-            unseen = {w for ws in split for w in ws} - self.words.keys()  # the caches were emptied
-            if unseen:
-                self.learn(unseen)
-        known = self.words
-        for ws in split:
-            yield b"".join([known[w] for w in ws])
+            self.pieces[""] = b""
+        found = [self.pieces.get(p) for p in pieces]
+        if None in found:
+            self._learn([p for p, x in zip(pieces, found, strict=True) if x is None])
+            found = [self.pieces[p] for p in pieces]
+        return self._rows(found)
+
+    def _words(self, words: pa.Array) -> Ragged:
+        plain = pc.and_not(pc.match_substring_regex(words, _PLAIN), pc.match_substring(words, "<|"))
+        spaced = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), _PIECE, r"\0 ")
+        split = pc.ascii_split_whitespace(spaced)
+        coded = pc.list_flatten(split).dictionary_encode()
+        ids = self._pieces(coded.dictionary.to_pylist()).pick(coded.indices.to_numpy())
+        ids = ids.joined(pc.list_value_length(split).to_numpy())
+        odd = [
+            np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            for w in words.filter(pc.invert(plain)).to_pylist()
+        ]
+        other = self._rows(odd)
+        both = Ragged(np.concatenate([ids.flat, other.flat]), np.concatenate([ids.lengths, other.lengths]))
+        mask = plain.to_numpy(zero_copy_only=False)
+        place = np.empty(len(mask), dtype=np.int64)
+        place[mask], place[~mask] = np.arange(len(ids.lengths)), len(ids.lengths) + np.arange(len(odd))
+        return both.pick(place)
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; none for null."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = pc.list_flatten(split).dictionary_encode()
+        rows = self._words(coded.dictionary).pick(coded.indices.to_numpy())
+        rows = rows.joined(pc.list_value_length(split).to_numpy())
+        for start, length in zip(rows.starts.tolist(), rows.lengths.tolist(), strict=True):
+            yield rows.flat[start : start + length].tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -125,10 +150,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in sliced(batches, 256):
+        for batch in sliced_by_bytes(batches, 1):
             rows: list[tuple] = []
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for doc_id, raw in zip(ids, encode.encode(texts), strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1)), strict=True):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), width)):
                     part = raw[at : at + width]

@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -42,8 +43,14 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def sliced(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``."""
+def sliced_by_bytes(batches: Iterable[pa.RecordBatch], col: int, size: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts (column ``col``) have about ``size`` bytes; one
+    row at least."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy())
+        at = 0
+        while at < batch.num_rows:
+            base = upto[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(upto, base + size, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
