@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import chat, mixing, packing, secrets, topk
+from veinstone.llm import chat, minhash, mixing, packing, quality, secrets, topk
 from veinstone.session import read_table
 
 #: The SQL of the queries that SQL can express; filled below.
@@ -23,6 +23,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality.assess(read_table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal conversations, rendered."""
     return chat.collapse_and_render(read_table(spark, sf_dir, "conversations"))
@@ -55,14 +60,21 @@ WITH x AS (
 SELECT * FROM r WHERE rank <= 20
 """
 
+ORACLES["op2_quality_rules"] = quality.ORACLE
 ORACLES["op5_chat_formatting"] = chat.ORACLE
 ORACLES["op7_secret_scans"] = secrets.ORACLE
+ORACLES["op9_minhash_dedup"] = minhash.oracle()
 ORACLES["op10_source_mixing"] = mixing.ORACLE
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingles are 85 % alike."""
+    return minhash.link(read_table(spark, sf_dir, "documents"), minhash.Linking(words=3, percent=85))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 1, 2, 3."""
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_chat_formatting, op7_secret_scans, op8_exact_top_k, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op5_chat_formatting, op7_secret_scans, op8_exact_top_k, op9_minhash_dedup, op10_source_mixing)}

@@ -20,27 +20,28 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def hash_words(words: list[bytes], cache: dict[bytes, int], limit: int = 400_000) -> np.ndarray:
-    """64-bit BLAKE2 hashes of words. The cache is only a speed-up and is emptied at its limit."""
-    from hashlib import blake2b
-
-    get = cache.get
-    out = [get(w) for w in words]
-    if None in out:
-        if len(cache) > limit:
-            cache.clear()
-        for i, h in enumerate(out):
-            if h is None:
-                w = words[i]
-                h = cache.get(w)
-                if h is None:
-                    h = cache[w] = int.from_bytes(blake2b(w, digest_size=8).digest(), "little")
-                out[i] = h
-    return np.array(out, dtype=np.uint64)
-
-
-def column(batch: pa.RecordBatch, name: str) -> list:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
+def coded_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All words of a batch in order, dictionary-encoded, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = pc.list_flatten(split)
+    full = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves empty words
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+    groups = np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    return words.filter(full).dictionary_encode(), groups.astype(np.int64)
+
+
+def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of distinct words."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.array([xxh3_64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()], dtype=np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A finaliser that spreads every input bit over a 64-bit hash."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
 def sliced_by_bytes(batches: Iterable[pa.RecordBatch], col: int, size: int = 12_000_000) -> Iterator[pa.RecordBatch]:
