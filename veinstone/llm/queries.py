@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import chat, minhash, mixing, packing, quality, secrets, substrings, topk
+from veinstone.llm import chat, langid, minhash, mixing, packing, quality, secrets, substrings, topk
 from veinstone.session import read_table
 
 #: The SQL of the queries that SQL can express; filled below.
@@ -28,6 +28,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 50-word passages that a smaller doc_id has."""
     return substrings.remove_repeats(read_table(spark, sf_dir, "documents"), with_text=False)
@@ -83,4 +88,4 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op4_substring_dedup, op5_chat_formatting, op7_secret_scans, op8_exact_top_k, op9_minhash_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_chat_formatting, op7_secret_scans, op8_exact_top_k, op9_minhash_dedup, op10_source_mixing)}
