@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import chat, langid, minhash, mixing, packing, quality, secrets, substrings, topk
+from veinstone.llm import chat, html, langid, minhash, mixing, packing, quality, secrets, substrings, topk
 from veinstone.session import read_table
 
 #: The SQL of the queries that SQL can express; filled below.
@@ -43,6 +43,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(read_table(spark, sf_dir, "conversations"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secrets.scan(read_table(spark, sf_dir, "documents"))
@@ -88,4 +93,4 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_chat_formatting, op7_secret_scans, op8_exact_top_k, op9_minhash_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_chat_formatting, op6_html_extraction, op7_secret_scans, op8_exact_top_k, op9_minhash_dedup, op10_source_mixing)}
