@@ -1,25 +1,59 @@
-"""The corpus pipeline: operators of ``veinstone.llm`` one after the other."""
+"""The corpus pipeline: operators of ``veinstone.llm`` one after the other.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+and read again as the next stage's docs; all but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import packing
+from veinstone.llm import minhash, mixing, packing, quality, secrets
 from veinstone.llm.queries import tokenizer_path
-from veinstone.session import read_table
+from veinstone.session import cut_lineage, read_table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines are removed; documents that lose too much are rejected."""
+    return quality.clean(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays (five words, 80 %)."""
+    return minhash.keep_one(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked."""
+    return secrets.redact(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, taken once or left out, by their source's target."""
+    return mixing.mix_documents(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("minhash near-dedup", near_dedup),
+    ("secret scans", secret_scans),
+    ("source mixing", source_mixing),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Tokenisation has no SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``, with the lineage cut between them."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
