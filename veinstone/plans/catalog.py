@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from veinstone.plans import clones  # noqa: F401
+from veinstone.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
