@@ -7,10 +7,11 @@ sets.
 
 - Documents with the same words are one class from the start; only the smallest
   document of a class goes on.
-- Within a bucket every document is compared with one hub (the smallest, then the
-  largest of another component), not with all others. Buckets that then still hold
-  documents of different components are finished exactly: all pairs across
-  components whose sizes allow the similarity.
+- Within a bucket every document is compared with one hub, the member that meets most
+  others over all bands, not with all others. Buckets that then still hold documents
+  of different components are finished exactly, less the documents that a count of
+  unshared shingles rules out: small buckets pair by pair, large ones in tiles whose
+  full sets are multiplied as matrices.
 - For the comparison, a hub's text is sent once to each salted slice of its
   partners, which stream past it; memory holds one hub at a time.
 """
@@ -36,13 +37,15 @@ _SIGNATURES = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>
 @dataclass(frozen=True)
 class Linking:
     """Shingle width in words, similarity in per cent, and the banding. With the
-    defaults a pair at 85 % is missed with probability 2e-8, at 80 % 3e-6."""
+    defaults a pair at 85 % is missed with probability 2e-8, at 80 % 3e-6. Buckets up to ``pairwise`` open
+    documents are finished pair by pair, larger ones in tiles of ``slice_size``."""
 
     words: int = 5
     percent: int = 80
     permutations: int = 48
     band_values: int = 4
     slice_size: int = 256
+    pairwise: int = 32
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,8 +136,9 @@ def signatures(docs: DataFrame, how: Linking) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SIGNATURES)
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, how: Linking) -> DataFrame:
-    """The (a, b) of ``pairs`` (distinct) whose shingle sets reach the similarity.
+def confirmed(texts: DataFrame, pairs: DataFrame, how: Linking) -> DataFrame:
+    """The (a, b) of ``pairs`` (distinct) whose shingle sets reach the similarity; ``texts``
+    is (id, text).
 
     b is the hub: its partners are dealt into slices, each of which gets the hub's
     text first and streams its partners after it.
@@ -143,7 +147,6 @@ def confirmed(docs: DataFrame, pairs: DataFrame, how: Linking) -> DataFrame:
     dealt = pairs.join(per_hub, "b").withColumn("slice", F.pmod(F.xxhash64("a"), F.col("slices")))
     hubs = per_hub.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("rank"))
     members = dealt.select(F.col("a").alias("id"), "b", "slice", F.lit(1).alias("rank")).unionByName(hubs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     rows = texts.join(members, "id").repartition("b", "slice").sortWithinPartitions("b", "slice", "rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +167,24 @@ def confirmed(docs: DataFrame, pairs: DataFrame, how: Linking) -> DataFrame:
     return rows.select("id", "b", "slice", "rank", "text").mapInArrow(run, "a long, b long")
 
 
-def _sizes_allow(n: Column, m: Column, how: Linking) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * how.percent
+def unshared(texts: DataFrame, ids: DataFrame, how: Linking) -> DataFrame:
+    """(id, alone): how many shingles of each document no other document of ``ids`` (id) has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced_by_bytes(batches, 1, 4_000_000):
+            sets = list(sets_of(batch.column(1), how.words))
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "hashes"])
+
+    sets = texts.join(ids, "id").select("id", "text").mapInArrow(run, "id long, hashes array<long>")
+    each = sets.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    return each.where("id = last").groupBy("id").agg(F.count("*").alias("alone"))
+
+
+def _allows(common: Column, n: Column, m: Column, how: Linking) -> Column:
+    """Whether sets of n and m elements with ``common`` shared ones reach the similarity."""
+    return common * 100 >= (n + m - common) * how.percent
 
 
 def link(docs: DataFrame, how: Linking | None = None) -> DataFrame:
@@ -180,33 +199,37 @@ def link(docs: DataFrame, how: Linking | None = None) -> DataFrame:
     how = how or Linking()
     signed = cut_lineage(signatures(docs, how))
     words = ["k1", "k2", "n_shingles"]
-    classes = (
+    classes = cut_lineage(
         signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy(*words)
         .agg(F.min(F.struct("doc_id", "bands")).alias("least"))
         .select(*words, F.col("least.doc_id").alias("rep"), F.col("least.bands").alias("bands"))
     )
-    classes = cut_lineage(classes)
     rows = classes.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
-    ends = rows.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("low"), F.max("rep").alias("high"))
-    ends = ends.where(F.col("low.rep") < F.col("high"))
-    buckets = cut_lineage(rows.join(ends, "key").select("key", "rep", "n", "low"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = cut_lineage(rows.join(shared, "key"))
+    # a document that meets many others is near the middle of its group and makes a good hub
+    central = buckets.groupBy("rep").agg(F.sum("members").alias("meets"))
+    buckets = cut_lineage(buckets.join(central, "rep").select("key", "rep", "n", "meets"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = cut_lineage(texts.join(central.select(F.col("rep").alias("id")), "id"))
+    hubs = buckets.groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("minus"), "n")).alias("hub"))
     first = (
-        buckets.where((F.col("rep") != F.col("low.rep")) & _sizes_allow(F.col("n"), F.col("low.n"), how))
-        .select(F.col("rep").alias("a"), F.col("low.rep").alias("b"))
+        buckets.join(hubs, "key")
+        .select("rep", "n", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("m"))
+        .where((F.col("rep") != F.col("hub")) & _allows(F.least("n", "m"), F.col("n"), F.col("m"), how))
+        .select(F.col("rep").alias("a"), F.col("hub").alias("b"))
         .distinct()
     )
     tested = cut_lineage(first)
-    edges = cut_lineage(confirmed(docs, tested, how))
-    for last in (False, True):
-        roots = components(edges)
-        split = _unsettled(buckets.drop("low"), roots)
-        more = cut_lineage((_all_pairs(split, how) if last else _second_hub(split, how)).join(tested, ["a", "b"], "left_anti"))
-        if more.isEmpty():
-            continue
-        edges = cut_lineage(edges.union(confirmed(docs, more, how)))
-        tested = tested.union(more)
+    edges = cut_lineage(confirmed(texts, tested, how))
     roots = components(edges)
+    left = _open_members(texts, buckets, roots, how)
+    pairs = cut_lineage(_open_pairs(left.where(F.col("members") <= how.pairwise), tested, how))
+    found = confirmed(texts, pairs, how).unionByName(_linked_in_tiles(texts, left.where(F.col("members") > how.pairwise), how))
+    found = cut_lineage(found)
+    if not found.isEmpty():
+        roots = components(edges.unionByName(found))
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(*words, F.coalesce("root", "rep").alias("component"))
     own = F.coalesce(F.col("component"), F.col("doc_id"))
     return signed.drop("bands").join(named, words, "left").select(
@@ -215,33 +238,98 @@ def link(docs: DataFrame, how: Linking | None = None) -> DataFrame:
     )
 
 
-def _unsettled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (key, rep, n, root) of the buckets whose documents are not all connected."""
+def _open_members(texts: DataFrame, buckets: DataFrame, roots: DataFrame, how: Linking) -> DataFrame:
+    """(key, rep, n, c, root, members): documents that may still link components.
+
+    They share a bucket with another component and are not ruled out by counting:
+    of the documents in such buckets each one's shingles that no other has are
+    counted, and c is what is left. Two documents share at most the c of either,
+    which bounds their similarity from above; a document whose bound is too low with
+    any partner leaves.
+    """
     named = buckets.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    mixed_keys = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    return cut_lineage(named.join(mixed_keys, "key"))
 
+    def unsettled(rows: DataFrame) -> DataFrame:
+        keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
+        return rows.join(keys.where("lo < hi").select("key", "members"), "key")
 
-def _second_hub(split: DataFrame, how: Linking) -> DataFrame:
-    """Each document with its bucket's largest one, if that is of another component."""
-    hub = split.groupBy("key").agg(F.max(F.struct("rep", "n", "root")).alias("hub"))
-    return (
-        split.join(hub, "key")
-        .where((F.col("root") != F.col("hub.root")) & _sizes_allow(F.col("n"), F.col("hub.n"), how))
-        .select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b"))
-        .distinct()
-    )
+    split = cut_lineage(unsettled(named).drop("members"))
+    alone = unshared(texts, split.select(F.col("rep").alias("id")).distinct(), how)
+    left = split.join(alone, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"), "root")
+    return cut_lineage(unsettled(left.where(_allows(F.col("c"), F.col("n"), F.col("c"), how))))
 
 
-def _all_pairs(split: DataFrame, how: Linking) -> DataFrame:
-    """What is left: pairs across components within a bucket, by falling size classes."""
-    other = split.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    return (
-        split.join(other, "key")
-        .where((F.col("rep") > F.col("rep2")) & (F.col("root") != F.col("root2")) & _sizes_allow(F.col("n"), F.col("n2"), how))
+def _open_pairs(left: DataFrame, tested: DataFrame, how: Linking) -> DataFrame:
+    """Pairs (a, b) across components of small buckets, under the bound, not compared yet."""
+    other = left.select("key", *[F.col(x).alias(f"{x}2") for x in ("rep", "n", "root", "c")])
+    pairs = (
+        left.join(other, "key")
+        .where((F.col("rep") > F.col("rep2")) & (F.col("root") != F.col("root2")) & _allows(F.least("c", "c2", "n", "n2"), F.col("n"), F.col("n2"), how))
         .select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
         .distinct()
     )
+    known = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return pairs.join(known, ["a", "b"], "left_anti")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of another."""
+    ids, inverse, seen = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    number = np.cumsum(seen > 1) - 1  # only elements that occur twice can be shared
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    keep = seen[inverse] > 1
+    col, row = number[inverse[keep]], owner[keep]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, step):
+        a, b = np.searchsorted(col, [at, at + step])
+        part = np.zeros((len(left) + len(right), step), dtype=np.float32)
+        part[row[a:b], col[a:b] - at] = 1.0
+        out += part[: len(left)] @ part[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _linked_in_tiles(texts: DataFrame, left: DataFrame, how: Linking) -> DataFrame:
+    """Links (a, b) across components of large buckets.
+
+    A bucket's documents are dealt into slots; each pair of slots is a tile whose
+    full sets are compared at once as a matrix product. A tile returns only links
+    that join components it has not joined yet, so rows grow with the documents and
+    not with their pairs.
+    """
+    slots = F.ceil(F.col("members") / F.lit(how.slice_size))
+    placed = left.withColumn("slot", F.pmod(F.xxhash64("rep"), slots)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)))
+    placed = placed.select(F.col("rep").alias("id"), "root", "key", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot")
+    rows = placed.join(texts, "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, roots = table.column("id").to_numpy(), table.column("root").to_numpy()
+        sets = list(sets_of(table.column("text").combine_chunks(), how.words))
+        first = np.flatnonzero(table.column("slot").to_numpy() == table.column("i").to_numpy())
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        second = first if same else np.setdiff1d(np.arange(len(ids)), first)
+        out: list[tuple[int, int]] = []
+        if len(first) and len(second):
+            sizes = np.array([len(x) for x in sets])
+            both = shared_counts([sets[x] for x in first], [sets[x] for x in second])
+            linked = 100 * both >= how.percent * (sizes[first][:, None] + sizes[second][None, :] - both)
+            linked &= roots[first][:, None] != roots[second][None, :]
+            parent: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for x, y in zip(*np.nonzero(linked), strict=True):
+                p, q = top(int(roots[first[x]])), top(int(roots[second[y]]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((int(ids[first[x]]), int(ids[second[y]])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def keep_one(docs: DataFrame, how: Linking | None = None) -> DataFrame:
