@@ -162,4 +162,4 @@ def forest(ops: DataFrame, rounds: int = 100) -> DataFrame:
         if last.isEmpty():
             break
         done = done.unionByName(last)
-    return done.select("id", "root", "depth", (F.unix_millis(F.col("at").cast("timestamp")) - F.unix_millis(F.col("root_at").cast("timestamp"))).alias("offset_ms"))
+    return done.select("id", "root", "depth", F.floor((F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("root_at").cast("timestamp"))) / 1000).alias("offset_ms"))

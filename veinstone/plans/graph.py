@@ -121,7 +121,7 @@ def name_search(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH RECURSIVE o AS (SELECT event_id AS id, CASE WHEN event_id % 10 <> 0 THEN event_id // 3 END AS up, ts AS t0 FROM events WHERE event_id % 4 <> 3),
 b AS (SELECT o.id, p.id AS up, o.t0 FROM o LEFT JOIN o p ON p.id = o.up AND o.up <> o.id),
 t AS (SELECT id, id AS root, 0 AS depth, t0 AS r0, t0 FROM b WHERE up IS NULL UNION ALL SELECT b.id, t.root, t.depth + 1, t.r0, b.t0 FROM b JOIN t ON b.up = t.id)
-SELECT id, root, CAST(depth AS INTEGER) AS depth, epoch_ms(t0) - epoch_ms(r0) AS offset_ms FROM t""")
+SELECT id, root, CAST(depth AS INTEGER) AS depth, CAST(floor((epoch_us(t0) - epoch_us(r0)) / 1000.0) AS BIGINT) AS offset_ms FROM t""")
 def trace_waterfall(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "events").where("event_id % 4 <> 3")
     parent = F.when((F.col("event_id") % 10 != 0) & (F.col("event_id") > 0), F.floor(F.col("event_id") / 3))
