@@ -43,11 +43,12 @@ _BACK = pow(_BASE, -1, 2**64)
 
 @dataclass(frozen=True)
 class Repeats:
-    """Window in words, anchor in words, rows of a light group, rows of a partition."""
+    """Window in words, anchor in words, rows of a light group (about 200 bytes each, so a
+    group stays under 2 MB), rows of a partition."""
 
     width: int = 50
     gram: int = 8
-    heavy: int = 512
+    heavy: int = 8192
     partition_rows: int = 40_000
 
 
