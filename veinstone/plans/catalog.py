@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veinstone.plans import clones, events, graph, joins, metrics, vectors  # noqa: F401
+from veinstone.plans import clones, events, graph, joins, metrics, ranking, vectors  # noqa: F401
 from veinstone.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
