@@ -142,15 +142,17 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus in the columns of ``docs``: one row for each whole copy that
     is taken and, for a document taken in part, one row with its first words
     (n_chars follows, if there is such a column)."""
-    rows = take(with_keys(docs))
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source")  # so that no column name clashes
+    rows = take(with_keys(packed))
     split = F.col("_more").between(F.lit(1), F.col("_size") - 1)
     copies = F.col("_epochs") + F.when((F.col("_size") > 0) & (F.col("_more") == F.col("_size")), 1).otherwise(0)
-    whole = rows.where(copies > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))).alias("_copy")).drop("_copy")
+    whole = rows.where(copies > 0).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), copies.cast("long"))))
     words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD_PATTERN}"), F.lit(0))
-    cut = rows.where(split).withColumn("text", F.array_join(F.slice(words, F.lit(1), F.col("_more").cast("int")), ""))
+    text = F.array_join(F.slice(words, F.lit(1), F.col("_more").cast("int")), "")
+    row = F.col("_row").withField("text", text)
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return whole.unionByName(cut.select(*docs.columns))
+        row = row.withField("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
+    return whole.select("_row.*").unionByName(rows.where(split).select(row.alias("_row")).select("_row.*"))
 
 
 ORACLE = r"""
