@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, how: Linking) -> DataFrame:
     n_bands = 2 * how.permutations // how.band_values
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced_by_bytes(batches, 1, 8_000_000):
+        for batch in sliced_by_bytes(batches, 1):
             hashes, counts, seq = shingle_hashes(batch.column(1), how.words)
             sets, at = [], 0
             for n in counts.tolist():
@@ -335,7 +335,8 @@ def _linked_in_tiles(texts: DataFrame, left: DataFrame, how: Linking) -> DataFra
 def keep_one(docs: DataFrame, how: Linking | None = None) -> DataFrame:
     """The rows of ``docs`` of which :func:`link` keeps the document."""
     gone = link(docs, how).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))  # so that no column name clashes
+    return packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
 
 
 def oracle(words: int = 3, percent: int = 85) -> str:

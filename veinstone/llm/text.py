@@ -44,9 +44,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sliced_by_bytes(batches: Iterable[pa.RecordBatch], col: int, size: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+def sliced_by_bytes(batches: Iterable[pa.RecordBatch], col: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts (column ``col``) have about ``size`` bytes; one
-    row at least."""
+    row at least. Memory that Arrow holds back is returned after each incoming batch,
+    as workers live on for later stages."""
     for batch in batches:
         upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy())
         at = 0
@@ -55,3 +56,4 @@ def sliced_by_bytes(batches: Iterable[pa.RecordBatch], col: int, size: int = 12_
             stop = max(at + 1, int(np.searchsorted(upto, base + size, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
+        pa.default_memory_pool().release_unused()
