@@ -1,0 +1,341 @@
+"""Facts of one Python source file (2.3), from its syntax tree.
+
+Pure functions without Spark; :mod:`veinstone.operators.extract` runs them in Arrow
+batches. Hashes depend on ``ast.dump`` and so on the Python version.
+"""
+
+from __future__ import annotations
+
+import ast
+import builtins
+import hashlib
+import io
+import re
+import tokenize
+from collections.abc import Iterator
+
+FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+BRANCHING = (ast.If, ast.While, ast.For, ast.AsyncFor)
+NESTING = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Try, ast.With, ast.AsyncWith, ast.Match)
+#: 2.3.31: modules and calls at a security boundary, by category; fixed values (an excerpt).
+BOUNDARIES = {
+    "eval": "dynamic_execution", "exec": "dynamic_execution", "compile": "dynamic_execution", "__import__": "dynamic_loading", "importlib": "dynamic_loading",
+    "runpy": "dynamic_loading", "pickle": "deserialization", "marshal": "deserialization", "shelve": "deserialization", "dill": "deserialization",
+    "subprocess": "process_boundary", "requests": "network_boundary", "httpx": "network_boundary", "aiohttp": "network_boundary", "socket": "network_boundary",
+    "psycopg": "database_boundary", "redis": "database_boundary", "pymysql": "database_boundary", "jwt": "identity_token", "bcrypt": "identity_token",
+    "hmac": "crypto_transport", "secrets": "crypto_transport", "cryptography": "crypto_transport",
+}
+DIRECTIVE = re.compile(r"#\s*veinstone\s*:\s*ignore\s*\[([^]]+)\]\s*$")
+RULE = re.compile(r"^[a-z0-9][a-z0-9-]*$")
+
+
+def sha1(text: str) -> str:
+    return hashlib.sha1(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+class Normal(ast.NodeTransformer):
+    """2.3.6: one form for code that differs in names, attributes and constants. Call
+    targets stay; ``x += 1`` becomes ``x = x + 1``, ``not a in b`` becomes ``a not in b``,
+    and the operands of + and * over constants are sorted."""
+
+    def visit_Name(self, node: ast.Name) -> ast.AST:
+        return ast.copy_location(ast.Name("_VAR_", node.ctx), node)
+
+    def visit_Attribute(self, node: ast.Attribute) -> ast.AST:
+        return ast.Attribute(self.visit(node.value), "_ATTR_", node.ctx)
+
+    def visit_Constant(self, node: ast.Constant) -> ast.AST:
+        return ast.Constant("_CONST_")
+
+    def visit_arg(self, node: ast.arg) -> ast.AST:
+        return ast.arg("_VAR_", None)
+
+    def visit_Call(self, node: ast.Call) -> ast.AST:
+        target = node.func
+        if isinstance(target, ast.Attribute):
+            target = ast.Attribute(self.visit(target.value), target.attr, target.ctx)
+        elif not isinstance(target, ast.Name):
+            target = self.visit(target)
+        return ast.Call(target, [self.visit(a) for a in node.args], [self.visit(k) for k in node.keywords])
+
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> ast.AST:
+        if node.value is None:
+            return ast.Expr(self.visit(node.target))
+        return ast.Assign([self.visit(node.target)], self.visit(node.value))
+
+    def visit_AugAssign(self, node: ast.AugAssign) -> ast.AST:
+        read = ast.parse(ast.unparse(node.target), mode="eval").body  # the target, as it is read
+        return ast.Assign([self.visit(node.target)], ast.BinOp(self.visit(read), node.op, self.visit(node.value)))
+
+    def visit_UnaryOp(self, node: ast.UnaryOp) -> ast.AST:
+        inner = node.operand
+        if isinstance(node.op, ast.Not) and isinstance(inner, ast.Compare) and len(inner.ops) == 1 and isinstance(inner.ops[0], ast.In):
+            return ast.Compare(self.visit(inner.left), [ast.NotIn()], [self.visit(inner.comparators[0])])
+        return self.generic_visit(node)
+
+    def visit_BinOp(self, node: ast.BinOp) -> ast.AST:
+        left, right = node.left, node.right
+        numbers = all(isinstance(x, ast.Constant) and isinstance(x.value, (int, float)) for x in (left, right))
+        a, b = self.visit(left), self.visit(right)
+        if isinstance(node.op, (ast.Add, ast.Mult)) and numbers and ast.dump(b) < ast.dump(a):
+            a, b = b, a
+        return ast.BinOp(a, node.op, b)
+
+
+def body_of(fn: ast.AST) -> list[ast.stmt]:
+    """Statements without a docstring."""
+    body = fn.body
+    if body and isinstance(body[0], ast.Expr) and isinstance(body[0].value, ast.Constant) and isinstance(body[0].value.value, str):
+        body = body[1:]
+    return body
+
+
+def normal_dump(node: ast.AST) -> str:
+    import copy
+
+    return ast.dump(Normal().visit(copy.deepcopy(node)), annotate_fields=False)
+
+
+def statements(body: list[ast.stmt]) -> Iterator[ast.stmt]:
+    """All statements below, in source order, without nested definitions' bodies."""
+    for s in body:
+        yield s
+        if not isinstance(s, (*FUNCTIONS, ast.ClassDef)):
+            for name in ("body", "orelse", "finalbody"):
+                yield from statements(getattr(s, name, []))
+            for part in (*getattr(s, "handlers", []), *getattr(s, "cases", [])):
+                yield from statements(part.body)
+
+
+def own_nodes(body: list[ast.stmt]) -> Iterator[ast.AST]:
+    """All nodes below without nested definitions."""
+    for s in body:
+        stack = [s]
+        while stack:
+            n = stack.pop()
+            yield n
+            if not isinstance(n, (*FUNCTIONS, ast.ClassDef, ast.Lambda)):
+                stack.extend(ast.iter_child_nodes(n))
+
+
+def complexity(fn: ast.AST) -> int:
+    """2.3.14 of the structured graph: one more than its decisions: branches, loops,
+    handlers, cases and the short circuits of their conditions."""
+    n = 1
+    for x in own_nodes(fn.body):
+        n += isinstance(x, BRANCHING) + isinstance(x, ast.ExceptHandler) + isinstance(x, ast.match_case)
+        if isinstance(x, (ast.If, ast.While)):
+            n += sum(len(b.values) - 1 for b in ast.walk(x.test) if isinstance(b, ast.BoolOp))
+    return n
+
+
+def nesting(body: list[ast.stmt], depth: int = 0) -> int:
+    """2.3.15."""
+    most = depth
+    for s in body:
+        inner = depth + isinstance(s, NESTING)
+        for name in ("body", "orelse", "finalbody"):
+            if not isinstance(s, (*FUNCTIONS, ast.ClassDef)):
+                chained = name == "orelse" and isinstance(s, ast.If) and len(s.orelse) == 1 and isinstance(s.orelse[0], ast.If)
+                most = max(most, nesting(getattr(s, name, []), depth if chained else inner))
+        for part in (*getattr(s, "handlers", []), *getattr(s, "cases", [])):
+            most = max(most, nesting(part.body, inner))
+    return most
+
+
+def terminal(body: list[ast.stmt]) -> str:
+    """Kind of the last statement."""
+    last = body[-1] if body else None
+    kinds = {ast.Return: "return", ast.Raise: "raise", ast.Continue: "continue", ast.Break: "break", ast.Expr: "expr"}
+    return next((k for t, k in kinds.items() if isinstance(last, t)), "fallthrough")
+
+
+def guards(body: list[ast.stmt]) -> tuple[int, str, bool]:
+    """2.3.36: leading guard clauses (an if that only leaves), how they leave, and whether
+    anything with an effect comes before the first."""
+    n, profile, effect = 0, [], False
+    for s in body:
+        if isinstance(s, ast.If) and not s.orelse and terminal(s.body) in ("return", "raise", "continue", "break"):
+            n += 1
+            profile.append(terminal(s.body))
+        elif n == 0 and isinstance(s, (ast.Assign, ast.AnnAssign, ast.Expr)):
+            effect = effect or isinstance(s, ast.Expr)
+        else:
+            break
+    return n, ",".join(profile) or "none", effect and n > 0
+
+
+def branch_signature(body: list[ast.stmt]) -> str:
+    """2.3.37: seven fields of a branch."""
+    nodes = list(own_nodes(body))
+    calls, raises = sum(isinstance(x, ast.Call) for x in nodes), any(isinstance(x, ast.Raise) for x in nodes)
+    has = {k: any(isinstance(x, t) for x in nodes) for k, t in (("nested_if", ast.If), ("has_loop", (ast.For, ast.While)), ("has_try", ast.Try))}
+    seq = ",".join(type(s).__name__ for s in body)
+    return "|".join([seq, terminal(body), "2+" if calls > 1 else str(calls), "1+" if raises else "0", *[str(int(v)) for v in has.values()]])
+
+
+def reportable(body: list[ast.stmt]) -> bool:
+    """2.3.38: a branch with more than a trivial single statement."""
+    return len(body) > 1 or (len(body) == 1 and not isinstance(body[0], (ast.Pass, ast.Return, ast.Raise, ast.Continue, ast.Break, ast.Expr, ast.Assign)))
+
+
+def branches(fn: ast.AST) -> Iterator[dict]:
+    for s in statements(fn.body):
+        for body in (getattr(s, "body", None) if isinstance(s, ast.If) else None, getattr(s, "orelse", None) if isinstance(s, ast.If) else None):
+            if body and reportable(body):
+                yield {"signature": branch_signature(body), "start": body[0].lineno, "end": body[-1].end_lineno}
+
+
+def names_loaded(tree: ast.AST) -> set[str]:
+    """2.3.24: bare names that are read."""
+    out = set()
+    for x in ast.walk(tree):
+        if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load):
+            out.add(x.id)
+        elif isinstance(x, ast.Attribute) and isinstance(x.ctx, ast.Load):
+            out.add(x.attr)
+    return out
+
+
+def imports(tree: ast.AST, module: str, package: bool) -> Iterator[tuple[str, str, int, dict[str, str]]]:
+    """2.3.23: (target, kind, line, bound names) of each imported module."""
+    parts = module.split(".") if module else []
+    for x in ast.walk(tree):
+        if isinstance(x, ast.Import):
+            for a in x.names:
+                yield a.name, "import", x.lineno, {a.asname or a.name.split(".")[0]: a.name if a.asname else a.name.split(".")[0]}
+        elif isinstance(x, ast.ImportFrom):
+            base = parts if package else parts[:-1]
+            up = base[: len(base) - (x.level - 1)] if x.level else []
+            target = ".".join([*up, *(x.module.split(".") if x.module else [])])
+            if target:
+                yield target, "from", x.lineno, {a.asname or a.name: f"{target}:{a.name}" for a in x.names}
+
+
+def lcom4(cls: ast.ClassDef) -> int:
+    """2.3.20: components of methods linked by shared attributes of self or calls."""
+    methods = {m.name: m for m in cls.body if isinstance(m, FUNCTIONS) and m.args.args}
+    uses = {name: {x.attr for x in ast.walk(m) if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id == m.args.args[0].arg} for name, m in methods.items()}
+    left, groups = set(methods), 0
+    while left:
+        groups += 1
+        stack = [left.pop()]
+        while stack:
+            a = stack.pop()
+            near = {b for b in left if uses[a] & uses[b] or b in uses[a] or a in uses[b]}
+            left -= near
+            stack.extend(near)
+    return max(1, groups)
+
+
+def cbo(cls: ast.ClassDef, bound: set[str], classes: set[str]) -> int:
+    """2.3.18: distinct imported or local names the class refers to."""
+    return len((names_loaded(cls) & (bound | classes)) - set(dir(builtins)) - {cls.name})
+
+
+def visible(tree: ast.Module, module: str) -> set[str]:
+    """2.3.35: public names: those of __all__, else names without an underscore."""
+    top = {x.name for x in tree.body if isinstance(x, (*FUNCTIONS, ast.ClassDef))}
+    top |= {t.id for x in tree.body if isinstance(x, ast.Assign) for t in x.targets if isinstance(t, ast.Name)}
+    for x in tree.body:
+        if isinstance(x, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in x.targets) and isinstance(x.value, (ast.List, ast.Tuple)):
+            return top & {e.value for e in x.value.elts if isinstance(e, ast.Constant)}
+    return set() if any(p.startswith("_") and p != "__init__" for p in module.split(".")) else {n for n in top if not n.startswith("_")}
+
+
+def suppressions(source: str) -> Iterator[tuple[int, bool, str]]:
+    """2.3.28, 2.3.29: (line, inline, rule) of the directives in comments."""
+    try:
+        for t in tokenize.generate_tokens(io.StringIO(source).readline):
+            if t.type == tokenize.COMMENT and (m := DIRECTIVE.search(t.string)):
+                for rule in (r.strip() for r in m[1].split(",")):
+                    if RULE.match(rule):
+                        yield t.start[0], bool(t.line[: t.start[1]].strip()), rule
+    except (tokenize.TokenError, IndentationError, SyntaxError):
+        return
+
+
+def definitions(tree: ast.AST, prefix: str = "", kind: str = "function") -> Iterator[tuple[str, str, ast.AST]]:
+    """2.3.2: (dotted name, kind, node) of functions, methods and classes."""
+    for x in getattr(tree, "body", []):
+        if isinstance(x, FUNCTIONS):
+            yield prefix + x.name, kind, x
+            yield from definitions(x, f"{prefix}{x.name}.", "function")
+        elif isinstance(x, ast.ClassDef):
+            yield prefix + x.name, "class", x
+            yield from definitions(x, f"{prefix}{x.name}.", "method")
+        elif isinstance(x, (ast.If, ast.Try, ast.With)):
+            yield from definitions(x, prefix, kind)
+
+
+def facts(source: str, module: str, test: bool = False) -> dict:
+    """2.3.1: every fact family of a file in one pass over its tree."""
+    tree = ast.parse(source)
+    lines = source.split("\n")
+    out: dict[str, list] = {k: [] for k in ("units", "stmts", "deps", "names", "qualnames", "classes", "candidates", "branches", "suppressions", "surfaces", "api", "calls", "methods")}
+    bound: dict[str, str] = {}
+    for target, kind, line, names in imports(tree, module, module.endswith("__init__")):
+        out["deps"].append((module, target, kind, line))
+        bound |= names
+        top = target.split(".")[0]
+        if top in BOUNDARIES:
+            out["surfaces"].append((BOUNDARIES[top], f"{top}_import", line))
+    for x in ast.walk(tree):
+        if isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id in ("eval", "exec", "compile", "__import__"):
+            out["surfaces"].append((BOUNDARIES[x.func.id], f"call_{x.func.id}", x.lineno))
+    defs = list(definitions(tree))
+    local = {name for name, _, _ in defs}
+    classes = {name for name, kind, _ in defs if kind == "class"}
+    if not test:
+        loaded = names_loaded(tree)
+        out["names"] = sorted(loaded)
+        refs = {bound[n] for n in loaded if ":" in bound.get(n, "")}
+        for x in ast.walk(tree):
+            if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and x.value.id in bound and ":" not in bound[x.value.id]:
+                refs.add(f"{bound[x.value.id]}:{x.attr}")
+            if isinstance(x, ast.Attribute) and isinstance(x.value, ast.Name) and f"{x.value.id}.{x.attr}" in local:
+                refs.add(f"{module}:{x.value.id}.{x.attr}")
+        out["qualnames"] = sorted(refs)
+    public = visible(tree, module)
+    params = annotated = returns = returns_annotated = documented = 0
+    for name, kind, node in defs:
+        qual = f"{module}:{name}"
+        start, end = node.lineno, node.end_lineno
+        if kind == "class":
+            out["classes"].append((qual, start, end, cbo(node, set(bound), classes), lcom4(node), sum(isinstance(m, FUNCTIONS) for m in node.body)))
+        else:
+            body = body_of(node)
+            dumps = [normal_dump(s) for s in statements(body)]
+            n_guard, profile, effect = guards(body)
+            raw = sha1("".join("".join(lines[start - 1 : end]).split()))
+            out["units"].append((qual, start, end, end - start + 1, len(dumps), sha1("|".join(normal_dump(s) for s in body)), complexity(node), nesting(body), raw, n_guard, profile, effect, terminal(body)))
+            out["stmts"] += [(qual, i, s.lineno, s.end_lineno, sha1(d), isinstance(s, ast.Assert)) for i, (s, d) in enumerate(zip(statements(body), dumps, strict=True))]
+            out["branches"] += [(qual, b["signature"], b["start"], b["end"]) for b in branches(node)]
+            args = [a for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs) if a.arg not in ("self", "cls")]
+            params, annotated = params + len(args), annotated + sum(a.annotation is not None for a in args)
+            returns, returns_annotated = returns + 1, returns_annotated + (node.returns is not None)
+            for x in own_nodes(node.body):
+                if isinstance(x, ast.Call):
+                    t = x.func
+                    found = bound.get(t.id, f"{module}:{t.id}" if t.id in local else "") if isinstance(t, ast.Name) else ""
+                    if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name):
+                        owner = name.rpartition(".")[0]
+                        found = f"{module}:{owner}.{t.attr}" if t.value.id in ("self", "cls") and f"{owner}.{t.attr}" in local else f"{bound[t.value.id]}:{t.attr}" if t.value.id in bound else ""
+                    out["calls"].append((qual, found or ast.unparse(t)[:120], bool(found), x.lineno))
+            if kind == "method" and args is not None and node.args.args:
+                me = node.args.args[0].arg
+                uses = any(isinstance(x, ast.Name) and x.id == me for x in ast.walk(node) if x is not node.args.args[0])
+                stub = all(isinstance(s, ast.Pass) or (isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant)) for s in node.body)
+                why = "decorated" if node.decorator_list else "dunder" if node.name.startswith("__") else "noop_stub" if stub else "uses" if uses else "candidate"
+                out["methods"].append((qual, name.rpartition(".")[0], why))
+        if not test and not node.decorator_list and not node.name.startswith("__"):
+            out["candidates"].append((qual, name, kind, start, end))
+        if name.split(".")[0] in public:
+            documented += ast.get_docstring(node) is not None
+            spec = [f"{a.arg}:{ast.unparse(a.annotation) if a.annotation else ''}" for a in node.args.args] if kind != "class" else []
+            out["api"].append((qual, kind, spec))
+    out["suppressions"] = [(line + (not inline), rule) for line, inline, rule in suppressions(source)]
+    kinds = [k for _, k, _ in defs]
+    out["stats"] = (len(lines) - (not lines[-1]), kinds.count("function"), kinds.count("method"), kinds.count("class"))
+    out["adoption"] = (params, annotated, returns, returns_annotated, len(out["api"]), documented)
+    return out

@@ -116,21 +116,24 @@ def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 4)
 
 
-#: 2.11.1: masks in their fixed order (digest first, so that the UUID mask meets masked groups).
+#: 2.11.1: masks in their fixed order (digest first, so that the UUID mask meets masked
+#: groups) and prefixes that are stripped; fixed values.
 CORPUS_MASKS = (
-    (r"[0-9a-fA-F]{8,64}", "<digest>"),
-    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>"),
-    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?", "<timestamp>"),
-    (r"(/[A-Za-z0-9_.-]+){2,}", "<path>"),
+    (r"(?i)\b[a-f0-9]{8,64}\b", "<digest>"),
+    (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
+    (r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?Z\b", "<timestamp>"),
+    (r"(?:/[A-Za-z0-9_./-]+|(?:[A-Za-z]:\\)[A-Za-z0-9_\\./-]+)", "<path>"),
 )
+TEMPLATE_PREFIXES = ("implement ", "fix ", "refactor ", "add ", "update ", "validate ")
 
 
 def corpus_text(text: Column) -> Column:
-    """2.11.1 without NFC (see functions.unicode): line ends, blank runs, masks."""
-    out = F.regexp_replace(text, "\r\n?", "\n")
+    """2.11.1 without NFC (see functions.unicode): line ends, blanks, masks, prefix."""
+    out = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+", " ")
+    out = F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")
     for pattern, mask in CORPUS_MASKS:
         out = F.regexp_replace(out, pattern, mask)
-    return F.trim(F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    return F.regexp_replace(out, f"^(?i)(?:{'|'.join(TEMPLATE_PREFIXES)})", "")
 
 
 def query_tokens(text: Column) -> Column:

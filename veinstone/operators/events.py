@@ -247,7 +247,7 @@ def export_lines(rows: DataFrame, shard: str, order: list[str], size: str, cap:
     """2.2.8: greedy export: a record over the record cap is truncated away, one that would
     overflow the file is skipped while later smaller ones may still fit."""
     item = F.struct(*order, F.col(size).alias("size"))
-    g = rows.groupBy(shard).agg(F.array_sort(F.collect_list(item)).alias("x"))
+    g = rows.groupBy(shard).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("kept"), F.lit(0).cast("long").alias("truncated"), F.lit(0).cast("long").alias("skipped"))
 
     def step(s: Column, r: Column) -> Column:
@@ -258,4 +258,4 @@ def export_lines(rows: DataFrame, shard: str, order: list[str], size: str, cap:
             (s["truncated"] + F.when(over, 1).otherwise(0)).alias("truncated"), (s["skipped"] + F.when(~over & full, 1).otherwise(0)).alias("skipped"),
         )
 
-    return g.select(shard, F.aggregate("x", zero, step).alias("s")).select(shard, "s.used", "s.kept", "s.truncated", "s.skipped")
+    return g.select(shard, F.aggregate("_items", zero, step).alias("_sum")).select(shard, "_sum.used", "_sum.kept", "_sum.truncated", "_sum.skipped")

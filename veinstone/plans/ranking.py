@@ -183,12 +183,12 @@ def instance_methods(spark: SparkSession, sf: str) -> DataFrame:
     return G.instance_methods(read_table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("path"), (F.col("l_partkey") % 3).alias("class"), kind.alias("kind")))
 
 
-_CT = "regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g')"
+_CT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')"
 for _p, _m in S.CORPUS_MASKS:
     _CT = f"regexp_replace({_CT}, '{_p}', '{_m}', 'g')"
 
 
-@query(f"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace({_CT}, '[ \t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'))) AS digest FROM documents")
+@query(f"SELECT doc_id, sha256(regexp_replace({_CT}, '^(?i)(?:{'|'.join(S.TEMPLATE_PREFIXES)})', '')) AS digest FROM documents")
 def corpus_digests(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents").select("doc_id", F.sha2(S.corpus_text(F.coalesce("text", F.lit(""))), 256).alias("digest"))
 
