@@ -41,24 +41,54 @@ def closure(e: DataFrame, start: DataFrame, rounds: int = 200) -> DataFrame:
     return seen.where("depth > 0")
 
 
-def cycles(e: DataFrame, rounds: int = 200) -> DataFrame:
+def _spread(labels: DataFrame, e: DataFrame, rounds: int) -> DataFrame:
+    """(node, label): the smallest label that reaches each node along ``e``."""
+    for _ in range(rounds):
+        came = e.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("label").alias("came"))
+        new = labels.join(came, F.col("node") == F.col("dst"), "left").select("node", F.least("label", "came").alias("label"), (F.col("came") < F.col("label")).alias("moved"))
+        new = cut_lineage(new)
+        if not new.agg(F.bool_or("moved")).collect()[0][0]:
+            return new.select("node", "label")
+        labels = new.select("node", "label")
+    raise RuntimeError(f"no fixpoint in {rounds} rounds")
+
+
+def cycles(e: DataFrame, rounds: int = 500) -> DataFrame:
     """2.7.4: (component, members, size): strongly connected components of several nodes,
-    and self-loops. Nodes without an edge in or out are peeled off first; of the rest,
-    two nodes belong together if each reaches the other."""
+    and self-loops.
+
+    Forward-backward colouring: nodes without an edge in or out are peeled off; each
+    node takes the smallest node that reaches it as its colour; inside a colour, the
+    nodes from which that smallest one is reached are its component, which leaves the
+    graph. Every round moves one label a node, so nothing grows with pairs of nodes.
+    """
     core = cut_lineage(e)
-    size = core.count()
+    loops = core.where("src = dst").select(F.col("src").alias("origin"), F.col("src").alias("component"))
+    found = None
     while True:
-        core = cut_lineage(
-            core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        )
-        left = core.count()
-        if left == size:
+        size = core.count()
+        while size:
+            ends = [core.select(F.col(a).alias(b)).distinct() for a, b in (("dst", "src"), ("src", "dst"))]
+            core = cut_lineage(core.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst"))
+            left = core.count()
+            if left == size:
+                break
+            size = left
+        if not size:
             break
-        size = left
-    reach = closure(core, nodes(core).select(F.col("node").alias("origin"), "node"), rounds).select("origin", "node")
-    mutual = reach.join(reach.select(F.col("node").alias("origin"), F.col("origin").alias("node")), ["origin", "node"])
-    comp = mutual.groupBy("origin").agg(F.least(F.min("node"), F.col("origin")).alias("component"))
-    return comp.groupBy("component").agg(F.array_sort(F.collect_list("origin")).alias("members"), F.count("*").alias("size"))
+        colour = _spread(nodes(core).withColumn("label", F.col("node")), core, rounds)
+        a, b = colour.select(F.col("node").alias("src"), F.col("label").alias("ca")), colour.select(F.col("node").alias("dst"), F.col("label").alias("cb"))
+        inside = cut_lineage(core.join(a, "src").join(b, "dst").where("ca = cb").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        start = colour.select("node", F.when(F.col("node") == F.col("label"), F.lit(0)).otherwise(F.lit(1)).alias("label"))
+        back = _spread(start, inside, rounds).where("label = 0").select("node")
+        comp = cut_lineage(colour.join(back, "node").select(F.col("node").alias("origin"), F.col("label").alias("component")))
+        found = comp if found is None else found.unionByName(comp)
+        gone = comp.select(F.col("origin").alias("g"))
+        core = cut_lineage(core.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti"))
+    every = loops if found is None else found.unionByName(loops.join(found.select("origin"), "origin", "left_anti"))
+    out = every.groupBy("component").agg(F.array_sort(F.collect_list("origin")).alias("members"), F.count("*").alias("size"))
+    alone = loops.select(F.col("component").alias("_loop"))
+    return out.join(alone, F.col("component") == F.col("_loop"), "left").where("size > 1 OR _loop IS NOT NULL").drop("_loop")
 
 
 def depths(e: DataFrame, rounds: int = 1000) -> DataFrame:

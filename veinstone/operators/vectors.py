@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinstone.functions.scalars import euclidean, membership_digest
+from veinstone.session import cut_lineage, small
 
 
 def centroids(items: DataFrame, label: str, vector: str) -> DataFrame:
@@ -20,8 +21,8 @@ def medoids(items: DataFrame, label: str, ident: str, vector: str) -> DataFrame:
 
     The mean squared distance to all members is the squared distance to the centroid
     plus a constant, so no pairs are made."""
-    c = centroids(items, label, vector)
-    d = items.join(F.broadcast(c), label).select(label, ident, F.round(euclidean(F.col(vector).cast("array<double>"), F.col("centroid")), 9).alias("distance"))
+    c = cut_lineage(centroids(items, label, vector))
+    d = items.join(small(c), label).select(label, ident, F.round(euclidean(F.col(vector).cast("array<double>"), F.col("centroid")), 9).alias("distance"))
     return d.groupBy(label).agg(F.min(F.struct("distance", ident)).alias("m"), F.count("*").alias("size"), F.collect_list(ident).alias("ids")).select(
         label, F.col(f"m.{ident}").alias("medoid"), F.round("m.distance", 6).alias("distance"), "size", membership_digest(F.col("ids").cast("array<string>")).alias("digest")
     )
@@ -34,7 +35,10 @@ def canonical_order(clusters: DataFrame, label: str) -> DataFrame:
 
 
 def nearest_clusters(c: DataFrame, label: str, k: int = 3) -> DataFrame:
-    """2.9.17: the k closest other centroids; clusters are few and paired in blocks."""
+    """2.9.17: the k closest other centroids; at most 10 000 clusters, else an error."""
+    c = cut_lineage(c)
+    if c.count() > 10_000:
+        raise ValueError("too many clusters to compare each with all; use llm.topk for large sets")
     other = c.select(F.col(label).alias("other"), F.col("centroid").alias("c2"))
     d = c.join(F.broadcast(other), F.col(label) != F.col("other")).select(label, "other", F.round(euclidean(F.col("centroid"), F.col("c2")), 6).alias("distance"))
     w = Window.partitionBy(label).orderBy("distance", "other")
@@ -43,7 +47,7 @@ def nearest_clusters(c: DataFrame, label: str, k: int = 3) -> DataFrame:
 
 def representatives(items: DataFrame, label: str, ident: str, vector: str, k: int = 3) -> DataFrame:
     """2.9.18: the k members closest to the centroid and the k farthest ones."""
-    d = items.join(F.broadcast(centroids(items, label, vector)), label).select(label, ident, F.round(euclidean(F.col(vector).cast("array<double>"), F.col("centroid")), 6).alias("distance"))
+    d = items.join(small(cut_lineage(centroids(items, label, vector))), label).select(label, ident, F.round(euclidean(F.col(vector).cast("array<double>"), F.col("centroid")), 6).alias("distance"))
     near, far = (Window.partitionBy(label).orderBy(o, ident) for o in (F.asc("distance"), F.desc("distance")))
     r = d.withColumn("near", F.row_number().over(near)).withColumn("far", F.row_number().over(far))
     return r.where((F.col("near") <= k) | (F.col("far") <= k)).select(label, ident, "distance", F.when(F.col("near") <= k, "representative").otherwise("boundary").alias("role"))
@@ -51,7 +55,9 @@ def representatives(items: DataFrame, label: str, ident: str, vector: str, k: in
 
 def knn(items: DataFrame, query: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
     """2.12.11: the k nearest items of each query (qid, qv) and the score 1 / (1 + distance).
-    Queries are a small block that is sent to all items; the top k is taken per task first."""
+    At most 1 000 queries, which are sent to all items; the top k is taken per task first."""
+    if query.limit(1001).count() > 1000:
+        raise ValueError("too many queries for one block; use the tiled top-k")
     j = items.join(F.broadcast(query)).select("qid", ident, F.round(euclidean(F.col(vector).cast("array<double>"), F.col("qv").cast("array<double>")), 6).alias("distance"))
     w = Window.partitionBy("qid").orderBy("distance", ident)
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round(F.lit(1.0) / (F.lit(1.0) + F.col("distance")), 6))

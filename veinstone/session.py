@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "veinstone", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,3 +40,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veinstone-")
         )
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """The same rows, with a broadcast hint only if there are at most ``most``; counting
+    stops one row after it. Larger tables are left to Spark's own choice of join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
