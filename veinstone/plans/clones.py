@@ -51,14 +51,14 @@ def clone_groups(spark: SparkSession, sf: str) -> DataFrame:
 ), s AS (
   SELECT g.*, CASE WHEN items >= 4 THEN 'critical' ELSE 'warning' END AS severity, k.group_key IS NULL AS fresh FROM groups g LEFT JOIN known k USING (group_key)
 )
-SELECT * EXCLUDE (fresh), CASE severity WHEN 'critical' THEN 1.5 ELSE 1.0 END AS priority, CASE WHEN fresh THEN 'new' ELSE 'known' END AS novelty FROM s""")
+SELECT * EXCLUDE (fresh), CAST(CASE severity WHEN 'critical' THEN 1.5 ELSE 1.0 END AS DOUBLE) AS priority, CASE WHEN fresh THEN 'new' ELSE 'known' END AS novelty FROM s""")
 def clone_group_rows(spark: SparkSession, sf: str) -> DataFrame:
     u = units_of(spark, sf)
     before = C.function_groups(u.where(F.split_part("qualname", F.lit(":"), F.lit(2)).cast("long") % 2 == 0))
     return C.group_rows(C.function_groups(u), before)
 
 
-@query(f"WITH {_LINES} SELECT path, qualname, loc, len(norms) AS stmt_count, fingerprint FROM units WHERE loc >= 10 AND len(norms) >= 6")
+@query(f"WITH {_LINES} SELECT path, qualname, CAST(loc AS INTEGER) AS loc, CAST(len(norms) AS INTEGER) AS stmt_count, fingerprint FROM units WHERE loc >= 10 AND len(norms) >= 6")
 def eligible_units(spark: SparkSession, sf: str) -> DataFrame:
     return C.eligible(units_of(spark, sf)).select("path", "qualname", "loc", "stmt_count", "fingerprint")
 
@@ -78,7 +78,7 @@ _BLOCKS = (
 )
 
 
-@query(f"WITH {_BLOCKS} SELECT * FROM blocks")
+@query(f'WITH {_BLOCKS} SELECT block_hash, path, qualname, CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", size FROM blocks')
 def block_windows(spark: SparkSession, sf: str) -> DataFrame:
     return C.blocks(units_of(spark, sf))
 
@@ -88,8 +88,8 @@ def block_groups(spark: SparkSession, sf: str) -> DataFrame:
     return C.block_groups(C.blocks(units_of(spark, sf)))
 
 
-@query(f"""WITH {_BLOCKS} SELECT block_hash, items, len(string_split(block_hash, '|')) AS "window",
-  len(list_distinct(string_split(block_hash, '|'))) AS distinct_statements, len(list_distinct(string_split(block_hash, '|'))) = 1 AS repeated, items - 1 AS peers FROM bgroups""")
+@query(f"""WITH {_BLOCKS} SELECT block_hash, items, CAST(len(string_split(block_hash, '|')) AS INTEGER) AS "window",
+  CAST(len(list_distinct(string_split(block_hash, '|'))) AS INTEGER) AS distinct_statements, len(list_distinct(string_split(block_hash, '|'))) = 1 AS repeated, items - 1 AS peers FROM bgroups""")
 def block_group_facts(spark: SparkSession, sf: str) -> DataFrame:
     return C.block_facts(C.block_groups(C.blocks(units_of(spark, sf))))
 
@@ -119,7 +119,7 @@ def segment_groups(spark: SparkSession, sf: str) -> DataFrame:
 ), i AS (
   SELECT *, sum(fresh) OVER (PARTITION BY group_key, path, qualname ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM f
 )
-SELECT group_key, path, qualname, min(start) AS start, max("end") AS "end", count(*) AS merged, max("end") - min(start) + 1 AS size FROM i GROUP BY group_key, path, qualname, island""")
+SELECT group_key, path, qualname, CAST(min(start) AS INTEGER) AS start, CAST(max("end") AS INTEGER) AS "end", count(*) AS merged, CAST(max("end") - min(start) + 1 AS INTEGER) AS size FROM i GROUP BY group_key, path, qualname, island""")
 def merged_segments(spark: SparkSession, sf: str) -> DataFrame:
     return C.merged_segments(C.segments(units_of(spark, sf), 3))
 

@@ -12,7 +12,7 @@ from veinstone.session import read_table
 
 
 @query("""WITH u AS (SELECT o_custkey, CAST(count(*) AS INTEGER) AS cc FROM orders GROUP BY 1)
-SELECT round_even(avg(greatest(1, cc)), 4) AS average, max(greatest(1, cc)) AS maximum, list_sort(list(DISTINCT CAST(o_custkey AS VARCHAR)) FILTER (greatest(1, cc) > 20)) AS high_risk FROM u""")
+SELECT round_even(avg(greatest(1, cc)), 4) AS average, max(greatest(1, cc)) AS maximum, coalesce(list_sort(list(DISTINCT CAST(o_custkey AS VARCHAR)) FILTER (greatest(1, cc) > 20)), []) AS high_risk FROM u""")
 def complexity_summary(spark: SparkSession, sf: str) -> DataFrame:
     u = read_table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("qualname")).agg(F.count("*").cast("int").alias("cc"))
     return M.complexity_summary(u)

@@ -194,7 +194,7 @@ def corpus_digests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT conv_id, turn, list_distinct(list_filter(list_transform(string_split_regex(lower(text), '[^a-z0-9_À-ɏ./-]+'), lambda t: regexp_replace(t, '^\\.+|\\.+$', '', 'g')), lambda t: length(t) >= 2)) IS NOT NULL AS has_tokens,
- len(list_distinct(list_filter(list_transform(string_split_regex(lower(text), '[^a-z0-9_À-ɏ./-]+'), lambda t: regexp_replace(t, '^\\.+|\\.+$', '', 'g')), lambda t: length(t) >= 2))) AS tokens, CAST(ceil(length(text) / 4.0) AS BIGINT) AS estimate, CASE WHEN length(text) > 240 THEN substring(text, 1, 239) || '…' ELSE text END AS preview FROM conversations""")
+ CAST(len(list_distinct(list_filter(list_transform(string_split_regex(lower(text), '[^a-z0-9_À-ɏ./-]+'), lambda t: regexp_replace(t, '^\\.+|\\.+$', '', 'g')), lambda t: length(t) >= 2))) AS INTEGER) AS tokens, CAST(ceil(length(text) / 4.0) AS BIGINT) AS estimate, CASE WHEN length(text) > 240 THEN substring(text, 1, 239) || '…' ELSE text END AS preview FROM conversations""")
 def text_features(spark: SparkSession, sf: str) -> DataFrame:
     t = S.query_tokens(F.col("text"))
     return read_table(spark, sf, "conversations").select("conv_id", "turn", t.isNotNull().alias("has_tokens"), F.size(t).alias("tokens"), S.token_estimate(F.col("text")).alias("estimate"), S.preview(F.col("text")).alias("preview"))
