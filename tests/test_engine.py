@@ -90,6 +90,12 @@ def test_reports(run):
     assert "findings" in report.to_text(doc) and "| family |" in report.to_markdown(doc).replace("| confidence | family |", "| family |") and "<table>" in report.to_html(doc)
 
 
+def test_reachability():
+    source = "import click\nfrom flask import Flask\nfrom django.urls import path\napp = Flask(__name__)\n@app.route('/')\ndef home(): pass\n@click.command()\ndef run(): pass\ndef page(): pass\nurls = [path('x', page)]\ndef lost(): pass\n"
+    found = P.facts(source, "m")["reach"]
+    assert found == [("m:home", "flask", "registers_handler", "high"), ("m:page", "django", "registers_handler", "medium"), ("m:run", "click", "registers_command", "medium")]
+
+
 def test_sarif(spark):
     rows = [("r2", "warning", "m", "b.py", 3, "k1", "new"), ("r1", "error", "m", "a.py", 1, "k2", "known")]
     log = json.loads(report.sarif(spark.createDataFrame(rows, "rule string, level string, message string, path string, line int, key string, novelty string")).collect()[0].sarif)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.functions.scalars import cohesion_risk, complexity_risk, coupling_risk
-from veinstone.operators import clones, extract, gates, graph, joins, metrics
+from veinstone.operators import clones, context, extract, gates, graph, joins, metrics
 from veinstone.operators.windows import merge_intervals
 from veinstone.sinks import report
 from veinstone.sources import readers
@@ -49,7 +49,9 @@ class Analysis:
     def dead_code(self, with_suppressed: bool = False) -> DataFrame:
         """2.8.4, 2.8.5; symbols that only tests use are dead."""
         c = extract.suppressed(self.table("candidates"), self.table("suppressions")).where(~F.col("path").rlike("(^|/)(tests/|test_|conftest)"))
-        reach = self.entrypoints if self.entrypoints is not None else self.spark.createDataFrame([], "qualname string")
+        reach = self.table("reach").select("qualname")
+        if self.entrypoints is not None:
+            reach = reach.unionByName(joins.entrypoints(self.entrypoints, c.select("qualname")).select("qualname"))
         names, quals = (extract.referenced(self.facts, k) for k in ("names", "qualnames"))
         dead = joins.unreferenced(c, names, quals, reach)
         return dead if with_suppressed else dead.where(~F.col("suppressed"))
@@ -97,6 +99,10 @@ class Analysis:
         """2.6.21."""
         return self.table("surfaces").groupBy("category").agg(F.count("*").alias("items"), F.countDistinct("path").alias("modules"))
 
+    def reachability(self) -> DataFrame:
+        """2.6.22."""
+        return context.counts_by(self.table("reach"), "framework", "edge_kind", "confidence")
+
     def instance_methods(self) -> DataFrame:
         m = self.table("methods").withColumn("kind", F.col("why"))
         return gates.instance_methods(m)

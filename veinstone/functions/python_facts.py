@@ -255,6 +255,61 @@ def suppressions(source: str) -> Iterator[tuple[int, bool, str]]:
         return
 
 
+#: 2.3.32: frameworks, what a decorator's or call's last name registers, and calls whose
+#: arguments become reachable; fixed values.
+FRAMEWORKS = frozenset("aiogram aiohttp celery click dependency_injector django fastapi flask pydantic sqlalchemy starlette typer".split())
+EDGES = {
+    "registers_handler": "route get post put delete patch head options websocket api_route view message callback_query path re_path url add_route add_url_rule add_api_route".split(),
+    "registers_command": "command group callback add_command".split(),
+    "registers_task": "task shared_task periodic_task".split(),
+    "runtime_hook": (
+        "middleware on_event exception_handler errorhandler before_request after_request teardown_request context_processor listens_for validates "
+        "validator field_validator model_validator field_serializer model_serializer root_validator receiver add_middleware startup shutdown"
+    ).split(),
+    "declares_dependency": ["Depends", "Security"],
+    "provides": ["Factory", "Singleton", "Callable", "Resource", "Coroutine"],
+}
+_EDGE_OF = {name: edge for edge, names in EDGES.items() for name in names}
+
+
+def _root(expr: ast.AST) -> str:
+    """First name of a dotted expression or of the call on it."""
+    while isinstance(expr, (ast.Attribute, ast.Call)):
+        expr = expr.value if isinstance(expr, ast.Attribute) else expr.func
+    return expr.id if isinstance(expr, ast.Name) else ""
+
+
+def _last(expr: ast.AST) -> str:
+    expr = expr.func if isinstance(expr, ast.Call) else expr
+    return expr.attr if isinstance(expr, ast.Attribute) else expr.id if isinstance(expr, ast.Name) else ""
+
+
+def reachable(tree: ast.Module, module: str, bound: dict[str, str], defs: list[tuple[str, str, ast.AST]]) -> Iterator[tuple[str, str, str, str]]:
+    """2.3.32: (target, framework, edge kind, confidence) of what a framework calls: decorated
+    by an object that the module made from it (high) or by a name imported from it
+    (medium), or handed to one of its registering calls (medium)."""
+    made = {n: t.split(".")[0].split(":")[0] for n, t in bound.items()}
+    objects: dict[str, str] = {}
+    for x in ast.walk(tree):
+        if isinstance(x, ast.Assign) and isinstance(x.value, ast.Call) and made.get(_root(x.value)) in FRAMEWORKS:
+            objects |= {t.id: made[_root(x.value)] for t in x.targets if isinstance(t, ast.Name)}
+    local = {name for name, _, _ in defs}
+    for name, _, node in defs:
+        for d in getattr(node, "decorator_list", []):
+            origin = bound.get(_root(d), "").rpartition(":")[2].split(".")[-1]
+            edge = _EDGE_OF.get(_last(d)) or _EDGE_OF.get(origin)
+            framework = objects.get(_root(d)) or made.get(_root(d), "")
+            if edge and framework in FRAMEWORKS:
+                yield f"{module}:{name}", framework, edge, "high" if _root(d) in objects else "medium"
+    for x in ast.walk(tree):
+        if isinstance(x, ast.Call) and (edge := _EDGE_OF.get(_last(x))):
+            framework = objects.get(_root(x.func)) or made.get(_root(x.func), "")
+            if framework in FRAMEWORKS:
+                for a in (*x.args, *[k.value for k in x.keywords]):
+                    if isinstance(a, ast.Name) and (a.id in local or ":" in bound.get(a.id, "")):
+                        yield f"{module}:{a.id}" if a.id in local else bound[a.id], framework, edge, "medium"
+
+
 def definitions(tree: ast.AST, prefix: str = "", kind: str = "function") -> Iterator[tuple[str, str, ast.AST]]:
     """2.3.2: (dotted name, kind, node) of functions, methods and classes."""
     for x in getattr(tree, "body", []):
@@ -272,7 +327,7 @@ def facts(source: str, module: str, test: bool = False) -> dict:
     """2.3.1: every fact family of a file in one pass over its tree."""
     tree = ast.parse(source)
     lines = source.split("\n")
-    out: dict[str, list] = {k: [] for k in ("units", "stmts", "deps", "names", "qualnames", "classes", "candidates", "branches", "suppressions", "surfaces", "api", "calls", "methods")}
+    out: dict[str, list] = {k: [] for k in ("units", "stmts", "deps", "names", "qualnames", "classes", "candidates", "branches", "suppressions", "surfaces", "api", "calls", "methods", "reach")}
     bound: dict[str, str] = {}
     for target, kind, line, names in imports(tree, module, module.endswith("__init__")):
         out["deps"].append((module, target, kind, line))
@@ -286,6 +341,7 @@ def facts(source: str, module: str, test: bool = False) -> dict:
     defs = list(definitions(tree))
     local = {name for name, _, _ in defs}
     classes = {name for name, kind, _ in defs if kind == "class"}
+    out["reach"] = sorted(set(reachable(tree, module, bound, defs)))
     if not test:
         loaded = names_loaded(tree)
         out["names"] = sorted(loaded)

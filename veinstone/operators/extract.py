@@ -23,6 +23,7 @@ FAMILIES = {
     "api": "qualname string, kind string, params array<string>",
     "calls": "caller string, callee string, resolved boolean, line int",
     "methods": "qualname string, class string, why string",
+    "reach": "qualname string, framework string, edge_kind string, confidence string",
 }
 _STATS = "stats struct<lines:int,functions:int,methods:int,classes:int>, adoption struct<params:int,annotated:int,returns:int,returns_annotated:int,public:int,documented:int>"
 MAX_BYTES = 10 << 20

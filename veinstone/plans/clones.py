@@ -158,7 +158,9 @@ def merged_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return merge_intervals(li.select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").cast("int").alias("start"), end.alias("end")), ["owner"], "start", "end")
 
 
-@query()
+@query("""WITH g AS (SELECT l_suppkey AS owner, list_sort(list({'s': CAST(l_partkey AS INTEGER), 'n': CAST(-(l_partkey + l_quantity) AS INTEGER)})) AS x FROM lineitem GROUP BY 1),
+r AS (SELECT owner, list_reduce(list_transform(x, lambda z: [z.s, -z.n]), lambda acc, z: CASE WHEN z[1] > acc[-1] THEN list_concat(acc, z) ELSE acc END) AS k FROM g)
+SELECT owner, CAST(k[2 * i - 1] AS INTEGER) AS start, CAST(k[2 * i] AS INTEGER) AS "end" FROM (SELECT owner, k, unnest(range(1, len(k) // 2 + 1)) AS i FROM r)""")
 def outermost_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     li = read_table(spark, sf, "lineitem")
     spans = F.array_sort(F.collect_list(F.struct(F.col("l_partkey").cast("int").alias("start"), (-(F.col("l_partkey") + F.col("l_quantity"))).cast("int").alias("neg_end"))))

@@ -103,6 +103,9 @@ def partition_validity(spark: SparkSession, sf: str) -> DataFrame:
     return V.partition_validity(a, s, 10**9)
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT a.id, b.id AS id2 FROM i a JOIN i b ON list_distance(a.v, b.v) <= 1.0),
+c AS (SELECT id FROM n GROUP BY id HAVING count(*) >= 4), e AS (SELECT n.id, n.id2 FROM n WHERE id IN (SELECT id FROM c) AND id2 IN (SELECT id FROM c)),
+r(o, x) AS (SELECT id, id2 FROM e UNION SELECT r.o, e.id2 FROM r JOIN e ON e.id = r.x), k AS (SELECT o, min(CAST(x AS VARCHAR)) AS cluster FROM r GROUP BY o), b AS (SELECT n.id, min(k.cluster) AS cluster FROM n JOIN k ON k.o = n.id2 GROUP BY n.id)
+SELECT i.id, b.cluster FROM i LEFT JOIN b ON b.id = i.id""")
 def density_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return V.density_clusters(read_table(spark, sf, "embeddings"), "vec_id", "embedding", 1.0, 4)
