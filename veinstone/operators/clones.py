@@ -78,13 +78,16 @@ def windows(u: DataFrame, size: int) -> DataFrame:
 
 def blocks(u: DataFrame, size: int = 4, most: int = 15) -> DataFrame:
     """2.3.11: windows whose first line is max(size // 2, 3) lines after the last kept one."""
-    gap = max(size // 2, 3)
-    kept = u.select("path", "qualname", greedy_starts(F.transform(F.slice("stmts", F.lit(1), F.greatest(F.lit(0), F.size("stmts") - size + 1)), lambda s: s["line"].cast("int")), gap, most).alias("kept"))
-    kept = kept.select(F.col("path").alias("_p"), F.col("qualname").alias("_q"), F.explode("kept").alias("_start"))
-    w = windows(u, size).withColumn("block_hash", F.array_join("hashes", "|"))
-    return w.join(kept, (F.col("path") == F.col("_p")) & (F.col("qualname") == F.col("_q")) & (F.col("start") == F.col("_start"))).select(
-        "block_hash", "path", "qualname", "start", "end", F.lit(size).alias("size")
-    )
+    first = F.transform(F.slice("stmts", F.lit(1), F.greatest(F.lit(0), F.size("stmts") - size + 1)), lambda s: s["line"].cast("int"))
+    kept = u.withColumn("_kept", greedy_starts(first, max(size // 2, 3), most))
+    at = F.sequence(F.lit(1), F.size("stmts") - size + 1)
+    w = kept.where(F.size("stmts") >= size).select("path", "qualname", "stmts", "_kept", F.explode(at).alias("at"))
+    w = w.where(F.array_contains("_kept", F.element_at("stmts", F.col("at"))["line"].cast("int")))
+    part = F.slice("stmts", F.col("at"), F.lit(size))
+    return w.select(
+        F.array_join(F.transform(part, lambda s: F.sha1(s["norm"])), "|").alias("block_hash"), "path", "qualname",
+        F.element_at(part, 1)["line"].alias("start"), F.element_at(part, -1)["line"].alias("end"), F.lit(size).alias("size"),
+    )
 
 
 def block_groups(b: DataFrame) -> DataFrame:
