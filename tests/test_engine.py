@@ -90,6 +90,19 @@ def test_reports(run):
     assert "findings" in report.to_text(doc) and "| family |" in report.to_markdown(doc).replace("| confidence | family |", "| family |") and "<table>" in report.to_html(doc)
 
 
+@pytest.mark.parametrize(
+    ("body", "cc"),
+    [
+        ("return 1", 1), ("if a: b()", 2), ("if a and b or c: d()", 4), ("if not (a and b): c()", 3), ("while a: b()", 2), ("for x in y:\n  if x: break\nelse: z()", 3),
+        ("try: a()\nexcept E: b()\nexcept F: c()\nfinally: d()", 3), ("match a:\n case 1: b()\n case _: c()", 2), ("match a:\n case 1: b()\n case 2: c()", 3),
+        ("with a: b()", 1), ("if a: return 1\nelif b: return 2\nreturn 3", 3), ("return 1\nif a: b()", 1), ("for x in y:\n  if x: continue\n  z()", 3),
+    ],
+)
+def test_control_graph(body, cc):
+    fn = P.ast.parse("def f():\n" + "\n".join("  " + x for x in body.split("\n"))).body[0]
+    assert P.ControlGraph(fn.body).complexity() == cc
+
+
 def test_reachability():
     source = "import click\nfrom flask import Flask\nfrom django.urls import path\napp = Flask(__name__)\n@app.route('/')\ndef home(): pass\n@click.command()\ndef run(): pass\ndef page(): pass\nurls = [path('x', page)]\ndef lost(): pass\n"
     found = P.facts(source, "m")["reach"]

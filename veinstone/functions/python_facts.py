@@ -15,7 +15,6 @@ import tokenize
 from collections.abc import Iterator
 
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-BRANCHING = (ast.If, ast.While, ast.For, ast.AsyncFor)
 NESTING = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Try, ast.With, ast.AsyncWith, ast.Match)
 #: 2.3.31: modules and calls at a security boundary, by category; fixed values (an excerpt).
 BOUNDARIES = {
@@ -118,15 +117,112 @@ def own_nodes(body: list[ast.stmt]) -> Iterator[ast.AST]:
                 stack.extend(ast.iter_child_nodes(n))
 
 
-def complexity(fn: ast.AST) -> int:
-    """2.3.14 of the structured graph: one more than its decisions: branches, loops,
-    handlers, cases and the short circuits of their conditions."""
-    n = 1
-    for x in own_nodes(fn.body):
-        n += isinstance(x, BRANCHING) + isinstance(x, ast.ExceptHandler) + isinstance(x, ast.match_case)
-        if isinstance(x, (ast.If, ast.While)):
-            n += sum(len(b.values) - 1 for b in ast.walk(x.test) if isinstance(b, ast.BoolOp))
-    return n
+class ControlGraph:
+    """2.3.4, 2.3.5: basic blocks of a function and their successors. Short circuits in
+    conditions become edges; a handler is reached from the start and the end of what it
+    guards. Block 0 is the entry, block 1 the exit."""
+
+    def __init__(self, body: list[ast.stmt]) -> None:
+        self.blocks: list[list[str]] = [[], []]
+        self.next: list[set[int]] = [set(), set()]
+        end = self.walk(body, 0, None)
+        if end is not None:
+            self.next[end].add(1)
+
+    def new(self, *before: int | None) -> int:
+        self.blocks.append([])
+        self.next.append(set())
+        for b in before:
+            if b is not None:
+                self.next[b].add(len(self.blocks) - 1)
+        return len(self.blocks) - 1
+
+    def test(self, expr: ast.expr, at: int, yes: int, no: int) -> None:
+        """Edges of a condition; every operand of and, or has its block."""
+        if isinstance(expr, ast.BoolOp):
+            for part in expr.values[:-1]:
+                more = self.new()
+                self.test(part, at, *((more, no) if isinstance(expr.op, ast.And) else (yes, more)))
+                at = more
+            self.test(expr.values[-1], at, yes, no)
+        elif isinstance(expr, ast.UnaryOp) and isinstance(expr.op, ast.Not) and isinstance(expr.operand, ast.BoolOp):
+            self.test(expr.operand, at, no, yes)
+        else:
+            self.blocks[at].append(normal_dump(expr))
+            self.next[at] |= {yes, no}
+
+    def branch(self, body: list[ast.stmt], at: int, after: int, loop: tuple[int, int] | None) -> None:
+        end = self.walk(body, at, loop)
+        if end is not None:
+            self.next[end].add(after)
+
+    def walk(self, body: list[ast.stmt], at: int | None, loop: tuple[int, int] | None) -> int | None:
+        """The block where control goes on after ``body``; none if it never does."""
+        for s in body:
+            if at is None:
+                break
+            if isinstance(s, ast.If):
+                yes, no, after = self.new(), self.new(), self.new()
+                self.test(s.test, at, yes, no)
+                self.branch(s.body, yes, after, loop)
+                self.branch(s.orelse, no, after, loop)
+                at = after
+            elif isinstance(s, (ast.While, ast.For, ast.AsyncFor)):
+                head, inner, rest, after = self.new(at), self.new(), self.new(), self.new()
+                if isinstance(s, ast.While):
+                    self.test(s.test, head, inner, rest)
+                else:
+                    self.blocks[head].append(normal_dump(s.iter))
+                    self.next[head] |= {inner, rest}
+                self.branch(s.body, inner, head, (after, head))
+                self.branch(s.orelse, rest, after, loop)
+                at = after
+            elif isinstance(s, (ast.Try, ast.TryStar)):
+                start, after = self.new(at), self.new()
+                end = self.walk([*s.body, *s.orelse], start, loop)
+                for h in s.handlers:
+                    self.branch(h.body, self.new(start, end), after, loop)
+                if end is not None:
+                    self.next[end].add(after)
+                at = self.walk(s.finalbody, after, loop)
+            elif isinstance(s, ast.Match):
+                self.blocks[at].append(normal_dump(s.subject))
+                after = self.new()
+                for case in s.cases:
+                    self.branch(case.body, self.new(at), after, loop)
+                if not any(isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None and c.guard is None for c in s.cases):
+                    self.next[at].add(after)
+                at = after
+            elif isinstance(s, (ast.With, ast.AsyncWith)):
+                self.blocks[at] += [normal_dump(i.context_expr) for i in s.items]
+                at = self.walk(s.body, at, loop)
+            elif isinstance(s, (ast.Break, ast.Continue)) and loop:
+                self.next[at].add(loop[isinstance(s, ast.Continue)])
+                at = None
+            else:
+                self.blocks[at].append(normal_dump(s))
+                if isinstance(s, (ast.Return, ast.Raise)):
+                    self.next[at].add(1)
+                    at = None
+        return at
+
+    def reached(self) -> list[int]:
+        seen, stack = {0, 1}, [0]
+        while stack:
+            for b in self.next[stack.pop()] - seen:
+                seen.add(b)
+                stack.append(b)
+        return sorted(seen)
+
+    def complexity(self) -> int:
+        """2.3.14 over the blocks that are reached."""
+        on = self.reached()
+        return max(1, sum(len(self.next[b]) for b in on) - len(on) + 2)
+
+    def fingerprint(self) -> str:
+        """2.3.8: SHA-1 of the blocks and their successors, numbered as reached."""
+        number = {b: i for i, b in enumerate(self.reached())}
+        return sha1("|".join(f"{i}:{';'.join(self.blocks[b])}>{sorted(number[x] for x in self.next[b])}" for b, i in number.items()))
 
 
 def nesting(body: list[ast.stmt], depth: int = 0) -> int:
@@ -363,8 +459,9 @@ def facts(source: str, module: str, test: bool = False) -> dict:
             body = body_of(node)
             dumps = [normal_dump(s) for s in statements(body)]
             n_guard, profile, effect = guards(body)
+            flow = ControlGraph(body)
             raw = sha1("".join("".join(lines[start - 1 : end]).split()))
-            out["units"].append((qual, start, end, end - start + 1, len(dumps), sha1("|".join(normal_dump(s) for s in body)), complexity(node), nesting(body), raw, n_guard, profile, effect, terminal(body)))
+            out["units"].append((qual, start, end, end - start + 1, len(dumps), flow.fingerprint(), flow.complexity(), nesting(body), raw, n_guard, profile, effect, terminal(body)))
             out["stmts"] += [(qual, i, s.lineno, s.end_lineno, sha1(d), isinstance(s, ast.Assert)) for i, (s, d) in enumerate(zip(statements(body), dumps, strict=True))]
             out["branches"] += [(qual, b["signature"], b["start"], b["end"]) for b in branches(node)]
             args = [a for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs) if a.arg not in ("self", "cls")]
