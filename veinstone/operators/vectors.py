@@ -55,10 +55,12 @@ def representatives(items: DataFrame, label: str, ident: str, vector: str, k: in
 
 def knn(items: DataFrame, query: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
     """2.12.11: the k nearest items of each query (qid, qv) and the score 1 / (1 + distance).
-    At most 1 000 queries, which are sent to all items; the top k is taken per task first."""
-    if query.limit(1001).count() > 1000:
-        raise ValueError("too many queries for one block; use the tiled top-k")
-    j = items.join(F.broadcast(query)).select("qid", ident, F.round(euclidean(F.col(vector).cast("array<double>"), F.col("qv").cast("array<double>")), 6).alias("distance"))
+    Queries are cut into blocks of at most about 1 000; a single block is broadcast, more
+    are met block by block through an equi-join; the top k is taken per task first."""
+    blocks = max(1, -(-query.count() // 1000))
+    q = query.select("qid", "qv", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("_block"))
+    i = items.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
+    j = i.join(F.broadcast(q) if blocks == 1 else q, "_block").select("qid", ident, F.round(euclidean(F.col(vector).cast("array<double>"), F.col("qv").cast("array<double>")), 6).alias("distance"))
     w = Window.partitionBy("qid").orderBy("distance", ident)
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round(F.lit(1.0) / (F.lit(1.0) + F.col("distance")), 6))
 

@@ -1,34 +1,49 @@
-"""Graph queries: nation-to-nation trade, order chains and page links as import graphs."""
+"""Graph queries: suppliers and parts by bucket as modules, their largest partners as imports."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.operators import graph as G
+from veinstone.operators.windows import top_k
 from veinstone.plans.registry import query
 from veinstone.session import read_table
 
-_EDGES = """e AS (SELECT DISTINCT 'm' || l_suppkey % 40 AS src, 'm' || l_partkey % 40 AS dst FROM lineitem WHERE l_quantity <= 1 AND l_discount < 0.02)"""
+_TOP2 = """SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY sum(l_quantity) DESC, dst) AS r FROM ({pairs}) GROUP BY src, dst) WHERE r <= 2"""
+_EDGES = "e AS (" + _TOP2.format(pairs="SELECT 'm' || l_suppkey % 40 AS src, 'm' || l_partkey % 40 AS dst, l_quantity FROM lineitem") + ")"
+
+
+def top_partners(rows: DataFrame) -> DataFrame:
+    """The two targets with the largest total of every source, over all rows."""
+    g = rows.groupBy("src", "dst").agg(F.sum("l_quantity").alias("total"))
+    return top_k(g, ["src"], [F.desc("total"), F.asc("dst")], 2).select("src", "dst")
 
 
 def trade(spark: SparkSession, sf: str) -> DataFrame:
-    li = read_table(spark, sf, "lineitem").where("l_quantity <= 1 AND l_discount < 0.02")
-    return G.edges(li.select(F.concat(F.lit("m"), (F.col("l_suppkey") % 40).cast("string")).alias("a"), F.concat(F.lit("m"), (F.col("l_partkey") % 40).cast("string")).alias("b")), "a", "b")
+    def name(c: str) -> Column:
+        return F.concat(F.lit("m"), (F.col(c) % 40).cast("string"))
+
+    return top_partners(read_table(spark, sf, "lineitem").select(name("l_suppkey").alias("src"), name("l_partkey").alias("dst"), "l_quantity"))
 
 
-_DAG = """e AS (SELECT DISTINCT 'p.' || CAST(least(l_suppkey % 60, l_partkey % 60) // 20 AS VARCHAR) || '.m' || lpad(CAST(least(l_suppkey % 60, l_partkey % 60) AS VARCHAR), 2, '0') AS src,
- 'p.' || CAST(greatest(l_suppkey % 60, l_partkey % 60) // 20 AS VARCHAR) || '.m' || lpad(CAST(greatest(l_suppkey % 60, l_partkey % 60) AS VARCHAR), 2, '0') AS dst FROM lineitem WHERE l_quantity <= 1 AND l_discount < 0.01 AND l_suppkey % 60 <> l_partkey % 60)"""
+_NAME = "'p.' || CAST({x} % 60 // 20 AS VARCHAR) || '.m' || lpad(CAST({x} % 60 AS VARCHAR), 2, '0')"
+_DAG = (
+    "e AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM ("
+    + _TOP2.format(pairs=f"SELECT {_NAME.format(x='l_suppkey')} AS src, {_NAME.format(x='l_partkey')} AS dst, l_quantity FROM lineitem WHERE l_suppkey % 60 <> l_partkey % 60")
+    + "))"
+)
 
 
 def dag(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = F.col("l_suppkey") % 60, F.col("l_partkey") % 60
+    """The same over 60 names, every edge from the smaller to the larger name."""
 
-    def name(x) -> F.Column:
+    def name(c: str) -> Column:
+        x = F.col(c) % 60
         return F.concat(F.lit("p."), F.floor(x / 20).cast("string"), F.lit(".m"), F.lpad(x.cast("string"), 2, "0"))
 
-    li = read_table(spark, sf, "lineitem").where("l_quantity <= 1 AND l_discount < 0.01 AND l_suppkey % 60 <> l_partkey % 60")
-    return G.edges(li.select(name(F.least(a, b)).alias("a"), name(F.greatest(a, b)).alias("b")), "a", "b")
+    e = top_partners(read_table(spark, sf, "lineitem").select(name("l_suppkey").alias("src"), name("l_partkey").alias("dst"), "l_quantity").where("src <> dst"))
+    return e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 @query(f"WITH {_EDGES} SELECT src, dst FROM e WHERE dst IN (SELECT 'm' || n_nationkey FROM nation)")
@@ -84,17 +99,17 @@ def package_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return G.rollup(dag(spark, sf), 2)
 
 
-@query(f"WITH {_DAG} SELECT DISTINCT dst AS origin, src AS dependent FROM e WHERE dst LIKE '%5' AND src <> dst")
+@query(f"WITH {_DAG} SELECT DISTINCT dst AS origin, src AS dependent FROM e WHERE src <> dst")
 def direct_dependents(spark: SparkSession, sf: str) -> DataFrame:
     e = dag(spark, sf)
-    return G.dependents(e, G.nodes(e).where("node LIKE '%5'").select(F.col("node").alias("origin")))
+    return G.dependents(e, G.nodes(e).select(F.col("node").alias("origin")))
 
 
-@query(f"""WITH RECURSIVE {_DAG}, r(o, n, d) AS (SELECT dst, src, 1 FROM e WHERE dst LIKE '%5' UNION SELECT r.o, e.src, r.d + 1 FROM r JOIN e ON e.dst = r.n)
+@query(f"""WITH RECURSIVE {_DAG}, r(o, n, d) AS (SELECT dst, src, 1 FROM e UNION SELECT r.o, e.src, r.d + 1 FROM r JOIN e ON e.dst = r.n)
 SELECT o AS origin, n AS dependent, CAST(min(d) AS INTEGER) AS depth FROM r WHERE o <> n GROUP BY 1, 2""")
 def transitive_dependents(spark: SparkSession, sf: str) -> DataFrame:
     e = dag(spark, sf)
-    return G.transitive_dependents(e, G.nodes(e).where("node LIKE '%5'").select(F.col("node").alias("origin")))
+    return G.transitive_dependents(e, G.nodes(e).select(F.col("node").alias("origin")))
 
 
 @query(f"""WITH {_DAG}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), c AS (SELECT node, (SELECT count(DISTINCT src) FROM e WHERE dst = node AND src <> node) AS direct FROM n)
@@ -106,10 +121,10 @@ def blast_radius_levels(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("level", G.radius_level(F.col("direct")))
 
 
-@query("""WITH g AS (SELECT DISTINCT l_partkey AS "group", l_suppkey AS path FROM lineitem WHERE l_quantity > 48) SELECT DISTINCT a.path AS origin, b.path AS path FROM g a JOIN g b ON a."group" = b."group" AND a.path <> b.path WHERE a.path % 10 = 0""")
+@query("""WITH g AS (SELECT DISTINCT l_partkey AS "group", l_suppkey AS path FROM lineitem WHERE l_quantity > 48) SELECT DISTINCT a.path AS origin, b.path AS path FROM g a JOIN g b ON a."group" = b."group" AND a.path <> b.path WHERE a.path % 100 = 0""")
 def clone_cohort_members(spark: SparkSession, sf: str) -> DataFrame:
     g = read_table(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("group"), F.col("l_suppkey").alias("path")).distinct()
-    return G.cohort_members(g, g.select(F.col("path").alias("origin")).distinct().where("origin % 10 = 0"))
+    return G.cohort_members(g, g.select(F.col("path").alias("origin")).distinct().where("origin % 100 = 0"))
 
 
 @query("""WITH h AS (SELECT DISTINCT p_name AS name, CASE WHEN lower(p_name) = 'ring' THEN 0 WHEN list_contains(string_split_regex(lower(p_name), '[._: -]'), 'ring') THEN 1 WHEN starts_with(lower(p_name), 'ring') THEN 2 WHEN contains(lower(p_name), 'ring') THEN 3 END AS tier FROM part)

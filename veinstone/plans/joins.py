@@ -150,7 +150,7 @@ def record_relations(spark: SparkSession, sf: str) -> DataFrame:
 _TRIPS = """t AS (SELECT event_id AS id, user_id AS workflow, ts AS at, [event_type || CAST(event_id % 40 AS VARCHAR), event_type || CAST(user_id % 40 AS VARCHAR)] AS subjects FROM events)"""
 
 
-@query(f"""WITH {_TRIPS}, c AS (SELECT * FROM t WHERE id % 50 = 0), j AS (
+@query(f"""WITH {_TRIPS}, c AS (SELECT * FROM t WHERE id % 100 = 0), j AS (
   SELECT c.id, p.id AS pid, p.at AS finished, CAST(row_number() OVER (PARTITION BY c.id ORDER BY p.at DESC, p.id DESC) AS INTEGER) AS rank
   FROM c JOIN t p ON p.at < c.at AND p.workflow <> c.workflow AND list_has_any(c.subjects, p.subjects))
 SELECT id, pid, finished, rank FROM j WHERE rank <= 3""")
@@ -159,7 +159,7 @@ def trajectory_precedents(spark: SparkSession, sf: str) -> DataFrame:
     subjects = F.array(*[F.concat("event_type", (F.col(c) % 40).cast("string")) for c in ("event_id", "user_id")])
     t = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("workflow"), F.col("ts").alias("at"), subjects.alias("subjects"))
     p = t.select(F.col("id").alias("pid"), F.col("workflow").alias("pworkflow"), F.col("at").alias("finished"), F.col("subjects").alias("psubjects"))
-    return J.precedents(t.where("id % 50 = 0").withColumnRenamed("at", "started"), p, 3)
+    return J.precedents(t.where("id % 100 = 0").withColumnRenamed("at", "started"), p, 3)
 
 
 @query("""WITH i AS (SELECT s_suppkey AS id, list(DISTINCT l_partkey) FILTER (l_quantity > 49) AS h, list(DISTINCT l_partkey) FILTER (l_quantity < 2) AS s FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1),

@@ -154,14 +154,14 @@ def trace_waste(spark: SparkSession, sf: str) -> DataFrame:
     return M.waste(spans, tools)
 
 
-_TRAJ = """SELECT user_id * 31 + event_id % 31 AS id, ['f' || user_id % 5] AS families, [CASE WHEN value > 10 THEN 's_loop' ELSE 'plain' END, event_type] AS signals, CASE WHEN event_id % 4 = 0 THEN 'violated' ELSE 'accepted' END AS outcome, 'a' || user_id % 3 AS agent, ts AS finished FROM events WHERE event_id % 3 = 0"""
+_TRAJ = """SELECT user_id * 31 + event_id % 31 AS id, ['f' || user_id % 5] AS families, [CASE WHEN value > 10 THEN 's_loop' ELSE 'plain' END, event_type] AS signals, CASE WHEN event_id % 4 = 0 THEN 'violated' ELSE 'accepted' END AS outcome, 'a' || user_id % 3 AS agent, ts AS finished FROM events"""
 
 
 @query(f"""WITH t AS ({_TRAJ}), r AS (SELECT id, outcome, agent, finished, unnest(families) AS family, signals FROM t), x AS (SELECT id, outcome, agent, finished, family, unnest(signals) AS signal FROM r),
 g AS (SELECT family, signal, outcome, count(DISTINCT id) AS support, count(DISTINCT agent) AS agents, list_transform(list_sort(list(DISTINCT (finished, id))), lambda z: z[2])[1:20] AS evidence FROM x GROUP BY 1, 2, 3),
 v AS (SELECT *, least(100, CASE WHEN agents >= 2 THEN 60 ELSE 0 END + CASE WHEN starts_with(signal, 's') THEN 25 ELSE 0 END) AS information FROM g) SELECT * FROM v WHERE support >= 5 AND information >= 50""")
 def experience_distillation(spark: SparkSession, sf: str) -> DataFrame:
-    e = read_table(spark, sf, "events").where("event_id % 3 = 0")
+    e = read_table(spark, sf, "events")
     t = e.select(
         (F.col("user_id") * 31 + F.col("event_id") % 31).alias("id"), F.array(F.concat(F.lit("f"), (F.col("user_id") % 5).cast("string"))).alias("families"),
         F.array(F.when(F.col("value") > 10, "s_loop").otherwise("plain"), "event_type").alias("signals"), F.when(F.col("event_id") % 4 == 0, "violated").otherwise("accepted").alias("outcome"),
