@@ -3,13 +3,13 @@ of the same plan as SQL."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.plans.registry import query
-from veinstone.session import read_table
+from veinstone.session import read_table, shared_folder
 from veinstone.streaming import events as ST
 
 
@@ -38,9 +38,7 @@ def streamed_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The same through a file stream into a memory table; complete mode, so nothing is late."""
     stream = spark.readStream.schema(ST.SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
     name = f"streamed_counts_{abs(hash(sf)) % 10**8}"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veinstone-")
-    import uuid
-
+    folder = shared_folder(spark)
     q = stream.groupBy("event_type").agg(F.count("*").alias("n")).writeStream.outputMode("complete").format("memory").queryName(name)
     q = q.option("checkpointLocation", f"{folder}/{uuid.uuid4()}").trigger(availableNow=True).start()
     q.awaitTermination()

@@ -27,18 +27,22 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named in ``spark.checkpoint.dir``; where that is
+    unset, a temporary one in local mode (tests) and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="veinstone-")
+
 
-    The cluster names that folder in ``spark.checkpoint.dir``; a temporary one
-    is made only where neither the setting nor the context has any (tests).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the folder that all executors share."""
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veinstone-")
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
