@@ -62,11 +62,11 @@ class WordEncoder:
     Valid for tokenizers that drop white space and end every pre-token with an
     end-of-word token, so that a text's ids are its words' ids in a row. Words of
     plain Latin letters, digits and punctuation are split into pre-tokens by Arrow,
-    whose ids are kept from batch to batch; all other words are given to the
+    whose ids are kept in two generations of ``limit`` pieces; all other words are given to the
     tokenizer as they are.
     """
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -74,6 +74,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
         self.limit = limit
 
     def _learn(self, pieces: list[str]) -> None:
@@ -93,12 +94,14 @@ class WordEncoder:
         return Ragged(np.frombuffer(b"".join(found), dtype="<u4"), np.array([len(x) // 4 for x in found], dtype=np.int64))
 
     def _pieces(self, pieces: list[str]) -> Ragged:
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-            self.pieces[""] = b""
+        if len(self.pieces) > self.limit:  # what the last generation used is carried over piece by piece
+            self.before, self.pieces = self.pieces, {"": b""}
         found = [self.pieces.get(p) for p in pieces]
         if None in found:
-            self._learn([p for p, x in zip(pieces, found, strict=True) if x is None])
+            missing = [p for p, x in zip(pieces, found, strict=True) if x is None]
+            kept = {p: x for p in missing if (x := self.before.get(p)) is not None}
+            self.pieces |= kept
+            self._learn([p for p in missing if p not in kept])
             found = [self.pieces[p] for p in pieces]
         return self._rows(found)
 

@@ -15,11 +15,6 @@ import pyarrow.compute as pc
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a whole text as UTF-8 bytes; none for null."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
 def coded_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """All words of a batch in order, dictionary-encoded, and how many each text has."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
