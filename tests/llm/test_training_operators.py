@@ -222,6 +222,15 @@ def test_entropy_and_redaction(spark):
     assert r[2].text is None and r[2].n_chars is None
 
 
+def test_one_digit_candidate(spark):
+    key = "abcdEFGHijklMNOPqrs7tuVW"
+    text = f"the value is {key} ok."
+    d = spark.createDataFrame([(1, text), (2, text + " 2024"), (3, "no digit abcdEFGHijklMNOPqrstuVW")], "doc_id long, text string")
+    at = text.index(key)
+    assert {r.doc_id: r.spans for r in secrets.scan(d).collect()} == {1: f"entropy:{at}:{at + len(key)}", 2: f"entropy:{at}:{at + len(key)}", 3: ""}
+    assert {r.doc_id: r.text for r in secrets.redact(d).collect()}[1] == "the value is [SECRET] ok."
+
+
 def test_window_entropy(spark):
     texts = ["aaaaaaaaaaaaaaaaaaaaaaaaa", "abcdefghijklmnopqrstuvwxyz", "Aa0Bb1Cc2Dd3Ee4Ff5Gg6Hh7aaaaaaaaaaaaaaaaaaaa"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(secrets.window_entropy(__import__("pyspark.sql.functions", fromlist=["col"]).col("t"))).collect()
