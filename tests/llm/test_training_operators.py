@@ -182,6 +182,21 @@ def test_html():
     assert html.main_text(["", "<p>a", "no tags", "<article><p>cut <b>off"]) == ["", "a", "no tags", "cut off"]
 
 
+def test_html_template_on_a_share_of_the_pages():
+    plain = [f"<body><div class=top>Site name</div><div id=content>Text {i}<div>more {i * i}</div></div><div class=foo>Read our mag</div>" for i in range(6)]
+    want = [f"Text {i} more {i * i}" for i in range(6)]
+    assert html.main_text([*plain, ""]) == [*want, ""]
+    assert html.main_text([*plain, "<table><tr><td>Odd page</td></tr></table>"]) == [*want, "Odd page"]
+    articles = [f"<body><div class=top>Site name</div><article>Text {i}</article>" for i in range(6)]
+    assert html.main_text([*articles, "<body><p>No article</p>"]) == [*[f"Text {i}" for i in range(6)], "No article"]
+    moved = "<body><div class=foo>Read our mag</div><div id=content>Text 9</div><div class=top>Site name</div>"
+    assert html.main_text([*plain, moved])[:6] == want
+    notices = [p.replace("Text", "<div class=tip>Try our app</div>Text") if i < 4 else p for i, p in enumerate(plain)]
+    assert html.main_text(notices) == want
+    few = [p.replace("Text", "<div class=tip>Own words</div>Text") if i < 2 else p for i, p in enumerate(plain)]
+    assert html.main_text(few) == [f"Own words {w}" if i < 2 else w for i, w in enumerate(want)]
+
+
 def test_html_table(spark):
     rows = [(1, "http://A.example/x", "<article>one</article>"), (2, None, None), (3, "not a url", ""), (None, "http://a.example", "<main>x</main>"), (1, "http://A.example/x", "<article>one</article>")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -3,13 +3,14 @@
 Pages of one host share a template. In a bounded group of same-host pages every
 token (a tag with its path, or a text block with its path) has an occurrence
 vector: how often each page of the group has it. Tokens with equal vectors form an
-equivalence class. Classes that have tags, occur on enough pages and keep one order
-on all of them are valid; the class that occurs once on every page is the
-template's frame, and valid classes nest in the gaps between its tokens. What is
-left between template tokens are the slots. Slots under navigation, adverts, forms
-and the like are not main text; if the frame has an article or main element, only
-slots inside it are; text blocks that belong to the frame's class (the same words on
-every page) are template text.
+equivalence class. Classes that have tags and keep one order on enough pages are
+valid. The tags of those that occur once a page are the template's frame: the widest
+class, and in the gaps between its tokens the classes of optional parts and those
+that an odd page lacks. What is left between frame tags are the slots. Slots under
+navigation, adverts, forms and the like are not main text; if the frame has an
+article or main element that the page has too, only slots inside it are; text blocks
+of valid classes (the same words on those pages) are template text. Pages without
+tokens show nothing and do not count.
 
 A host with many pages is dealt by hash into groups of about ``group`` pages, so no
 task sees a whole host; a group with fewer than ``least`` different pages keeps all
@@ -154,8 +155,8 @@ _WITHIN = re.compile(r"/(?:article|main)(?:[./]|$)")
 
 @dataclass
 class Template:
-    """frame: tags once on every page, in one order; classes: all valid classes, outermost
-    first; text: text blocks of the frame's class, that is with the same words on every page."""
+    """frame: tags of the valid classes that occur once a page; classes: all valid classes,
+    outermost first; text: their text blocks, that is with the same words on those pages."""
 
     frame: frozenset[Token]
     classes: list[list[Token]]
@@ -165,11 +166,11 @@ class Template:
 def deduce(pages: list[Page], least: int = 4, share: float = 0.5) -> Template:
     """The template of same-host pages.
 
-    Vectors count over different pages only (copies of a page show nothing). A class
-    is valid with two tokens at least, one of them a tag, on ``share`` of the pages,
-    in one order on all of them. Under ``least`` different pages no text is template.
+    Vectors count over different pages with tokens only (copies of a page show
+    nothing). A class is valid with two tokens at least, one of them a tag, in one
+    order on ``share`` of the pages. Text is template on ``least`` pages at least.
     """
-    different = list({tuple(p.tokens): p for p in pages}.values())
+    different = list({tuple(p.tokens): p for p in pages if p.tokens}.values())
     n = len(different)
     vectors: dict[Token, dict[int, int]] = defaultdict(dict)
     for i, p in enumerate(different):
@@ -177,29 +178,21 @@ def deduce(pages: list[Page], least: int = 4, share: float = 0.5) -> Template:
             vectors[token][i] = count
     classes: dict[tuple, list[Token]] = defaultdict(list)
     for token, vector in vectors.items():
-        if len(vector) >= share * n and (token[0] != "#" or n >= least):
+        if len(vector) >= share * n and (token[0] != "#" or len(vector) >= least):
             classes[tuple(sorted(vector.items()))].append(token)
-    once = tuple((i, 1) for i in range(n))
-    frame: list[Token] = []
+    frame: set[Token] = set()
     valid: list[list[Token]] = []
-    for vector, tokens in sorted(classes.items(), key=lambda c: (c[0] != once, -len(c[0]), c[0])):
+    for vector, tokens in sorted(classes.items(), key=lambda c: (-len(c[0]), c[0])):
         if len(tokens) < 2 or all(kind == "#" for kind, _ in tokens):
             continue
-        members, order = set(tokens), None
-        for i, _ in vector:
-            seen = list(dict.fromkeys(t for t in different[i].tokens if t in members))
-            order = seen if order is None else [t for t in order if t in set(seen)] if _same_order(order, seen) else []
-        if order and len(order) > 1:
-            valid.append(order)
-            frame = order if vector == once else frame
-    return Template(frozenset(t for t in frame if t[0] != "#"), valid, frozenset(t for t in frame if t[0] == "#"))
-
-
-def _same_order(a: list[Token], b: list[Token]) -> bool:
-    """Whether the tokens of both lists have one order."""
-    at = {t: i for i, t in enumerate(b)}
-    places = [at[t] for t in a if t in at]
-    return places == sorted(places)
+        members = set(tokens)
+        orders = Counter(tuple(dict.fromkeys(t for t in different[i].tokens if t in members)) for i, _ in vector)
+        order, times = orders.most_common(1)[0]
+        if times >= share * n:
+            valid.append(list(order))
+            if all(count == 1 for _, count in vector):
+                frame.update(t for t in order if t[0] != "#")
+    return Template(frozenset(frame), valid, frozenset(t for order in valid for t in order if t[0] == "#"))
 
 
 def slots(page: Page, template: Template) -> list[tuple[Token, list[int]]]:
@@ -223,9 +216,9 @@ def _inside(token: Token) -> bool:
 
 def slot_text(page: Page, template: Template) -> str:
     """Text of the slots that are main text, in page order: those inside an article or main
-    element if the frame has one, else those of a page's own such element, else all; in
-    them, every block that is not in another part of the page."""
-    framed = any(_inside(t) for t in template.frame)
+    element if the frame has one that is on the page, else those of a page's own such
+    element, else all; in them, every block that is not in another part of the page."""
+    framed = any(_inside(t) for t in page.tokens if t in template.frame)
     own = any(inside and not apart for *_, apart, inside in page.blocks)
     out: list[str] = []
     for token, blocks in slots(page, template):
