@@ -197,6 +197,22 @@ def test_html_template_on_a_share_of_the_pages():
     assert html.main_text(few) == [f"Own words {w}" if i < 2 else w for i, w in enumerate(want)]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article style="overflow:hidden">words</article>', '<article title="The hidden valley">words</article>', '<div data-id="nav"><article>words</article></div>',
+        '<article class="post has-sidebar">words</article>', '<div class="content-sidebar-wrap"><article>words</article></div>', '<article><div class="article-header">words</div></article>',
+        '<article class="widget">words</article>', '<div class="sidebar"><article>words<div class="comments">no</div></article></div>', '<div class="banner" role=main>words</div>',
+        '<article>words<p class="cookie-banner">no</p></article>', '<article>words</article><div class="related"><article>no</article></div>', "<article>words<p hidden>no</p></article>",
+        '<article>words<p aria-hidden="true">no</p><p role="navigation">no</p><p id=ad-1>no</p></article>', '<div data-x="role=main">no</div><article>words</article>',
+        '<article data-hidden aria-hidden=false>words</article>', "<article>words<p class='a\nads' id=x>no</p></article>",
+        "<body hidden><article>words</article></body>", "<main hidden>words</main>",
+    ],
+)
+def test_html_attributes(page):
+    assert html.main_text([page]) == ["words"]
+
+
 def test_html_table(spark):
     rows = [(1, "http://A.example/x", "<article>one</article>"), (2, None, None), (3, "not a url", ""), (None, "http://a.example", "<main>x</main>"), (1, "http://A.example/x", "<article>one</article>")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -42,7 +42,7 @@ APART = frozenset(
     "head nav aside form script style noscript template textarea iframe svg canvas object embed button select menu dialog "
     "datalist audio video map math label fieldset".split()
 )
-#: Names in class, id or role that mark other parts of a page.
+#: Words of which names in class, id or role are made that mark other parts of a page.
 PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion nav navbar "
     "navigation menu breadcrumb breadcrumbs sidebar aside header masthead footer cookie cookies consent notice notices alert "
@@ -59,7 +59,7 @@ _TOKEN = re.compile(
     r"|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?""")
 _NAME = re.compile(r"[A-Za-z0-9]+")
 
 
@@ -71,23 +71,34 @@ class Page:
     blocks: list[tuple[str, str, bool, bool]] = field(default_factory=list)  # path, text, apart, inside
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """The class and id names of a tag, and whether one of them marks another part."""
+def _names(attributes: str) -> tuple[str, bool, bool, bool]:
+    """The class, id and role names of a tag; whether it is hidden, whether one of the names
+    marks another part, and whether its role is main. A name marks if all its words are in
+    PARTS (numbers aside): "cookie-banner" does, "has-sidebar" and "article-header" do not."""
+    values: dict[str, str] = {}
+    for key, *value in _ATTRIBUTE.findall(attributes):
+        values.setdefault(key.lower(), "".join(value).lower())
+    hidden = "hidden" in values or values.get("aria-hidden", "").strip() == "true"
     names: list[str] = []
-    apart = False
-    for key, a, b, c in _ATTRIBUTE.findall(attributes):
-        value = a or b or c
-        if key.lower() == "hidden" or (key.lower() == "aria-hidden" and value.lower() == "true"):
-            apart = True
-        elif key.lower() != "aria-hidden":
-            names += _NAME.findall(value.lower())
-    return ".".join(dict.fromkeys(names)), apart or any(n in PARTS for n in names)
+    marked = False
+    for name in " ".join(v for k, v in values.items() if k in ("class", "id", "role")).split():
+        words = _NAME.findall(name)
+        names += words
+        telling = [w for w in words if not w.isdigit()]
+        marked = marked or (bool(telling) and all(w in PARTS for w in telling))
+    return ".".join(dict.fromkeys(names)), hidden, marked, "main" in values.get("role", "").split()
 
 
 def read_page(source: str) -> Page:
-    """Tokens and text blocks of a page; unclosed and crossing tags are tolerated."""
+    """Tokens and text blocks of a page; unclosed and crossing tags are tolerated.
+
+    Marking names hold for the whole element, but never for an article or main element;
+    if each of these on the page lies in marked elements, the marks around them do not hold.
+    """
     page = Page()
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, apart, inside
+    stack: list[tuple[str, str, bool, bool, frozenset[int]]] = []  # tag, path, apart, inside, marks by place
+    marks_of: list[frozenset[int]] = []  # of each text block
+    around: set[frozenset[int]] = set()  # the marks around each article or main element
     text: list[str] = []
     at, end = 0, len(source)
 
@@ -95,9 +106,10 @@ def read_page(source: str) -> Page:
         words = " ".join("".join(text).split())
         text.clear()
         if words:
-            path, apart, inside = stack[-1][1:] if stack else ("", False, False)
+            _, path, apart, inside, marks = stack[-1] if stack else ("", "", False, False, frozenset())
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), -1)
             page.blocks.append((stack[k][1] if k >= 0 else "", words, apart, inside))
+            marks_of.append(marks)
             page.tokens.append(("#", f"{stack[k][1] if k >= 0 else ''}\x00{words}"))
 
     while at < end:
@@ -133,10 +145,14 @@ def read_page(source: str) -> Page:
                     del stack[k:]
             if tag in VOID:
                 continue
-            names, marked = _names(attributes)
-            _, path, apart, inside = stack[-1] if stack else ("", "", False, False)
-            apart = apart or tag in APART or (tag in ("header", "footer") and not (inside and tag == "header")) or (marked and tag not in ("body", "html", "main"))
-            inside = inside or tag in INSIDE or bool(re.search(r"\brole\s*=\s*[\"']?main\b", attributes))
+            names, hidden, marked, is_main = _names(attributes)
+            _, path, apart, inside, marks = stack[-1] if stack else ("", "", False, False, frozenset())
+            apart = apart or (hidden and tag not in ("body", "html", "main")) or tag in APART or (tag in ("header", "footer") and not (inside and tag == "header"))
+            if (tag in INSIDE or is_main) and not apart:
+                around.add(marks)
+            elif marked and tag not in ("body", "html"):
+                marks = marks | {found.start()}
+            inside = inside or tag in INSIDE or is_main
             path = f"{path}/{tag}.{names}" if names else f"{path}/{tag}"
             page.tokens.append(("<", path))
             if tag in RAW:
@@ -144,8 +160,10 @@ def read_page(source: str) -> Page:
                 at = close.end() if close else end
                 continue
             if not attributes.rstrip().endswith("/"):
-                stack.append((tag, path, apart, inside))
+                stack.append((tag, path, apart, inside, marks))
     flush()
+    void = frozenset() if frozenset() in around else frozenset().union(*around)
+    page.blocks = [(path, words, apart or bool(m - void), inside) for (path, words, apart, inside), m in zip(page.blocks, marks_of, strict=True)]
     return page
 
 
