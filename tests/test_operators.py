@@ -54,12 +54,65 @@ def test_folds(spark):
 
 
 def test_percentiles(spark):
-    v = F.array(*[F.lit(x) for x in (5, 1, 4, 2, 3, 6)])
-    assert [values(spark, W.nearest_rank(v, q)) for q in (0.0, 0.5, 0.9, 1.0)] == [1, 3, 5, 6]
-    assert [values(spark, W.floor_rank(v, q)) for q in (0.5, 0.95)] == [3, 5]
+    v = spark.createDataFrame([("g", x) for x in (5, 1, 4, 2, 3, 6, None)], "g string, x int")
+    places = {f"n{q}": W.nearest_place(q) for q in (0.0, 0.5, 0.9, 1.0)} | {f"f{q}": W.floor_place(q) for q in (0.5, 0.95)}
+    assert list(W.ranked(v, ["g"], "x", places).drop("g").collect()[0]) == [1, 3, 5, 6, 3, 5]
     df = spark.createDataFrame([(1,), (1,), (2,)], "x int")
-    assert sorted(r.m for r in df.select(W.midrank("x").alias("m")).collect()) == [0.25, 0.25, 1.0]
-    assert spark.createDataFrame([(1,)], "x int").select(W.midrank("x").alias("m")).collect()[0].m == 1.0
+    assert sorted(r.m for r in W.with_midrank(df, "x", "m").collect()) == [0.25, 0.25, 1.0]
+    assert W.with_midrank(spark.createDataFrame([(1,)], "x int"), "x", "m").collect()[0].m == 1.0
+
+
+def test_numbered_over_many_partitions(spark):
+    rows = [(i * 7919 % 1000, i) for i in range(1000)]
+    got = W.numbered(spark.createDataFrame(rows, "a int, b int").repartition(13), [F.asc("a"), F.asc("b")]).collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.rank)] == sorted(rows) and sorted(r.rank for r in got) == list(range(1, 1001))
+
+
+def test_deep_graphs(spark):
+    """Chains and circles beyond any fixed number of rounds."""
+    chain = [(f"n{i:04}", f"n{i + 1:04}") for i in range(40)]
+    circle = [(f"c{i:03}", f"c{(i + 1) % 30:03}") for i in range(30)]
+    e = graph.edges(spark.createDataFrame(chain + circle, "s string, t string"), "s", "t").coalesce(1)
+    assert max(r.depth for r in graph.depths(e.where("src LIKE 'n%'")).collect()) == 41
+    assert [(r.component, r.size) for r in graph.cycles(e).collect()] == [("c000", 30)]
+    assert {r.root for r in graph.components(e.selectExpr("src AS a", "dst AS b")).collect()} == {"n0000", "c000"}
+    rows = [(i, i - 1 if i % 400 else None) for i in range(800)] + [(1000, 1001), (1001, 1000), (1002, 1000), (1003, 77777)]
+    got = graph.forest(spark.createDataFrame([(a, b, a) for a, b in rows], "id int, parent int, at int").selectExpr("id", "parent", "timestamp_seconds(at) AS at")).collect()
+    assert {(r.id, r.root, r.depth, r.offset_ms) for r in got} == {(i, i // 400 * 400, i % 400, i % 400 * 1000) for i in range(800)} | {(1003, 1003, 0, 0)}
+
+
+def test_longest_paths_with_cycles(spark):
+    """Against a plain recursive walk in the same order of visits."""
+    import random
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        pairs = sorted({(f"v{rng.randrange(12)}", f"v{rng.randrange(12)}") for _ in range(16)})
+        near: dict[str, list[str]] = {}
+        for a, b in pairs:
+            near.setdefault(a, []).append(b)
+        memo: dict = {}
+
+        def walk(n, open_, empty, base, better):
+            if n in memo:
+                return memo[n]
+            if n in open_:
+                return empty(n)
+            value = base(n)
+            for m in sorted(near.get(n, [])):
+                value = better(n, value, walk(m, open_ | {n}, empty, base, better))
+            memo[n] = value
+            return value
+
+        every = sorted({x for p in pairs for x in p})
+        e = graph.edges(spark.createDataFrame(pairs, "s string, t string"), "s", "t")
+        for n in every:
+            walk(n, frozenset(), lambda n: 0, lambda n: 1, lambda n, old, tail: max(old, 1 + tail))
+        assert {r.node: r.depth for r in graph.depths(e).collect()} == memo
+        memo.clear()
+        for n in every:
+            walk(n, frozenset(), lambda n: (n,), lambda n: (n,), lambda n, old, tail: min(old, (n, *tail), key=lambda p: (-len(p), p)))
+        assert [tuple(r.path) for r in graph.chains(e, 4).collect()] == sorted(set(memo.values()), key=lambda p: (-len(p), p))[:4]
 
 
 def test_coverage_join(spark):

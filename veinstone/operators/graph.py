@@ -3,10 +3,12 @@ join, a distinct and a checkpoint; nothing is gathered on the driver."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinstone.session import cut_lineage
+from veinstone.operators.windows import ranked
+from veinstone.session import cut_lineage, drop_checkpoint
 
 
 def edges(deps: DataFrame, source: str, target: str) -> DataFrame:
@@ -23,37 +25,73 @@ def internal(e: DataFrame, roots: DataFrame) -> DataFrame:
     return e.join(roots, F.substring_index("dst", ".", 1) == F.col("root"), "left_semi")
 
 
-def closure(e: DataFrame, start: DataFrame, rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b), undirected; root is the smallest
+    reachable node.
+
+    Alternating large and small stars: every round connects each node's larger neighbours
+    to its smallest and then its smaller ones; neighbour minima are aggregated before they
+    are joined back, so no node's neighbours are ever gathered. The edge table is
+    checkpointed each round and the loop ends when it no longer changes.
+    """
+    e = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = None
+    while True:
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        e = cut_lineage(small.where("u <> v").distinct(), e)
+        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).collect()[0]
+        if (now.n, now.h) == state:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
+        state = (now.n, now.h)
+
+
+def closure(e: DataFrame, start: DataFrame) -> DataFrame:
     """2.7.14: (origin, node, depth): nodes reachable from ``start`` (origin, node), the
     start excluded unless it is reached again. Semi-naive: a round joins only what the
-    last one found."""
+    last one found, and rounds go on until one finds nothing."""
     seen = cut_lineage(start.select("origin", "node", F.lit(0).alias("depth")).distinct())
-    fresh, total = seen, None
-    for depth in range(1, rounds + 1):
+    fresh, depth = seen, 0
+    while True:
+        depth += 1
         step = fresh.join(e, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
         known = seen.where("depth > 0").select("origin", "node")
         fresh = cut_lineage(step.join(known, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if fresh.isEmpty():
-            break
-        seen = cut_lineage(seen.unionByName(fresh))
-    else:
-        raise RuntimeError(f"no fixpoint in {rounds} rounds; {total}")
-    return seen.where("depth > 0")
+            return seen.where("depth > 0")
+        seen = cut_lineage(seen.unionByName(fresh), seen)
 
 
-def _spread(labels: DataFrame, e: DataFrame, rounds: int) -> DataFrame:
-    """(node, label): the smallest label that reaches each node along ``e``."""
-    for _ in range(rounds):
-        came = e.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("label").alias("came"))
-        new = labels.join(came, F.col("node") == F.col("dst"), "left").select("node", F.least("label", "came").alias("label"), (F.col("came") < F.col("label")).alias("moved"))
-        new = cut_lineage(new)
-        if not new.agg(F.bool_or("moved")).collect()[0][0]:
-            return new.select("node", "label")
-        labels = new.select("node", "label")
-    raise RuntimeError(f"no fixpoint in {rounds} rounds")
+def _spread(labels: DataFrame, e: DataFrame) -> DataFrame:
+    """(node, label): the smallest label that reaches each node along ``e``. A round sends
+    only the labels that the last one changed, until none changes."""
+    labels = cut_lineage(labels.withColumn("moved", F.lit(True)))
+    while True:
+        sent = labels.where("moved").select(F.col("node").alias("from"), F.col("label").alias("sent"))
+        came = e.join(sent, F.col("src") == F.col("from")).groupBy("dst").agg(F.min("sent").alias("came"))
+        new = labels.join(came, F.col("node") == F.col("dst"), "left").select("node", F.least("label", "came").alias("label"), F.coalesce(F.col("came") < F.col("label"), F.lit(False)).alias("moved"))
+        labels = cut_lineage(new, labels)
+        if labels.where("moved").isEmpty():
+            return labels.select("node", "label")
+
+
+def _peel(core: DataFrame) -> DataFrame:
+    """The edges that lie on a cycle or on a path between two cycles."""
+    size = core.count()
+    while size:
+        ends = [core.select(F.col(a).alias(b)).distinct() for a, b in (("dst", "src"), ("src", "dst"))]
+        core = cut_lineage(core.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst"), core)
+        left = core.count()
+        if left == size:
+            break
+        size = left
+    return core
 
 
-def cycles(e: DataFrame, rounds: int = 500) -> DataFrame:
+def cycles(e: DataFrame) -> DataFrame:
     """2.7.4: (component, members, size): strongly connected components of several nodes,
     and self-loops.
 
@@ -63,67 +101,127 @@ def cycles(e: DataFrame, rounds: int = 500) -> DataFrame:
     graph. Every round moves one label a node, so nothing grows with pairs of nodes.
     """
     core = cut_lineage(e)
-    loops = core.where("src = dst").select(F.col("src").alias("origin"), F.col("src").alias("component"))
+    loops = cut_lineage(core.where("src = dst").select(F.col("src").alias("origin"), F.col("src").alias("component")))
     found = None
     while True:
-        size = core.count()
-        while size:
-            ends = [core.select(F.col(a).alias(b)).distinct() for a, b in (("dst", "src"), ("src", "dst"))]
-            core = cut_lineage(core.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi").select("src", "dst"))
-            left = core.count()
-            if left == size:
-                break
-            size = left
-        if not size:
+        core = _peel(core)
+        if core.isEmpty():
             break
-        colour = _spread(nodes(core).withColumn("label", F.col("node")), core, rounds)
+        colour = _spread(nodes(core).withColumn("label", F.col("node")), core)
         a, b = colour.select(F.col("node").alias("src"), F.col("label").alias("ca")), colour.select(F.col("node").alias("dst"), F.col("label").alias("cb"))
         inside = cut_lineage(core.join(a, "src").join(b, "dst").where("ca = cb").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         start = colour.select("node", F.when(F.col("node") == F.col("label"), F.lit(0)).otherwise(F.lit(1)).alias("label"))
-        back = _spread(start, inside, rounds).where("label = 0").select("node")
-        comp = cut_lineage(colour.join(back, "node").select(F.col("node").alias("origin"), F.col("label").alias("component")))
+        back = _spread(start, inside).where("label = 0").select("node")
+        comp = cut_lineage(colour.join(back, "node").select(F.col("node").alias("origin"), F.col("label").alias("component")), inside)
         found = comp if found is None else found.unionByName(comp)
         gone = comp.select(F.col("origin").alias("g"))
-        core = cut_lineage(core.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti"))
+        core = cut_lineage(core.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti"), core)
     every = loops if found is None else found.unionByName(loops.join(found.select("origin"), "origin", "left_anti"))
     out = every.groupBy("component").agg(F.array_sort(F.collect_list("origin")).alias("members"), F.count("*").alias("size"))
     alone = loops.select(F.col("component").alias("_loop"))
     return out.join(alone, F.col("component") == F.col("_loop"), "left").where("size > 1 OR _loop IS NOT NULL").drop("_loop")
 
 
-def depths(e: DataFrame, rounds: int = 1000) -> DataFrame:
-    """2.7.5 on acyclic graphs: (node, depth): nodes on the longest path from each node.
-    Raises on a cycle."""
-    level = cut_lineage(nodes(e).withColumn("depth", F.lit(1)))
-    for _ in range(rounds):
-        best = e.join(level, F.col("dst") == F.col("node")).groupBy("src").agg((F.max("depth") + 1).alias("below"))
-        new = level.join(best, F.col("node") == F.col("src"), "left").select("node", F.greatest("depth", F.coalesce("below", F.lit(1))).alias("depth"), (F.coalesce("below", F.lit(1)) > F.col("depth")).alias("moved"))
-        new = cut_lineage(new)
-        if not new.agg(F.bool_or("moved")).collect()[0][0]:
-            return new.select("node", "depth")
-        level = new.select("node", "depth")
-    raise ValueError("the graph has a cycle")
+def _layers(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, depth) of the nodes that reach no cycle, and the edges of all others: the nodes
+    without an edge out have depth 1 and leave, those that then have none depth 2, and so on."""
+    left, depth = cut_lineage(e), 1
+    done = cut_lineage(nodes(left).join(left.select(F.col("src").alias("node")), "node", "left_anti").withColumn("depth", F.lit(1)))
+    size = left.count()
+    while size:
+        depth += 1
+        alive = left.select(F.col("src").alias("node")).distinct()
+        rest = cut_lineage(left.join(alive, F.col("dst") == F.col("node"), "left_semi"))
+        now = rest.count()
+        if now == size:
+            break
+        gone = alive.join(rest.select(F.col("src").alias("node")), "node", "left_anti").withColumn("depth", F.lit(depth))
+        done = cut_lineage(done.unionByName(gone), done)
+        drop_checkpoint(left)
+        left, size = rest, now
+    return done, e.join(left.select(F.col("src").alias("_s")).distinct(), F.col("src") == F.col("_s"), "left_semi")
+
+
+def _by_visits(near: dict[str, list[str]], best: dict, alone, longer, closing) -> dict:
+    """Values of all nodes of ``near`` by visit order: nodes and neighbours by name; a
+    neighbour that is being visited counts as ``closing`` says, one in ``best`` as it stands there."""
+    for first in sorted(near):
+        if first in best:
+            continue
+        active, value = {first}, {first: alone(first)}
+        stack = [(first, iter(sorted(near[first])))]
+        while stack:
+            node, rest = stack[-1]
+            to = next(rest, None)
+            if to is None:
+                stack.pop()
+                active.discard(node)
+                best[node] = value.pop(node)
+                if stack:
+                    value[stack[-1][0]] = longer(stack[-1][0], value[stack[-1][0]], best[node])
+            elif to in best or to in active:
+                value[node] = longer(node, value[node], best[to] if to in best else closing(to))
+            else:
+                active.add(to)
+                value[to] = alone(to)
+                stack.append((to, iter(sorted(near[to]))))
+    return best
+
+
+def _visited(rest: DataFrame, known: DataFrame, column: str, kind: str, rules: tuple, most: int) -> DataFrame:
+    """(node, column) of the nodes of ``rest`` (edges of nodes that reach a cycle). What a
+    visit finds depends on all visits before it, so one task does them all; ``most`` edges."""
+    if rest.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} edges lie on a cycle or lead to one; their longest paths depend on one order of visits")
+
+    def run(table: pa.Table) -> pa.Table:
+        near: dict[str, list[str]] = {}
+        best: dict = {}
+        for src, dst, value in zip(*(table.column(c).to_pylist() for c in ("src", "dst", "value")), strict=True):
+            near.setdefault(src, []).append(dst)
+            if value is not None:
+                best[dst] = tuple(value) if isinstance(value, list) else value
+        found = _by_visits(near, best, *rules)
+        names = sorted(near)
+        return pa.table({"node": names, column: [list(found[n]) if isinstance(found[n], tuple) else found[n] for n in names]}).cast(schema)
+
+    schema = pa.schema([("node", pa.string()), (column, pa.int32() if kind == "int" else pa.list_(pa.string()))])
+    value = known.select(F.col("node").alias("_n"), F.col(column).alias("value"))
+    rows = rest.join(value, F.col("dst") == F.col("_n"), "left").select("src", "dst", "value", F.lit(0).alias("one"))
+    return rows.groupBy("one").applyInArrow(run, f"node string, {column} {kind}")
+
+
+_DEPTH_RULES = (lambda n: 1, lambda n, old, tail: max(old, 1 + tail), lambda n: 0)
+_PATH_RULES = (lambda n: (n,), lambda n, old, tail: min(old, (n, *tail), key=lambda p: (-len(p), p)), lambda n: (n,))
+
+
+def depths(e: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """2.7.5: (node, depth): nodes on the longest path from each node. Nodes that reach a
+    cycle are done by visit order (:func:`_visited`)."""
+    done, rest = _layers(e)
+    return done if rest.isEmpty() else done.unionByName(_visited(rest, done, "depth", "int", _DEPTH_RULES, most))
 
 
 def depth_profile(d: DataFrame) -> DataFrame:
     """2.7.6: maximum, average and p95 = sorted[ceil(.95 n) - 1]."""
-    v = F.array_sort(F.collect_list("depth"))
-    return d.agg(F.max("depth").alias("max_depth"), F.bround(F.avg("depth"), 4).alias("avg_depth"), F.element_at(v, F.ceil(F.size(v) * F.lit(0.95)).cast("int")).alias("p95"))
+    p95 = ranked(d, [], "depth", {"p95": lambda n: F.ceil(n * F.lit(0.95))})
+    return d.agg(F.max("depth").alias("max_depth"), F.bround(F.avg("depth"), 4).alias("avg_depth")).join(F.broadcast(p95))
 
 
-def chains(e: DataFrame, k: int = 5, rounds: int = 100) -> DataFrame:
-    """2.7.7 on acyclic graphs: each node's longest path (the first by order of its nodes),
-    and of those the k longest."""
-    d = depths(e)
-    at = cut_lineage(d.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("node", F.array("node").alias("path")))
+def chains(e: DataFrame, k: int = 5, most: int = 1_000_000) -> DataFrame:
+    """2.7.7: each node's longest path (the first by order of its nodes), and of those the k
+    longest. Nodes that reach a cycle are done by visit order; a path may end in a node
+    that it has already."""
+    d, rest = _layers(e)
+    at = cut_lineage(d.where("depth = 1").select("node", F.array("node").alias("path")))
     done = at
-    top = d.agg(F.max("depth")).collect()[0][0] or 0
-    for n in range(2, top + 1):
-        longer = e.join(at, F.col("dst") == F.col("node")).join(d.select(F.col("node").alias("src"), "depth"), "src").where(F.col("depth") == n)
-        new = longer.groupBy(F.col("src").alias("node")).agg(F.min(F.concat(F.array("src"), "path")).alias("path"))
-        done = cut_lineage(done.unionByName(new))
-        at = done.where(F.size("path") == n)
-    return done.withColumn("length", F.size("path")).orderBy(F.desc("length"), "path").limit(k).select("length", "path")
+    for n in range(2, (d.agg(F.max("depth")).collect()[0][0] or 0) + 1):
+        longer = e.join(at, F.col("dst") == F.col("node")).select("src", "path").join(d.where(F.col("depth") == n).select(F.col("node").alias("src")), "src")
+        at = cut_lineage(longer.groupBy(F.col("src").alias("node")).agg(F.min(F.concat(F.array("src"), "path")).alias("path")))
+        done = cut_lineage(done.unionByName(at), *([done] if n > 2 else []))
+    if not rest.isEmpty():
+        done = done.unionByName(_visited(rest, done, "path", "array<string>", _PATH_RULES, most))
+    return done.select("path").distinct().withColumn("length", F.size("path")).orderBy(F.desc("length"), "path").limit(k).select("length", "path")
 
 
 def fan(e: DataFrame) -> DataFrame:
@@ -170,7 +268,7 @@ def radius_level(direct) -> F.Column:
 
 
 def name_search(names: DataFrame, column: str, wanted: str) -> DataFrame:
-    """2.7.18: the names of the narrowest tier that has any: equal, token, prefix, substring."""
+    """2.7.21: the names of the narrowest tier that has any: equal, token, prefix, substring."""
     low, want = F.lower(F.col(column)), wanted.lower()
     tier = F.when(low == want, 0).when(F.array_contains(F.split(low, "[._: -]"), want), 1).when(low.startswith(want), 2).when(low.contains(want), 3)
     hits = names.select(F.col(column).alias("name"), tier.alias("tier")).where("tier IS NOT NULL").distinct()
@@ -178,18 +276,27 @@ def name_search(names: DataFrame, column: str, wanted: str) -> DataFrame:
     return hits.join(F.broadcast(best), F.col("tier") == F.col("best")).select("name", "tier")
 
 
-def forest(ops: DataFrame, rounds: int = 100) -> DataFrame:
+def forest(ops: DataFrame) -> DataFrame:
     """2.7.23, 2.7.24: operations (id, parent, at) with root, depth and offset from the
-    root's start; an unknown parent makes a root."""
+    root's start; an unknown parent makes a root. Operations in or under a circle of
+    parents have no root: no forest holds them.
+
+    Pointers jump: a round takes each operation from the ancestor that it knows to the one
+    that this one knows, so a tree of depth d needs log2(d) rounds.
+    """
     known = ops.select(F.col("id").alias("_known"))
-    base = ops.join(known, F.col("parent") == F.col("_known"), "left").select("id", F.col("_known").alias("parent"), "at")
-    base = cut_lineage(base)
-    done = cut_lineage(base.where("parent IS NULL").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("at").alias("root_at"), "at"))
-    last = done
-    for d in range(1, rounds + 1):
-        up = last.select(F.col("id").alias("_p"), "root", "root_at")
-        last = cut_lineage(base.join(up, F.col("parent") == F.col("_p")).select("id", "root", F.lit(d).alias("depth"), "root_at", "at"))
-        if last.isEmpty():
+    base = cut_lineage(ops.join(known, F.col("parent") == F.col("_known"), "left").select("id", F.col("_known").alias("parent"), "at"))
+    up = base.select("id", F.coalesce("parent", "id").alias("to"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"), F.col("parent").isNull().alias("top"))
+    done, open_ = up.where("top"), cut_lineage(up.where("NOT top"))
+    total, reach = open_.count(), 1
+    while reach <= total:  # after it, only circles are open
+        reach *= 2
+        step = done.unionByName(open_).select(F.col("id").alias("_i"), F.col("to").alias("_to"), F.col("depth").alias("_d"), F.col("top").alias("_t"))
+        new = cut_lineage(open_.join(step, F.col("to") == F.col("_i")).select("id", F.col("_to").alias("to"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_t").alias("top")), open_)
+        done, open_ = done.unionByName(new.where("top")), new.where("NOT top")
+        if open_.isEmpty():
             break
-        done = done.unionByName(last)
-    return done.select("id", "root", "depth", F.floor((F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("root_at").cast("timestamp"))) / 1000).alias("offset_ms"))
+    roots = base.where("parent IS NULL").select(F.col("id").alias("root"), F.col("at").alias("root_at"))
+    offset = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("root_at").cast("timestamp"))
+    rows = done.select("id", F.col("to").alias("root"), "depth").join(base.select("id", "at"), "id").join(roots, "root")
+    return rows.select("id", "root", "depth", F.floor(offset / 1000).alias("offset_ms"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinstone.functions import scalars as S
-from veinstone.operators.windows import midrank, nearest_rank
+from veinstone.operators.windows import floor_place, nearest_place, ranked, with_midrank
 
 
 def complexity_summary(units: DataFrame) -> DataFrame:
@@ -43,7 +43,9 @@ def overloaded(rows: DataFrame, key: str, size: list[str], links: list[str]) ->
     """2.6.12 to 2.6.15: size and link scores as means of midranks, their mean as the
     total, and candidates above max(p90, q3 + 1.5 * iqr), at most 1."""
     # ten-thousandths as whole numbers, so that halves are exact and round half-even
-    r = rows.withColumns({f"_{c}": F.bround(midrank(c) * 10000, 0) for c in [*size, *links]})
+    r = rows
+    for c in [*size, *links]:
+        r = with_midrank(r, c, f"_{c}").withColumn(f"_{c}", F.bround(F.col(f"_{c}") * 10000, 0))
 
     def mean(cols: list[str]) -> Column:
         return F.bround(sum((F.col(c) for c in cols), F.lit(0.0)) / len(cols), 0)
@@ -96,9 +98,9 @@ def audit_summary(events: DataFrame) -> DataFrame:
 def payload_footprint(events: DataFrame, group: str, size: str) -> DataFrame:
     """2.6.27 by group: count, sum, max, whole average, and the value at position n * 5 // 100
     of the falling order."""
-    values = F.sort_array(F.collect_list(size), asc=False)
-    g = events.groupBy(group).agg(F.count(size).alias("n"), F.sum(size).alias("total"), F.max(size).alias("largest"), values.alias("_v"))
-    return g.select(group, "n", "total", "largest", F.floor(F.col("total") / F.col("n")).alias("average"), F.element_at("_v", F.floor(F.col("n") * 5 / 100).cast("int") + 1).alias("p95"))
+    g = events.groupBy(group).agg(F.count(size).alias("n"), F.sum(size).alias("total"), F.max(size).alias("largest"))
+    p = ranked(events, [group], size, {"p95": lambda n: n - F.floor(n * 5 / 100)}).withColumnRenamed(group, "_g")
+    return g.join(p, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, "n", "total", "largest", F.floor(F.col("total") / F.col("n")).alias("average"), "p95")
 
 
 def top_workflows(events: DataFrame, k: int = 5) -> DataFrame:
@@ -117,8 +119,9 @@ def core_gaps(events: DataFrame) -> DataFrame:
 
 def tool_aggregates(ops: DataFrame, tool: str, value: str) -> DataFrame:
     """2.6.30: count and nearest-rank p50 and p95 of each tool."""
-    g = ops.groupBy(tool).agg(F.count("*").alias("n"), F.collect_list(value).alias("_v"))
-    return g.select(tool, "n", nearest_rank(F.col("_v"), 0.5).alias("p50"), nearest_rank(F.col("_v"), 0.95).alias("p95"))
+    g = ops.groupBy(tool).agg(F.count("*").alias("n"))
+    p = ranked(ops, [tool], value, {"p50": nearest_place(0.5), "p95": nearest_place(0.95)}).withColumnRenamed(tool, "_g")
+    return g.join(p, F.col(tool).eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
 def shares(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -204,11 +207,10 @@ def numeric_summary(rows: DataFrame, value: str) -> DataFrame:
 
 def length_distribution(rows: DataFrame, value: str, by: str, limit: int) -> DataFrame:
     """2.6.46 to 2.6.48, floor-index percentiles, and the rows over a limit."""
-    from veinstone.operators.windows import floor_rank
-
-    g = rows.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("_v"), F.count_if(F.col(value) > limit).alias("overflow"), F.max(F.greatest(F.lit(0), F.col(value) - limit)).alias("most_over"))
+    g = rows.groupBy(by).agg(F.count_if(F.col(value) > limit).alias("overflow"), F.max(F.greatest(F.lit(0), F.col(value) - limit)).alias("most_over"))
     qs = {"shortest": 0.0, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "longest": 1.0}
-    return g.select(by, *[floor_rank(F.col("_v"), q).alias(n) for n, q in qs.items()], "overflow", "most_over")
+    p = ranked(rows, [by], value, {n: floor_place(q) for n, q in qs.items()}).withColumnRenamed(by, "_g")
+    return g.join(p, F.col(by).eqNullSafe(F.col("_g")), "left").select(by, *qs, "overflow", "most_over")
 
 
 def status_counts(records: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinstone.functions.scalars import euclidean, membership_digest
+from veinstone.operators.graph import components
+from veinstone.operators.windows import numbered
 from veinstone.session import cut_lineage, small
 
 
@@ -30,15 +32,15 @@ def medoids(items: DataFrame, label: str, ident: str, vector: str) -> DataFrame:
 
 def canonical_order(clusters: DataFrame, label: str) -> DataFrame:
     """2.9.15, 2.9.16: display ids from 1 by size, medoid and digest; none for noise."""
-    w = Window.orderBy(F.col(label) < 0, F.desc("size"), "medoid", "digest")
-    return clusters.withColumn("display_id", F.when(F.col(label) >= 0, F.row_number().over(w)))
+    rows = numbered(clusters, [(F.col(label) < 0).asc(), F.desc("size"), F.asc("medoid"), F.asc("digest")], "display_id")
+    return rows.withColumn("display_id", F.when(F.col(label) >= 0, F.col("display_id")))
 
 
 def nearest_clusters(c: DataFrame, label: str, k: int = 3) -> DataFrame:
     """2.9.17: the k closest other centroids; at most 10 000 clusters, else an error."""
     c = cut_lineage(c)
     if c.count() > 10_000:
-        raise ValueError("too many clusters to compare each with all; use llm.topk for large sets")
+        raise ValueError("too many clusters to compare each with all")
     other = c.select(F.col(label).alias("other"), F.col("centroid").alias("c2"))
     d = c.join(F.broadcast(other), F.col(label) != F.col("other")).select(label, "other", F.round(euclidean(F.col("centroid"), F.col("c2")), 6).alias("distance"))
     w = Window.partitionBy(label).orderBy("distance", "other")
@@ -48,9 +50,9 @@ def nearest_clusters(c: DataFrame, label: str, k: int = 3) -> DataFrame:
 def representatives(items: DataFrame, label: str, ident: str, vector: str, k: int = 3) -> DataFrame:
     """2.9.18: the k members closest to the centroid and the k farthest ones."""
     d = items.join(small(cut_lineage(centroids(items, label, vector))), label).select(label, ident, F.round(euclidean(F.col(vector).cast("array<double>"), F.col("centroid")), 6).alias("distance"))
-    near, far = (Window.partitionBy(label).orderBy(o, ident) for o in (F.asc("distance"), F.desc("distance")))
-    r = d.withColumn("near", F.row_number().over(near)).withColumn("far", F.row_number().over(far))
-    return r.where((F.col("near") <= k) | (F.col("far") <= k)).select(label, ident, "distance", F.when(F.col("near") <= k, "representative").otherwise("boundary").alias("role"))
+    near, far = (d.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(o, ident))).where(F.col("_r") <= k).drop("_r") for o in (F.asc("distance"), F.desc("distance")))
+    far = far.join(near.select(F.col(label).alias("_l"), F.col(ident).alias("_i")), (F.col(label) == F.col("_l")) & F.col(ident).eqNullSafe(F.col("_i")), "left_anti")
+    return near.withColumn("role", F.lit("representative")).unionByName(far.withColumn("role", F.lit("boundary")))
 
 
 def knn(items: DataFrame, query: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
@@ -109,43 +111,55 @@ def sweep_score(clusters: Column, noise: Column) -> Column:
 
 def profile_rank(profiles: DataFrame, weights: dict[str, float]) -> DataFrame:
     """2.12.6: weighted sum of columns, each over its largest value."""
+    tops = profiles.agg(*[F.max(c).alias(f"_top_{c}") for c in weights])
     total = F.lit(0.0)
     for c, w in weights.items():
-        top = F.max(c).over(Window.partitionBy())
-        total = total + F.when(top > 0, F.col(c) / top).otherwise(0.0) * w
-    r = profiles.withColumn("score", F.round(total, 6))
-    return r.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "profile")))
+        total = total + F.when(F.col(f"_top_{c}") > 0, F.col(c) / F.col(f"_top_{c}")).otherwise(0.0) * w
+    r = profiles.join(F.broadcast(tops)).withColumn("score", F.round(total, 6)).select(*profiles.columns, "score")
+    return numbered(r, [F.desc("score"), F.asc("profile")])
 
 
 def partition_validity(assigned: DataFrame, summaries: DataFrame, least: int) -> DataFrame:
-    """2.12.9: names of the checks that fail: every item once, every cluster summarised,
-    member digests as stored, least size, finite strengths."""
-    ids = assigned.agg((F.count("*") != F.countDistinct("item")).alias("v1"), F.bool_or(F.isnan("strength") | F.col("strength").isNull()).alias("v6"))
+    """2.12.9: names of the checks that fail, and how many clusters or items fail each:
+    every item once, every cluster summarised, member digests as stored, least size,
+    finite strengths. A digest is one over the sorted ids of a cluster, so these (and
+    nothing else of the rows) meet in one task a cluster."""
+    ids = assigned.groupBy("item").agg(F.count("*").alias("n"), F.count_if(F.isnan("strength") | F.col("strength").isNull()).alias("odd"))
+    ids = ids.agg(F.count_if(F.col("n") > 1).alias("coverage"), F.coalesce(F.sum("odd"), F.lit(0)).alias("finite"))
     own = assigned.where("label >= 0").groupBy("label").agg(F.count("*").alias("n"), membership_digest(F.collect_list(F.col("item").cast("string"))).alias("d"))
     j = own.join(summaries, "label", "full_outer")
     c = j.agg(
-        F.bool_or(F.col("n").isNull() | F.col("digest").isNull()).alias("v2"), F.bool_or(F.col("d") != F.col("digest")).alias("v3"), F.bool_or(F.col("n") < least).alias("v5")
-    )
-    names = {"v1": "coverage", "v2": "summary_links", "v3": "membership_digest", "v5": "least_size", "v6": "finite"}
-    return ids.join(c).select(F.array_sort(F.array_compact(F.array(*[F.when(F.coalesce(F.col(k), F.lit(False)), v) for k, v in names.items()]))).alias("failed"))
+        F.count_if(F.col("n").isNull() | F.col("digest").isNull()).alias("summary_links"), F.count_if(F.col("d") != F.col("digest")).alias("membership_digest"),
+        F.count_if(F.col("n") < least).alias("least_size"),
+    )
+    names = ["coverage", "finite", "least_size", "membership_digest", "summary_links"]
+    rows = ids.join(F.broadcast(c)).select(F.explode(F.array(*[F.struct(F.lit(n).alias("failed"), F.col(n).cast("long").alias("n")) for n in names])).alias("x"))
+    return rows.select("x.*").where("n > 0")
+
+
+def widest(items: DataFrame, vector: str, n: int) -> list[int]:
+    """The ``n`` coordinates of the largest variance, by falling variance."""
+    parts = items.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
+    rows = parts.groupBy("i").agg(F.var_pop("x").alias("v")).orderBy(F.desc_nulls_last("v"), "i").limit(n).collect()
+    return [r.i for r in rows]
 
 
 def density_clusters(items: DataFrame, ident: str, vector: str, eps: float, least: int) -> DataFrame:
     """2.12.1 in place of HDBSCAN: DBSCAN by grid cells. Points are dealt to cells of
-    width eps of their first two coordinates and compared with neighbouring cells only,
-    the only places where a point within eps can be; core points link into components."""
+    width eps of the three coordinates of the largest variance and compared with neighbouring
+    cells only, the only places where a point within eps can be. Core points link into
+    components (one row a point, whatever the size of a cluster)."""
     v = F.col(vector).cast("array<double>")
-    p = items.select(F.col(ident).alias("id"), v.alias("v"), F.floor(F.get(v, 0) / eps).alias("x"), F.floor(F.get(v, 1) / eps).alias("y"))
-    steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    q = p.select(F.col("id").alias("id2"), F.col("v").alias("v2"), "x", "y").withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-    q = q.select("id2", "v2", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    near = p.join(q, ["x", "y"]).where(euclidean(F.col("v"), F.col("v2")) <= eps).select("id", "id2")
+    axes = widest(items, vector, 3)
+    cell = [F.floor(F.coalesce(F.get(v, i), F.lit(0.0)) / eps) for i in axes]
+    p = items.select(F.col(ident).alias("id"), v.alias("v"), F.array(*cell).cast("array<long>").alias("cell"))
+    steps = F.array(*[F.array(*[F.lit(x // 3**k % 3 - 1).cast("long") for k in range(len(axes))]).cast("array<long>") for x in range(3 ** len(axes))])
+    q = p.select(F.col("id").alias("id2"), F.col("v").alias("v2"), "cell", F.explode(steps).alias("step"))
+    q = q.select("id2", "v2", F.zip_with("cell", "step", lambda a, b: a + b).alias("cell"))
+    near = cut_lineage(p.join(q, "cell").where(euclidean(F.col("v"), F.col("v2")) <= eps).select("id", "id2"))
     core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
     e = near.join(core, "id").join(core.select(F.col("id").alias("id2")), "id2")
-    from veinstone.operators.graph import closure
-
-    links = e.select(F.col("id").cast("string").alias("src"), F.col("id2").cast("string").alias("dst"))
-    reach = closure(links, links.select(F.col("src").alias("origin"), F.col("src").alias("node")).distinct())
-    roots = reach.groupBy("origin").agg(F.min("node").alias("cluster"))
-    border = near.join(roots, near["id2"].cast("string") == roots["origin"]).groupBy("id").agg(F.min("cluster").alias("cluster"))
+    roots = components(e.select(F.col("id").alias("a"), F.col("id2").alias("b")))
+    alone = core.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("root", "id").alias("root"))
+    border = near.join(alone, F.col("id2") == F.col("node")).groupBy("id").agg(F.min("root").alias("cluster"))
     return p.select("id").join(border, "id", "left").select("id", "cluster")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinstone.session import cut_lineage
+
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """2.4.4: ranges that overlap or touch (start <= end + 1) become one row with the
@@ -38,25 +42,54 @@ def outermost(spans: Column) -> Column:
     )
 
 
-def midrank(value: str, by: list[str] | None = None, digits: int = 4) -> Column:
-    """2.6.13: ((rank - 1) + (rank - 1 + ties) - 1) / 2 / (n - 1); 1 for a single row."""
-    every = Window.partitionBy(*(by or []))
-    n = F.count(F.lit(1)).over(every)
-    below = F.rank().over(every.orderBy(value)) - 1
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*(by or []), value))
-    return F.when(n == 1, F.lit(1.0)).otherwise(F.bround((below + below + ties - 1) / 2 / (n - 1), digits))
+def value_counts(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, _n, _upto, _all): rows with each value, rows up to it, rows of the group.
+    The window runs over the distinct values of a group, not over its rows."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("_upto", upto).withColumn("_all", F.sum("_n").over(group))
+
+
+def ranked(df: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """The values at some places (from 1, by a function of the count) of each group's sorted
+    values, without gathering them. Nulls are left out."""
+    c = value_counts(df, by, value)
+    return c.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") >= place(F.col("_all")), F.col(value))).alias(name) for name, place in places.items()])
+
+
+def nearest_place(q: float) -> Callable[[Column], Column]:
+    """2.6.30: element round-half-even(q * (n - 1))."""
+    return lambda n: F.bround(F.lit(q) * (n - 1), 0) + 1
+
+
+def floor_place(q: float) -> Callable[[Column], Column]:
+    """2.6.46: element floor(q * (n - 1))."""
+    return lambda n: F.floor(F.lit(q) * (n - 1)) + 1
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """2.6.30: element round-half-even(q * (n - 1)) of the sorted values."""
-    v = F.array_sort(values)
-    return F.element_at(v, F.bround(F.lit(q) * (F.size(v) - 1), 0).cast("int") + 1)
+def with_midrank(df: DataFrame, value: str, name: str, digits: int = 4) -> DataFrame:
+    """2.6.13: ((rank - 1) + (rank - 1 + ties) - 1) / 2 / (n - 1); 1 for a single row. Ranks
+    come from the counts of the distinct values, which are joined back; nulls rank first."""
+    key, flag = F.coalesce(F.col(value), F.lit(0)), F.col(value).isNull()
+    rows = df.withColumn("_null", flag).withColumn("_key", key)
+    c = rows.groupBy("_null", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy(F.desc("_null"), "_key").rowsBetween(Window.unboundedPreceding, 0))
+    c = c.withColumn("_below", upto - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy()))
+    rank = F.when(F.col("_all") == 1, F.lit(1.0)).otherwise(F.bround((F.col("_below") * 2 + F.col("_n") - 1) / 2 / (F.col("_all") - 1), digits))
+    c = c.select(F.col("_null").alias("_null2"), F.col("_key").alias("_key2"), rank.alias(name))
+    return rows.join(c, (F.col("_null") == F.col("_null2")) & (F.col("_key") == F.col("_key2"))).drop("_null", "_key", "_null2", "_key2")
 
 
-def floor_rank(values: Column, q: float) -> Column:
-    """2.6.46: element floor(q * (n - 1)) of the sorted values."""
-    v = F.array_sort(values)
-    return F.element_at(v, F.floor(F.lit(q) * (F.size(v) - 1)).cast("int") + 1)
+def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """Place of every row in a total order, from 1, without a window over all rows: a sort by
+    ranges, places inside each partition, and the row counts of the partitions before it."""
+    rows = cut_lineage(df.orderBy(*order)).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))  # a row for each partition
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = cut_lineage(sizes.select(F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before")))
+    out = rows.join(F.broadcast(starts), F.col("_part") == F.col("_p"))
+    return out.withColumn(name, (F.col("_before") + F.col("_at") + 1).cast("int")).drop("_part", "_at", "_p", "_before")
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

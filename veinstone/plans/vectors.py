@@ -94,18 +94,32 @@ def profile_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return V.profile_rank(p, {"n": 0.5, "k": 0.3, "longest": 0.2})
 
 
-@query("SELECT ['least_size', 'summary_links'] AS failed")
+_SUMMARIES = """a AS (SELECT vec_id AS item, CAST(label AS INTEGER) - 1 AS label, CASE WHEN vec_id % 17 = 0 THEN 'NaN'::DOUBLE WHEN vec_id % 19 = 0 THEN NULL ELSE 1.0 / (1 + vec_id) END AS strength FROM embeddings
+  UNION ALL SELECT vec_id, CAST(label AS INTEGER) - 1, 1.0 FROM embeddings WHERE vec_id % 23 = 0),
+s AS (SELECT label + (label % 5 = 4)::INTEGER * 1000 AS label, CASE WHEN label % 3 = 1 THEN 'stale' ELSE sha256(array_to_string(list_sort(list(CAST(item AS VARCHAR))), chr(10))) END AS digest FROM a WHERE label >= 0 GROUP BY a.label)"""
+
+
+@query(f"""WITH {_SUMMARIES}, o AS (SELECT label, count(*) AS n, sha256(array_to_string(list_sort(list(CAST(item AS VARCHAR))), chr(10))) AS d FROM a WHERE label >= 0 GROUP BY 1),
+j AS (SELECT o.n, o.d, s.digest FROM o FULL JOIN s ON s.label = o.label), i AS (SELECT item, count(*) AS n, count(*) FILTER (strength IS NULL OR isnan(strength)) AS odd FROM a GROUP BY 1),
+c AS (SELECT 'coverage' AS failed, count(*) FILTER (n > 1) AS n FROM i UNION ALL SELECT 'finite', CAST(sum(odd) AS BIGINT) FROM i UNION ALL SELECT 'least_size', count(*) FILTER (n < 10) FROM j
+  UNION ALL SELECT 'membership_digest', count(*) FILTER (d <> digest) FROM j UNION ALL SELECT 'summary_links', count(*) FILTER (n IS NULL OR digest IS NULL) FROM j)
+SELECT * FROM c WHERE n > 0""")
 def partition_validity(spark: SparkSession, sf: str) -> DataFrame:
+    """Some strengths are missing, some items stand twice, some summaries are stale or of another label."""
     from veinstone.functions.scalars import membership_digest
 
-    a = items(spark, sf).select(F.col("vec_id").alias("item"), "label", F.lit(1.0).alias("strength"))
-    s = a.where("label >= 0").groupBy("label").agg(membership_digest(F.collect_list(F.col("item").cast("string"))).alias("digest")).where("label <> 3")
-    return V.partition_validity(a, s, 10**9)
+    i = F.col("item")
+    e = items(spark, sf).select(F.col("vec_id").alias("item"), "label")
+    strength = F.when(i % 17 == 0, F.lit(float("nan"))).when(i % 19 == 0, F.lit(None)).otherwise(F.lit(1.0) / (1 + i))
+    a = e.withColumn("strength", strength).unionByName(e.where("item % 23 = 0").withColumn("strength", F.lit(1.0)))
+    s = a.where("label >= 0").groupBy("label").agg(membership_digest(F.collect_list(i.cast("string"))).alias("digest"))
+    s = s.select((F.col("label") + F.when(F.col("label") % 5 == 4, 1000).otherwise(0)).alias("label"), F.when(F.col("label") % 3 == 1, "stale").otherwise(F.col("digest")).alias("digest"))
+    return V.partition_validity(a, s, 10)
 
 
 @query("""WITH RECURSIVE i AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT a.id, b.id AS id2 FROM i a JOIN i b ON list_distance(a.v, b.v) <= 1.0),
 c AS (SELECT id FROM n GROUP BY id HAVING count(*) >= 4), e AS (SELECT n.id, n.id2 FROM n WHERE id IN (SELECT id FROM c) AND id2 IN (SELECT id FROM c)),
-r(o, x) AS (SELECT id, id2 FROM e UNION SELECT r.o, e.id2 FROM r JOIN e ON e.id = r.x), k AS (SELECT o, min(CAST(x AS VARCHAR)) AS cluster FROM r GROUP BY o), b AS (SELECT n.id, min(k.cluster) AS cluster FROM n JOIN k ON k.o = n.id2 GROUP BY n.id)
+r(o, x) AS (SELECT id, id2 FROM e UNION SELECT r.o, e.id2 FROM r JOIN e ON e.id = r.x), k AS (SELECT o, min(x) AS cluster FROM r GROUP BY o), b AS (SELECT n.id, min(k.cluster) AS cluster FROM n JOIN k ON k.o = n.id2 GROUP BY n.id)
 SELECT i.id, b.cluster FROM i LEFT JOIN b ON b.id = i.id""")
 def density_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return V.density_clusters(read_table(spark, sf, "embeddings"), "vec_id", "embedding", 1.0, 4)

@@ -18,6 +18,7 @@ def build_session(app: str = "veinstone", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     return builder.config(map={**settings, **conf}).getOrCreate()
 
@@ -38,12 +39,25 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="veinstone-")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the folder that all executors share."""
+def cut_lineage(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the folder that all executors share. ``done``: earlier
+    checkpoints that nothing but ``df`` reads; their files go once ``df`` is written."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    for old in done:
+        drop_checkpoint(old)
+    return kept
+
+
+def drop_checkpoint(df: DataFrame) -> None:
+    """Deletes the files of a table that :func:`cut_lineage` returned. Other tables have none."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD" or not plan.rdd().getCheckpointFile().isDefined():
+        return
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, most: int = 10_000) -> DataFrame:
