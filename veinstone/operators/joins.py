@@ -134,3 +134,10 @@ def review_queue(findings: DataFrame, suggestions: DataFrame) -> DataFrame:
     known = findings.select("finding_id", "severity")
     rest = first.join(known, "finding_id", "left_anti").select("finding_id", F.lit(None).cast("string").alias("severity"), "action")
     return known.join(first, "finding_id", "left").select("finding_id", "severity", "action").unionByName(rest)
+
+
+def importers(edges: DataFrame, is_test: Column) -> DataFrame:
+    """2.8.23: (target, kind, importers): distinct modules that import each target, tests and
+    production apart. ``edges`` (src, dst) and what ``is_test`` reads."""
+    kind = F.when(F.coalesce(is_test, F.lit(False)), "tests").otherwise("production")
+    return edges.groupBy(F.col("dst").alias("target"), kind.alias("kind")).agg(F.countDistinct("src").alias("importers"))

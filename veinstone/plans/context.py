@@ -24,20 +24,21 @@ def session_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     return C.session_snapshot(e.select(F.col("user_id").alias("agent")), intents, e.where("event_type = 'purchase'").select(F.col("event_id").alias("run_id"), "ts"), F.lit("2024-01-20").cast("timestamp"))
 
 
-@query(f"""WITH {_EDGES}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), c AS (SELECT node FROM d ORDER BY CASE WHEN node LIKE 'm1%' THEN 0 ELSE 9 END, degree DESC, node LIMIT 15)
+@query(f"""WITH {_EDGES}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1), c AS (SELECT node FROM d ORDER BY CASE WHEN node LIKE 'c1%' THEN 0 ELSE 9 END, degree DESC, node LIMIT 900)
 SELECT src, dst, (SELECT count(*) FROM e) AS all_edges FROM e WHERE src IN (SELECT node FROM c) AND dst IN (SELECT node FROM c) ORDER BY src, dst LIMIT 20""")
 def graph_sample(spark: SparkSession, sf: str) -> DataFrame:
     e = trade(spark, sf)
-    seeds = e.where("src LIKE 'm1%'").select(F.col("src").alias("node")).union(e.where("dst LIKE 'm1%'").select("dst")).distinct().withColumn("priority", F.lit(0))
-    return C.graph_sample(e, seeds, 15, 20)
+    seeds = e.where("src LIKE 'c1%'").select(F.col("src").alias("node")).union(e.where("dst LIKE 'c1%'").select("dst")).distinct().withColumn("priority", F.lit(0))
+    return C.graph_sample(e, seeds, 900, 20)
 
 
-@query("""WITH r AS (SELECT source AS path, lang AS reason, CASE lang WHEN 'es' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS priority FROM documents WHERE doc_id % 40 = 3), k AS (SELECT path, reason, row_number() OVER (PARTITION BY path ORDER BY priority, reason) AS r FROM r)
-SELECT path, reason, 'do_not_touch' AS list FROM k WHERE r = 1 UNION ALL SELECT source, min(lang), 'review' FROM documents WHERE doc_id % 9 = 1 AND source NOT IN (SELECT path FROM k) GROUP BY source""")
+@query("""WITH r AS (SELECT source AS path, lang AS reason, CASE lang WHEN 'es' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS priority FROM documents WHERE n_chars > 4000), k AS (SELECT path, reason, row_number() OVER (PARTITION BY path ORDER BY priority, reason) AS r FROM r)
+SELECT path, reason, 'do_not_touch' AS list FROM k WHERE r = 1 UNION ALL SELECT source, min(lang), 'review' FROM documents WHERE source NOT IN (SELECT path FROM k) GROUP BY source""")
 def change_boundaries(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "documents").select("doc_id", F.col("source").alias("path"), F.col("lang").alias("reason"))
-    rules = d.where("doc_id % 40 = 3").withColumn("priority", F.when(F.col("reason") == "es", 0).when(F.col("reason") == "de", 1).otherwise(2))
-    return C.change_boundaries(rules, d.where("doc_id % 9 = 1"))
+    """Sources of long documents are not to be touched, all others to be reviewed."""
+    d = read_table(spark, sf, "documents").select("n_chars", F.col("source").alias("path"), F.col("lang").alias("reason"))
+    rules = d.where("n_chars > 4000").withColumn("priority", F.when(F.col("reason") == "es", 0).when(F.col("reason") == "de", 1).otherwise(2))
+    return C.change_boundaries(rules, d)
 
 
 @query("""SELECT DISTINCT CAST(doc_id AS VARCHAR) AS path, 'toxic' AS signal FROM labels WHERE toxic = 1 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') UNION ALL SELECT DISTINCT CAST(doc_id AS VARCHAR), 'poor' FROM labels WHERE quality = 0 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
@@ -47,11 +48,12 @@ def risk_signals(spark: SparkSession, sf: str) -> DataFrame:
     return C.risk_signals(zone, toxic=labels.where("toxic = 1").select(path), poor=labels.where("quality = 0").select(path))
 
 
-@query("""WITH a AS (SELECT list(DISTINCT o_orderpriority) AS cycles, count(*) AS health FROM orders WHERE o_orderkey % 1000 < 2), b AS (SELECT list(DISTINCT o_orderpriority) AS cycles, count(*) AS health FROM orders WHERE o_orderkey % 7 = 0)
+@query("""WITH o AS (SELECT o_orderpriority || o_orderstatus AS c, o_orderstatus AS s FROM orders), a AS (SELECT list(DISTINCT c) AS cycles, count(*) AS health FROM o WHERE s = 'F'), b AS (SELECT list(DISTINCT c) AS cycles, count(*) AS health FROM o)
 SELECT list_sort(list_filter(b.cycles, lambda x: NOT list_contains(a.cycles, x))) AS new_cycles, b.health - a.health AS health_delta FROM a, b""")
 def metrics_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """The finished orders against all orders."""
     o = read_table(spark, sf, "orders")
-    a, b = (o.where(w).agg(F.collect_set("o_orderpriority").alias("cycles"), F.count("*").alias("health")) for w in ("o_orderkey % 1000 < 2", "o_orderkey % 7 = 0"))
+    a, b = (o.where(w).agg(F.collect_set(F.concat("o_orderpriority", "o_orderstatus")).alias("cycles"), F.count("*").alias("health")) for w in ("o_orderstatus = 'F'", "true"))
     return C.metrics_diff(a, b, ["cycles"], ["health"])
 
 

@@ -137,13 +137,13 @@ def changed_path_findings(spark: SparkSession, sf: str) -> DataFrame:
     return J.under_paths(d, "path", c, "p").select("doc_id")
 
 
-@query("""WITH l AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst, CASE WHEN l_quantity < 3 THEN 'contradicts' ELSE 'supersedes' END AS kind FROM lineitem WHERE l_quantity < 4),
+@query("""WITH l AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 100 AS dst, CASE WHEN l_quantity < 3 THEN 'contradicts' WHEN l_quantity < 25 THEN 'supersedes' ELSE 'mentions' END AS kind FROM lineitem),
 r AS (SELECT src AS id, 'supersedes' AS role, dst AS other FROM l WHERE kind = 'supersedes' UNION SELECT dst, 'superseded_by', src FROM l WHERE kind = 'supersedes'
  UNION SELECT src, 'contradicted_by', dst FROM l WHERE kind = 'contradicts' UNION SELECT dst, 'contradicted_by', src FROM l WHERE kind = 'contradicts')
 SELECT id, role, list(other ORDER BY other) AS others FROM r GROUP BY 1, 2""")
 def record_relations(spark: SparkSession, sf: str) -> DataFrame:
-    li = read_table(spark, sf, "lineitem").where("l_quantity < 4")
-    links = li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst"), F.when(F.col("l_quantity") < 3, "contradicts").otherwise("supersedes").alias("kind")).distinct()
+    li = read_table(spark, sf, "lineitem")
+    links = li.select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst"), F.when(F.col("l_quantity") < 3, "contradicts").when(F.col("l_quantity") < 25, "supersedes").otherwise("mentions").alias("kind")).distinct()
     return J.relations(links)
 
 
@@ -174,11 +174,11 @@ def intent_scope_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT doc_id AS finding_id, CASE quality WHEN 1 THEN 'info' ELSE 'warning' END AS severity FROM labels),
-s AS (SELECT doc_id AS finding_id, arg_min(lang || source, n_chars * 100000 + doc_id) AS action FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
+s AS (SELECT doc_id AS finding_id, arg_min(lang || source, n_chars * 100000 + doc_id) AS action FROM documents GROUP BY 1)
 SELECT coalesce(f.finding_id, s.finding_id) AS finding_id, severity, action FROM f FULL JOIN s ON f.finding_id = s.finding_id""")
 def review_queue(spark: SparkSession, sf: str) -> DataFrame:
     f = read_table(spark, sf, "labels").select(F.col("doc_id").alias("finding_id"), F.when(F.col("quality") == 1, "info").otherwise("warning").alias("severity"))
-    s = read_table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("finding_id"), F.col("n_chars").alias("rank"), F.concat("lang", "source").alias("action"))
+    s = read_table(spark, sf, "documents").select(F.col("doc_id").alias("finding_id"), F.col("n_chars").alias("rank"), F.concat("lang", "source").alias("action"))
     return J.review_queue(f, s)
 
 
@@ -186,5 +186,5 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
 FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2""")
 def importers_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     c, n = read_table(spark, sf, "customer"), read_table(spark, sf, "nation")
-    kind = F.when(F.col("c_mktsegment").rlike("^(BUILDING|MACHINERY)$"), "tests").otherwise("production")
-    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("target"), kind.alias("kind")).agg(F.countDistinct("c_custkey").alias("importers"))
+    e = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("src"), F.col("n_name").alias("dst"), F.col("c_mktsegment").rlike("^(BUILDING|MACHINERY)$").alias("test"))
+    return J.importers(e, F.col("test"))

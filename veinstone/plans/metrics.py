@@ -67,12 +67,12 @@ def directory_hotspots(spark: SparkSession, sf: str) -> DataFrame:
     return M.directory_hotspots(d.select(F.floor(F.col("doc_id") / 3).alias("finding_id"), F.col("lang").alias("family"), F.col("source").alias("directory"), F.concat("source", (F.col("doc_id") % 7).cast("string")).alias("path")))
 
 
-@query("""WITH i AS (SELECT source AS g, CASE WHEN doc_id % 5 = 0 THEN 'tests/fixtures/a' WHEN lang = 'fr' THEN 'pkg/tests/b' WHEN lang = 'es' THEN '' ELSE 'pkg/c' END AS path FROM documents WHERE doc_id % 3 = 1 OR source < 'src15'),
+@query("""WITH i AS (SELECT source AS g, CASE WHEN doc_id % 5 = 0 THEN 'tests/fixtures/a' WHEN lang = 'fr' THEN 'pkg/tests/b' WHEN lang = 'es' THEN '' ELSE 'pkg/c' END AS path FROM documents),
 k AS (SELECT g, CASE WHEN path = '' THEN 'other' WHEN regexp_matches(path, '(^|/)tests/fixtures(/|$)') THEN 'fixtures' WHEN regexp_matches(path, '(^|/)tests(/|$)') THEN 'tests' ELSE 'production' END AS kind FROM i),
 c AS (SELECT g, count(*) FILTER (kind = 'production') AS production, count(*) FILTER (kind = 'tests') AS tests, count(*) FILTER (kind = 'fixtures') AS fixtures, count(*) FILTER (kind = 'other') AS other, count(DISTINCT kind) AS n, min(kind) AS one FROM k GROUP BY g)
 SELECT g, production, tests, fixtures, other, CASE WHEN n > 1 THEN 'mixed' ELSE one END AS dominant, CASE WHEN production > 0 AND n = 1 THEN 'runtime' WHEN production = 0 THEN 'non_runtime' ELSE 'mixed' END AS impact_scope FROM c""")
 def source_scopes(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "documents").where("doc_id % 3 = 1 OR source < 'src15'")
+    d = read_table(spark, sf, "documents")
     path = F.when(F.col("doc_id") % 5 == 0, "tests/fixtures/a").when(F.col("lang") == "fr", "pkg/tests/b").when(F.col("lang") == "es", "").otherwise("pkg/c")
     return M.source_scope(d.select(F.col("source").alias("g"), S.source_kind(path).alias("kind")), "g", "kind")
 

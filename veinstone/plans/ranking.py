@@ -99,7 +99,7 @@ def record_relevance(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", R.relevance(F.col("scope"), True).alias("score"))
 
 
-@query("""WITH m AS (SELECT 'complexity' AS family, CAST(o_custkey AS VARCHAR) AS subject, count(*) * 3 AS value, 'high' AS confidence FROM orders GROUP BY o_custkey UNION ALL SELECT 'coupling', CAST(l_suppkey AS VARCHAR), count(DISTINCT l_partkey) % 20, 'low' FROM lineitem GROUP BY l_suppkey UNION ALL SELECT 'dead_code', p_name || p_partkey, 1, CASE WHEN p_size > 25 THEN 'high' ELSE 'medium' END FROM part WHERE p_size % 10 = 0),
+@query("""WITH m AS (SELECT 'complexity' AS family, CAST(o_custkey AS VARCHAR) AS subject, count(*) * 3 AS value, 'high' AS confidence FROM orders GROUP BY o_custkey UNION ALL SELECT 'coupling', CAST(l_suppkey AS VARCHAR), count(DISTINCT l_partkey) % 20, 'low' FROM lineitem GROUP BY l_suppkey UNION ALL SELECT 'dead_code', p_name || p_partkey, 1, CASE WHEN p_size > 25 THEN 'high' ELSE 'medium' END FROM part),
 s AS (SELECT family || '_suggestion' AS kind, subject, value, CASE family WHEN 'complexity' THEN CASE WHEN value > 40 THEN 'critical' WHEN value > 20 THEN 'warning' END WHEN 'coupling' THEN CASE WHEN value > 10 THEN 'warning' END ELSE CASE WHEN confidence = 'high' THEN 'warning' END END AS severity,
  CASE family WHEN 'coupling' THEN 'hard' WHEN 'dead_code' THEN 'easy' ELSE 'moderate' END AS effort FROM m)
 SELECT *, CAST(row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 ELSE 1 END, CASE effort WHEN 'easy' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END, value DESC, kind, subject) AS INTEGER) AS rank FROM s WHERE severity IS NOT NULL""")
@@ -107,7 +107,7 @@ def suggestions(spark: SparkSession, sf: str) -> DataFrame:
     o, li, p = (read_table(spark, sf, t) for t in ("orders", "lineitem", "part"))
     a = o.groupBy("o_custkey").agg((F.count("*") * 3).alias("value")).select(F.lit("complexity").alias("family"), F.col("o_custkey").cast("string").alias("subject"), "value", F.lit("high").alias("confidence"))
     b = li.groupBy("l_suppkey").agg((F.countDistinct("l_partkey") % 20).alias("value")).select(F.lit("coupling"), F.col("l_suppkey").cast("string"), "value", F.lit("low"))
-    c = p.where("p_size % 10 = 0").select(F.lit("dead_code"), F.concat("p_name", F.col("p_partkey").cast("string")), F.lit(1).cast("long"), F.when(F.col("p_size") > 25, "high").otherwise("medium"))
+    c = p.select(F.lit("dead_code"), F.concat("p_name", F.col("p_partkey").cast("string")), F.lit(1).cast("long"), F.when(F.col("p_size") > 25, "high").otherwise("medium"))
     return R.suggestions(a.union(b).union(c))
 
 
