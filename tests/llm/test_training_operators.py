@@ -99,6 +99,34 @@ def test_clean_removes_lines(spark):
     assert [(x.text, x.n_chars) for x in r] == [(text, len(text))]
 
 
+@pytest.mark.parametrize(
+    ("line", "after", "fails"),
+    [
+        ("Home / Products / About us: contact", "", True), ("Click here to read more...", "", True), ("Sign in. Register. Basket.", "", True), ("Home | News | Sport.", "", True),
+        ("I will help you search for a home near the sea.", "", False), ("A plain line.", "", False), ("The Heading of a Story", "It began well.", False),
+        ("The Heading of a Story", "Another Heading", True), ("lower case words", "It began well.", True), ("Tous droits réservés.", "", True), ("Wow! So! Great!", "", True),
+        ("We accept cookies. Accept all cookies.", "", True), ("#1 *** $$$.", "", True),
+    ],
+)
+def test_line_rules(line, after, fails):
+    assert quality.line_fails(line, len(line.split()), len(line.replace(" ", "")), after) is fails
+
+
+def test_quality_against_its_sql(spark, rows):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    lines = ["Home / Products / About us: contact", "A Heading", "It was a fine day.", "no mark here", "All rights reserved.", "a | b | c.", "", "Sign in. Register.", "Ärger im Büro", "x\ty!", "éhome. contact help"]
+    texts = ["\n".join(rng.choice(lines, rng.integers(1, 30))) + " ".join(f"w{x}" for x in rng.integers(0, 9**6, 60)) for _ in range(60)]
+    table = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, r[1]) for i, r in enumerate(rows)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", table)
+    want = con.execute(quality.ORACLE)
+    got = quality.assess(spark.createDataFrame(table, "doc_id long, text string")).select(*[c[0] for c in want.description])
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want.fetchall())
+
+
 def test_language_id_held_out(spark):
     rng = np.random.default_rng(0)
     syllables = {"aa": ["the", "ing", "er", "an", "ou"], "bb": ["eux", "ré", "ch", "oi", "que"], "cc": ["sch", "ung", "ei", "ß", "ge"]}

@@ -1,10 +1,11 @@
 """Quality rules, line first.
 
-Every line is judged by itself: punctuation (no sentence mark, or too many
-symbols or exclamation marks), navigation (separator bars) and boilerplate
-(licence, copyright and cookie phrases). Failing lines are removed; a document
-that loses more than half of its words with them is rejected, and so is one that
-fails the base limits on words and repetition.
+Every line is judged by itself: punctuation (no sentence mark, unless it is the heading
+of the line after it, or too many symbols or exclamation marks), navigation (separator
+bars, or mostly menu phrases) and boilerplate (licence, copyright, cookie and
+subscription phrases). Failing lines are removed; a document that loses more than
+half of its words with them is rejected, and so is one that fails the base limits on
+words and repetition.
 """
 
 from __future__ import annotations
@@ -22,16 +23,27 @@ from veinstone.llm.text import coded_words, sliced_by_bytes
 SYMBOLS = "#*$%&|<>"
 SENTENCE_MARKS = r"[.!?:;…。！？]"
 BARS = "[|»•]"
+#: Phrases of fixed wording that pages repeat, in four languages.
 BOILERPLATE = (
-    r"(?i)\b(?:all rights reserved|licensed under|is licensed under|released under the|terms of (?:use|service)"
-    r"|privacy policy|cookie policy|uses cookies|enable javascript|subscribe to our|copyright (?:\(c\)|[0-9]{4}))"
+    r"(?i)\b(?:all rights reserved|licensed under|released under the|terms (?:of (?:use|service)|and conditions)|privacy policy|cookie policy"
+    r"|(?:uses|accept(?: all)?) cookies|enable javascript|subscribe to our|sign up for our|follow us on|powered by|copyright (?:\(c\)|©|[0-9]{4})"
+    r"|tous droits r|politique de confidentialit|utilise des cookies|alle rechte vorbehalten|verwendet cookies|todos los derechos reservados|utiliza cookies)"
 )
+#: Phrases of menus and link lists; a line of several of them that make up 40 % of its words is navigation.
+MENU = (
+    r"(?i)\b(?:home|products|about us|contact(?: us)?|sign (?:in|up)|log ?(?:in|out)|register|basket|cart|checkout|my account|menu|search|site ?map|help|faq|next|previous"
+    r"|back to top|skip to|read more|click here|share this|newsletter|accueil|panier|connexion|startseite|warenkorb|anmelden|inicio|carrito)\b"
+)
+#: A heading has at most so many words, a capital or a digit first and no bar.
+HEADING_WORDS = 12
+HEADING = r"^[\x20\x09]*[A-ZÀ-ÖØ-Þ0-9][^|»•]*$"
 #: A line's limits: symbols in per cent of its word characters, exclamation marks
 #: and bars in per cent of its words. A document's: words lost in per cent.
 MAX_SYMBOLS, MAX_SHOUTS, MAX_BARS, MAX_LOST = 15, 50, 20, 50
 MIN_WORDS, MAX_REPEATED = 50, 50
 
-_SYMBOL, _BAR, _MARK, _BOILER = re.compile(f"[{re.escape(SYMBOLS)}]"), re.compile(BARS), re.compile(SENTENCE_MARKS), re.compile(BOILERPLATE)
+_SYMBOL, _BAR, _MARK, _HEADING = re.compile(f"[{re.escape(SYMBOLS)}]"), re.compile(BARS), re.compile(SENTENCE_MARKS), re.compile(HEADING)
+_BOILER, _MENU = re.compile(BOILERPLATE, re.ASCII), re.compile(MENU, re.ASCII)
 _SPACE = dict.fromkeys([0x20, *range(0x09, 0x0E)])
 
 COLUMNS = (
@@ -40,17 +52,24 @@ COLUMNS = (
 )
 
 
-def line_fails(line: str, words: int, chars: int) -> bool:
-    """Whether a line with ``words`` words of ``chars`` code points is removed."""
+def line_fails(line: str, words: int, chars: int, after: str = "") -> bool:
+    """Whether a line with ``words`` words of ``chars`` code points is removed; ``after`` is
+    the next line with words."""
     return (
-        not _MARK.search(line)
+        (not _MARK.search(line) and not (words <= HEADING_WORDS and _HEADING.search(line) and _MARK.search(after)))
         or 100 * len(_SYMBOL.findall(line)) > MAX_SYMBOLS * chars
         or 100 * line.count("!") > MAX_SHOUTS * words
         or 100 * len(_BAR.findall(line)) > MAX_BARS * words
         or _BOILER.search(line) is not None
+        or is_menu(line, words)
     )
 
 
+def is_menu(line: str, words: int) -> bool:
+    found = len(_MENU.findall(line))
+    return found > 1 and 5 * found >= 2 * words
+
+
 def repeated_words(codes: np.ndarray, groups: np.ndarray, width: int = 3) -> np.ndarray:
     """Words of each group in ``width``-word windows that occur twice or more in it.
 
@@ -86,8 +105,13 @@ def judge(texts: pa.Array) -> tuple[dict[str, list], list[str | None]]:
         seen: set[str] = set()
         chars = dups = lost = 0
         stay: list[str] = []
-        for line in (text or "").split("\n"):
-            n = len(line.encode("utf-8", "surrogatepass").split())
+        lines = (text or "").split("\n")
+        sizes = [len(line.encode("utf-8", "surrogatepass").split()) for line in lines]
+        nexts, after = [""] * len(lines), ""
+        for i in range(len(lines) - 1, -1, -1):
+            nexts[i] = after
+            after = lines[i] if sizes[i] else after
+        for line, n, after in zip(lines, sizes, nexts, strict=True):
             if not n:
                 stay.append(line)
                 continue
@@ -95,7 +119,7 @@ def judge(texts: pa.Array) -> tuple[dict[str, list], list[str | None]]:
             chars += width
             dups += line in seen
             seen.add(line)
-            if line_fails(line, n, width):
+            if line_fails(line, n, width, after):
                 lost += n
             else:
                 stay.append(line)
@@ -130,7 +154,11 @@ def assess(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that stay, without their failing lines, in the columns of ``docs``
-    (n_chars follows the text, if there is such a column)."""
+    (n_chars follows the text, if there is such a column).
+
+    Null and empty texts fail and go; repeated rows are judged each and stay or go
+    alike; an empty table gives no rows; other columns are kept as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced_by_bytes(batches, text_at):
@@ -146,7 +174,7 @@ def clean(docs: DataFrame) -> DataFrame:
     return out
 
 
-_SQL_BOILER = BOILERPLATE.replace("'", "''")
+_SQL_BOILER, _SQL_MENU = BOILERPLATE.replace("'", "''"), MENU.replace("'", "''")
 ORACLE = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents
@@ -157,17 +185,20 @@ WITH d AS (
   FROM (SELECT id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
 ), r AS (
   SELECT id, CAST(count(DISTINCT i + o) AS BIGINT) AS n FROM p, (SELECT unnest([0, 1, 2]) AS o) WHERE n > 1 GROUP BY id
+), y AS (
+  SELECT id, i, ls[i] AS line, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS n FROM (SELECT id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT id, string_split(t, chr(10)) AS ls FROM d))
 ), l AS (
-  SELECT id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars
-  FROM (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d)
+  SELECT id, line, n, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars, coalesce(lead(line) OVER (PARTITION BY id ORDER BY i), '') AS after,
+    len(regexp_extract_all(line, '{_SQL_MENU}')) AS menu
+  FROM y WHERE n > 0
 ), x AS (
   SELECT id, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS dups, CAST(sum(CASE WHEN
-      NOT regexp_matches(line, '{SENTENCE_MARKS}')
+      (NOT regexp_matches(line, '{SENTENCE_MARKS}') AND NOT (n <= {HEADING_WORDS} AND regexp_matches(line, '{HEADING}') AND regexp_matches(after, '{SENTENCE_MARKS}')))
       OR 100 * length(regexp_replace(line, '[^{SYMBOLS}]', '', 'g')) > {MAX_SYMBOLS} * chars
       OR 100 * (length(line) - length(replace(line, '!', ''))) > {MAX_SHOUTS} * n
       OR 100 * length(regexp_replace(line, '[^|»•]', '', 'g')) > {MAX_BARS} * n
-      OR regexp_matches(line, '{_SQL_BOILER}') THEN n ELSE 0 END) AS BIGINT) AS lost
-  FROM l WHERE n > 0 GROUP BY id
+      OR regexp_matches(line, '{_SQL_BOILER}') OR (menu > 1 AND 5 * menu >= 2 * n) THEN n ELSE 0 END) AS BIGINT) AS lost
+  FROM l GROUP BY id
 ), b AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
