@@ -316,6 +316,16 @@ def test_top_k(spark, block, shard, fan):
     assert topk.exact_top_k(q.limit(0), q.limit(0), 6).count() == 0
 
 
+def test_top_k_with_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [0.5, 0.0]), (4, [0.5, 0.0]), (5, [0.0, 9.0])]
+    q = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = [tuple(r) for r in topk.exact_top_k(q, q.where("vec_id = 0"), 4, 1, 2, 2).collect()]
+    assert sorted(got) == [(0, 1, 1, 4096), (0, 2, 2, 4096), (0, 3, 4, 2048), (0, 4, 4, 2048)]
+    two = topk.quantize(spark.createDataFrame([*rows, (0, [0.0, 1.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = sorted(tuple(r) for r in topk.exact_top_k(two, two.where("vec_id = 0"), 2, 2, 3, 2).collect())
+    assert got == [(0, 1, 1, 4096), (0, 1, 5, 36864), (0, 2, 2, 4096), (0, 2, 3, 4096)]
+
+
 def test_top_k_with_huge_components(spark):
     d = spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, 2.0]), (2, [-1e15, 3.0])], "vec_id long, embedding array<double>")
     q = topk.quantize(d, "vec_id", "embedding")
