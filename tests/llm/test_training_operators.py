@@ -144,6 +144,32 @@ def test_language_id_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_words_of_code_switched_text(spark):
+    rng = np.random.default_rng(4)
+    syllables = {"aa": ["the", "ing", "er", "an", "ou"], "bb": ["eux", "ré", "ch", "oi", "que"]}
+
+    def text(lang: str, n: int) -> str:
+        return " ".join("".join(rng.choice(syllables[lang], rng.integers(1, 4))) for _ in range(n))
+
+    rows = [(i, text(("aa", "bb")[i % 2], 40), ("aa", "bb")[i % 2]) for i in range(200)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.Training(rounds=25))
+    mixed = [(0, f"{text('aa', 30)} 12 {text('bb', 20)} !", None), (1, None, None), (2, "12 3", None), (3, text("bb", 9), None)]
+    got = sorted(tuple(r) for r in langid.label_words(spark.createDataFrame(mixed, "doc_id long, text string, lang string"), model).collect())
+    truth = ["aa"] * 31 + ["bb"] * 20
+    label = [lang for d, first, last, lang in got if d == 0 for _ in range(first, last + 1)]
+    assert np.mean([a == b for a, b in zip(truth, label, strict=True)]) > 0.9
+    assert [r for r in got if r[0] == 3] == [(3, 0, 8, "bb")] and {r[0] for r in got} == {0, 3}
+    assert langid.label_words(spark.createDataFrame(mixed, "doc_id long, text string, lang string"), None).count() == 0
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(i, f"text {i}", "aa" if i % 3 else "bb") for i in range(3000)] + [(5, "text 5", "aa")] * 500
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = Counter(lang for lang, _ in langid.training_sample(d, langid.Training(per_language=40)))
+    assert n == {"aa": 40, "bb": 40}
+    assert len(langid.training_sample(d, langid.Training(per_language=10**6))) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, *_ in rows)
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     m = langid.Model(["a", "b", "c"], None, {}, rng.normal(size=(3, 3)), rng.normal(size=3))

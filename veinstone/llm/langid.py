@@ -13,6 +13,9 @@ text. Prediction covers whole texts: words are cut into chunks of 64, the chunks
 transfer matrices are multiplied side by side, a scan over chunks gives the exact
 messages at their borders, and then all chunks are finished side by side. So the
 cost of numpy calls depends on the chunk, not on the longest text.
+
+:func:`label_words` returns where a text switches: runs of words with one language.
+:func:`identify` sums the same posteriors up for each document.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veinstone.llm.text import coded_words, mixed, sliced_by_bytes
@@ -34,6 +37,9 @@ CHUNK = 64
 
 @dataclass(frozen=True)
 class Training:
+    """The bound of the sample: ``per_language`` documents a language at most, ``spans`` runs of
+    ``span_words`` words of each; and how the weights are learned."""
+
     per_language: int = 300
     spans: int = 6
     span_words: int = 32
@@ -247,12 +253,20 @@ def held_out(doc_id) -> F.Column:
 
 
 def training_sample(docs: DataFrame, how: Training) -> list[tuple[str, list[list[str]]]]:
-    """At most about ``per_language`` documents of each label, chosen by a hash of their
-    id, and of each the spans; the only rows that reach the driver."""
+    """At most ``per_language`` documents of each label, chosen by a hash of their id, and of
+    each the spans; the only rows that reach the driver.
+
+    The labels' counts (a row a language) become a threshold each, so that the draw is a
+    filter next to the scan and only about twice the sample is ever shuffled."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000))
-    chosen = rows.select("lang", "text", draw.alias("draw")).join(counts, "lang").where(F.col("draw") * F.col("n") < F.lit(how.per_language * 1_000_000))
+    counts = rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()
+    if not counts:
+        return []
+    draw = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).bitwiseAND(F.lit(2**53 - 1)) / F.lit(float(2**53))
+    limits = F.create_map(*[F.lit(x) for r in sorted(counts) for x in (r.lang, min(1.0, 2.0 * how.per_language / r.n + 20.0 / r.n))])
+    light = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), draw.alias("draw"))
+    order = Window.partitionBy("lang").orderBy("draw", "text")
+    chosen = light.where(F.col("draw") < F.element_at(limits, F.col("lang"))).withColumn("place", F.row_number().over(order)).where(F.col("place") <= how.per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,10 +280,54 @@ def training_sample(docs: DataFrame, how: Training) -> list[tuple[str, list[list
                 spans.append([words[s : s + how.span_words] for s in starts])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.string())))], names=["lang", "spans"])
 
-    found = chosen.select(F.col("lang").cast("string"), "text").mapInArrow(run, "lang string, spans array<array<string>>").collect()
+    found = chosen.select("lang", "text").mapInArrow(run, "lang string, spans array<array<string>>").collect()
     return sorted((r.lang, r.spans) for r in found)
 
 
+def _word_posteriors(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every word with a letter: its text, its place among the text's words, and the
+    posterior of each language."""
+    coded, groups = coded_words(texts)
+    words = letters_only(coded.dictionary)
+    lettered = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    codes = coded.indices.to_numpy()
+    use = lettered[codes]
+    owner = np.repeat(np.arange(len(texts)), groups)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(groups) - groups, groups)
+    owner, place = owner[use], place[use]
+    return owner, place, posteriors(evidence(model, words)[codes[use]], np.bincount(owner, minlength=len(texts)), model)
+
+
+def label_words(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, first, last, lang: runs of neighbouring words (numbered from 0; words without a
+    letter between two others go with the first) whose most probable language is the same.
+
+    Null texts, texts without a letter and a missing model give no rows; repeated rows
+    give theirs each; an empty table gives no rows; other columns are ignored.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in sliced_by_bytes(batches, 1) if model is not None else ():
+            owner, place, gamma = _word_posteriors(batch.column(1), model)
+            label = gamma.argmax(axis=1)
+            new = np.ones(len(owner), dtype=bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (label[1:] != label[:-1])
+            at = np.flatnonzero(new)
+            same = np.append(owner[at[1:]] == owner[at[:-1]], False) if len(at) else np.zeros(0, bool)
+            ends = np.append(at[1:], len(owner)) - 1 if len(at) else at
+            last = place[ends]
+            last[same] = place[at[1:][same[:-1]]] - 1 if len(at) else last[same]
+            lang = pa.array([model.languages[x] for x in label[at].tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(owner[at])), pa.array(place[at].astype(np.int64)), pa.array(last.astype(np.int64)), lang], names=["doc_id", "first", "last", "lang"]
+            )
+
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, first long, last long, lang string")
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score; ``und`` and 0 for texts without a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's parameters
@@ -281,13 +339,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             n = batch.num_rows
             names, scores = ["und"] * n, np.zeros(n)
             if model is not None:
-                coded, groups = coded_words(batch.column(2))
-                words = letters_only(coded.dictionary)
-                lettered = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-                codes = coded.indices.to_numpy()
-                use = lettered[codes]
-                owner = np.repeat(np.arange(n), groups)[use]
-                gamma = posteriors(evidence(model, words)[codes[use]], np.bincount(owner, minlength=n), model)
+                owner, _, gamma = _word_posteriors(batch.column(2), model)
                 total = np.stack([np.bincount(owner, gamma[:, j], n) for j in range(gamma.shape[1])], axis=1)
                 some = np.flatnonzero(total.sum(axis=1))
                 best = total.argmax(axis=1)
@@ -300,6 +352,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+def train(docs: DataFrame, how: Training | None = None) -> Model | None:
+    """The model of the labelled documents that are not held out; None without any."""
+    how = how or Training()
+    return fit(training_sample(docs, how), how)
+
+
 def identify(docs: DataFrame, how: Training | None = None) -> DataFrame:
     """Train on the labelled documents that are not held out and label every row.
 
@@ -309,4 +367,4 @@ def identify(docs: DataFrame, how: Training | None = None) -> DataFrame:
     columns are ignored.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang")
-    return predict(docs, fit(training_sample(docs, how or Training()), how or Training()))
+    return predict(docs, train(docs, how))
