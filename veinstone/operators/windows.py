@@ -81,15 +81,23 @@ def with_midrank(df: DataFrame, value: str, name: str, digits: int = 4) -> DataF
     return rows.join(c, (F.col("_null") == F.col("_null2")) & (F.col("_key") == F.col("_key2"))).drop("_null", "_key", "_null2", "_key2")
 
 
+def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]) -> DataFrame:
+    """Sums over all rows before each one in a total order, without a window over all rows: a
+    sort by ranges, sums inside each partition, and the sums of the partitions before it."""
+    rows = cut_lineage(df.withColumns({f"_of_{n}": c for n, c in totals.items()}).orderBy(*order))
+    rows = rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    sums = rows.groupBy("_part").agg(*[F.sum(f"_of_{n}").alias(n) for n in totals])  # a row for each partition
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut_lineage(sums.select(F.col("_part").alias("_p"), *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before_{n}") for n in totals]))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumns({n: F.coalesce(F.sum(f"_of_{n}").over(inside), F.lit(0)) for n in totals}).join(F.broadcast(starts), F.col("_part") == F.col("_p"))
+    out = out.withColumns({n: F.col(f"_before_{n}") + F.col(n) for n in totals})
+    return out.drop("_part", "_at", "_p", *[f"_of_{n}" for n in totals], *[f"_before_{n}" for n in totals])
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Place of every row in a total order, from 1, without a window over all rows: a sort by
-    ranges, places inside each partition, and the row counts of the partitions before it."""
-    rows = cut_lineage(df.orderBy(*order)).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))  # a row for each partition
-    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = cut_lineage(sizes.select(F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before")))
-    out = rows.join(F.broadcast(starts), F.col("_part") == F.col("_p"))
-    return out.withColumn(name, (F.col("_before") + F.col("_at") + 1).cast("int")).drop("_part", "_at", "_p", "_before")
+    """Place of every row in a total order, from 1, by :func:`running_totals`."""
+    return running_totals(df, order, {name: F.lit(1)}).withColumn(name, (F.col(name) + 1).cast("int"))
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,14 @@ def cut_lineage(df: DataFrame, *done: DataFrame) -> DataFrame:
     return kept
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the shared folder, read back: like :func:`cut_lineage`, but later
+    steps read only the columns that they use, and no text is kept uncompressed."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def drop_checkpoint(df: DataFrame) -> None:
     """Deletes the files of a table that :func:`cut_lineage` returned. Other tables have none."""
     plan = df._jdf.queryExecution().logical()
