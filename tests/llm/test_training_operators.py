@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veinstone.llm import chat, html, langid, minhash, mixing, packing, quality, secrets, substrings, topk
 from veinstone.llm.queries import tokenizer_path
@@ -428,6 +429,31 @@ def test_mixing(docs, rows):
     assert Counter((r.doc_id, r.size) for r in got) == Counter((r[0], len(words(r[1]))) for r in rows)
 
 
+@pytest.mark.parametrize("few", [1, 7, 10**6])
+def test_mixing_by_digits(spark, few):
+    """A hot source, one missing id and one repeated row that hold hundreds of rows each;
+    whatever is sorted at once, the rows taken are the same, and those of a plain sort."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(["w."] * int(rng.integers(0, 90))), f"s{i % 5 if i % 3 else 0}") for i in range(1200)]
+    rows += [(None, " ".join(["v"] * int(rng.integers(1, 9))), "s1") for _ in range(300)] + [(7, "one two three", "s2")] * 300
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = Counter(tuple(r) for r in mixing.mix_sizes(d, few).collect())
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    assert got == Counter(con.execute(mixing.ORACLE).fetchall())
+
+
+def test_mixing_with_given_weights(spark):
+    rows = [(i, "w " * 10, "big" if i % 2 else "other", 100.0 if i < 100 else 0.1) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    keyed = mixing.written(mixing.with_keys(d.select("doc_id", "text", "source", "w"), F.col("text"), F.col("w")))
+    got = {r.doc_id: r._taken for r in mixing.take(keyed).collect()}
+    assert np.mean([got[i] for i in range(1, 100, 2)]) > np.mean([got[i] for i in range(101, 400, 2)])
+
+
 def test_mixing_stops_at_three_times(spark):
     rows = [(i, "w " * 10, "big") for i in range(300)] + [(1000, "w w w", "small"), (1001, "", "none")]
     got = {r.doc_id: r for r in mixing.mix_sizes(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
