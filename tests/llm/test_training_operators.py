@@ -317,6 +317,15 @@ def test_one_digit_candidate(spark):
     assert {r.doc_id: r.text for r in secrets.redact(d).collect()}[1] == "the value is [SECRET] ok."
 
 
+def test_a_secret_does_not_depend_on_other_text(spark):
+    """A candidate with a single digit, alone and beside any other words."""
+    key = "qZpLxTvBnMsKwRyJaCd7fG"
+    around = [("key ", " end"), ("key ", " end in 12 days"), ("", ""), ("12 34 ", ""), ("a\n" * 500, "\tz"), ("Ünï 日本 ", " ü")]
+    rows = [(i, a + key + b) for i, (a, b) in enumerate(around)]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: f"entropy:{len(a)}:{len(a) + len(key)}" for i, (a, _) in enumerate(around)}
+
+
 def test_window_entropy(spark):
     texts = ["aaaaaaaaaaaaaaaaaaaaaaaaa", "abcdefghijklmnopqrstuvwxyz", "Aa0Bb1Cc2Dd3Ee4Ff5Gg6Hh7aaaaaaaaaaaaaaaaaaaa"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(secrets.window_entropy(__import__("pyspark.sql.functions", fromlist=["col"]).col("t"))).collect()

@@ -71,24 +71,29 @@ def _clog(c: Column) -> Column:
 
 
 def window_entropy(s: Column, width: int = WINDOW) -> Column:
-    """Highest Shannon entropy (bits) of ``width`` characters in a row, by incremental counts."""
+    """Highest Shannon entropy (bits) of ``width`` characters in a row, by incremental counts.
+
+    The counts are a string with one character for each letter of the alphabet ("A" for 0,
+    "B" for 1 and so on), so that a step overwrites two of them and builds nothing else."""
     symbols = F.split(s, "")
-    zero = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best")
-    )
+    zero = F.struct(F.lit("A" * len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
     def place(i: Column) -> Column:
         return F.instr(F.lit(ALPHABET), F.element_at(symbols, i))
 
+    def count(counts: Column, at: Column) -> Column:
+        return F.ascii(F.substring(counts, at, F.lit(1))) - 65
+
+    def put(counts: Column, at: Column, n: Column) -> Column:
+        return F.overlay(counts, F.char(n + 65), at, F.lit(1))
+
     def slide(acc: Column, i: Column) -> Column:
         into = place(i)
         gone = F.when(i > width, place(F.greatest(F.lit(1), i - width))).otherwise(F.lit(0))
-        c_in = F.element_at(acc["n"], into)
-        c_gone = F.when(gone > 0, F.element_at(acc["n"], F.greatest(F.lit(1), gone))).otherwise(F.lit(0))
+        c_in, c_gone = count(acc["n"], into), count(acc["n"], gone)
         same = gone == into
-        counts = F.when(same, acc["n"]).otherwise(
-            F.transform(acc["n"], lambda c, k: c + F.when(k + 1 == into, 1).when(k + 1 == gone, -1).otherwise(0))
-        )
+        came = put(acc["n"], into, c_in + 1)
+        counts = F.when(same, acc["n"]).when(gone > 0, put(came, gone, c_gone - 1)).otherwise(came)
         change = F.when(same, F.lit(0.0)).otherwise(
             _clog(c_in + 1) - _clog(c_in) + F.when(gone > 0, _clog(c_gone - 1) - _clog(c_gone)).otherwise(F.lit(0.0))
         )
@@ -114,8 +119,8 @@ def is_secret_like(s: Column) -> Column:
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs and _base, _spans: arrays of (start, kind, end), ordered so. Null text has none."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    quick = F.regexp_like(text, F.lit("[0-9]")) & F.regexp_like(text, F.lit(CANDIDATE))  # no more than is_secret_like asks
-    found = F.when(quick, _placed(text, CANDIDATE, 0, len(BASE), lambda m, v: is_secret_like(m))).otherwise(F.array().cast(_SPANS))
+    possible = F.regexp_like(text, F.lit("[0-9]")) & F.regexp_like(text, F.lit(CANDIDATE))  # implied by is_secret_like: a candidate with a digit
+    found = F.when(possible, _placed(text, CANDIDATE, 0, len(BASE), lambda m, v: is_secret_like(m))).otherwise(F.array().cast(_SPANS))
     named = docs.withColumns({f"_k{i}": c for i, c in enumerate(base_spans(text))}).withColumn("_found", found)
     base = F.array_sort(F.concat(*[F.col(f"_k{i}") for i in range(len(BASE))]))
     new = F.filter(
@@ -149,7 +154,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span (overlapping ones as one) replaced by ``mark``; n_chars follows."""
+    """docs with every span (overlapping ones as one) replaced by ``mark``; n_chars follows.
+
+    Null texts stay null and empty ones empty; repeated rows are masked each; an empty
+    table gives no rows; other columns are kept as they are.
+    """
     text = F.col("text")
 
     def write(acc: Column, s: Column) -> Column:
