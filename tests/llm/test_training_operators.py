@@ -191,8 +191,15 @@ def test_forward_backward_is_exact():
         at += n
 
 
-@pytest.mark.parametrize("how", [substrings.Repeats(), substrings.Repeats(heavy=1, partition_rows=20), substrings.Repeats(width=20, gram=5, heavy=2)])
+@pytest.mark.parametrize("how", [substrings.Repeats(), substrings.Repeats(group=1, partition=20), substrings.Repeats(width=20, gram=5, group=150, prefixes=(6, 9)), substrings.Repeats(group=60, prefixes=())])
 def test_substrings(docs, rows, how):
+    want = without_repeats(rows, how)
+    assert any(k[2] for k in want)
+    assert want == Counter(tuple(r) for r in substrings.remove_repeats(docs, how).collect())
+    assert Counter(k[:4] for k in want.elements()) == Counter(tuple(r) for r in substrings.remove_repeats(docs, how, with_text=False).collect())
+
+
+def without_repeats(rows, how) -> Counter:
     first: dict[tuple, int] = {}
     for doc_id, text, *_ in rows:
         w = words(text)
@@ -206,8 +213,30 @@ def test_substrings(docs, rows, how):
         gone = {i + k for i in range(len(w) - how.width + 1) if doc_id is not None and first[tuple(w[i : i + how.width])] < doc_id for k in range(how.width)}
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         want[(doc_id, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)] += 1
-    assert any(k[2] for k in want)
-    assert want == Counter(tuple(r) for r in substrings.remove_repeats(docs, how).collect())
+    return want
+
+
+@pytest.mark.parametrize("group", [100_000, 3000, 80])
+def test_substrings_of_little_variety(spark, group):
+    """Texts of one repeated word, of two words in turn, and of a short cycle."""
+    rows = [(i, " ".join(["a"] * (40 + 13 * i))) for i in range(12)] + [(20 + i, " ".join(["a", "b"] * (20 + 9 * i))) for i in range(8)]
+    rows += [(40 + i, " ".join(f"c{k % 7}" for k in range(i, 90 + 30 * i))) for i in range(8)] + [(60, " ".join(["a"] * 20_000)), (61, " ".join(["a"] * 20_000) + " end")]
+    how = substrings.Repeats(group=group, partition=5000)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert without_repeats(rows, how) == Counter(tuple(r) for r in substrings.remove_repeats(d, how).collect())
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(3)
+    for width in (1, 2, 3, 8, 13, 50):
+        codes = rng.integers(0, 3, 400)
+        codes[200:300] = codes[50:150]
+        starts = rng.permutation(400 - width + 1)[:250]
+        order, shared = substrings.suffix_order(codes, starts, width)
+        found = [tuple(codes[s : s + width]) for s in starts[order]]
+        assert found == sorted(tuple(codes[s : s + width]) for s in starts)
+        for x, y, n in zip(found, found[1:], shared[1:], strict=False):
+            assert n == next((i for i in range(width) if x[i] != y[i]), width)
 
 
 def test_chat(spark):
