@@ -290,6 +290,8 @@ def test_html_template_on_a_share_of_the_pages():
         '<article>words<p class="cookie-banner">no</p></article>', '<article>words</article><div class="related"><article>no</article></div>', "<article>words<p hidden>no</p></article>",
         '<article>words<p aria-hidden="true">no</p><p role="navigation">no</p><p id=ad-1>no</p></article>', '<div data-x="role=main">no</div><article>words</article>',
         '<article data-hidden aria-hidden=false>words</article>', "<article>words<p class='a\nads' id=x>no</p></article>",
+        '<div class="has-sidebar"><article>words</article></div>', '<div class="with-nav"><div class="page-header-large"><article>words</article></div></div>', "<article><fieldset><label>words</label></fieldset></article>",
+        "<article><math>words</math></article>",
         "<body hidden><article>words</article></body>", "<main hidden>words</main>",
     ],
 )
@@ -297,6 +299,73 @@ def test_html_attributes(page):
     assert html.main_text([page]) == ["words"]
 
 
+def unlabelled_pages(n: int) -> tuple[list[str], list[str]]:
+    """Pages of one host without an article element or a telling name, and their articles."""
+    rng = np.random.default_rng(12)
+
+    def prose(k: int) -> str:
+        return " ".join(f"w{x}" for x in rng.integers(0, 10**6, k))
+
+    pages, articles = [], []
+    for i in range(n):
+        title, body = prose(6), [prose(int(rng.integers(5, 40))) for _ in range(int(rng.integers(1, 6)))]
+        links = "".join(f"<li><a href=#>{prose(2)}</a></li>" for _ in range(5))
+        pages.append(
+            f"<body><div class=x1><ul>{links}</ul></div><div class=x2>{prose(4)}</div><div class=x3><div class=x4><h1>{title}</h1></div><div class=x5>"
+            + "".join(f"<p>{b}</p>" for b in body) + f"</div></div><div class=x6>Copyright of the house</div><div class=x7>{prose(3)}</div></body>"
+        )
+        articles.append(" ".join([title, *body]))
+    return pages, articles
+
+
+def test_html_region_comes_from_the_classes(monkeypatch):
+    pages, articles = unlabelled_pages(30)
+    assert html.main_text(pages) == articles
+    assert html.main_text([*pages, "", "<p>odd", pages[3]]) == [*articles, "", "odd", articles[3]]
+    monkeypatch.setattr(html, "deduce", lambda pages, paths, least=4: html.Template(frozenset(), [], frozenset()))
+    assert not set(html.main_text(pages)) & set(articles)
+
+
+def test_html_classes_against_plain_counting():
+    pages, _ = unlabelled_pages(9)
+    pages += [pages[0], pages[1].replace("<div class=x2>", "<div class=x2><i>new</i>"), "<div class=x6>Copyright of the house</div>"]
+    paths = html.Paths()
+    read = [html.read_page(p, paths) for p in pages]
+    template = html.deduce(read, paths)
+    different = []
+    for p in read:
+        if p.tokens not in [q.tokens for q in different]:
+            different.append(p)
+    different = [p for p in different if not any(p is not q and max((b.text for b in p.blocks), key=len) == max((b.text for b in q.blocks), key=len) and len(max((b.text for b in p.blocks), key=len).split()) >= 20 and different.index(q) < different.index(p) for q in different)]
+    tokens = {t for p in different for t in p.tokens}
+    vector = {t: tuple(p.tokens.count(t) for p in different) for t in tokens}
+    want = set()
+    for v in set(vector.values()):
+        members = {t for t in tokens if vector[t] == v and (t[0] != "#" or sum(x > 0 for x in v) >= 4)}
+        orders = Counter(tuple(dict.fromkeys(t for t in p.tokens if t in members)) for p, x in zip(different, v, strict=True) if x)
+        if 2 * sum(x > 0 for x in v) >= len(different) and len(members) > 1 and any(t[0] != "#" for t in members) and 2 * max(orders.values()) >= len(different):
+            want.add(frozenset(members))
+    assert {frozenset(c) for c in template.classes} == want and len(want) >= 2
+
+
+def test_html_deep_nesting_is_linear():
+    import tracemalloc
+
+    n = 50_000
+    page = "<div class=ad>" * n + "<p>deep" + "</span>" * n + "</div>" * 10 + "<article>words</article>"
+    tracemalloc.start()
+    assert html.main_text([page]) == ["words"]
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
+    assert len(html.main_text(["<article>" + "<p>a b c</p>" * 100_000])[0]) == 600_000 - 1
+
+
+def test_html_repeated_rows(spark):
+    rows = [(1, "http://a/x", "<article>one</article>")] * 300 + [(i, "http://a/y", f"<article>n{i}</article>") for i in range(2, 90)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), group=16)
+    assert Counter((r.page_id, r.text) for r in got.collect()) == Counter([(1, "one")] * 300 + [(i, f"n{i}") for i in range(2, 90)])
+
+
 def test_html_table(spark):
     rows = [(1, "http://A.example/x", "<article>one</article>"), (2, None, None), (3, "not a url", ""), (None, "http://a.example", "<main>x</main>"), (1, "http://A.example/x", "<article>one</article>")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
