@@ -95,9 +95,9 @@ def running_totals(df: DataFrame, order: list[Column], totals: dict[str, Column]
     return out.drop("_part", "_at", "_p", *[f"_of_{n}" for n in totals], *[f"_before_{n}" for n in totals])
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str = "rank", kind: str = "int") -> DataFrame:
     """Place of every row in a total order, from 1, by :func:`running_totals`."""
-    return running_totals(df, order, {name: F.lit(1)}).withColumn(name, (F.col(name) + 1).cast("int"))
+    return running_totals(df, order, {name: F.lit(1)}).withColumn(name, (F.col(name) + 1).cast(kind))
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
