@@ -509,6 +509,30 @@ def test_minhash_chain_of_edits(spark):
         assert components(rows, 3, 85) == Counter(tuple(r) for r in minhash.link(d, how).collect())
 
 
+def test_minhash_large_open_bucket(spark):
+    """Many texts around one long shared template: one bucket for all, links between few."""
+    rng = np.random.default_rng(21)
+    template = [f"t{x}" for x in range(300)]
+    rows = []
+    for i in range(60):
+        own = [f"o{x}" for x in rng.integers(0, 10**6, 100)]
+        rows.append((2 * i, " ".join(template + own), None, None, 1))
+        if i % 4 == 0:
+            own[3] = "changed"
+            rows.append((2 * i + 1, " ".join(template + own), None, None, 1))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for pairwise in (4, 0):
+        how = minhash.Linking(words=3, percent=85, pairwise=pairwise, slice_size=8)
+        assert components(rows, 3, 85) == Counter(tuple(r) for r in minhash.link(d, how).collect())
+
+
+def test_packing_deals_repeated_documents(spark):
+    d = spark.createDataFrame([(1, "one two three", None, None, 1)] * 4000, "doc_id long, text string, lang string, source string, n_chars long")
+    got = packing.pack_documents(d, tokenizer_path(), packing.Capacity(tokens=64), block=200)
+    sizes = got.groupBy(F.shiftright("sequence_id", 32).alias("b")).count().collect()
+    assert sum(r["count"] for r in sizes) == 4000 and max(r["count"] for r in sizes) < 300
+
+
 def test_mixing(docs, rows):
     got = mixing.mix_sizes(docs).collect()
     size = defaultdict(int)

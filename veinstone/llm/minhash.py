@@ -10,8 +10,10 @@ sets.
 - Within a bucket every document is compared with one hub, the member that meets most
   others over all bands, not with all others. Buckets that then still hold documents
   of different components are finished exactly, less the documents that a count of
-  unshared shingles rules out: small buckets pair by pair, large ones in tiles whose
-  full sets are multiplied as matrices.
+  unshared shingles rules out: small buckets pair by pair. The documents of large ones are
+  dealt anew by their rarest shingles, as many of which as two similar sets must share one
+  of; what is then still a large bucket is done in tiles whose full sets are multiplied as
+  matrices.
 - For the comparison, a hub's text is sent once to each salted slice of its
   partners, which stream past it; memory holds one hub at a time.
 """
@@ -24,11 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veinstone.llm.components import components
 from veinstone.llm.text import coded_words, mixed, sliced_by_bytes, word_hashes
+from veinstone.operators.graph import components
 from veinstone.session import cut_lineage
 
 _SIGNATURES = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
@@ -167,8 +169,8 @@ def confirmed(texts: DataFrame, pairs: DataFrame, how: Linking) -> DataFrame:
     return rows.select("id", "b", "slice", "rank", "text").mapInArrow(run, "a long, b long")
 
 
-def unshared(texts: DataFrame, ids: DataFrame, how: Linking) -> DataFrame:
-    """(id, alone): how many shingles of each document no other document of ``ids`` (id) has."""
+def shingles_of(texts: DataFrame, ids: DataFrame, how: Linking) -> DataFrame:
+    """(id, h): the distinct shingles of each document of ``ids`` (id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced_by_bytes(batches, 1, 4_000_000):
@@ -178,10 +180,36 @@ def unshared(texts: DataFrame, ids: DataFrame, how: Linking) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "hashes"])
 
     sets = texts.join(ids, "id").select("id", "text").mapInArrow(run, "id long, hashes array<long>")
-    each = sets.select("id", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    return sets.select("id", F.explode("hashes").alias("h"))
+
+
+def unshared(texts: DataFrame, ids: DataFrame, how: Linking) -> DataFrame:
+    """(id, alone): how many shingles of each document no other document of ``ids`` (id) has."""
+    each = shingles_of(texts, ids, how).groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("last"))
     return each.where("id = last").groupBy("id").agg(F.count("*").alias("alone"))
 
 
+def by_rare_shingles(texts: DataFrame, left: DataFrame, how: Linking) -> DataFrame:
+    """Rows of :func:`_open_members` dealt into buckets of rare shingles: the same columns, with
+    the shingle as the key.
+
+    Two sets of which one has n elements can only reach the similarity if they share one of
+    its n - ceil(percent * n / 100) + 1 first elements in any common order, so the rarest
+    ones are taken. Buckets of one component are left out.
+    """
+    ids = cut_lineage(left.select(F.col("rep").alias("id"), "n", "c", "root").distinct())
+    each = cut_lineage(shingles_of(texts, ids.select("id"), how))
+    often = each.groupBy("h").agg(F.count("*").alias("times")).where("times > 1")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("times", "h"))
+    first = each.join(often, "h").withColumn("place", place).join(ids, "id")
+    # the elements that no other set has come before all of these; there are at least n less what is left here
+    held = F.count("*").over(Window.partitionBy("id"))
+    first = first.withColumn("alone", F.col("n") - held).where(F.col("place") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * how.percent / 100) + 1)
+    rows = cut_lineage(first.select(F.col("h").alias("key"), F.col("id").alias("rep"), "n", "c", "root"), each)
+    keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
+    return cut_lineage(rows.join(keys.where("lo < hi").select("key", "members"), "key"), rows)
+
+
 def _allows(common: Column, n: Column, m: Column, how: Linking) -> Column:
     """Whether sets of n and m elements with ``common`` shared ones reach the similarity."""
     return common * 100 >= (n + m - common) * how.percent
@@ -225,9 +253,16 @@ def link(docs: DataFrame, how: Linking | None = None) -> DataFrame:
     edges = cut_lineage(confirmed(texts, tested, how))
     roots = components(edges)
     left = _open_members(texts, buckets, roots, how)
-    pairs = cut_lineage(_open_pairs(left.where(F.col("members") <= how.pairwise), tested, how))
-    found = confirmed(texts, pairs, how).unionByName(_linked_in_tiles(texts, left.where(F.col("members") > how.pairwise), how))
-    found = cut_lineage(found)
+    few = left.where(F.col("members") <= how.pairwise)
+    many = left.where(F.col("members") > how.pairwise)
+    tiles = None
+    if not many.isEmpty():
+        rare = by_rare_shingles(texts, many, how).select(*few.columns)
+        few = few.unionByName(rare.where(F.col("members") <= how.pairwise))
+        tiles = _linked_in_tiles(texts, rare.where(F.col("members") > how.pairwise), how)
+    pairs = cut_lineage(_open_pairs(few, tested, how))
+    found = confirmed(texts, pairs, how)
+    found = cut_lineage(found if tiles is None else found.unionByName(tiles))
     if not found.isEmpty():
         roots = components(edges.unionByName(found))
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select(*words, F.coalesce("root", "rep").alias("component"))
@@ -333,7 +368,11 @@ def _linked_in_tiles(texts: DataFrame, left: DataFrame, how: Linking) -> DataFra
 
 
 def keep_one(docs: DataFrame, how: Linking | None = None) -> DataFrame:
-    """The rows of ``docs`` of which :func:`link` keeps the document."""
+    """The rows of ``docs`` of which :func:`link` keeps the document.
+
+    Documents without words and rows with a null doc_id stay; rows that repeat a doc_id
+    stay or go together; an empty table gives no rows; other columns are kept.
+    """
     gone = link(docs, how).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))  # so that no column name clashes
     return packed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

@@ -66,7 +66,7 @@ def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     first source that fits its share at its place ends them.
     """
     big = "decimal(38,0)"
-    t = numbered(sizes, [F.col("source").asc_nulls_last()], "place")
+    t = numbered(sizes, [F.col("source").asc_nulls_last()], "place", "long")
     t = t.withColumn("w", ((F.col("place") - 1) % 3 + 1).cast(big)).withColumn("cap", (F.col("source_size") * most).cast(big))
     order = [(F.col("cap") / F.col("w")).asc(), F.col("source").asc_nulls_last()]
     t = running_totals(t, order, {"caps": F.col("cap"), "ws": F.col("w")})

@@ -6,8 +6,9 @@ each. Among the sequences that can take a piece under every constraint, the one
 with the best weighted score is chosen: the largest dot product of demand and
 residual, or the smallest norm of what would be left.
 
-Pieces are dealt by hash into blocks of about ``block`` pieces and each block is
-packed by itself, so memory is bounded by a block whatever the corpus; a block
+Pieces are numbered by falling length and dealt in turn into blocks of about ``block``
+pieces, so that every block has all lengths in the same proportion and repeated
+documents part; each block is packed by itself, so memory is bounded by a block whatever the corpus; a block
 wastes at most its last open sequences.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veinstone.llm.text import sliced_by_bytes
+from veinstone.operators.windows import numbered
 from veinstone.session import cut_lineage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -222,7 +224,9 @@ def best_fit(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray
 
 
 def pack_pieces(pieces: DataFrame, cap: Capacity, block: int = 4096) -> DataFrame:
-    """sequence_id and offset for every piece; needs doc_id, piece, start, length, ids_crc32."""
+    """sequence_id and offset for every piece; needs doc_id, piece, start, length, ids_crc32.
+    Pieces without a doc_id are packed like others, and repeated rows each; an empty table
+    gives no rows."""
     total = pieces.count()
     blocks = max(1, -(-total // block))
     schema = pieces.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
@@ -232,14 +236,15 @@ def pack_pieces(pieces: DataFrame, cap: Capacity, block: int = 4096) -> DataFram
         keys = np.lexsort((table.column("piece").to_numpy(), table.column("doc_id").to_numpy(), table.column("ids_crc32").to_numpy()))
         sequence, offset = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         sequence[keys], offset[keys] = best_fit(lengths[keys], cap)
-        first = table.column("_block")[0].as_py() << 32
+        first = int(table.column("_block")[0].as_py()) << 32
         return (
             table.drop_columns(["_block"])
             .append_column("sequence_id", pa.array(sequence + first, pa.int64()))
             .append_column("offset", pa.array(offset, pa.int64()))
         )
 
-    dealt = pieces.withColumn("_block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(7)), F.lit(blocks)))
+    order = [F.desc("length"), F.asc("doc_id"), F.asc("piece"), F.asc("ids_crc32")]
+    dealt = numbered(pieces, order, "_place", "long").withColumn("_block", F.col("_place") % blocks).drop("_place")
     return dealt.groupBy("_block").applyInArrow(pack, f"{schema}, sequence_id long, offset long")
 
 
