@@ -195,7 +195,8 @@ def by_rare_shingles(texts: DataFrame, left: DataFrame, how: Linking) -> DataFra
 
     Two sets of which one has n elements can only reach the similarity if they share one of
     its n - ceil(percent * n / 100) + 1 first elements in any common order, so the rarest
-    ones are taken. Buckets of one component are left out.
+    ones are taken. Buckets of one component are left out, and of those with the same
+    documents (by a 128-bit sum of their hashes) one is kept.
     """
     ids = cut_lineage(left.select(F.col("rep").alias("id"), "n", "c", "root").distinct())
     each = cut_lineage(shingles_of(texts, ids.select("id"), how))
@@ -206,8 +207,10 @@ def by_rare_shingles(texts: DataFrame, left: DataFrame, how: Linking) -> DataFra
     held = F.count("*").over(Window.partitionBy("id"))
     first = first.withColumn("alone", F.col("n") - held).where(F.col("place") + F.col("alone") <= F.col("n") - F.ceil(F.col("n") * how.percent / 100) + 1)
     rows = cut_lineage(first.select(F.col("h").alias("key"), F.col("id").alias("rep"), "n", "c", "root"), each)
-    keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
-    return cut_lineage(rows.join(keys.where("lo < hi").select("key", "members"), "key"), rows)
+    sums = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"), *sums).where("lo < hi")
+    keys = keys.groupBy("members", "x1", "x2").agg(F.min("key").alias("key"))  # one of the buckets with the same documents
+    return cut_lineage(rows.join(keys.select("key", "members"), "key"), rows)
 
 
 def _allows(common: Column, n: Column, m: Column, how: Linking) -> Column:
