@@ -68,7 +68,7 @@ class WordEncoder:
     tokenizer as they are.
     """
 
-    def __init__(self, path: str, limit: int = 250_000) -> None:
+    def __init__(self, path: str, limit: int = 150_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -155,7 +155,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in sliced_by_bytes(batches, 1, 8_000_000):
+        for batch in sliced_by_bytes(batches, 1, 4_000_000):
             rows: list[tuple] = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1)), strict=True):
                 raw += end

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +43,7 @@ HEADING = r"^[\x20\x09]*[A-ZÀ-ÖØ-Þ0-9][^|»•]*$"
 MAX_SYMBOLS, MAX_SHOUTS, MAX_BARS, MAX_LOST = 15, 50, 20, 50
 MIN_WORDS, MAX_REPEATED = 50, 50
 
-_SYMBOL, _BAR, _MARK, _HEADING = re.compile(f"[{re.escape(SYMBOLS)}]"), re.compile(BARS), re.compile(SENTENCE_MARKS), re.compile(HEADING)
-_BOILER, _MENU = re.compile(BOILERPLATE, re.ASCII), re.compile(MENU, re.ASCII)
-_SPACE = dict.fromkeys([0x20, *range(0x09, 0x0E)])
+_SYMBOL, _SPACE = f"[{re.escape(SYMBOLS)}]", r"[\x20\x09-\x0D]"
 
 COLUMNS = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -52,22 +51,38 @@ COLUMNS = (
 )
 
 
-def line_fails(line: str, words: int, chars: int, after: str = "") -> bool:
-    """Whether a line with ``words`` words of ``chars`` code points is removed; ``after`` is
-    the next line with words."""
-    return (
-        (not _MARK.search(line) and not (words <= HEADING_WORDS and _HEADING.search(line) and _MARK.search(after)))
-        or 100 * len(_SYMBOL.findall(line)) > MAX_SYMBOLS * chars
-        or 100 * line.count("!") > MAX_SHOUTS * words
-        or 100 * len(_BAR.findall(line)) > MAX_BARS * words
-        or _BOILER.search(line) is not None
-        or is_menu(line, words)
-    )
+def _count(lines: pa.Array, pattern: str) -> np.ndarray:
+    return pc.count_substring_regex(lines, pattern).to_numpy().astype(np.int64)
+
+
+def _has(lines: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
 
 
-def is_menu(line: str, words: int) -> bool:
-    found = len(_MENU.findall(line))
-    return found > 1 and 5 * found >= 2 * words
+def failing(lines: pa.Array, owner: np.ndarray, words: np.ndarray, chars: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """Whether each line is removed. ``owner``: the text it is of; ``words`` (none: it
+    stays) of ``chars`` code points; ``symbols`` in it."""
+    marked = _has(lines, SENTENCE_MARKS)
+    full = np.flatnonzero(words)
+    leads = np.zeros(len(lines), dtype=bool)  # the next line with words has a sentence mark
+    leads[full[:-1]] = marked[full[1:]] & (owner[full[1:]] == owner[full[:-1]])
+    heading = (words <= HEADING_WORDS) & leads & _has(lines, HEADING)
+    menu = _count(lines, MENU)
+    out = ~marked & ~heading
+    out |= 100 * symbols > MAX_SYMBOLS * chars
+    out |= 100 * pc.count_substring(lines, "!").to_numpy().astype(np.int64) > MAX_SHOUTS * words
+    out |= 100 * _count(lines, BARS) > MAX_BARS * words
+    out |= _has(lines, BOILERPLATE)
+    out |= (menu > 1) & (5 * menu >= 2 * words)
+    return out & (words > 0)
+
+
+def line_fails(line: str, words: int, chars: int, after: str = "") -> bool:
+    """:func:`failing` for one line with ``words`` words of ``chars`` code points; ``after`` is
+    the next line with words."""
+    both = pa.array([line, after])
+    sizes = np.array([words, len(after.split())])
+    return bool(failing(both, np.zeros(2, np.int64), sizes, np.array([chars, len(after)]), _count(both, _SYMBOL))[0])
 
 
 def repeated_words(codes: np.ndarray, groups: np.ndarray, width: int = 3) -> np.ndarray:
@@ -95,40 +110,33 @@ def repeated_words(codes: np.ndarray, groups: np.ndarray, width: int = 3) -> np.
     return out
 
 
-def judge(texts: pa.Array) -> tuple[dict[str, list], list[str | None]]:
+def judge(texts: pa.Array) -> tuple[dict[str, np.ndarray], pa.Array]:
     """The columns of :data:`COLUMNS` for each text, and the texts without failing lines."""
-    coded, groups = coded_words(texts)
-    repeats = repeated_words(coded.indices.to_numpy().astype(np.int64), groups)
-    out: dict[str, list] = {c.split()[0]: [] for c in COLUMNS.split(", ")}
-    cleaned: list[str | None] = []
-    for text, n_words, n_repeat in zip(texts.to_pylist(), groups.tolist(), repeats.tolist(), strict=True):
-        seen: set[str] = set()
-        chars = dups = lost = 0
-        stay: list[str] = []
-        lines = (text or "").split("\n")
-        sizes = [len(line.encode("utf-8", "surrogatepass").split()) for line in lines]
-        nexts, after = [""] * len(lines), ""
-        for i in range(len(lines) - 1, -1, -1):
-            nexts[i] = after
-            after = lines[i] if sizes[i] else after
-        for line, n, after in zip(lines, sizes, nexts, strict=True):
-            if not n:
-                stay.append(line)
-                continue
-            width = len(line.translate(_SPACE))
-            chars += width
-            dups += line in seen
-            seen.add(line)
-            if line_fails(line, n, width, after):
-                lost += n
-            else:
-                stay.append(line)
-        failed = n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEATED * n_words
-        row = (n_words, chars, len(_SYMBOL.findall(text or "")), dups, n_repeat, failed, not failed and 100 * lost <= MAX_LOST * n_words, n_words - lost)
-        for values, value in zip(out.values(), row, strict=True):
-            values.append(value)
-        cleaned.append(None if text is None else "\n".join(stay))
-    return out, cleaned
+    n = len(texts)
+    split = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    lines, per_text = pc.list_flatten(split), pc.list_value_length(split).to_numpy()
+    owner = np.repeat(np.arange(n), per_text)
+    coded, words = coded_words(lines)
+    chars = pc.utf8_length(lines).to_numpy().astype(np.int64) - _count(lines, _SPACE)
+    symbols = _count(lines, _SYMBOL)
+    fails = failing(lines, owner, words, chars, symbols)
+
+    def total(values: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, values, n).astype(np.int64)
+
+    n_words, lost = total(words), total(words * fails)
+    full = words > 0
+    kinds = lines.dictionary_encode().indices.to_numpy().astype(np.int64)[full]
+    first = np.unique(owner[full] * (len(lines) + 1) + kinds) // (len(lines) + 1)
+    dups = total(full.astype(np.int64)) - np.bincount(first, minlength=n)
+    repeats = repeated_words(coded.indices.to_numpy().astype(np.int64), n_words)
+    failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEATED * n_words)
+    kept = ~failed & (100 * lost <= MAX_LOST * n_words)
+    stay = ~fails
+    offsets = np.concatenate([[0], np.cumsum(total(stay.astype(np.int64)))]).astype(np.int32)
+    cleaned = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), lines.filter(pa.array(stay))), "\n")
+    columns = (n_words, total(chars), total(symbols), dups, repeats, failed, kept, n_words - lost)
+    return dict(zip((c.split()[0] for c in COLUMNS.split(", ")), columns, strict=True)), pc.if_else(pc.is_null(texts), pa.scalar(None, pa.string()), cleaned)
 
 
 _TYPES = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()]
@@ -163,7 +171,7 @@ def clean(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced_by_bytes(batches, text_at):
             found, texts = judge(batch.column(text_at))
-            new = batch.set_column(text_at, batch.schema.field(text_at), pa.array(texts, batch.column(text_at).type))
+            new = batch.set_column(text_at, batch.schema.field(text_at), texts)
             yield new.filter(pa.array(found["kept"]))
 
     text_at = docs.columns.index("text")

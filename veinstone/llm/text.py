@@ -6,6 +6,8 @@ ASCII characters, unlike ``str.split``, which also splits at Unicode spaces.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,10 +41,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sliced_by_bytes(batches: Iterable[pa.RecordBatch], col: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns memory that was freed but is still held, as workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def sliced_by_bytes(batches: Iterable[pa.RecordBatch], col: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts (column ``col``) have about ``size`` bytes; one
-    row at least. Memory that Arrow holds back is returned after each incoming batch,
-    as workers live on for later stages."""
+    row at least. Memory is given back after each incoming batch."""
     for batch in batches:
         upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy())
         at = 0
@@ -51,4 +59,4 @@ def sliced_by_bytes(batches: Iterable[pa.RecordBatch], col: int, size: int = 4_0
             stop = max(at + 1, int(np.searchsorted(upto, base + size, side="right")))
             yield batch.slice(at, stop - at)
             at = stop
-        pa.default_memory_pool().release_unused()
+        give_back()
