@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.functions.scalars import cohesion_risk, complexity_risk, coupling_risk
+from veinstone.functions.scalars import below, cohesion_risk, complexity_risk, coupling_risk
 from veinstone.operators import clones, context, extract, gates, graph, joins, metrics
 from veinstone.operators.windows import merge_intervals
 from veinstone.sinks import report
@@ -23,8 +23,12 @@ class Analysis:
 
     @cached_property
     def facts(self) -> DataFrame:
-        name = self.root.rstrip("/").rpartition("/")[2]
-        return extract.extract(readers.source_tree(self.spark, self.root), name).persist()
+        return extract.extract(readers.source_tree(self.spark, self.root), self.top).persist()
+
+    @cached_property
+    def top(self) -> str:
+        """The root as the files' paths begin."""
+        return readers.resolved(self.spark, self.root)
 
     def table(self, family: str) -> DataFrame:
         return extract.family(self.facts, family)
@@ -82,7 +86,7 @@ class Analysis:
         return self.table("classes").withColumns({"coupling_risk": coupling_risk(F.col("cbo")), "cohesion_risk": cohesion_risk(F.col("lcom4"))})
 
     def coverage(self, lines: DataFrame) -> DataFrame:
-        u = self.units.select(F.element_at(F.split("path", self.root.rstrip("/").rpartition("/")[2] + "/"), -1).alias("path"), "qualname", "start", "end", "risk")
+        u = self.units.select(below(F.col("path"), self.top).alias("path"), "qualname", "start", "end", "risk")
         return joins.coverage_join(u, lines)
 
     def adoption(self) -> DataFrame:

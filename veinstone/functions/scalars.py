@@ -89,10 +89,16 @@ def is_test_path(path: Column) -> Column:
     return source_kind(path).isin("tests", "fixtures") | path.rlike(r"(^|/)(conftest\.py|test_[^/]*)$")
 
 
+def below(path: Column, root: str) -> Column:
+    """A path relative to the root that it begins with; others stay."""
+    top = root.rstrip("/") + "/"
+    return F.when(path.startswith(top), F.substring(path, len(top) + 1, 2**31 - 1)).otherwise(path)
+
+
 def module_key(path: Column, root: str) -> Column:
-    """2.1.2: path below root to a dotted module name."""
-    rel = F.regexp_replace(path, F.lit(f"^.*?{root}/"), F.lit(""))
-    return F.translate(F.regexp_replace(F.regexp_replace(rel, r"\.py$", ""), "/__init__$", ""), "/", ".")
+    """2.1.2: path below root (its full path, as the files' paths begin) to a dotted module name."""
+    name = F.regexp_replace(below(path, root), r"\.py$", "")
+    return F.translate(F.regexp_replace(name, "/__init__$", ""), "/", ".")
 
 
 def normal_line(line: Column) -> Column:

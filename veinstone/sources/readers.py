@@ -14,6 +14,12 @@ EXCLUDED = (".git", ".venv", "venv", "__pycache__", "node_modules", "site-packag
 MAX_FILES = 100_000
 
 
+def resolved(spark: SparkSession, root: str) -> str:
+    """The root as the paths of :func:`list_tree` begin."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(path).toString().rstrip("/")
+
+
 def list_tree(spark: SparkSession, root: str, suffix: str = ".py", most: int = MAX_FILES) -> DataFrame:
     """2.1.1, 2.1.6: (path, modificationTime, length) of the files below root, sorted.
 
