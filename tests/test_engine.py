@@ -127,7 +127,7 @@ def test_normal_form():
     [
         ("def f(a): return a", "def f(b): return b", False), ("def f(a: int) -> int: return a", "def f(a): return a", True), ("not a is b", "x is not y", True),
         ("x.y.f(z)", "x.w.f(z)", False), ("x.y.f(z)", "x.y.f(w)", True), ("g(1).f(z)", "g(2).f(z)", True), ("f(a=b)", "f(c=b)", False), ("x.a", "y.b", True),
-        ("__CC_META__x", "y", False), ("x |= 1", "x = x | 2", True), ("a - 1", "1 - a", False), ("def f():\n  'doc'\n  return 1", "def f():\n  return 2", True),
+        ("x |= 1", "x = x | 2", True), ("a - 1", "1 - a", False), ("def f():\n  'doc'\n  return 1", "def f():\n  return 2", True),
     ],
 )
 def test_normal_forms(a, b, same):
@@ -136,7 +136,7 @@ def test_normal_forms(a, b, same):
 
 def test_commutative_numbers():
     def dump(s):
-        return P.ast.dump(P.Normal(constants=True).visit(P.ast.parse(s, mode="eval")))
+        return P.normal_dump(P.ast.parse(s, mode="eval"), constants=True)
 
     assert dump("2 + 1") == dump("1 + 2") and dump("4 | 3") == dump("3 | 4") and dump("2 ^ 1 ^ 0") != dump("'a' + 'b'")
     assert dump("2 - 1") != dump("1 - 2") and dump("x + 1") != dump("1 + x") and dump("2.0 | 1") != dump("1 | 2.0") and dump("True + 1") != dump("1 + True")

@@ -33,62 +33,83 @@ def sha1(text: str) -> str:
 
 
 #: Names of synthetic statements that control-flow builders add; they are kept. Fixed value.
-MARKER = "__CC_META__"
+MARKER = "__CC_META__::"
 
 
-class Normal(ast.NodeTransformer):
-    """2.3.6: one form for code that differs in names, attributes and constants. Argument
-    names, markers and the dotted names of call targets stay; docstrings and the annotations
-    of arguments and returns go; ``x += 1`` becomes ``x = x + 1``, ``not a in b`` and ``not a
-    is b`` become one comparison. Operands of + * | & ^ are put in order where that is known
-    to be safe: numbers, which only differ if ``constants`` keeps them."""
+class Forms:
+    """2.3.6: texts of syntax trees in one form for code that differs in names, attributes and
+    constants. Argument names, markers and the dotted names of call targets stay; docstrings
+    and the annotations of arguments and returns go; ``x += 1`` becomes ``x = x + 1``, ``not
+    a in b`` and ``not a is b`` become one comparison. Operands of + * | & ^ are put in order
+    where that is known to be safe: numbers, which only differ if ``constants`` keeps them.
+
+    Nothing is copied: a node's text is joined from its parts' texts, and kept, as a
+    statement is also part of the statements around it.
+    """
 
     def __init__(self, constants: bool = False) -> None:
         self.constants = constants
+        self.known: dict[int, tuple[ast.AST, str]] = {}
 
-    def visit_FunctionDef(self, node: ast.FunctionDef) -> ast.AST:
-        node.body, node.returns = body_of(node), None
-        return self.generic_visit(node)
+    def __call__(self, node: object) -> str:
+        if isinstance(node, list):
+            return f"[{','.join(map(self, node))}]"
+        if not isinstance(node, ast.AST):
+            return repr(node)
+        at = id(node)
+        if at not in self.known:
+            self.known[at] = node, getattr(self, type(node).__name__, self.other)(node)
+        return self.known[at][1]
 
-    visit_AsyncFunctionDef = visit_FunctionDef
+    def other(self, node: ast.AST) -> str:
+        return f"{type(node).__name__}({','.join([self(getattr(node, f, None)) for f in node._fields if f not in ('ctx', 'type_comment', 'kind')])})"
 
-    def visit_Name(self, node: ast.Name) -> ast.AST:
-        return node if node.id.startswith(MARKER) else ast.Name("_VAR_", node.ctx)
+    def Name(self, node: ast.Name) -> str:
+        return node.id if node.id.startswith(MARKER) else "_VAR_"
 
-    def visit_Attribute(self, node: ast.Attribute) -> ast.AST:
-        return ast.Attribute(self.visit(node.value), "_ATTR_", node.ctx)
+    def Attribute(self, node: ast.Attribute) -> str:
+        return f"{self(node.value)}._ATTR_"
 
-    def visit_Constant(self, node: ast.Constant) -> ast.AST:
-        return node if self.constants else ast.Constant("_CONST_")
+    def Constant(self, node: ast.Constant) -> str:
+        return repr(node.value) if self.constants else "_CONST_"
 
-    def visit_arg(self, node: ast.arg) -> ast.AST:
-        return ast.arg(node.arg, None)
+    def arg(self, node: ast.arg) -> str:
+        return f"arg {node.arg}"
 
-    def target(self, node: ast.expr) -> ast.expr:
+    def target(self, node: ast.expr) -> str:
         """A call target: a dotted name stays as it is, what it hangs on is normalised."""
         if isinstance(node, ast.Attribute):
-            return ast.Attribute(self.target(node.value), node.attr, node.ctx)
-        return node if isinstance(node, ast.Name) else self.visit(node)
+            return f"{self.target(node.value)}.{node.attr}"
+        return f"={node.id}" if isinstance(node, ast.Name) else self(node)
+
+    def Call(self, node: ast.Call) -> str:
+        return f"Call({self.target(node.func)},{self(node.args)},{self(node.keywords)})"
+
+    def FunctionDef(self, node: ast.FunctionDef) -> str:
+        return f"{type(node).__name__}({node.name},{self(node.args)},{self(body_of(node))},{self(node.decorator_list)},{self(getattr(node, 'type_params', []))})"
 
-    def visit_Call(self, node: ast.Call) -> ast.AST:
-        return ast.Call(self.target(node.func), [self.visit(a) for a in node.args], [ast.keyword(k.arg, self.visit(k.value)) for k in node.keywords])
+    AsyncFunctionDef = FunctionDef
 
-    def visit_AugAssign(self, node: ast.AugAssign) -> ast.AST:
-        read = ast.parse(ast.unparse(node.target), mode="eval").body  # the target, as it is read
-        return ast.Assign([self.visit(node.target)], self.visit(ast.BinOp(read, node.op, node.value)))
+    def Assign(self, node: ast.Assign) -> str:
+        return f"Assign({self(node.targets)},{self(node.value)})"
 
-    def visit_UnaryOp(self, node: ast.UnaryOp) -> ast.AST:
-        inner = self.visit(node.operand)
-        negated = {ast.In: ast.NotIn, ast.Is: ast.IsNot}
+    def AugAssign(self, node: ast.AugAssign) -> str:
+        return f"Assign([{self(node.target)}],{self.binary(node.target, node.op, node.value)})"
+
+    def UnaryOp(self, node: ast.UnaryOp) -> str:
+        inner, negated = node.operand, {ast.In: "NotIn()", ast.Is: "IsNot()"}
         if isinstance(node.op, ast.Not) and isinstance(inner, ast.Compare) and len(inner.ops) == 1 and type(inner.ops[0]) in negated:
-            return ast.Compare(inner.left, [negated[type(inner.ops[0])]()], inner.comparators)
-        return ast.UnaryOp(node.op, inner)
+            return f"Compare({self(inner.left)},[{negated[type(inner.ops[0])]}],{self(inner.comparators)})"
+        return self.other(node)
+
+    def BinOp(self, node: ast.BinOp) -> str:
+        return self.binary(node.left, node.op, node.right)
 
-    def visit_BinOp(self, node: ast.BinOp) -> ast.AST:
-        a, b = self.visit(node.left), self.visit(node.right)
-        if commutes(a, node.op) and commutes(b, node.op) and ast.dump(b) < ast.dump(a):
+    def binary(self, left: ast.expr, op: ast.operator, right: ast.expr) -> str:
+        a, b = self(left), self(right)
+        if self.constants and b < a and commutes(left, op) and commutes(right, op):
             a, b = b, a
-        return ast.BinOp(a, node.op, b)
+        return f"BinOp({a},{type(op).__name__},{b})"
 
 
 def commutes(node: ast.expr, op: ast.operator) -> bool:
@@ -107,10 +128,8 @@ def body_of(fn: ast.AST) -> list[ast.stmt]:
     return body
 
 
-def normal_dump(node: ast.AST) -> str:
-    import copy
-
-    return ast.dump(Normal().visit(copy.deepcopy(node)), annotate_fields=False)
+def normal_dump(node: ast.AST, constants: bool = False) -> str:
+    return Forms(constants)(node)
 
 
 def statements(body: list[ast.stmt]) -> Iterator[ast.stmt]:
@@ -140,7 +159,8 @@ class ControlGraph:
     conditions become edges; a handler is reached from the start and the end of what it
     guards. Block 0 is the entry, block 1 the exit."""
 
-    def __init__(self, body: list[ast.stmt]) -> None:
+    def __init__(self, body: list[ast.stmt], form: Forms | None = None) -> None:
+        self.form = form or Forms()
         self.blocks: list[list[str]] = [[], []]
         self.next: list[set[int]] = [set(), set()]
         end = self.walk(body, 0, None)
@@ -166,7 +186,7 @@ class ControlGraph:
         elif isinstance(expr, ast.UnaryOp) and isinstance(expr.op, ast.Not) and isinstance(expr.operand, ast.BoolOp):
             self.test(expr.operand, at, no, yes)
         else:
-            self.blocks[at].append(normal_dump(expr))
+            self.blocks[at].append(self.form(expr))
             self.next[at] |= {yes, no}
 
     def branch(self, body: list[ast.stmt], at: int, after: int, loop: tuple[int, int] | None) -> None:
@@ -190,7 +210,7 @@ class ControlGraph:
                 if isinstance(s, ast.While):
                     self.test(s.test, head, inner, rest)
                 else:
-                    self.blocks[head].append(normal_dump(s.iter))
+                    self.blocks[head].append(self.form(s.iter))
                     self.next[head] |= {inner, rest}
                 self.branch(s.body, inner, head, (after, head))
                 self.branch(s.orelse, rest, after, loop)
@@ -204,7 +224,7 @@ class ControlGraph:
                     self.next[end].add(after)
                 at = self.walk(s.finalbody, after, loop)
             elif isinstance(s, ast.Match):
-                self.blocks[at].append(normal_dump(s.subject))
+                self.blocks[at].append(self.form(s.subject))
                 after = self.new()
                 for case in s.cases:
                     self.branch(case.body, self.new(at), after, loop)
@@ -212,13 +232,13 @@ class ControlGraph:
                     self.next[at].add(after)
                 at = after
             elif isinstance(s, (ast.With, ast.AsyncWith)):
-                self.blocks[at] += [normal_dump(i.context_expr) for i in s.items]
+                self.blocks[at] += [self.form(i.context_expr) for i in s.items]
                 at = self.walk(s.body, at, loop)
             elif isinstance(s, (ast.Break, ast.Continue)) and loop:
                 self.next[at].add(loop[isinstance(s, ast.Continue)])
                 at = None
             else:
-                self.blocks[at].append(normal_dump(s))
+                self.blocks[at].append(self.form(s))
                 if isinstance(s, (ast.Return, ast.Raise)):
                     self.next[at].add(1)
                     at = None
@@ -480,6 +500,7 @@ def facts(source: str, module: str, test: bool = False) -> dict:
     for x in ast.walk(tree):
         if isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id in ("eval", "exec", "compile", "__import__"):
             out["surfaces"].append((BOUNDARIES[x.func.id], f"call_{x.func.id}", x.lineno))
+    form = Forms()
     defs = list(definitions(tree))
     local = {name for name, _, _ in defs}
     classes = {name for name, kind, _ in defs if kind == "class"}
@@ -503,9 +524,9 @@ def facts(source: str, module: str, test: bool = False) -> dict:
             out["classes"].append((qual, start, end, cbo(node, set(bound), classes), lcom4(node), sum(isinstance(m, FUNCTIONS) for m in node.body)))
         else:
             body = body_of(node)
-            dumps = [normal_dump(s) for s in statements(body)]
+            dumps = [form(s) for s in statements(body)]
             n_guard, profile, effect = guards(body)
-            flow = ControlGraph(body)
+            flow = ControlGraph(body, form)
             raw = sha1("".join("".join(lines[start - 1 : end]).split()))
             out["units"].append((qual, start, end, end - start + 1, len(dumps), flow.fingerprint(), flow.complexity(), nesting(body), raw, n_guard, profile, effect, terminal(body)))
             out["stmts"] += [(qual, i, s.lineno, s.end_lineno, sha1(d), isinstance(s, ast.Assert)) for i, (s, d) in enumerate(zip(statements(body), dumps, strict=True))]
