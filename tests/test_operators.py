@@ -73,8 +73,9 @@ def test_deep_graphs(spark):
     chain = [(f"n{i:04}", f"n{i + 1:04}") for i in range(40)]
     circle = [(f"c{i:03}", f"c{(i + 1) % 30:03}") for i in range(30)]
     e = graph.edges(spark.createDataFrame(chain + circle, "s string, t string"), "s", "t").coalesce(1)
-    assert max(r.depth for r in graph.depths(e.where("src LIKE 'n%'")).collect()) == 41
-    assert [(r.component, r.size) for r in graph.cycles(e).collect()] == [("c000", 30)]
+    for few in (0, 1000):
+        assert max(r.depth for r in graph.depths(e.where("src LIKE 'n%'"), few=few).collect()) == 41
+        assert [(r.component, r.size) for r in graph.cycles(e, few=few).collect()] == [("c000", 30)]
     assert {r.root for r in graph.components(e.selectExpr("src AS a", "dst AS b")).collect()} == {"n0000", "c000"}
     rows = [(i, i - 1 if i % 400 else None) for i in range(800)] + [(1000, 1001), (1001, 1000), (1002, 1000), (1003, 77777)]
     got = graph.forest(spark.createDataFrame([(a, b, a) for a, b in rows], "id int, parent int, at int").selectExpr("id", "parent", "timestamp_seconds(at) AS at")).collect()
@@ -108,11 +109,14 @@ def test_longest_paths_with_cycles(spark):
         e = graph.edges(spark.createDataFrame(pairs, "s string, t string"), "s", "t")
         for n in every:
             walk(n, frozenset(), lambda n: 0, lambda n: 1, lambda n, old, tail: max(old, 1 + tail))
-        assert {r.node: r.depth for r in graph.depths(e).collect()} == memo
+        for few in (0, 1000):
+            assert {r.node: r.depth for r in graph.depths(e, few=few).collect()} == memo
         memo.clear()
         for n in every:
             walk(n, frozenset(), lambda n: (n,), lambda n: (n,), lambda n, old, tail: min(old, (n, *tail), key=lambda p: (-len(p), p)))
-        assert [tuple(r.path) for r in graph.chains(e, 4).collect()] == sorted(set(memo.values()), key=lambda p: (-len(p), p))[:4]
+        for few in (0, 1000):
+            assert [tuple(r.path) for r in graph.chains(e, 4, few=few).collect()] == sorted(set(memo.values()), key=lambda p: (-len(p), p))[:4]
+        assert sorted(map(tuple, graph.cycles(e, few=0).collect())) == sorted(map(tuple, graph.cycles(e, few=1000).collect()))
 
 
 def test_coverage_join(spark):

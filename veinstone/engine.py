@@ -11,19 +11,41 @@ from pyspark.sql import functions as F
 from veinstone.functions.scalars import below, cohesion_risk, complexity_risk, coupling_risk
 from veinstone.operators import clones, context, extract, gates, graph, joins, metrics
 from veinstone.operators.windows import merge_intervals
+from veinstone.session import cut_lineage
 from veinstone.sinks import report
 from veinstone.sources import readers
 
 
+#: Facts of another version of the extractor are not reused.
+FACTS_VERSION = "2"
+
+
 class Analysis:
     """One run over a source tree. Facts are extracted once and kept for all questions."""
 
-    def __init__(self, spark: SparkSession, root: str, min_loc: int = 10, min_stmt: int = 6, entrypoints: DataFrame | None = None) -> None:
-        self.spark, self.root, self.min_loc, self.min_stmt, self.entrypoints = spark, root, min_loc, min_stmt, entrypoints
+    def __init__(self, spark: SparkSession, root: str, min_loc: int = 10, min_stmt: int = 6, entrypoints: DataFrame | None = None, cache: str | None = None) -> None:
+        self.spark, self.root, self.min_loc, self.min_stmt, self.entrypoints, self.cache = spark, root, min_loc, min_stmt, entrypoints, cache
 
     @cached_property
     def facts(self) -> DataFrame:
-        return extract.extract(readers.source_tree(self.spark, self.root), self.top).persist()
+        """Facts of every file; with a ``cache`` folder, only new and changed files are read."""
+        files = readers.list_tree(self.spark, self.root)
+        if not self.cache:
+            return extract.extract(readers.contents(files), self.top).persist()
+        stamp = files.select("path", "modificationTime", "length")
+        known = readers.fact_lake(self.spark, self.cache, FACTS_VERSION, "full")
+        if known is None:
+            fresh = extract.extract(readers.contents(files), self.top).join(F.broadcast(stamp), "path")
+            readers.save_facts(fresh, self.cache, FACTS_VERSION, "full")
+            return readers.fact_lake(self.spark, self.cache, FACTS_VERSION, "full").persist()
+        todo, reuse, _ = readers.cache_split(stamp, known)
+        todo = cut_lineage(todo)
+        if todo.isEmpty():
+            return reuse.persist()
+        fresh = extract.extract(readers.contents(todo), self.top).join(F.broadcast(stamp), "path")
+        every = cut_lineage(reuse.unionByName(fresh, allowMissingColumns=True))
+        readers.save_facts(every.drop("fingerprint_version", "profile"), self.cache, FACTS_VERSION, "full")
+        return every.persist()
 
     @cached_property
     def top(self) -> str:
@@ -64,8 +86,12 @@ class Analysis:
         roots = self.facts.where("ok").select(F.substring_index("module", ".", 1).alias("root")).distinct()
         return graph.internal(graph.edges(self.table("deps"), "source", "target"), roots)
 
+    @cached_property
+    def _cycles(self) -> DataFrame:
+        return graph.cycles(self.edges()).persist()
+
     def cycles(self) -> DataFrame:
-        return graph.cycles(self.edges())
+        return self._cycles
 
     def blast_radius(self, modules: list[str]) -> DataFrame:
         """2.7.20: direct and transitive dependents of modules, with the level of each."""

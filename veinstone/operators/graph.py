@@ -91,9 +91,54 @@ def _peel(core: DataFrame) -> DataFrame:
     return core
 
 
-def cycles(e: DataFrame) -> DataFrame:
+#: Graphs of at most so many edges are done by one task, larger ones in rounds over the cluster.
+FEW_EDGES = 10_000
+
+
+def _strong(table: pa.Table) -> pa.Table:
+    """Strongly connected components of one small graph (src, dst), without recursion: a walk
+    that notes the earliest open node each node reaches."""
+    near: dict[str, list[str]] = {}
+    for a, b in zip(table.column("src").to_pylist(), table.column("dst").to_pylist(), strict=True):
+        near.setdefault(a, []).append(b)
+    seen: dict[str, int] = {}
+    low: dict[str, int] = {}
+    open_: list[str] = []
+    is_open: set[str] = set()
+    found: list[list[str]] = []
+    for first in near:
+        if first in seen:
+            continue
+        walk = [(first, iter(near[first]))]
+        seen[first] = low[first] = len(seen)
+        open_.append(first)
+        is_open.add(first)
+        while walk:
+            node, rest = walk[-1]
+            to = next((x for x in rest if x not in seen or x in is_open), None)
+            if to is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == seen[node]:
+                    at = open_.index(node)
+                    found.append(sorted(open_[at:]))
+                    is_open -= set(open_[at:])
+                    del open_[at:]
+            elif to in seen:
+                low[node] = min(low[node], seen[to])
+            else:
+                seen[to] = low[to] = len(seen)
+                open_.append(to)
+                is_open.add(to)
+                walk.append((to, iter(near.get(to, []))))
+    found = [c for c in found if len(c) > 1 or c[0] in near.get(c[0], [])]
+    return pa.table({"component": [c[0] for c in found], "members": found, "size": [len(c) for c in found]}, schema=pa.schema([("component", pa.string()), ("members", pa.list_(pa.string())), ("size", pa.int64())]))
+
+
+def cycles(e: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """2.7.4: (component, members, size): strongly connected components of several nodes,
-    and self-loops.
+    and self-loops. At most ``few`` edges are walked by one task.
 
     Forward-backward colouring: nodes without an edge in or out are peeled off; each
     node takes the smallest node that reaches it as its colour; inside a colour, the
@@ -101,6 +146,8 @@ def cycles(e: DataFrame) -> DataFrame:
     graph. Every round moves one label a node, so nothing grows with pairs of nodes.
     """
     core = cut_lineage(e)
+    if core.limit(few + 1).count() <= few:
+        return core.select("src", "dst", F.lit(0).alias("one")).groupBy("one").applyInArrow(_strong, "component string, members array<string>, size long")
     loops = cut_lineage(core.where("src = dst").select(F.col("src").alias("origin"), F.col("src").alias("component")))
     found = None
     while True:
@@ -195,9 +242,18 @@ _DEPTH_RULES = (lambda n: 1, lambda n, old, tail: max(old, 1 + tail), lambda n:
 _PATH_RULES = (lambda n: (n,), lambda n, old, tail: min(old, (n, *tail), key=lambda p: (-len(p), p)), lambda n: (n,))
 
 
-def depths(e: DataFrame, most: int = 1_000_000) -> DataFrame:
+def _sinks(e: DataFrame) -> DataFrame:
+    """Nodes without an edge out, which a walk of all edges does not return."""
+    return e.select(F.col("dst").alias("node")).distinct().join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+
+
+def depths(e: DataFrame, most: int = 1_000_000, few: int = FEW_EDGES) -> DataFrame:
     """2.7.5: (node, depth): nodes on the longest path from each node. Nodes that reach a
-    cycle are done by visit order (:func:`_visited`)."""
+    cycle are done by visit order (:func:`_visited`), as are graphs of at most ``few`` edges."""
+    e = cut_lineage(e)
+    if e.limit(few + 1).count() <= few:
+        ends = _sinks(e).withColumn("depth", F.lit(1))
+        return _visited(e, ends, "depth", "int", _DEPTH_RULES, most).unionByName(ends)
     done, rest = _layers(e)
     return done if rest.isEmpty() else done.unionByName(_visited(rest, done, "depth", "int", _DEPTH_RULES, most))
 
@@ -208,10 +264,15 @@ def depth_profile(d: DataFrame) -> DataFrame:
     return d.agg(F.max("depth").alias("max_depth"), F.bround(F.avg("depth"), 4).alias("avg_depth")).join(F.broadcast(p95))
 
 
-def chains(e: DataFrame, k: int = 5, most: int = 1_000_000) -> DataFrame:
+def chains(e: DataFrame, k: int = 5, most: int = 1_000_000, few: int = FEW_EDGES) -> DataFrame:
     """2.7.7: each node's longest path (the first by order of its nodes), and of those the k
     longest. Nodes that reach a cycle are done by visit order; a path may end in a node
-    that it has already."""
+    that it has already. Graphs of at most ``few`` edges are done by one task."""
+    e = cut_lineage(e)
+    if e.limit(few + 1).count() <= few:
+        ends = _sinks(e).withColumn("path", F.array("node"))
+        found = _visited(e, ends, "path", "array<string>", _PATH_RULES, most).unionByName(ends).select("path").distinct()
+        return found.withColumn("length", F.size("path")).orderBy(F.desc("length"), "path").limit(k).select("length", "path")
     d, rest = _layers(e)
     at = cut_lineage(d.where("depth = 1").select("node", F.array("node").alias("path")))
     done = at

@@ -44,7 +44,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     )
     folder = F.when(k % 13 == 0, "tests").otherwise(F.concat(F.lit("m"), (k % 7).cast("string")))
     content = F.when(k % 50 == 49, "def (:").otherwise(F.array_join(lines, "\n"))
-    return p.select(F.concat(F.lit("src/"), folder, F.lit("/f"), k.cast("string"), F.lit(".py")).alias("path"), F.encode(content, "UTF-8").alias("content")).repartition("path")
+    return p.select(F.concat(F.lit("src/"), folder, F.lit("/f"), k.cast("string"), F.lit(".py")).alias("path"), F.encode(content, "UTF-8").alias("content")).repartition(max(8, spark.sparkContext.defaultParallelism), "path")
 
 
 def facts(spark: SparkSession, sf: str, *families: str) -> DataFrame:

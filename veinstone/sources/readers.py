@@ -44,9 +44,14 @@ def list_tree(spark: SparkSession, root: str, suffix: str = ".py", most: int = M
     return spark.createDataFrame(sorted(rows), "path string, modificationTime long, length long")
 
 
-def source_tree(spark: SparkSession, root: str, suffix: str = ".py", max_bytes: int = 10 << 20) -> DataFrame:
-    """The files of :func:`list_tree` with their content; null above ``max_bytes`` or where
-    reading fails. Contents are read by the executors."""
+def source_tree(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
+    """The files of :func:`list_tree` with their content."""
+    return contents(list_tree(spark, root, suffix))
+
+
+def contents(files: DataFrame, max_bytes: int = 10 << 20) -> DataFrame:
+    """Files with their content; null above ``max_bytes`` or where reading fails. Contents are
+    read by the executors, the largest files dealt out first, one to each task in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -62,8 +67,9 @@ def source_tree(spark: SparkSession, root: str, suffix: str = ".py", max_bytes:
                     contents.append(None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(contents, pa.binary())], names=["path", "modificationTime", "length", "content"])
 
-    files = list_tree(spark, root, suffix)
-    return files.repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(run, "path string, modificationTime long, length long, content binary")
+    tasks = 2 * max(1, files.sparkSession.sparkContext.defaultParallelism)
+    dealt = files.coalesce(1).sortWithinPartitions(F.desc("length"), "path").repartition(tasks)
+    return dealt.mapInArrow(run, "path string, modificationTime long, length long, content binary")
 
 
 def cache_split(files: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -73,10 +79,13 @@ def cache_split(files: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFra
     return files.join(known, key, "left_anti"), cached.join(files.select(*key), key, "left_semi"), cached.join(files.select("path"), "path", "left_semi")
 
 
-def fact_lake(spark: SparkSession, folder: str, version: str, profile: str) -> DataFrame:
-    """2.1.7, 2.1.9, 2.2.12: cached facts of one version and profile; others are pruned as
-    partitions and never read."""
-    return spark.read.parquet(folder).where((F.col("fingerprint_version") == version) & (F.col("profile") == profile))
+def fact_lake(spark: SparkSession, folder: str, version: str, profile: str) -> DataFrame | None:
+    """2.1.7, 2.1.9, 2.2.12: cached facts of one version and profile, or None without any;
+    other partitions are never read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/fingerprint_version={version}/profile={profile}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.option("basePath", folder).parquet(path.toString())
 
 
 def save_facts(facts: DataFrame, folder: str, version: str, profile: str) -> None:
