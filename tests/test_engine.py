@@ -166,3 +166,95 @@ def test_sources(spark, tmp_path, tree):
     docs = spark.createDataFrame([(1, "# One\nsee `pkg/a.py`\n## Two\n12 tools and `x/b.py`")], "id int, text string")
     assert sorted((r.heading, r.path) for r in readers.document_links(docs, "text").collect()) == [("One", "pkg/a.py"), ("Two", "x/b.py")]
     assert [r.claimed for r in readers.count_contradictions(docs, "text", 11).collect()] == [12]
+
+
+def test_cache_reads_changed_files_only(spark, tmp_path):
+    root = tmp_path / "t"
+    root.mkdir()
+    for n in "ab":
+        (root / f"{n}.py").write_text(f"def {n}():\n    return 1\n")
+    cache = str(tmp_path / "lake")
+
+    def units():
+        run = analyze(spark, str(root), cache=cache)
+        found = {r.qualname for r in run.units.collect()}
+        run.facts.unpersist()
+        return found
+
+    assert units() == {"a:a", "b:b"} == units()
+    (root / "b.py").write_text("def other():\n    return 22\n")
+    (root / "c.py").write_text("def c():\n    return 1\n")
+    assert units() == {"a:a", "b:other", "c:c"} == units()
+    (root / "a.py").unlink()
+    assert units() == {"b:other", "c:c"}
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    from veinstone import cli
+
+    base, out = str(tmp_path / "base"), tmp_path / "r.sarif"
+    assert cli.main([tree, "--format", "json", "--baseline", base, "--update-baseline", "--fail-on-new"]) == 3
+    assert "clone:new" in capsys.readouterr().err
+    assert cli.main([tree, "--format", "sarif", "--output", str(out), "--baseline", base, "--fail-on-new", "--changed", "pkg/b.py"]) == 0
+    results = json.loads(out.read_text())["runs"][0]["results"]
+    assert results and {r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] for r in results} == {"pkg/b.py"}
+    assert {r["baselineState"] for r in results if r["ruleId"] == "clone"} == {"unchanged"}
+    xml = tmp_path / "c.xml"
+    xml.write_text('<coverage><class filename="pkg/a.py"><lines><line number="5" hits="0"/></lines></class></coverage>')
+    assert cli.main([tree, "--coverage", str(xml), "--fail-coverage-hotspots", "--fail-complexity", "3", "--changed", "pkg/c.py"]) == 3
+    shown = capsys.readouterr()
+    assert "metric:complexity_threshold" in shown.err and "pkg.c:orphan" in shown.out and "pkg.b" not in shown.out.split("findings")[1].split("cycles")[0]
+
+
+def test_tools_over_stored_runs(spark, tree, tmp_path):
+    import shutil
+
+    from veinstone.tools import Tools
+
+    root = str(tmp_path / "copy")
+    shutil.copytree(tree, root)
+    tools = Tools(spark, str(tmp_path / "store"))
+    first = tools.analyze_repository(root)
+    assert tools.latest_run() == first and tools.latest_run(first + "zz") == first
+    found = {r.id: r for r in tools.list_findings(first).collect()}
+    assert "dead_code:pkg.c:orphan" in found and found["dead_code:pkg.c:orphan"].path == "pkg/c.py"
+    assert tools.finding(first, "cycle:pkg.a").count() == 1 and tools.list_findings(first, limit=2).count() == 2
+    assert [r.advice for r in tools.remediation(first, "cycle:pkg.a").collect()] == ["invert one import"]
+    assert tools.hotspots(first, 1).collect()[0].subject == "pkg.a"
+    assert tools.check(first, "complexity", 3).count() == 2 and tools.check(first, "dead_code").count() > 0
+    assert tools.blast_radius(first, ["pkg.b"]).collect()[0].component == "pkg.a" and {r.dependent for r in tools.blast_artifact(first, "pkg.b").collect()} == {"pkg.a", "pkg.c", "pkg.tests.test_c"}
+    assert tools.evaluate_gates(first, {"dependency_cycles": True}).collect()[0].exit_code == 3
+    assert tools.report_section(first, "inventory").collect()[0].files == 6
+    intent = tools.start_change(first, ["pkg/c.py"], "me")
+    with pytest.raises(ValueError, match="another open intent"):
+        tools.start_change(first, ["pkg/c.py"], "you")
+    (tmp_path / "copy" / "pkg" / "c.py").write_text("def late():\n    return 1\n")
+    second, changed = tools.analyze_changed_paths(root, ["pkg/c.py"])
+    assert {r.id for r in changed.collect()} == {"dead_code:pkg.c:late"}
+    diff = {r.key if "key" in r else r[0]: r.change for r in tools.compare_runs(first, second).collect()}
+    assert diff["dead_code:pkg.c:late"] == "added" and diff["dead_code:pkg.c:orphan"] == "removed"
+    assert tools.pr_summary(second, first, ["pkg"]).collect()[0].added >= 1
+    assert tools.check_patch(intent, second, ["pkg/c.py", "pkg/a.py"]).collect()[0].out_of_scope == 1
+    assert tools.finish_change(intent, second, ["pkg/c.py"]).collect()[0].accepted
+    assert {(r.agent, r.state) for r in tools.session_stats().collect()} == {("me", "accepted")}
+    tools.remember(spark.createDataFrame([("1", "note", "pkg/c.py", "The box"), ("2", "note", "pkg/d", "Other")], "id string, type string, subject string, statement string"))
+    tools.decide(spark.createDataFrame([("1", "approve")], "id string, decision string"))
+    assert [r.status for r in tools.memory("search", "box").collect()] == ["active"] and tools.memory("drafts").count() == 1
+    assert [r.id for r in tools.memory("for_path", "pkg/c.py").collect()] == ["1"]
+    texts = [("a", "dead_code:pkg.c:late is not new. But dead_code:pkg.c:late was introduced here."), ("b", "F-12 is fine, no regressions."), ("c", "cycle:pkg.a does not block the release")]
+    said = tools.validate_claims(second, spark.createDataFrame(texts, "text_id string, text string"))
+    assert {(r.text_id, r.id) for r in said["citations"].collect()} == {("a", "dead_code:pkg.c:late"), ("c", "cycle:pkg.a")}
+    assert {(r.text_id, r.pattern) for r in said["violations"].collect()} == {("a", "regression_overclaim")}
+    assert {(r.text_id, r.warning) for r in said["warnings"].collect()} == {("b", "no_citations"), ("b", "unknown_id:F-12")}
+    assert [r.text_id for r in said["text_violations"].collect()] == ["b"]
+    with pytest.raises(ValueError, match="no check"):
+        tools.check(first, "taste")
+
+
+def test_metric_families(spark, run):
+    from veinstone.operators import reporting
+
+    found = reporting.payload(run)
+    assert set(found) == set(reporting.FAMILIES)
+    assert found["dependencies"].collect()[0].cycles == 1 and found["dead_code"].collect()[0].suppressed == 1
+    assert found["overloaded_modules"].count() == 5 and found["inventory"].columns == sorted(found["inventory"].columns)

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinstone.functions.scalars import below, cohesion_risk, complexity_risk, coupling_risk
+from veinstone.functions.scalars import below, cohesion_risk, complexity_risk, coupling_risk, is_test_path
 from veinstone.operators import clones, context, extract, gates, graph, joins, metrics
 from veinstone.operators.windows import merge_intervals
 from veinstone.session import cut_lineage
@@ -74,7 +74,7 @@ class Analysis:
 
     def dead_code(self, with_suppressed: bool = False) -> DataFrame:
         """2.8.4, 2.8.5; symbols that only tests use are dead."""
-        c = extract.suppressed(self.table("candidates"), self.table("suppressions")).where(~F.col("path").rlike("(^|/)(tests/|test_|conftest)"))
+        c = extract.suppressed(self.table("candidates"), self.table("suppressions")).where(~is_test_path(below(F.col("path"), self.top)))
         reach = self.table("reach").select("qualname")
         if self.entrypoints is not None:
             reach = reach.unionByName(joins.entrypoints(self.entrypoints, c.select("qualname")).select("qualname"))
@@ -159,12 +159,33 @@ class Analysis:
     def evaluate_gates(self, config: dict) -> DataFrame:
         return gates.evaluate(self.state(), config)
 
+    def modules(self) -> DataFrame:
+        return self.facts.where("ok").select("module")
+
+    def clone_members(self) -> DataFrame:
+        """Functions of the clone groups, by group."""
+        u = clones.eligible(self.units, self.min_loc, self.min_stmt).withColumn("group_key", F.concat_ws("|", "fingerprint", "loc_bucket"))
+        return u.select("group_key", "path", "qualname", "start", "end").join(self.function_clones().select("group_key", "group_id"), "group_key")
+
+    def overloaded(self) -> DataFrame:
+        """2.6.12: modules by size and links."""
+        size = self.facts.where("ok").select("module", F.col("stats.lines").alias("lines"), (F.col("stats.functions") + F.col("stats.methods")).alias("callables"))
+        links = graph.fan(self.edges()).select(F.col("node").alias("module"), "fan_in", "fan_out")
+        return metrics.overloaded(size.join(links, "module", "left").fillna(0, ["fan_in", "fan_out"]), "module", ["lines", "callables"], ["fan_in", "fan_out"])
+
     def summary(self) -> DataFrame:
         return metrics.complexity_summary(self.units)
 
-    def report(self) -> DataFrame:
-        """2.2.1: the canonical document, one row."""
-        parts = {"inventory": (self.inventory(), ["files"]), "findings": (self.findings(), ["family", "subject"]), "cycles": (self.cycles(), ["component"])}
+    def report(self, changed: list[str] | None = None) -> DataFrame:
+        """2.2.1: the canonical document, one row; with ``changed``, only findings whose symbol
+        lies under these paths (relative to the root)."""
+        found = self.findings()
+        if changed:
+            places = self.units.select("path", F.col("qualname").alias("subject")).unionByName(self.classes().select("path", F.col("qualname").alias("subject")))
+            wanted = self.spark.createDataFrame([(p.strip("/"),) for p in changed], "p string")
+            here = joins.under_paths(places.withColumn("path", below(F.col("path"), self.top)), "path", wanted, "p")
+            found = found.join(here.select("subject").distinct(), "subject", "left_semi").select(*found.columns)
+        parts = {"inventory": (self.inventory(), ["files"]), "findings": (found, ["family", "subject"]), "cycles": (self.cycles(), ["component"])}
         return report.document(parts, {"root": self.root.rstrip("/").rpartition("/")[2]})
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veinstone.functions.scalars import is_test_path, loc_bucket, module_key
+from veinstone.functions.scalars import below, is_test_path, loc_bucket, module_key
 
 #: Families and the fields of their rows.
 FAMILIES = {
@@ -70,7 +70,7 @@ def extract(files: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], f.type) for n, f in zip(names, arrow, strict=True)], names=names)
 
     path = F.col("path")
-    return files.select("path", module_key(path, root).alias("module"), "content", is_test_path(path).alias("test")).mapInArrow(run, schema)
+    return files.select("path", module_key(path, root).alias("module"), "content", is_test_path(below(path, root)).alias("test")).mapInArrow(run, schema)
 
 
 def family(facts: DataFrame, name: str) -> DataFrame:
