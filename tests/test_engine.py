@@ -258,3 +258,12 @@ def test_metric_families(spark, run):
     assert set(found) == set(reporting.FAMILIES)
     assert found["dependencies"].collect()[0].cycles == 1 and found["dead_code"].collect()[0].suppressed == 1
     assert found["overloaded_modules"].count() == 5 and found["inventory"].columns == sorted(found["inventory"].columns)
+
+
+def test_parse_limit(spark):
+    from veinstone.operators import extract
+
+    slow = "x = " + "+".join(["[1, 2, 3]"] * 400) + "\n"
+    rows = [("/r/a.py", b"def f(): pass\n"), ("/r/b.py", (slow * 300).encode())]
+    got = {r.path: (r.ok, r.error_kind) for r in extract.extract(spark.createDataFrame(rows, "path string, content binary"), "/r", seconds=0.05).collect()}
+    assert got == {"/r/a.py": (True, None), "/r/b.py": (False, "parse_error")}

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import ast
 import builtins
+import contextlib
 import hashlib
 import io
 import re
+import signal
+import threading
 import tokenize
 from collections.abc import Iterator
 
@@ -483,6 +486,26 @@ def resolve(parts: list[str], bound: dict[str, str], modules: set[str]) -> str:
     return f"{'.'.join(full[:k])}:{'.'.join(full[k:])}" if k else ""
 
 
+@contextlib.contextmanager
+def time_limit(seconds: float) -> Iterator[None]:
+    """2.1.4: TimeoutError after so many CPU seconds of this process; only the main thread of a
+    process can be interrupted, in others nothing is limited."""
+
+    def stop(number: int, frame: object) -> None:
+        raise TimeoutError(f"over {seconds} seconds of CPU time")
+
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+    before = signal.signal(signal.SIGVTALRM, stop)
+    signal.setitimer(signal.ITIMER_VIRTUAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_VIRTUAL, 0)
+        signal.signal(signal.SIGVTALRM, before)
+
+
 def facts(source: str, module: str, test: bool = False) -> dict:
     """2.3.1: every fact family of a file in one pass over its tree."""
     tree = ast.parse(source)

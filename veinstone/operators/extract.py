@@ -34,10 +34,11 @@ def _schema() -> str:
     return f"path string, module string, ok boolean, error_kind string, error string, names array<string>, qualnames array<string>, {_STATS}, {', '.join(fields)}"
 
 
-def extract(files: DataFrame, root: str) -> DataFrame:
-    """2.1.3, 2.3.1: files (path, content) to one row each with all facts as arrays.
+def extract(files: DataFrame, root: str, seconds: float = 30.0) -> DataFrame:
+    """2.1.3, 2.1.4, 2.3.1: files (path, content) to one row each with all facts as arrays.
 
-    Files over 10 MiB, undecodable and unparsable ones become rows with an error kind.
+    Files over 10 MiB, undecodable and unparsable ones, and those that take more than
+    ``seconds`` of CPU time, become rows with an error kind.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -49,16 +50,17 @@ def extract(files: DataFrame, root: str) -> DataFrame:
     stat_keys = {"stats": ["lines", "functions", "methods", "classes"], "adoption": ["params", "annotated", "returns", "returns_annotated", "public", "documented"]}
 
     def one(path: str, module: str, content: bytes | None, test: bool) -> dict:
-        from veinstone.functions.python_facts import facts
+        from veinstone.functions.python_facts import facts, time_limit
 
         row = {"path": path, "module": module, "ok": False, "error_kind": None, "error": None}
         if content is None or len(content) > MAX_BYTES:
             return row | {"error_kind": "file_too_large" if content else "source_read_error"}
         try:
-            found = facts(content.decode("utf-8"), module, test)
+            with time_limit(seconds):
+                found = facts(content.decode("utf-8"), module, test)
         except UnicodeDecodeError as e:
             return row | {"error_kind": "source_read_error", "error": str(e)[:200]}
-        except (SyntaxError, ValueError, RecursionError) as e:
+        except (SyntaxError, ValueError, RecursionError, TimeoutError) as e:
             return row | {"error_kind": "parse_error", "error": str(e)[:200]}
         row |= {k: [dict(zip(keys[k], r, strict=True)) for r in found[k]] for k in FAMILIES}
         row |= {k: dict(zip(v, found[k], strict=True)) for k, v in stat_keys.items()}

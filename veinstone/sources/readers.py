@@ -114,7 +114,7 @@ def entrypoint_refs(spark: SparkSession, text: str) -> DataFrame:
 def churn(log: DataFrame, since: str, least: int = 10) -> DataFrame:
     """2.1.14: changes of .py paths in a log (path, at) since a day, often changed ones only."""
     rows = log.where((F.col("at") >= F.lit(since).cast("timestamp")) & F.col("path").endswith(".py"))
-    return rows.groupBy("path").agg(F.count("*").alias("changes")).where(F.col("changes") >= least)
+    return rows.groupBy("path").agg(F.count("*").alias("changes")).where(F.col("changes") >= least).orderBy(F.desc("changes"), "path")
 
 
 def changed_paths(spark: SparkSession, diff: str) -> DataFrame:
