@@ -238,4 +238,5 @@ def test_rebuild_stream(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         last = ST.latest_trajectories(spark, out).collect()
+        assert all(p.name.startswith(("epoch=", "_", ".")) for p in (tmp_path / "history").iterdir())
         assert [(r.outcome, r.event_count) for r in last] == [[("accepted", 1)], [("violated", 3)]][n]

@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("root")
     p.add_argument("--format", choices=[*sorted(FORMATS), "sarif"], default="text")
     p.add_argument("--output", help="file for the report, else standard output")
+    p.add_argument("--sections", help="folder for the report's sections as JSON lines, of any size")
     p.add_argument("--cache", help="folder of facts; only new and changed files are read again")
     p.add_argument("--min-loc", type=int, default=10)
     p.add_argument("--min-stmt", type=int, default=6)
@@ -86,6 +87,8 @@ def main(argv: list[str] | None = None) -> int:
         text = report.sarif(rows).collect()[0].sarif
     else:
         text = FORMATS[a.format](run.report(changed))
+    if a.sections:
+        report.save_sections(run.sections(), a.sections)
     if a.output:
         Path(a.output).write_text(text, encoding="utf-8")
     else:

@@ -176,6 +176,10 @@ class Analysis:
     def summary(self) -> DataFrame:
         return metrics.complexity_summary(self.units)
 
+    def sections(self) -> dict[str, tuple[DataFrame, list[str]]]:
+        """The sections of the report and their order."""
+        return {"inventory": (self.inventory(), ["files"]), "findings": (self.findings(), ["family", "subject"]), "cycles": (self.cycles(), ["component"])}
+
     def report(self, changed: list[str] | None = None) -> DataFrame:
         """2.2.1: the canonical document, one row; with ``changed``, only findings whose symbol
         lies under these paths (relative to the root)."""
@@ -185,7 +189,7 @@ class Analysis:
             wanted = self.spark.createDataFrame([(p.strip("/"),) for p in changed], "p string")
             here = joins.under_paths(places.withColumn("path", below(F.col("path"), self.top)), "path", wanted, "p")
             found = found.join(here.select("subject").distinct(), "subject", "left_semi").select(*found.columns)
-        parts = {"inventory": (self.inventory(), ["files"]), "findings": (found, ["family", "subject"]), "cycles": (self.cycles(), ["component"])}
+        parts = self.sections() | {"findings": (found, ["family", "subject"])}
         return report.document(parts, {"root": self.root.rstrip("/").rpartition("/")[2]})
 
 

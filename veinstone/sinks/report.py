@@ -29,6 +29,13 @@ def document(sections: dict[str, tuple[DataFrame, list[str]]], meta: dict[str, s
     return out.select(F.concat(F.lit('{"meta":'), info, F.lit(',"sections":'), body, F.lit("}")).alias("document"), F.sha2(body, 256).alias("digest"))
 
 
+def save_sections(sections: dict[str, tuple[DataFrame, list[str]]], folder: str) -> None:
+    """2.2.3 for any size: each section as JSON lines in order, written by the executors; the
+    one-row document above is for reports that people read."""
+    for name, (df, order) in sections.items():
+        df.select(*sorted(df.columns)).orderBy(*order).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder.rstrip('/')}/{name}")
+
+
 def to_json(doc: DataFrame) -> str:
     """2.2.3."""
     row = doc.collect()[0]

@@ -12,6 +12,9 @@ from veinstone.operators import events as E
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
+BUCKETS = 256
+
+
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """Parquet files that land in a folder."""
     rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
@@ -38,13 +41,20 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 def rebuild_stream(events: DataFrame, history: str, out: str, checkpoint: str, project) -> StreamingQuery:
     """2.13.8, 2.13.15: each micro-batch appends its events to ``history`` and folds the
     whole history of the workflows it touches again; late events need nothing special,
-    as the fold orders by sequence. ``project`` maps raw events to the audit columns."""
+    as the fold orders by sequence. ``project`` maps raw events to the audit columns.
+
+    The history lies in ``BUCKETS`` partitions by a hash of the workflow, of which only
+    those of the touched workflows are read."""
 
     def fold(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{history}/epoch={epoch}")  # a repeated epoch replaces itself
-        ids = project(batch).select("workflow_id").distinct()
-        full = project(spark.read.parquet(history)).join(ids, "workflow_id", "left_semi")
+        rows = project(batch).withColumn("bucket", F.pmod(F.xxhash64("workflow_id"), F.lit(BUCKETS)))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{history}/epoch={epoch}")  # a repeated epoch replaces itself
+        new = spark.read.parquet(f"{history}/epoch={epoch}")
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
+        ids = new.select("workflow_id").distinct()
+        past = spark.read.option("basePath", history).parquet(f"{history}/epoch=*").where(F.col("bucket").isin(touched))
+        full = past.drop("bucket", "epoch").join(ids, "workflow_id", "left_semi")
         E.trajectories(full).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold).start()
