@@ -267,3 +267,38 @@ def test_parse_limit(spark):
     rows = [("/r/a.py", b"def f(): pass\n"), ("/r/b.py", (slow * 300).encode())]
     got = {r.path: (r.ok, r.error_kind) for r in extract.extract(spark.createDataFrame(rows, "path string, content binary"), "/r", seconds=0.05).collect()}
     assert got == {"/r/a.py": (True, None), "/r/b.py": (False, "parse_error")}
+
+
+def test_security_surfaces():
+    source = """import os, subprocess as sp
+from typing import TYPE_CHECKING
+from pathlib import Path
+import http.server
+import zipfile
+if TYPE_CHECKING:
+    import pickle
+class A:
+    def f(self):
+        sp.run(["x"])
+        os.spawnv(0, "x", [])
+        open("a", "w"); open("b"); open("c", mode="r+")
+        Path("x").write_text("y")
+        zipfile.ZipFile("z").extractall()
+        return eval("1")
+from .pickle import loads
+import yaml.nodes
+"""
+    found = [(c, n, line, q.partition(":")[2]) for c, n, line, q, _ in P.facts(source, "m")["surfaces"]]
+    assert found == [
+        ("process_boundary", "subprocess_import", 1, ""), ("network_boundary", "http_server_import", 4, ""), ("archive_extraction", "zipfile_import", 5, ""), ("process_boundary", "subprocess_run", 10, "A.f"),
+        ("process_boundary", "os_spawn", 11, "A.f"), ("filesystem_mutation", "builtin_open_write", 12, "A.f"), ("filesystem_mutation", "pathlib_write_text", 13, "A.f"), ("archive_extraction", "zip_extract", 14, "A.f"),
+        ("dynamic_execution", "dynamic_eval", 15, "A.f"), ("deserialization", "yaml_import", 17, ""),
+    ]
+
+
+def test_deep_expressions(spark):
+    from veinstone.operators import extract
+
+    rows = [("/r/a.py", ("def f():\n    return " + " + ".join(["x"] * 3000) + "\n").encode())]
+    got = extract.extract(spark.createDataFrame(rows, "path string, content binary"), "/r").collect()[0]
+    assert (got.ok, got.error) == (True, None)

@@ -17,7 +17,7 @@ from veinstone.sources import readers
 
 
 #: Facts of another version of the extractor are not reused.
-FACTS_VERSION = "2"
+FACTS_VERSION = "3"
 
 
 class Analysis:
@@ -108,6 +108,10 @@ class Analysis:
             c.where(F.col("caller") == qualname).select(F.lit("callee").alias("role"), F.col("callee").alias("symbol"), "path", "line")
         )
 
+    def context(self, qualname: str, budget: int = 40) -> DataFrame:
+        """2.7.22: what is around a symbol."""
+        return joins.around(qualname, self.table("calls"), self.table("deps"), self.table("api"), budget)
+
     def classes(self) -> DataFrame:
         return self.table("classes").withColumns({"coupling_risk": coupling_risk(F.col("cbo")), "cohesion_risk": cohesion_risk(F.col("lcom4"))})
 

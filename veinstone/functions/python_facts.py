@@ -17,16 +17,10 @@ import threading
 import tokenize
 from collections.abc import Iterator
 
+from veinstone.functions.security import surfaces
+
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 NESTING = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Try, ast.With, ast.AsyncWith, ast.Match)
-#: 2.3.31: modules and calls at a security boundary, by category; fixed values (an excerpt).
-BOUNDARIES = {
-    "eval": "dynamic_execution", "exec": "dynamic_execution", "compile": "dynamic_execution", "__import__": "dynamic_loading", "importlib": "dynamic_loading",
-    "runpy": "dynamic_loading", "pickle": "deserialization", "marshal": "deserialization", "shelve": "deserialization", "dill": "deserialization",
-    "subprocess": "process_boundary", "requests": "network_boundary", "httpx": "network_boundary", "aiohttp": "network_boundary", "socket": "network_boundary",
-    "psycopg": "database_boundary", "redis": "database_boundary", "pymysql": "database_boundary", "jwt": "identity_token", "bcrypt": "identity_token",
-    "hmac": "crypto_transport", "secrets": "crypto_transport", "cryptography": "crypto_transport",
-}
 DIRECTIVE = re.compile(r"#\s*veinstone\s*:\s*ignore\s*\[([^]]+)\]\s*$")
 RULE = re.compile(r"^[a-z0-9][a-z0-9-]*$")
 
@@ -54,9 +48,9 @@ class Forms:
         self.constants = constants
         self.known: dict[int, tuple[ast.AST, str]] = {}
 
-    def __call__(self, node: object) -> str:
+    def text(self, node: object) -> str:
         if isinstance(node, list):
-            return f"[{','.join(map(self, node))}]"
+            return f"[{','.join([self.text(x) for x in node])}]"
         if not isinstance(node, ast.AST):
             return repr(node)
         at = id(node)
@@ -64,14 +58,16 @@ class Forms:
             self.known[at] = node, getattr(self, type(node).__name__, self.other)(node)
         return self.known[at][1]
 
+    __call__ = text
+
     def other(self, node: ast.AST) -> str:
-        return f"{type(node).__name__}({','.join([self(getattr(node, f, None)) for f in node._fields if f not in ('ctx', 'type_comment', 'kind')])})"
+        return f"{type(node).__name__}({','.join([self.text(getattr(node, f, None)) for f in node._fields if f not in ('ctx', 'type_comment', 'kind')])})"
 
     def Name(self, node: ast.Name) -> str:
         return node.id if node.id.startswith(MARKER) else "_VAR_"
 
     def Attribute(self, node: ast.Attribute) -> str:
-        return f"{self(node.value)}._ATTR_"
+        return f"{self.text(node.value)}._ATTR_"
 
     def Constant(self, node: ast.Constant) -> str:
         return repr(node.value) if self.constants else "_CONST_"
@@ -83,33 +79,33 @@ class Forms:
         """A call target: a dotted name stays as it is, what it hangs on is normalised."""
         if isinstance(node, ast.Attribute):
             return f"{self.target(node.value)}.{node.attr}"
-        return f"={node.id}" if isinstance(node, ast.Name) else self(node)
+        return f"={node.id}" if isinstance(node, ast.Name) else self.text(node)
 
     def Call(self, node: ast.Call) -> str:
-        return f"Call({self.target(node.func)},{self(node.args)},{self(node.keywords)})"
+        return f"Call({self.target(node.func)},{self.text(node.args)},{self.text(node.keywords)})"
 
     def FunctionDef(self, node: ast.FunctionDef) -> str:
-        return f"{type(node).__name__}({node.name},{self(node.args)},{self(body_of(node))},{self(node.decorator_list)},{self(getattr(node, 'type_params', []))})"
+        return f"{type(node).__name__}({node.name},{self.text(node.args)},{self.text(body_of(node))},{self.text(node.decorator_list)},{self.text(getattr(node, 'type_params', []))})"
 
     AsyncFunctionDef = FunctionDef
 
     def Assign(self, node: ast.Assign) -> str:
-        return f"Assign({self(node.targets)},{self(node.value)})"
+        return f"Assign({self.text(node.targets)},{self.text(node.value)})"
 
     def AugAssign(self, node: ast.AugAssign) -> str:
-        return f"Assign([{self(node.target)}],{self.binary(node.target, node.op, node.value)})"
+        return f"Assign([{self.text(node.target)}],{self.binary(node.target, node.op, node.value)})"
 
     def UnaryOp(self, node: ast.UnaryOp) -> str:
         inner, negated = node.operand, {ast.In: "NotIn()", ast.Is: "IsNot()"}
         if isinstance(node.op, ast.Not) and isinstance(inner, ast.Compare) and len(inner.ops) == 1 and type(inner.ops[0]) in negated:
-            return f"Compare({self(inner.left)},[{negated[type(inner.ops[0])]}],{self(inner.comparators)})"
+            return f"Compare({self.text(inner.left)},[{negated[type(inner.ops[0])]}],{self.text(inner.comparators)})"
         return self.other(node)
 
     def BinOp(self, node: ast.BinOp) -> str:
         return self.binary(node.left, node.op, node.right)
 
     def binary(self, left: ast.expr, op: ast.operator, right: ast.expr) -> str:
-        a, b = self(left), self(right)
+        a, b = self.text(left), self.text(right)
         if self.constants and b < a and commutes(left, op) and commutes(right, op):
             a, b = b, a
         return f"BinOp({a},{type(op).__name__},{b})"
@@ -517,12 +513,7 @@ def facts(source: str, module: str, test: bool = False) -> dict:
         modules.add(target)
         out["deps"].append((module, target, kind, line))
         bound |= names
-        top = target.split(".")[0]
-        if top in BOUNDARIES:
-            out["surfaces"].append((BOUNDARIES[top], f"{top}_import", line))
-    for x in ast.walk(tree):
-        if isinstance(x, ast.Call) and isinstance(x.func, ast.Name) and x.func.id in ("eval", "exec", "compile", "__import__"):
-            out["surfaces"].append((BOUNDARIES[x.func.id], f"call_{x.func.id}", x.lineno))
+    out["surfaces"] = surfaces(tree, module)
     form = Forms()
     defs = list(definitions(tree))
     local = {name for name, _, _ in defs}

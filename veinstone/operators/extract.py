@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ FAMILIES = {
     "candidates": "qualname string, local_name string, kind string, start int, end int",
     "branches": "qualname string, signature string, start int, end int",
     "suppressions": "line int, rule string",
-    "surfaces": "category string, name string, line int",
+    "surfaces": "category string, name string, line int, qualname string, symbol string",
     "api": "qualname string, kind string, params array<string>",
     "calls": "caller string, callee string, resolved boolean, line int",
     "methods": "qualname string, class string, why string",
@@ -50,6 +51,7 @@ def extract(files: DataFrame, root: str, seconds: float = 30.0) -> DataFrame:
     stat_keys = {"stats": ["lines", "functions", "methods", "classes"], "adoption": ["params", "annotated", "returns", "returns_annotated", "public", "documented"]}
 
     def one(path: str, module: str, content: bytes | None, test: bool) -> dict:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # long chains of operators nest deep
         from veinstone.functions.python_facts import facts, time_limit
 
         row = {"path": path, "module": module, "ok": False, "error_kind": None, "error": None}

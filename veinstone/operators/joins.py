@@ -141,3 +141,47 @@ def importers(edges: DataFrame, is_test: Column) -> DataFrame:
     production apart. ``edges`` (src, dst) and what ``is_test`` reads."""
     kind = F.when(F.coalesce(is_test, F.lit(False)), "tests").otherwise("production")
     return edges.groupBy(F.col("dst").alias("target"), kind.alias("kind")).agg(F.countDistinct("src").alias("importers"))
+
+
+def signature_breaks(before: DataFrame, after: DataFrame, strict: bool = False) -> DataFrame:
+    """2.8.11: (qualname, detail) of symbols (qualname, kind, params of name, kind, has_default
+    and annotation, returns) that callers of the old one may not survive: the first of
+    another kind, another number of parameters, a parameter of another kind, renamed,
+    now required, or (``strict``) of another type. The texts are fixed values."""
+    a = before.select(F.col("qualname").alias("_q"), *[F.col(c).alias(f"_{c}") for c in ("kind", "params", "returns")])
+    j = after.join(a, F.col("qualname") == F.col("_q"))
+
+    def worse(x: Column) -> Column:
+        o, n = x["o"], x["n"]
+        out = F.when(o["kind"] != n["kind"], F.concat(F.lit("Changed parameter kind for "), o["name"], F.lit(" from "), o["kind"], F.lit(" to "), n["kind"], F.lit(".")))
+        out = out.when((o["kind"] != "pos_only") & (o["name"] != n["name"]), F.concat(F.lit("Renamed public parameter "), o["name"], F.lit(" to "), n["name"], F.lit(".")))
+        out = out.when(o["has_default"] & ~n["has_default"], F.concat(F.lit("Parameter "), o["name"], F.lit(" became required.")))
+        return out.when(F.lit(strict) & ~o["annotation"].eqNullSafe(n["annotation"]), F.concat(F.lit("Changed type annotation for parameter "), o["name"], F.lit(".")))
+
+    first = F.get(F.filter(F.transform(F.arrays_zip(F.col("_params").alias("o"), F.col("params").alias("n")), worse), lambda d: d.isNotNull()), F.lit(0))
+    detail = (
+        F.when(F.col("_kind") != F.col("kind"), F.concat(F.lit("Changed public symbol kind from "), F.col("_kind"), F.lit(" to "), F.col("kind"), F.lit(".")))
+        .when(~F.col("kind").isin("function", "method"), F.lit(None))
+        .when(F.size("params") != F.size("_params"), "Changed callable parameter count.")
+        .otherwise(F.coalesce(first, F.when(F.lit(strict) & ~F.col("returns").eqNullSafe(F.col("_returns")), "Changed return annotation.")))
+    )
+    return j.select("qualname", detail.alias("detail")).where("detail IS NOT NULL")
+
+
+def around(symbol: str, calls: DataFrame, deps: DataFrame, api: DataFrame, budget: int = 40) -> DataFrame:
+    """2.7.22: (role, symbol, path, line): the callers, callees, importers and public neighbours
+    of a symbol (module:name), the roles taking turns until the budget is used up."""
+    from pyspark.sql import Window
+
+    module = symbol.partition(":")[0]
+    parts = [
+        calls.where(F.col("callee") == symbol).select(F.lit("caller").alias("role"), F.col("caller").alias("symbol"), "path", "line"),
+        calls.where(F.col("caller") == symbol).select(F.lit("callee"), "callee", "path", "line"),
+        deps.where(F.col("target") == module).select(F.lit("importer"), "source", "path", "line"),
+        api.where(F.substring_index("qualname", ":", 1) == module).where(F.col("qualname") != symbol).select(F.lit("contract"), "qualname", "path", F.lit(None).cast("int")),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.union(p)
+    turn = F.row_number().over(Window.partitionBy("role").orderBy("path", "line", "symbol"))
+    return rows.distinct().withColumn("_turn", turn).where(F.col("_turn") <= budget).orderBy("_turn", "role").limit(budget).drop("_turn")

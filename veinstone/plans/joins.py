@@ -188,3 +188,43 @@ def importers_by_kind(spark: SparkSession, sf: str) -> DataFrame:
     c, n = read_table(spark, sf, "customer"), read_table(spark, sf, "nation")
     e = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("src"), F.col("n_name").alias("dst"), F.col("c_mktsegment").rlike("^(BUILDING|MACHINERY)$").alias("test"))
     return J.importers(e, F.col("test"))
+
+
+_SIG = """s AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2),
+o AS (SELECT k, CASE WHEN k % 9 = 0 THEN 'class' ELSE 'function' END AS kind, list(struct_pack(name := 'a' || n, kind := 'pos_or_kw', d := p % 2 = 0) ORDER BY n) AS ps FROM s GROUP BY k),
+w AS (SELECT k, CASE WHEN k % 9 = 0 OR k % 11 = 0 THEN 'class' ELSE 'function' END AS kind, list(struct_pack(name := CASE WHEN (k + n) % 13 = 0 THEN 'b' ELSE 'a' END || n, kind := CASE WHEN (k + n) % 17 = 0 THEN 'kw_only' ELSE 'pos_or_kw' END, d := p % 2 = 0 AND p % 5 <> 0) ORDER BY n) FILTER (k % 7 <> 0 OR n < 2) AS ps FROM s GROUP BY k)"""
+
+
+@query(f"""WITH {_SIG}, j AS (SELECT o.k, o.kind AS ka, w.kind AS kb, o.ps AS a, coalesce(w.ps, []) AS b FROM o JOIN w ON w.k = o.k),
+d AS (SELECT CAST(k AS VARCHAR) AS qualname, CASE WHEN ka <> kb THEN 'Changed public symbol kind from ' || ka || ' to ' || kb || '.' WHEN kb <> 'function' THEN NULL WHEN len(a) <> len(b) THEN 'Changed callable parameter count.'
+ ELSE list_filter(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN a[i].kind <> b[i].kind THEN 'Changed parameter kind for ' || a[i].name || ' from ' || a[i].kind || ' to ' || b[i].kind || '.' WHEN a[i].name <> b[i].name THEN 'Renamed public parameter ' || a[i].name || ' to ' || b[i].name || '.'
+ WHEN a[i].d AND NOT b[i].d THEN 'Parameter ' || a[i].name || ' became required.' END), lambda x: x IS NOT NULL)[1] END AS detail FROM j) SELECT * FROM d WHERE detail IS NOT NULL""")
+def signature_breaks(spark: SparkSession, sf: str) -> DataFrame:
+    s = read_table(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"))
+    k, n, p = F.col("k"), F.col("n"), F.col("p")
+
+    def side(name, kind, default, symbol, keep) -> DataFrame:
+        one = F.struct("n", F.concat(name, n.cast("string")).alias("name"), kind.alias("kind"), default.alias("has_default"), F.lit("int").alias("annotation"))
+        g = s.groupBy("k").agg(F.array_sort(F.collect_list(F.when(keep, one))).alias("params"))
+        return g.select(k.cast("string").alias("qualname"), symbol.alias("kind"), "params", F.lit("int").alias("returns"))
+
+    before = side(F.lit("a"), F.lit("pos_or_kw"), p % 2 == 0, F.when(k % 9 == 0, "class").otherwise("function"), F.lit(True))
+    after = side(
+        F.when((k + n) % 13 == 0, "b").otherwise("a"), F.when((k + n) % 17 == 0, "kw_only").otherwise("pos_or_kw"), (p % 2 == 0) & (p % 5 != 0),
+        F.when((k % 9 == 0) | (k % 11 == 0), "class").otherwise("function"), (k % 7 != 0) | (n < 2),
+    )
+    return J.signature_breaks(before, after)
+
+
+@query("""WITH r AS (SELECT 'caller' AS role, 'u' || l_suppkey AS symbol, 'f' || l_suppkey AS path, l_linenumber AS line FROM lineitem WHERE l_partkey = 7 UNION SELECT 'importer', 'm' || s_suppkey, 'f' || s_suppkey, 1 FROM supplier WHERE s_suppkey % 4 = 0 UNION SELECT 'contract', 'p7:' || n_name, 'n', NULL FROM nation),
+t AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY path, line, symbol) AS turn FROM r) SELECT role, symbol, path, CAST(line AS INTEGER) AS line FROM t ORDER BY turn, role LIMIT 30""")
+def symbol_context(spark: SparkSession, sf: str) -> DataFrame:
+    li, s, n = (read_table(spark, sf, t) for t in ("lineitem", "supplier", "nation"))
+
+    def name(prefix: str, c: str):
+        return F.concat(F.lit(prefix), F.col(c).cast("string"))
+
+    calls = li.select(name("u", "l_suppkey").alias("caller"), F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(":f")).alias("callee"), name("f", "l_suppkey").alias("path"), F.col("l_linenumber").cast("int").alias("line"))
+    deps = s.select(name("m", "s_suppkey").alias("source"), F.when(F.col("s_suppkey") % 4 == 0, "p7").otherwise("other").alias("target"), name("f", "s_suppkey").alias("path"), F.lit(1).alias("line"))
+    api = n.select(name("p7:", "n_name").alias("qualname"), F.lit("n").alias("path"))
+    return J.around("p7:f", calls, deps, api, 30)

@@ -160,7 +160,8 @@ def source_calls(spark: SparkSession, sf: str) -> DataFrame:
     return X.family(facts(spark, sf), "calls")
 
 
-@query(f"""WITH {_P} SELECT 'process_boundary' AS category, count(*) AS items, count(DISTINCT path) AS modules FROM p WHERE z % 6 = 0 HAVING count(*) > 0 UNION ALL SELECT 'deserialization', count(*), count(DISTINCT path) FROM p WHERE z % 10 = 3 HAVING count(*) > 0""")
+@query(f"""WITH {_P} SELECT 'process_boundary' AS category, count(*) AS items, count(DISTINCT path) AS modules FROM p WHERE z % 6 = 0 HAVING count(*) > 0 UNION ALL SELECT 'deserialization', count(*), count(DISTINCT path) FROM p WHERE z % 10 = 3 HAVING count(*) > 0
+UNION ALL SELECT 'network_boundary', count(*), count(DISTINCT path) FROM p WHERE z % 5 = 1 HAVING count(*) > 0""")
 def source_surfaces(spark: SparkSession, sf: str) -> DataFrame:
     """2.3.31, 2.6.21."""
     return X.family(facts(spark, sf), "surfaces").groupBy("category").agg(F.count("*").alias("items"), F.countDistinct("path").alias("modules"))
