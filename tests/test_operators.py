@@ -240,3 +240,19 @@ def test_rebuild_stream(spark, tmp_path):
         last = ST.latest_trajectories(spark, out).collect()
         assert all(p.name.startswith(("epoch=", "_", ".")) for p in (tmp_path / "history").iterdir())
         assert [(r.outcome, r.event_count) for r in last] == [[("accepted", 1)], [("violated", 3)]][n]
+
+
+def test_principal_coordinates(spark):
+    """Against a singular value decomposition of all rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 6)) * [5, 3, 1, 0.5, 0.2, 0.1] + 1
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(999, None)], "id int, v array<double>").repartition(4)
+    got = {r.id: r.projected for r in vectors.project(df, "v", 3).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    centred = unit - unit.mean(axis=0)
+    axes = np.linalg.svd(centred, full_matrices=False)[2][:3]
+    axes *= np.sign(axes[np.arange(3), np.abs(axes).argmax(axis=1)])[:, None]
+    assert np.allclose([got[i] for i in range(200)], centred @ axes.T, atol=1e-9) and got[999] is None
+    assert vectors.project(df.limit(0), "v", 3).count() == 0

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veinstone.functions.scalars import euclidean, membership_digest
+from veinstone.functions.scalars import euclidean, l2_normal, membership_digest
 from veinstone.operators.graph import components
 from veinstone.operators.windows import numbered
 from veinstone.session import cut_lineage, small
@@ -137,6 +141,50 @@ def partition_validity(assigned: DataFrame, summaries: DataFrame, least: int) ->
     return rows.select("x.*").where("n > 0")
 
 
+def principal_axes(items: DataFrame, vector: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and the first ``dims`` principal axes of all vectors of one length. Each task sums
+    its products; the sums of pairs of coordinates (length squared, whatever the rows) are
+    all that reaches the driver. An axis points where its largest coordinate is positive."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            rows = batch.column(0).drop_null()
+            if len(rows):
+                x = rows.flatten().to_numpy().reshape(len(rows), -1)
+                x = np.hstack([np.ones((len(x), 1)), x])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total.ravel())], names=["i", "j", "x"])
+
+    parts = items.select(F.col(vector).cast("array<double>")).mapInArrow(run, "i int, j int, x double")
+    sums = parts.groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    if not sums:
+        return np.zeros(0), np.zeros((0, 0))
+    size = max(r.i for r in sums) + 1
+    total = np.zeros((size, size))
+    for r in sums:
+        total[r.i, r.j] = r.x
+    n, mean = total[0, 0], total[0, 1:] / total[0, 0]
+    values, axes = np.linalg.eigh(total[1:, 1:] / n - np.outer(mean, mean))
+    axes = axes[:, np.argsort(-values, kind="stable")[:dims]].T
+    signs = np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])
+    return mean, axes * np.where(signs == 0, 1, signs)[:, None]
+
+
+def project(items: DataFrame, vector: str, dims: int, out: str = "projected") -> DataFrame:
+    """2.12.1, the first step: vectors scaled to length 1 and then given by their first ``dims``
+    principal coordinates. Null vectors stay null; an empty table stays empty."""
+    scaled = items.withColumn("_unit", l2_normal(F.col(vector).cast("array<double>")))
+    mean, axes = principal_axes(scaled, "_unit", dims)
+    rows = F.array(*[F.array(*[F.lit(float(x)) for x in axis]) for axis in axes]) if len(axes) else F.array().cast("array<array<double>>")
+    centre = F.array(*[F.lit(float(x)) for x in mean]) if len(mean) else F.array().cast("array<double>")
+    moved = F.zip_with("_unit", centre, lambda a, b: a - b)
+    coordinate = lambda axis: F.aggregate(F.zip_with("_moved", axis, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return scaled.withColumn("_moved", moved).withColumn(out, F.when(F.col("_unit").isNotNull(), F.transform(rows, coordinate))).drop("_unit", "_moved")
+
+
 def widest(items: DataFrame, vector: str, n: int) -> list[int]:
     """The ``n`` coordinates of the largest variance, by falling variance."""
     parts = items.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
