@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veinstone.llm import chat, html, langid, minhash, mixing, packing, quality, secrets, substrings, topk
+from veinstone.llm import chat, contamination, html, langid, minhash, mixing, packing, quality, repair, secrets, substrings, topk, variants
 from veinstone.session import read_table
 
 #: The SQL of the queries that SQL can express; filled below.
@@ -93,4 +93,27 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_chat_formatting, op6_html_extraction, op7_secret_scans, op8_exact_top_k, op9_minhash_dedup, op10_source_mixing)}
+#: The variants of the query are made by the contract's own slips, one occurrence in 31.
+SPELLING = variants.Spelling(slip_every=31)
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its form and root."""
+    return variants.group_variants(read_table(spark, sf_dir, "documents"), SPELLING)
+
+
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items of which it holds ten words in a row."""
+    return contamination.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage, with its faults and its cheapest repair."""
+    return repair.repair(repair.damage(read_table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op11_spelling_variants"] = variants.oracle(SPELLING)
+ORACLES["op12_benchmark_decontamination"] = contamination.oracle()
+ORACLES["op13_conversation_repair"] = repair.ORACLE
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_rules, op3_language_id, op4_substring_dedup, op5_chat_formatting, op6_html_extraction, op7_secret_scans, op8_exact_top_k, op9_minhash_dedup, op10_source_mixing, op11_spelling_variants, op12_benchmark_decontamination, op13_conversation_repair)}
