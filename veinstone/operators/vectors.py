@@ -60,15 +60,19 @@ def representatives(items: DataFrame, label: str, ident: str, vector: str, k: in
 
 
 def knn(items: DataFrame, query: DataFrame, ident: str, vector: str, k: int) -> DataFrame:
-    """2.12.11: the k nearest items of each query (qid, qv) and the score 1 / (1 + distance).
-    Queries are cut into blocks of at most about 1 000; a single block is broadcast, more
-    are met block by block through an equi-join; the top k is taken per task first."""
-    blocks = max(1, -(-query.count() // 1000))
-    q = query.select("qid", "qv", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("_block"))
-    i = items.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
-    j = i.join(F.broadcast(q) if blocks == 1 else q, "_block").select("qid", ident, F.round(euclidean(F.col(vector).cast("array<double>"), F.col("qv").cast("array<double>")), 6).alias("distance"))
-    w = Window.partitionBy("qid").orderBy("distance", ident)
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("score", F.round(F.lit(1.0) / (F.lit(1.0) + F.col("distance")), 6))
+    """2.12.11: the k nearest items of each query (qid, qv) and the score 1 / (1 + distance),
+    distances to six digits, ties to the smaller ident. Exact, through the cells of
+    ``neighbours``: a query skips those that cannot hold a nearer item. Items and queries
+    without a vector take no part; idents and qids are whole numbers."""
+    from veinstone.operators import neighbours as N
+
+    rows = items.where(F.col(vector).isNotNull()).select(F.lit(0).alias("space"), F.col(ident).cast("long").alias("node"), F.col(vector).cast("array<double>").alias("v"))
+    asked = query.where("qv IS NOT NULL").select(F.lit(0).alias("space"), F.col("qid").cast("long").alias("q"), F.col("qv").cast("array<double>").alias("qv"))
+    cells = N.in_cells(rows)
+    if not cells.pivots:
+        return query.select("qid", F.col("qid").alias(ident), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"), F.lit(0.0).alias("score")).limit(0)
+    found, _ = N.nearest(asked, cells, k, with_self=True, digits=6)
+    return found.select(F.col("q").alias("qid"), F.col("node").alias(ident), F.col("d").alias("distance"), "rank", F.round(F.lit(1.0) / (F.lit(1.0) + F.col("d")), 6).alias("score"))
 
 
 def collapse_chunks(hits: DataFrame, parent: str, score: str, k: int) -> DataFrame:
@@ -98,13 +102,16 @@ def chunk_rows(rows: DataFrame, ident: str, text: str, size: int) -> DataFrame:
     return r.select(name.alias("row_id"), ident, F.col("i").alias("chunk_index"), F.col("chunks").alias("chunk_count"), F.substring(F.col(text), F.col("i") * size + 1, F.lit(size)).alias("chunk"))
 
 
-def sweep_grid(spark, n: int, d: int) -> DataFrame:
-    """2.12.2, 2.12.3: candidate parameters (3 x 4 x 3 x 2), without those that become the same."""
-    axes = [("dims", (8, 16, 32)), ("min_size", (5, 10, 15, 25)), ("min_samples", (1, 5, 10)), ("method", ("eom", "leaf"))]
-    g = spark.range(1).drop("id")
-    for name, values in axes:
+def sweep_grid(items: DataFrame, vector: str) -> DataFrame:
+    """2.12.2, 2.12.3: candidate parameters (3 x 4 x 3 x 2) for these vectors, without those
+    that become the same: no more dimensions than the vectors have or rows less one, no
+    more samples than the least size. Fewer than two vectors have no candidates."""
+    size = items.where(F.col(vector).isNotNull()).agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d"))
+    g = size.where("n > 1")
+    for name, values in (("dims", (8, 16, 32)), ("min_size", (5, 10, 15, 25)), ("min_samples", (1, 5, 10)), ("method", ("eom", "leaf"))):
         g = g.select("*", F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
-    g = g.withColumn("dims", F.least("dims", F.lit(max(1, n - 1)), F.lit(d))).withColumn("min_samples", F.least("min_samples", "min_size"))
+    most = F.least(F.col("n") - 1, F.col("d"))
+    g = g.select(F.least(F.col("dims").cast("long"), most).cast("int").alias("dims"), "min_size", F.least("min_samples", "min_size").alias("min_samples"), "method")
     return g.distinct()
 
 

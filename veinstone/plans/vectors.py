@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veinstone.operators import density as D
 from veinstone.operators import vectors as V
+from veinstone.operators.windows import numbered
 from veinstone.plans.registry import query
 from veinstone.session import read_table
 
@@ -81,10 +83,26 @@ def chunk_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return V.chunk_rows(read_table(spark, sf, "documents"), "doc_id", "text", 1500)
 
 
-@query("""WITH g AS (SELECT least(d, 63) AS dims, m AS min_size, least(s, m) AS min_samples, k AS method FROM (SELECT unnest([8, 16, 32]) AS d), (SELECT unnest([5, 10, 15, 25]) AS m), (SELECT unnest([1, 5, 10]) AS s), (SELECT unnest(['eom', 'leaf']) AS k))
+@query("""WITH t AS (SELECT count(*) AS n, max(len(embedding)) AS w FROM embeddings WHERE embedding IS NOT NULL),
+g AS (SELECT CAST(least(d, n - 1, w) AS INTEGER) AS dims, m AS min_size, least(s, m) AS min_samples, k AS method FROM t, (SELECT unnest([8, 16, 32]) AS d), (SELECT unnest([5, 10, 15, 25]) AS m), (SELECT unnest([1, 5, 10]) AS s), (SELECT unnest(['eom', 'leaf']) AS k) WHERE n > 1)
 SELECT DISTINCT dims, min_size, min_samples, method FROM g""")
 def sweep_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return V.sweep_grid(spark, 10_000, 63)
+    return V.sweep_grid(read_table(spark, sf, "embeddings"), "embedding")
+
+
+@query()
+def hdbscan_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings by their first eight principal coordinates, clusters of ten at least."""
+    e = V.project(read_table(spark, sf, "embeddings"), "embedding", 8)
+    return D.hdbscan(e, "vec_id", "projected", min_size=10, min_samples=5).withColumn("strength", F.round("strength", 9))
+
+
+@query()
+def sweep_results(spark: SparkSession, sf: str) -> DataFrame:
+    """All candidates of the grid by what they make of all embeddings; the winner has rank 1."""
+    e = read_table(spark, sf, "embeddings")
+    results, _ = D.sweep(e, "vec_id", "embedding", V.sweep_grid(e, "embedding"))
+    return numbered(results.withColumn("score", F.round("score", 9)), [F.desc("score"), F.asc("dims"), F.asc("min_size"), F.asc("min_samples"), F.asc("method")])
 
 
 @query("""WITH p AS (SELECT source AS profile, count(*) AS n, count(DISTINCT lang) AS k, max(n_chars) AS longest FROM documents GROUP BY 1),
