@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.functions import scalars as S
 from veinstone.operators import gates as G
 from veinstone.operators import ranking as R
+from veinstone.operators.textindex import TextIndex
 from veinstone.plans.registry import query
-from veinstone.session import read_table
+from veinstone.session import read_table, shared_folder
 
 _FIND = """f AS (SELECT doc_id AS id, ['critical', 'warning', 'info', 'odd'][doc_id % 4 + 1] AS severity, ['easy', 'moderate', 'hard'][doc_id % 3 + 1] AS effort, CASE WHEN doc_id % 5 = 0 THEN 'known' ELSE 'new' END AS novelty,
  ['production', 'mixed', 'tests', 'fixtures', 'other'][doc_id % 5 + 1] AS kind, ['high', 'medium', 'low'][doc_id % 3 + 1] AS confidence, n_chars % 40 AS spread, lang AS family FROM documents)"""
@@ -82,6 +85,27 @@ def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
     return R.bm25(read_table(spark, sf, "documents"), "doc_id", F.col("text"), q).select("qid", "doc_id", F.round("score", 6).alias("score"))
 
 
+_INDEXED = f"""WITH q AS (SELECT DISTINCT item_id AS qid, unnest({_TOK.format(t='text')}) AS token FROM benchmark),
+d AS (SELECT doc_id, max(coalesce(text, '')) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY 1),
+t AS (SELECT doc_id, unnest({_TOK.format(t='text')}) AS token FROM d), tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY 1, 2), s AS (SELECT doc_id, len({_TOK.format(t='text')}) AS len FROM d),
+n AS (SELECT count(*) AS n, avg(len) AS al FROM s), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+x AS (SELECT qid, doc_id, sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) AS score FROM q JOIN df USING (token) JOIN tf USING (token) JOIN s USING (doc_id), n GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS k FROM x)
+SELECT qid, doc_id, round(score, 6) AS score FROM r WHERE k <= 10"""
+
+
+@query(_INDEXED)
+def stored_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents for every benchmark item, from an index that was built in two steps:
+    a first version of every document (its language), then the texts in their place."""
+    d = read_table(spark, sf, "documents")
+    index = TextIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.add(d, "doc_id", "lang")
+    index.add(d, "doc_id", "text")
+    q = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(R.text_tokens(F.col("text"))).alias("token"))
+    return index.search(q, 10).select("qid", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query("""WITH r AS (SELECT doc_id AS id, ['contract_note', 'risk_note', 'module_role', 'x'][doc_id % 4 + 1] AS type, ['git', 'doc', 'analysis'][doc_id % 3 + 1] AS ingest, ['verified', 'supported', 'low'][doc_id % 3 + 1] AS confidence, doc_id % 2 AS ap, doc_id % 8 AS ev, ['draft', 'stale', 'active'][doc_id % 3 + 1] AS status, (doc_id % 10) / 10.0 AS prox,
  CASE WHEN source = 'src1' THEN 1.0 WHEN starts_with(source, 'src1/') OR starts_with('src1/a', source || '/') THEN 0.8 ELSE 0 END AS scope FROM documents)
 SELECT id, CASE WHEN scope <= 0 THEN 0 ELSE round(scope + CASE type WHEN 'contract_note' THEN 0.25 WHEN 'risk_note' THEN 0.15 WHEN 'module_role' THEN 0.1 ELSE 0 END + CASE ingest WHEN 'git' THEN 0.1 WHEN 'doc' THEN 0.06 ELSE 0.04 END + CASE confidence WHEN 'verified' THEN 0.15 WHEN 'supported' THEN 0.1 ELSE 0 END

@@ -16,6 +16,7 @@ from veinstone.engine import analyze
 from veinstone.functions.scalars import below
 from veinstone.operators import claims, context, gates, graph, joins, ranking, records, reporting
 from veinstone.operators.windows import numbered
+from veinstone.sinks.ledger import Ledger
 
 #: Tables of a run: how each is made from an analysis.
 TABLES = {
@@ -30,11 +31,17 @@ REMEDIES = {
 }
 
 
+MEMORY = "id string, type string, subject string, statement string, status string, revision int, updated timestamp"
+INTENTS = "intent string, run string, agent string, path string, state string, at timestamp"
+
+
 class Tools:
-    """Runs, records and intents below one folder that all executors share."""
+    """Runs, records and intents below one folder that all executors share. Records and intents
+    are versioned tables: what a caller decides by is what it commits upon."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._memory, self._log = Ledger(spark, f"{self.folder}/memory"), Ledger(spark, f"{self.folder}/intents")
 
     # runs
 
@@ -146,21 +153,28 @@ class Tools:
 
     def _records(self) -> DataFrame:
         """The newest revision of each record."""
-        rows = self.spark.read.parquet(f"{self.folder}/memory")
+        return self._newest(self._memory.table(self._memory.read(), MEMORY))
+
+    @staticmethod
+    def _newest(rows: DataFrame) -> DataFrame:
         last = rows.groupBy(F.col("id").alias("_i")).agg(F.max("revision").alias("_r"))
         return rows.join(last, (F.col("id") == F.col("_i")) & (F.col("revision") == F.col("_r"))).drop("_i", "_r")
 
     def remember(self, rows: DataFrame) -> None:
         """2.14.8: drafts (id, type, subject, statement)."""
         new = rows.select("id", "type", "subject", "statement", F.lit("draft").alias("status"), F.lit(0).alias("revision"), F.current_timestamp().alias("updated"))
-        new.write.mode("append").parquet(f"{self.folder}/memory")
+        self._memory.change(MEMORY, lambda _: new)
 
     def decide(self, decisions: DataFrame) -> None:
-        """2.14.8, 2.13.18: approve or reject drafts (id, decision); a revision for each."""
-        old = self._records().where("status = 'draft'")
+        """2.14.8, 2.13.18: approve or reject drafts (id, decision); a revision for each. What another
+        caller has decided meanwhile is no draft any more and is passed over."""
         status = F.when(F.col("decision") == "approve", "active").otherwise("rejected")
-        new = old.join(decisions.select("id", "decision"), "id").select("id", "type", "subject", "statement", status.alias("status"), (F.col("revision") + 1).alias("revision"), F.current_timestamp().alias("updated"))
-        new.write.mode("append").parquet(f"{self.folder}/memory")
+
+        def decided(rows: DataFrame) -> DataFrame:
+            old = self._newest(rows).where("status = 'draft'")
+            return old.join(decisions.select("id", "decision"), "id").select("id", "type", "subject", "statement", status.alias("status"), (F.col("revision") + 1).alias("revision"), F.current_timestamp().alias("updated"))
+
+        self._memory.change(MEMORY, decided)
 
     def memory(self, mode: str, wanted: str = "", limit: int = 20) -> DataFrame:
         """2.14.8, 2.14.13: status, search, for_path, drafts or all."""
@@ -191,22 +205,27 @@ class Tools:
     def start_change(self, run: str, paths: list[str], agent: str) -> str:
         """2.14.10: declare an intent over some paths; blocked if another one is open on them."""
         rows = self.spark.createDataFrame([(p.strip("/"),) for p in paths], "path string")
-        if not joins.under_paths(self.intents().where("state = 'open'"), "path", rows.withColumnRenamed("path", "p"), "p").isEmpty():
-            raise ValueError("another open intent covers some of the paths")
         name = uuid.uuid4().hex[:12]
-        self._log(rows.select(F.lit(name).alias("intent"), F.lit(run).alias("run"), F.lit(agent).alias("agent"), "path", F.lit("open").alias("state")))
+
+        def opened(log: DataFrame) -> DataFrame:
+            if not joins.under_paths(self._states(log).where("state = 'open'"), "path", rows.withColumnRenamed("path", "p"), "p").isEmpty():
+                raise ValueError("another open intent covers some of the paths")
+            return self._stamped(rows.select(F.lit(name).alias("intent"), F.lit(run).alias("run"), F.lit(agent).alias("agent"), "path", F.lit("open").alias("state")))
+
+        self._log.change(INTENTS, opened)
         return name
 
-    def _log(self, rows: DataFrame) -> None:
-        rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.folder}/intents")
+    @staticmethod
+    def _stamped(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("at", F.current_timestamp())
+
+    @staticmethod
+    def _states(log: DataFrame) -> DataFrame:
+        return log.groupBy("intent", "path").agg(F.max_by(F.struct("run", "agent", "state"), "at").alias("x")).select("intent", "x.run", "x.agent", "path", "x.state")
 
     def intents(self) -> DataFrame:
         """(intent, run, agent, path, state): the last state of every path of every intent."""
-        schema = "intent string, run string, agent string, path string, state string, at timestamp"
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/intents")
-        known = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        rows = self.spark.read.schema(schema).parquet(f"{self.folder}/intents") if known else self.spark.createDataFrame([], schema)
-        return rows.groupBy("intent", "path").agg(F.max_by(F.struct("run", "agent", "state"), "at").alias("x")).select("intent", "x.run", "x.agent", "path", "x.state")
+        return self._states(self._log.table(self._log.read(), INTENTS))
 
     def check_patch(self, intent: str, after: str, changed: list[str], strictness: str = "strict") -> DataFrame:
         """2.14.10, 2.10.4: one row: changed paths out of scope, growth against the run of the intent
@@ -227,7 +246,7 @@ class Tools:
         receipt = self.check_patch(intent, after, changed, strictness).withColumn("accepted", (F.size("broken") == 0) & (F.col("out_of_scope") == 0))
         row = receipt.collect()[0]
         rows = self.intents().where(F.col("intent") == intent).select("intent", F.lit(after).alias("run"), "agent", "path", F.lit("accepted" if row.accepted else "violated").alias("state"))
-        self._log(self.spark.createDataFrame(rows.collect(), rows.schema))  # the paths of one intent
+        self._log.change(INTENTS, lambda _: self._stamped(rows))
         return receipt
 
     def validate_claims(self, run: str, texts: DataFrame, before: str | None = None) -> dict[str, DataFrame]:
