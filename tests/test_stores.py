@@ -127,3 +127,27 @@ def test_two_callers_do_not_open_the_same_path(spark, tmp_path):
         t.join()
     rows = tools._memory.table(tools._memory.read(), "id string, revision int").collect()
     assert sorted(r.revision for r in rows) == [0, 1]
+
+
+def test_changed_paths_show_clones_and_cycles(spark, tmp_path):
+    from veinstone.engine import analyze
+    from veinstone.tools import Tools
+
+    body = "".join(f"    x{i} = a + {i}\n" for i in range(12))
+    root = tmp_path / "tree"
+    (root / "pkg").mkdir(parents=True)
+    (root / "pkg" / "__init__.py").write_text("")
+    (root / "pkg" / "one.py").write_text(f"import pkg.two\n\ndef f(a):\n{body}    return a\n")
+    (root / "pkg" / "two.py").write_text(f"import pkg.one\n\ndef g(a):\n{body}    return a\n")
+    (root / "pkg" / "far.py").write_text("def alone():\n    return 1\n")
+    tools = Tools(spark, f"{tmp_path}/tools")
+    run = tools.analyze_repository(str(root))
+    for path, other in (("pkg/one.py", "pkg/two.py"), ("pkg/two.py", "pkg/one.py")):
+        found = {r.family: r for r in tools.changed_findings(run, [path]).where("family <> 'dead_code'").collect()}
+        assert set(found) == {"clone", "cycle"} and all(r.places == 2 for r in found.values())
+        for r in found.values():
+            assert {x.path for x in tools.locations(run, r.id).collect()} == {path, other}
+    assert {r.family for r in tools.changed_findings(run, ["pkg/far.py"]).collect()} == {"dead_code"}
+    assert all(r.path is not None for r in tools.list_findings(run).collect())
+    document = analyze(spark, str(root)).report(changed=["pkg/two.py"]).first()
+    assert "clone" in str(document) and "cycle" in str(document)

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,6 +151,19 @@ class Analysis:
         f = self.function_clones().select(F.lit("clone"), "group_id", "items", F.lit("high"))
         return a.union(b).union(c).union(d).union(e).union(f)
 
+    def finding_locations(self) -> DataFrame:
+        """(family, subject, path, qualname, start, end): where each finding of each family is; a
+        clone and a cycle have several places. Paths are relative to the root."""
+        place = [F.lit("").alias("family"), F.col("qualname").alias("subject"), "path", "qualname", "start", "end"]
+        rows = [self.units.where("cc > 20").select(*place).withColumn("family", F.lit("complexity"))]
+        rows += [self.classes().where(where).select(*place).withColumn("family", F.lit(family)) for family, where in (("coupling", "cbo > 10"), ("cohesion", "lcom4 > 3"))]
+        rows += [self.dead_code().select(*place).withColumn("family", F.lit("dead_code"))]
+        files = self.facts.select(F.col("module").alias("_m"), "path", F.col("stats.lines").cast("int").alias("end"))
+        members = self.cycles().select(F.col("component").alias("subject"), F.explode("members").alias("_m"))
+        rows += [members.join(files, "_m").select(F.lit("cycle").alias("family"), "subject", "path", F.col("_m").alias("qualname"), F.lit(1).alias("start"), "end")]
+        rows += [self.clone_members().select(F.lit("clone").alias("family"), F.col("group_id").alias("subject"), "path", "qualname", "start", "end")]
+        return reduce(DataFrame.unionByName, rows).withColumn("path", below(F.col("path"), self.top))
+
     def state(self) -> DataFrame:
         """2.10.2: the one-row state that gates read."""
         u = self.units.agg(F.coalesce(F.max("cc"), F.lit(0)).alias("complexity_max"))
@@ -185,14 +198,13 @@ class Analysis:
         return {"inventory": (self.inventory(), ["files"]), "findings": (self.findings(), ["family", "subject"]), "cycles": (self.cycles(), ["component"])}
 
     def report(self, changed: list[str] | None = None) -> DataFrame:
-        """2.2.1: the canonical document, one row; with ``changed``, only findings whose symbol
-        lies under these paths (relative to the root)."""
+        """2.2.1: the canonical document, one row; with ``changed``, only findings that
+        have a place under these paths (relative to the root)."""
         found = self.findings()
         if changed:
-            places = self.units.select("path", F.col("qualname").alias("subject")).unionByName(self.classes().select("path", F.col("qualname").alias("subject")))
             wanted = self.spark.createDataFrame([(p.strip("/"),) for p in changed], "p string")
-            here = joins.under_paths(places.withColumn("path", below(F.col("path"), self.top)), "path", wanted, "p")
-            found = found.join(here.select("subject").distinct(), "subject", "left_semi").select(*found.columns)
+            here = joins.under_paths(self.finding_locations(), "path", wanted, "p").select("family", "subject").distinct()
+            found = found.join(here, ["family", "subject"], "left_semi").select(*found.columns)
         parts = self.sections() | {"findings": (found, ["family", "subject"])}
         return report.document(parts, {"root": self.root.rstrip("/").rpartition("/")[2]})
 

@@ -21,7 +21,7 @@ from veinstone.sinks.ledger import Ledger
 #: Tables of a run: how each is made from an analysis.
 TABLES = {
     "units": lambda a: a.units, "classes": lambda a: a.classes(), "dead_code": lambda a: a.dead_code(True), "edges": lambda a: a.edges(), "cycles": lambda a: a.cycles(),
-    "clones": lambda a: a.function_clones(), "clone_members": lambda a: a.clone_members(), "findings": lambda a: a.findings(), "inventory": lambda a: a.inventory(), "adoption": lambda a: a.adoption(),
+    "clones": lambda a: a.function_clones(), "clone_members": lambda a: a.clone_members(), "locations": lambda a: a.finding_locations(), "findings": lambda a: a.findings(), "inventory": lambda a: a.inventory(), "adoption": lambda a: a.adoption(),
     "surfaces": lambda a: a.table("surfaces"), "reach": lambda a: a.table("reach"), "calls": lambda a: a.table("calls"), "api": lambda a: a.table("api"), "state": lambda a: a.state(),
 }
 #: 2.14.5: what to do about each family.
@@ -63,8 +63,14 @@ class Tools:
         return run, self.changed_findings(run, paths)
 
     def changed_findings(self, run: str, paths: list[str]) -> DataFrame:
+        """Findings of all families with a place under one of the paths."""
         wanted = self.spark.createDataFrame([(p.strip("/"),) for p in paths], "p string")
-        return joins.under_paths(self.list_findings(run), "path", wanted, "p")
+        here = joins.under_paths(self.table(run, "locations"), "path", wanted, "p").select("family", "subject").distinct()
+        return self.list_findings(run).join(here, ["family", "subject"], "left_semi")
+
+    def locations(self, run: str, ident: str) -> DataFrame:
+        """2.14.5: all places of one finding, in order."""
+        return self.table(run, "locations").where(F.concat_ws(":", "family", "subject") == ident).orderBy("path", "start", "qualname")
 
     def latest_run(self, prefix: str = "") -> str | None:
         """2.9.23, 2.11.12: the newest run by (ts, id), of those that a stored id names."""
@@ -93,11 +99,11 @@ class Tools:
     # findings
 
     def list_findings(self, run: str, family: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
-        """2.14.5: findings with an id and the path they are in, by family, value and subject; a page."""
+        """2.14.5: findings with an id, their first place and the number of places, by family, value and subject; a page."""
         f = self.table(run, "findings").withColumn("id", F.concat_ws(":", "family", "subject"))
-        where = self.table(run, "units").select("path", F.col("qualname").alias("subject")).unionByName(self.table(run, "classes").select("path", F.col("qualname").alias("subject")))
-        where = where.unionByName(self.table(run, "dead_code").select("path", F.col("qualname").alias("subject"))).groupBy("subject").agg(F.min("path").alias("path"))
-        rows = f.join(where, "subject", "left")
+        first = F.min(F.struct("path", "start", "end"))
+        where = self.table(run, "locations").groupBy("family", "subject").agg(first.alias("at"), F.count("*").alias("places"))
+        rows = f.join(where, ["family", "subject"], "left").select(*f.columns, "at.path", "at.start", "at.end", "places")
         rows = rows.where(F.col("family") == family) if family else rows
         rows = rows.orderBy("family", F.desc("value"), "subject").offset(offset)
         return rows.limit(limit) if limit is not None else rows
