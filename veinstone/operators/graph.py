@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veinstone.operators.windows import ranked
-from veinstone.session import cut_lineage, drop_checkpoint
+from veinstone.session import cut_lineage, drop_checkpoint, drop_written, rewritten
 
 
 def edges(deps: DataFrame, source: str, target: str) -> DataFrame:
@@ -155,24 +155,43 @@ def _strong(table: pa.Table) -> pa.Table:
     return pa.table({"component": [c[0] for c in found], "members": found, "size": [len(c) for c in found]}, schema=pa.schema([("component", pa.string()), ("members", pa.list_(pa.string())), ("size", pa.int64())]))
 
 
-def cycles(e: DataFrame, few: int = FEW_EDGES) -> DataFrame:
-    """2.7.4: (component, members, size): strongly connected components of several nodes,
-    and self-loops. At most ``few`` edges are walked by one task.
-
-    Forward-backward colouring: nodes without an edge in or out are peeled off; each
-    node takes the smallest node that reaches it as its colour; inside a colour, the
-    nodes from which that smallest one is reached are its component, which leaves the
-    graph. Every round moves one label a node, so nothing grows with pairs of nodes.
-    """
-    core = cut_lineage(e)
-    if core.limit(few + 1).count() <= few:
-        return core.select("src", "dst", F.lit(0).alias("one")).groupBy("one").applyInArrow(_strong, "component string, members array<string>, size long")
-    loops = cut_lineage(core.where("src = dst").select(F.col("src").alias("origin"), F.col("src").alias("component")))
+def _contract(e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph without its chains: nodes with one edge in and one out. Three tables: edges, in
+    which a chain from p to t is the edge (p, t); (node, p, t) of the nodes in chains; and
+    (origin, component) of rings that are nothing but a chain.
+
+    A round doubles the steps that each chain node looks ahead, so a chain or ring of n nodes
+    takes log2(n) of them."""
+    out = e.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to")).where("n = 1").select(F.col("src").alias("node"), "to")
+    into = e.groupBy("dst").agg(F.count("*").alias("n")).where("n = 1").select(F.col("dst").alias("node"))
+    x = rewritten(out.join(into, "node").select("node", "to", F.col("node").alias("last"), F.col("node").alias("low"), F.lit(True).alias("on")))
+    size, steps = x.count(), 1
+    while size and steps < 2 * size and not x.where("on").isEmpty():
+        ahead = x.select(F.col("node").alias("_n"), F.col("to").alias("_to"), F.col("last").alias("_last"), F.col("low").alias("_low"))
+        j = x.join(ahead, F.col("to") == F.col("_n"), "left")
+        x = rewritten(j.select("node", F.coalesce("_to", "to").alias("to"), F.coalesce("_last", "last").alias("last"), F.least("low", "_low").alias("low"), F.col("_n").isNotNull().alias("on")), x)
+        steps *= 2
+    rings = x.where("on").select(F.col("node").alias("origin"), F.col("low").alias("component"))
+    chain = x.where("NOT on").select("node", "to", "last")
+    names = x.select(F.col("node").alias("_x"))
+    outside = e.join(names, F.col("src") == F.col("_x"), "left_anti")
+    into_chain = outside.join(chain, F.col("dst") == F.col("node")).select(F.col("src").alias("p"), F.col("to").alias("t"), "last")
+    rest = outside.join(names, F.col("dst") == F.col("_x"), "left_anti").union(into_chain.select("p", "t")).distinct()
+    out = rewritten(rest), rewritten(chain.join(into_chain.select("p", "t", "last"), "last").select("node", "p", "t")), rewritten(rings)
+    drop_written(x)
+    return out
+
+
+def _coloured(core: DataFrame) -> DataFrame:
+    """(origin, component) of the nodes on cycles, and of some that are alone, by forward-backward
+    colouring: each node takes the smallest node that reaches it as its colour; inside a
+    colour, the nodes from which that smallest one is reached are its component, which leaves
+    the graph. Every round moves one label a node, so nothing grows with pairs of nodes."""
     found = None
     while True:
         core = _peel(core)
         if core.isEmpty():
-            break
+            return found if found is not None else core.select(F.col("src").alias("origin"), F.col("dst").alias("component"))
         colour = _spread(nodes(core).withColumn("label", F.col("node")), core)
         a, b = colour.select(F.col("node").alias("src"), F.col("label").alias("ca")), colour.select(F.col("node").alias("dst"), F.col("label").alias("cb"))
         inside = cut_lineage(core.join(a, "src").join(b, "dst").where("ca = cb").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -182,7 +201,54 @@ def cycles(e: DataFrame, few: int = FEW_EDGES) -> DataFrame:
         found = comp if found is None else found.unionByName(comp)
         gone = comp.select(F.col("origin").alias("g"))
         core = cut_lineage(core.join(gone, F.col("src") == F.col("g"), "left_anti").join(gone, F.col("dst") == F.col("g"), "left_anti"), core)
-    every = loops if found is None else found.unionByName(loops.join(found.select("origin"), "origin", "left_anti"))
+
+
+def strong(e: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """(origin, component) of every node on a cycle, and of some nodes that are alone; component
+    is the smallest node. Chains are drawn together and dead ends cut off, in turns, while a
+    tenth of the edges goes; what is left is coloured, or walked by one task if it has at most
+    ``few`` edges. Then the chains follow whose both ends are in one component."""
+    found = _strong_rounds(e, few)
+    low = found.groupBy("component").agg(F.min("origin").alias("_low"))
+    return found.join(low, "component").select("origin", F.col("_low").alias("component"))
+
+
+def _strong_rounds(e: DataFrame, few: int) -> DataFrame:
+    rest = cut_lineage(e.where("src <> dst"))
+    before, chains, rings = rest.count(), [], []
+    while before:
+        drawn, inside, ring = _contract(rest)
+        chains.append(inside)
+        rings.append(ring)
+        rest = _peel(drawn)
+        now = rest.count()
+        if now > 0.9 * before:
+            break
+        before = now
+    if before and before <= few:
+        walked = rest.select("src", "dst", F.lit(0).alias("one")).groupBy("one").applyInArrow(_strong, "component string, members array<string>, size long")
+        found = walked.select(F.explode("members").alias("origin"), "component")
+    else:
+        found = _coloured(rest)
+    found = rewritten(found)
+    for inside, ring in zip(reversed(chains), reversed(rings), strict=True):
+        p, t = (found.select(F.col("origin").alias(c), F.col("component").alias(f"c{c}")) for c in "pt")
+        within = inside.join(p, "p").join(t, "t").where("cp = ct").select(F.col("node").alias("origin"), F.col("cp").alias("component"))
+        found = rewritten(found.unionByName(within.distinct()).unionByName(ring), found)
+        drop_written(inside)
+        drop_written(ring)
+    return found
+
+
+def cycles(e: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """2.7.4: (component, members, size): strongly connected components of several nodes,
+    and self-loops. At most ``few`` edges are walked by one task, others by :func:`strong`."""
+    core = cut_lineage(e)
+    if core.limit(few + 1).count() <= few:
+        return core.select("src", "dst", F.lit(0).alias("one")).groupBy("one").applyInArrow(_strong, "component string, members array<string>, size long")
+    loops = cut_lineage(core.where("src = dst").select(F.col("src").alias("origin"), F.col("src").alias("component")))
+    found = cut_lineage(strong(core, few))
+    every = found.unionByName(loops.join(found.select("origin"), "origin", "left_anti"))
     out = every.groupBy("component").agg(F.array_sort(F.collect_list("origin")).alias("members"), F.count("*").alias("size"))
     alone = loops.select(F.col("component").alias("_loop"))
     return out.join(alone, F.col("component") == F.col("_loop"), "left").where("size > 1 OR _loop IS NOT NULL").drop("_loop")

@@ -60,6 +60,27 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def rewritten(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Like :func:`cut_lineage`, through :func:`written`: for many rounds of self-joins, as Spark
+    takes a file's size as it is, while a checkpoint keeps the product of the sizes that were
+    joined, a number whose digits double every round. ``done``: tables of this function that
+    nothing but ``df`` reads; they are deleted."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    for old in done:
+        drop_written(old)
+    kept = df.sparkSession.read.parquet(path)
+    kept.written_to = path
+    return kept
+
+
+def drop_written(df: DataFrame) -> None:
+    """Deletes the files of a table that :func:`rewritten` returned. Other tables have none."""
+    if path := getattr(df, "written_to", None):
+        folder = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def drop_checkpoint(df: DataFrame) -> None:
     """Deletes the files of a table that :func:`cut_lineage` returned. Other tables have none."""
     plan = df._jdf.queryExecution().logical()
