@@ -162,7 +162,7 @@ def near_words(words: DataFrame) -> DataFrame:
 
     A row is a word itself (place -1) or one of its deletions. Rows of one key and place lie
     together, by falling n; a deletion's key may also be a word."""
-    rows = words.mapInArrow(_keys, KEYS)
+    rows = words.mapInArrow(_keys, KEYS).repartition("key")  # serves both windows
     one = F.struct((-F.col("n")).alias("minus"), "word")
     group, key = Window.partitionBy("key", "place"), Window.partitionBy("key")
     ordered = group.orderBy(F.desc("n"), "word")
