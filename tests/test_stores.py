@@ -151,3 +151,13 @@ def test_changed_paths_show_clones_and_cycles(spark, tmp_path):
     assert all(r.path is not None for r in tools.list_findings(run).collect())
     document = analyze(spark, str(root)).report(changed=["pkg/two.py"]).first()
     assert "clone" in str(document) and "cycle" in str(document)
+
+
+def test_trees_of_any_size_are_listed(spark, tmp_path):
+    from veinstone.sources import readers
+
+    for name in ("a.py", "pkg/__init__.py", "pkg/_b.py", "pkg/deep/c d.py", "pkg/deep/no.txt", "build/x.py", "pkg/.git/y.py", "z/q.py"):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text("x = 1\n" * len(name))
+    few, many = (readers.list_tree(spark, f"{tmp_path}/t", most=most).collect() for most in (1000, 2))
+    assert few == many and len(few) == 5

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veinstone.session import cut_lineage
+
 #: 2.1.1: folders that are not walked; fixed values.
 EXCLUDED = (".git", ".venv", "venv", "__pycache__", "node_modules", "site-packages", "migrations", "alembic", "dist", "build", ".tox")
 MAX_FILES = 100_000
@@ -24,8 +26,9 @@ def list_tree(spark: SparkSession, root: str, suffix: str = ".py", most: int = M
     """2.1.1, 2.1.6: (path, modificationTime, length) of the files below root, sorted.
 
     Spark's own file sources skip names that begin with an underscore, such as package
-    markers, so the tree is listed through the Hadoop file system, on the driver and
-    bounded: more than ``most`` files are an error, as is a root that is excluded itself.
+    markers, so the tree is listed through the Hadoop file system: on the driver up to
+    ``most`` files, a larger tree level by level on the executors. An excluded name counts
+    below the root only.
     """
     jvm = spark.sparkContext._jvm
     base = jvm.org.apache.hadoop.fs.Path(root)
@@ -40,10 +43,42 @@ def list_tree(spark: SparkSession, root: str, suffix: str = ".py", most: int = M
         if path.endswith(suffix) and not set(parts[:-1]) & set(EXCLUDED):
             rows.append((path, f.getModificationTime(), f.getLen()))
             if len(rows) > most:
-                raise ValueError(f"more than {most} files below {root}")
+                return list_levels(spark, top, suffix)
     return spark.createDataFrame(sorted(rows), "path string, modificationTime long, length long")
 
 
+def list_levels(spark: SparkSession, top: str, suffix: str = ".py") -> DataFrame:
+    """The rows of :func:`list_tree`, listed by the executors: each round lists the folders that
+    the last one found, a share of them to a task, so no list of files or folders is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        uri = top.replace("file:/", "file:///", 1) if top.startswith("file:/") and not top.startswith("file:///") else top
+        where, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = where.get_file_info(fs.FileSelector(base.rstrip("/") + folder[len(top) :]))
+                kept = [f for f in found if (f.type == fs.FileType.Directory and f.base_name not in EXCLUDED) or (f.type == fs.FileType.File and f.base_name.endswith(suffix))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([top + f.path[len(base.rstrip("/")) :] for f in kept], pa.string()), pa.array([int((f.mtime_ns or 0) // 1_000_000) for f in kept], pa.int64()),
+                        pa.array([f.size or 0 for f in kept], pa.int64()), pa.array([f.type == fs.FileType.Directory for f in kept], pa.bool_()),
+                    ],
+                    names=["path", "modificationTime", "length", "folder"],
+                )
+
+    tasks = 2 * max(1, spark.sparkContext.defaultParallelism)
+    folders, files = spark.createDataFrame([(top,)], "path string"), None
+    while True:
+        found = cut_lineage(folders.repartition(tasks).mapInArrow(run, "path string, modificationTime long, length long, folder boolean"))
+        here = found.where("NOT folder").drop("folder")
+        files = here if files is None else files.unionByName(here)
+        folders = found.where("folder").select("path")
+        if folders.isEmpty():
+            return files.orderBy("path")
+
+
 def source_tree(spark: SparkSession, root: str, suffix: str = ".py") -> DataFrame:
     """The files of :func:`list_tree` with their content."""
     return contents(list_tree(spark, root, suffix))
