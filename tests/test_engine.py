@@ -185,6 +185,11 @@ def test_cache_reads_changed_files_only(spark, tmp_path):
     (root / "b.py").write_text("def other():\n    return 22\n")
     (root / "c.py").write_text("def c():\n    return 1\n")
     assert units() == {"a:a", "b:other", "c:c"} == units()
+    from veinstone import engine
+    from veinstone.sources import readers
+
+    lake = readers.fact_lake(spark, cache, engine.FACTS_VERSION, "full")
+    assert [sorted(r.path.rpartition("/")[2] for r in lake.part(p).collect()) for p in lake.read().parts] == [["a.py", "b.py"], ["b.py", "c.py"]]  # only what changed is written
     (root / "a.py").unlink()
     assert units() == {"b:other", "c:c"}
 

@@ -13,6 +13,7 @@ from veinstone.operators import clones, context, extract, gates, graph, joins, m
 from veinstone.operators.windows import merge_intervals
 from veinstone.session import cut_lineage
 from veinstone.sinks import report
+from veinstone.sinks.ledger import Conflict
 from veinstone.sources import readers
 
 
@@ -33,19 +34,20 @@ class Analysis:
         if not self.cache:
             return extract.extract(readers.contents(files), self.top).persist()
         stamp = files.select("path", "modificationTime", "length")
-        known = readers.fact_lake(self.spark, self.cache, FACTS_VERSION, "full")
-        if known is None:
-            fresh = extract.extract(readers.contents(files), self.top).join(F.broadcast(stamp), "path")
-            readers.save_facts(fresh, self.cache, FACTS_VERSION, "full")
-            return readers.fact_lake(self.spark, self.cache, FACTS_VERSION, "full").persist()
-        todo, reuse, _ = readers.cache_split(stamp, known)
-        todo = cut_lineage(todo)
-        if todo.isEmpty():
-            return reuse.persist()
-        fresh = extract.extract(readers.contents(todo), self.top).join(F.broadcast(stamp), "path")
-        every = cut_lineage(reuse.unionByName(fresh, allowMissingColumns=True))
-        readers.save_facts(every.drop("fingerprint_version", "profile"), self.cache, FACTS_VERSION, "full")
-        return every.persist()
+        lake = readers.fact_lake(self.spark, self.cache, FACTS_VERSION, "full")
+        while True:
+            seen = lake.read()
+            todo, reuse = stamp, None
+            if seen.parts:
+                todo, reuse, _ = readers.cache_split(stamp, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [lake.part(p) for p in seen.parts]))
+                todo = cut_lineage(todo)
+                if todo.isEmpty():
+                    return reuse.persist()
+            fresh = extract.extract(readers.contents(todo), self.top).join(F.broadcast(stamp), "path")
+            try:
+                return readers.add_facts(lake, seen, fresh, reuse).persist()
+            except Conflict:  # another run has added facts meanwhile
+                continue
 
     @cached_property
     def top(self) -> str:

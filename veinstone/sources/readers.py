@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinstone.session import cut_lineage
+from veinstone.sinks.ledger import Conflict, Ledger, Version
 
 #: 2.1.1: folders that are not walked; fixed values.
 EXCLUDED = (".git", ".venv", "venv", "__pycache__", "node_modules", "site-packages", "migrations", "alembic", "dist", "build", ".tox")
@@ -114,18 +115,33 @@ def cache_split(files: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFra
     return files.join(known, key, "left_anti"), cached.join(files.select(*key), key, "left_semi"), cached.join(files.select("path"), "path", "left_semi")
 
 
-def fact_lake(spark: SparkSession, folder: str, version: str, profile: str) -> DataFrame | None:
-    """2.1.7, 2.1.9, 2.2.12: cached facts of one version and profile, or None without any;
-    other partitions are never read."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/fingerprint_version={version}/profile={profile}")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.option("basePath", folder).parquet(path.toString())
-
-
-def save_facts(facts: DataFrame, folder: str, version: str, profile: str) -> None:
-    rows = facts.withColumns({"fingerprint_version": F.lit(version), "profile": F.lit(profile)})
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint_version", "profile").parquet(folder)
+#: Parts of a fact lake after which the next addition writes the facts that are still true as one.
+LAKE_PARTS = 16
+
+
+def fact_lake(spark: SparkSession, folder: str, version: str, profile: str) -> Ledger:
+    """2.1.7, 2.1.9, 2.2.12: the cached facts of one version and profile, as a versioned table;
+    those of others lie elsewhere and are never read."""
+    return Ledger(spark, f"{folder.rstrip('/')}/fingerprint_version={version}/profile={profile}")
+
+
+def add_facts(lake: Ledger, seen: Version, fresh: DataFrame, reuse: DataFrame | None) -> DataFrame:
+    """2.1.9: the facts with ``fresh`` ones added to the version ``seen``: these alone are written,
+    unless the lake has many parts by now. Facts of changed or deleted files stay in their
+    parts until then; nothing joins them. Raises ``Conflict`` if another writer was first."""
+    if reuse is None or len(seen.parts) < LAKE_PARTS:
+        part = lake.write(fresh)
+        rows = lake.part(part) if reuse is None else reuse.unionByName(lake.part(part), allowMissingColumns=True)
+        parts = [*seen.parts, part]
+    else:
+        part = lake.write(reuse.unionByName(fresh, allowMissingColumns=True))
+        rows, parts = lake.part(part), [part]
+    try:
+        lake.commit(seen, parts)
+    except Conflict:
+        lake.drop(part)
+        raise
+    return rows
 
 
 def cobertura(spark: SparkSession, path: str) -> DataFrame:
