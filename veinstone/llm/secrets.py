@@ -16,6 +16,8 @@ touches base spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,28 +37,71 @@ HEX_BITS, BASE64_BITS = 3.0, 3.7
 ALLOW = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6,}",
-    r"^[A-Za-z]*(?:[/_=-][A-Za-z]{2,})+[/_=-]?[0-9]{0,4}$",
+    r"^[A-Za-z]*(?:[/_=-][A-Za-z]{2,})++[/_=-]?[0-9]{0,4}$",  # possessive: nothing to give back, and no recursion on long paths
 )
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; Spark repeats what a lambda names twice."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """The values merged (sum or maximum) from the first to each one. Appending copies an
+    array, so this is done in blocks of about the square root of the length, and over the
+    blocks' last values: for n values some n * sqrt(n) words are moved, not n * n."""
+
+    def inside(block: Column) -> Column:
+        def add(acc: Column, v: Column) -> Column:
+            return F.array_append(acc, F.when(F.size(acc) == 0, v).otherwise(merge(F.element_at(acc, F.greatest(F.lit(1), F.size(acc))), v)))
+
+        return F.aggregate(block, F.array().cast("array<int>"), add)
+
+    def shift(parts: Column, carry: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda part, k: F.when(k == 0, part).otherwise(_let(F.get(carry, k - 1), lambda c: F.transform(part, lambda v: merge(c, v))))))
+
+    def whole(v: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        blocks = _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / w).cast("int")), lambda k: inside(F.slice(v, k * w + 1, w))))
+        return _let(blocks, lambda parts: _let(inside(F.transform(parts, lambda part: F.element_at(part, -1))), lambda carry: shift(parts, carry)))
+
+    return _let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(whole(v)))
+
+
 def _placed(text: Column, pattern: str, group: int, kind: int, keep) -> Column:
     """Spans (start, kind, end) of the matches that ``keep`` accepts by (match, group)."""
     p = F.lit(pattern)
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, p, 0)
-    values = found if group == 0 else F.regexp_extract_all(text, p, group)
-    step = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"), values.alias("v"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(keep(x["m"], x["v"]), F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def steps(found: Column) -> Column:
+        values = found if group == 0 else F.regexp_extract_all(text, p, group)
+        zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("p"), found.alias("m"), values.alias("v"))
+        return F.transform(zipped, lambda x: F.struct(keep(x["m"], x["v"]).alias("keep"), F.length(x["m"]).alias("n"), (F.length(x["p"]) + F.length(x["m"])).alias("step")))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-    return F.when(F.regexp_like(text, p), F.aggregate(step, empty, add, lambda a: a["spans"])).otherwise(F.array().cast(_SPANS))
+    def spans(rows: Column) -> Column:
+        ends = _running(F.transform(rows, lambda x: x["step"]), lambda a, b: a + b)
+        each = F.zip_with(rows, ends, lambda x, e: F.struct(x["keep"].alias("keep"), (e - x["n"]).alias("start"), e.alias("end")))
+        return F.transform(F.filter(each, lambda x: x["keep"]), lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+
+    none = F.array().cast(_SPANS)
+    return F.when(F.regexp_like(text, p), _let(_let(F.regexp_extract_all(text, p, 0), steps), spans)).otherwise(none)
+
+
+def _uncovered(spans: Column, covers: Column) -> Column:
+    """The spans that lie in none of ``covers``: both sorted by start in one array, in which the
+    furthest end of a cover so far decides."""
+
+    def marked(of: Column, own: bool) -> Column:
+        return F.transform(of, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+    def choose(both: Column) -> Column:
+        far = _running(F.transform(both, lambda s: F.when(s["own"], -1).otherwise(s["end"])), lambda a, b: F.greatest(a, b))
+        each = F.zip_with(both, far, lambda s, e: F.struct((s["own"] & (s["end"] > e)).alias("keep"), s.alias("s")))
+        return F.transform(F.filter(each, lambda x: x["keep"]), lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["kind"].alias("kind"), x["s"]["end"].alias("end")))
+
+    return F.when((F.size(spans) == 0) | (F.size(covers) == 0), spans).otherwise(_let(F.array_sort(F.concat(marked(covers, False), marked(spans, True))), choose))
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -75,21 +120,17 @@ def window_entropy(s: Column, width: int = WINDOW) -> Column:
 
     The counts are a string with one character for each letter of the alphabet ("A" for 0,
     "B" for 1 and so on), so that a step overwrites two of them and builds nothing else."""
-    symbols = F.split(s, "")
     zero = F.struct(F.lit("A" * len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
-    def place(i: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), F.element_at(symbols, i))
-
     def count(counts: Column, at: Column) -> Column:
         return F.ascii(F.substring(counts, at, F.lit(1))) - 65
 
     def put(counts: Column, at: Column, n: Column) -> Column:
         return F.overlay(counts, F.char(n + 65), at, F.lit(1))
 
-    def slide(acc: Column, i: Column) -> Column:
-        into = place(i)
-        gone = F.when(i > width, place(F.greatest(F.lit(1), i - width))).otherwise(F.lit(0))
+    def slide(places: Column, acc: Column, i: Column) -> Column:
+        into = F.get(places, i - 1)
+        gone = F.when(i > width, F.get(places, i - width - 1)).otherwise(F.lit(0))
         c_in, c_gone = count(acc["n"], into), count(acc["n"], gone)
         same = gone == into
         came = put(acc["n"], into, c_in + 1)
@@ -101,7 +142,8 @@ def window_entropy(s: Column, width: int = WINDOW) -> Column:
         bits = F.when(i >= width, F.log2(F.lit(float(width))) - total / F.lit(float(width))).otherwise(F.lit(0.0))
         return F.struct(counts.alias("n"), total.alias("sum"), F.greatest(acc["best"], bits).alias("best"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, slide, lambda a: a["best"])
+    letters = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return _let(letters, lambda places: F.aggregate(F.sequence(F.lit(1), F.length(s)), zero, lambda acc, i: slide(places, acc, i), lambda a: a["best"]))
 
 
 def is_secret_like(s: Column) -> Column:
@@ -120,13 +162,12 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """docs and _base, _spans: arrays of (start, kind, end), ordered so. Null text has none."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     possible = F.regexp_like(text, F.lit("[0-9]")) & F.regexp_like(text, F.lit(CANDIDATE))  # implied by is_secret_like: a candidate with a digit
-    found = F.when(possible, _placed(text, CANDIDATE, 0, len(BASE), lambda m, v: is_secret_like(m))).otherwise(F.array().cast(_SPANS))
+    # a candidate that is one hexadecimal base span would be suppressed, so its windows need no look
+    found = F.when(possible, _placed(text, CANDIDATE, 0, len(BASE), lambda m, v: ~F.regexp_like(m, F.lit("^[0-9a-f]{24,}$")) & is_secret_like(m))).otherwise(F.array().cast(_SPANS))
     named = docs.withColumns({f"_k{i}": c for i, c in enumerate(base_spans(text))}).withColumn("_found", found)
     base = F.array_sort(F.concat(*[F.col(f"_k{i}") for i in range(len(BASE))]))
-    new = F.filter(
-        "_found", lambda s: ~F.exists("_base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    )
-    return named.withColumn("_base", base).withColumn("_spans", F.array_sort(F.concat(F.col("_base"), new)))
+    rows = named.withColumn("_base", base).withColumn("_new", _uncovered(F.col("_found"), F.col("_base")))
+    return rows.withColumn("_spans", F.array_sort(F.concat("_base", "_new"))).drop("_new")
 
 
 def span_text(spans: Column) -> Column:
@@ -161,13 +202,20 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     text = F.col("text")
 
-    def write(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def cut(wide: Column, at: Column, n: Column) -> Column:
+        """``n`` code points from ``at``, out of four bytes each (a string would be read from its
+        start for every cut); the mark in front is the one that decoding takes away."""
+        return F.decode(F.concat(F.unhex(F.lit("0000FEFF")), F.substring(wide, at * 4 + 1, n * 4)), "UTF-32")
+
+    def write(wide: Column, far: Column) -> Column:
+        before = F.transform(F.col("_spans"), lambda s, i: F.struct(s["start"].alias("start"), F.when(i == 0, 0).otherwise(F.get(far, i - 1)).alias("at")))
+        fresh = F.filter(before, lambda s: s["start"] >= s["at"])
+        pieces = F.transform(fresh, lambda s: F.concat(cut(wide, s["at"], s["start"] - s["at"]), F.lit(mark)))
+        last = F.element_at(far, -1)
+        return F.concat(F.array_join(pieces, ""), cut(wide, last, F.length(text) - last))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("_spans", start, write, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    ends = _running(F.transform("_spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    new = _let(F.encode(text, "UTF-32"), lambda wide: _let(ends, lambda far: write(wide, far)))
     packed = docs.select(F.struct(*docs.columns).alias("_row"), text.cast("string").alias("text"))  # so that no column name clashes
     rows = with_spans(packed).withColumn("_new", F.when(F.size("_spans") > 0, new).otherwise(text))
     row = F.col("_row").withField("text", F.col("_new"))
@@ -188,7 +236,7 @@ def _sql_spans(name: str, pattern: str, group: int, kind: int, condition: str) -
 )"""
 
 
-_ALLOWED = " OR ".join(f"regexp_matches(m[i], '{a}')" for a in ALLOW)
+_ALLOWED = " OR ".join(f"regexp_matches(m[i], '{a.replace('++', '+')}')" for a in ALLOW)
 _BITS = f"""list_max(list_transform(range(0, length(m[i]) - {WINDOW} + 1), lambda j: log2({WINDOW}.0) - list_sum(list_transform(
   list_distinct(string_split(m[i][j + 1:j + {WINDOW}], '')), lambda c: len(list_filter(string_split(m[i][j + 1:j + {WINDOW}], ''), lambda z: z = c)) * log2(CAST(len(list_filter(string_split(m[i][j + 1:j + {WINDOW}], ''), lambda z: z = c)) AS DOUBLE)))) / {WINDOW}.0))"""
 _NAMES = "['assign', 'access', 'hex', 'entropy']"
