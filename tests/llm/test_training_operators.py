@@ -107,6 +107,10 @@ def test_clean_removes_lines(spark):
         ("I will help you search for a home near the sea.", "", False), ("A plain line.", "", False), ("The Heading of a Story", "It began well.", False),
         ("The Heading of a Story", "Another Heading", True), ("lower case words", "It began well.", True), ("Tous droits réservés.", "", True), ("Wow! So! Great!", "", True),
         ("We accept cookies. Accept all cookies.", "", True), ("#1 *** $$$.", "", True),
+        ("यह एक अच्छा दिन था।", "", False), ("هل هذا صحيح حقا؟", "", False), ("Սա լավ օր էր։", "", False), ("วันนี้อากาศดีมากและเราไปตลาดด้วยกัน", "", False), ("หน้าแรก สินค้า", "", True),
+        ("Глава первая", "Был хороший день.", False), ("第一章", "天气很好。", False), ("слова без знака", "Был хороший день.", True),
+        ("- two cups of plain flour", "", False), ("• two cups of plain flour", "", False), ("- flour", "", True), ("- Home Products About us Contact Help", "", True),
+        ("The search menu is home to products and help.", "", False), ("Home Products About us Contact Sign in Register Basket.", "", True),
     ],
 )
 def test_line_rules(line, after, fails):
@@ -382,6 +386,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def test_secrets_in_long_texts(spark):
+    """Thousands of matches, a long path and characters of every width; spans and masks as a plain loop makes them."""
+    import hashlib
+    import re
+
+    words = [hashlib.sha256(str(i).encode()).hexdigest()[:31] for i in range(4000)]
+    many = "\ufeff" + " \U0001f511é ".join(words) + "\ufeff"
+    rows = [(1, many), (2, "ab/" * 20000 + "ab9"), (3, "aB3dE5gH7jK9mN1pQ4sT6vW8yZ0" * 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(d).collect()}
+    assert got[1] == ",".join(f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{24,}", many))
+    assert got[2] == "" and got[3] == f"entropy:0:{len(rows[2][1])}"
+    text = {r.doc_id: r.text for r in secrets.redact(d).collect()}
+    assert text[1] == re.sub("[0-9a-f]{24,}", "[SECRET]", many) and text[2] == rows[1][1] and text[3] == "[SECRET]"
+
+
 def test_secrets(docs, rows):
     want = Counter()
     for doc_id, text, *_ in rows:

@@ -1,8 +1,9 @@
 """Quality rules, line first.
 
 Every line is judged by itself: punctuation (no sentence mark, unless it is the heading
-of the line after it, or too many symbols or exclamation marks), navigation (separator
-bars, or mostly menu phrases) and boilerplate (licence, copyright, cookie and
+of the line after it, an item of a list, or in a script that writes none; or too many
+symbols or exclamation marks), navigation (separator bars, or mostly menu phrases
+outside a sentence) and boilerplate (licence, copyright, cookie and
 subscription phrases). Failing lines are removed; a document that loses more than
 half of its words with them is rejected, and so is one that fails the base limits on
 words and repetition.
@@ -22,7 +23,10 @@ from pyspark.sql import functions as F
 from veinstone.llm.text import coded_words, sliced_by_bytes
 
 SYMBOLS = "#*$%&|<>"
-SENTENCE_MARKS = r"[.!?:;…。！？]"
+#: Marks that end sentences or clauses: Latin, Greek, CJK, Arabic, Urdu, Devanagari, Armenian, Ethiopic, Burmese, Khmer.
+SENTENCE_MARKS = r"[.!?:;…。！？؟؛۔।॥։።፧၊။។]"
+#: Thai and Lao put no marks: a run of so many of their letters is a sentence.
+UNMARKED = r"[\p{Thai}\p{Lao}]{20}"
 BARS = "[|»•]"
 #: Phrases of fixed wording that pages repeat, in four languages.
 BOILERPLATE = (
@@ -35,9 +39,15 @@ MENU = (
     r"(?i)\b(?:home|products|about us|contact(?: us)?|sign (?:in|up)|log ?(?:in|out)|register|basket|cart|checkout|my account|menu|search|site ?map|help|faq|next|previous"
     r"|back to top|skip to|read more|click here|share this|newsletter|accueil|panier|connexion|startseite|warenkorb|anmelden|inicio|carrito)\b"
 )
-#: A heading has at most so many words, a capital or a digit first and no bar.
+#: A heading has at most so many words, first a capital, a letter of a script without capitals or a digit, and no bar.
 HEADING_WORDS = 12
-HEADING = r"^[\x20\x09]*[A-ZÀ-ÖØ-Þ0-9][^|»•]*$"
+HEADING = r"^[\x20\x09]*[\p{Lu}\p{Lt}\p{Lo}0-9][^|»•]*$"
+#: An item of a list has a bullet or a number first and at least so many words with it.
+ITEM_WORDS = 5
+ITEM = r"^[\x20\x09]*(?:[-–—*+•‣▪◦·]|\(?[0-9a-z]{1,3}[.)])[\x20\x09]"
+#: A sentence of at least so many words, one capital and one mark is no navigation, whatever its words.
+PROSE_WORDS = 8
+PROSE = r"^[\x20\x09]*\p{Lu}[^\p{Lu}.!?:;|»•/]*[.!?…][\x20\x09\x0D]*$"
 #: A line's limits: symbols in per cent of its word characters, exclamation marks
 #: and bars in per cent of its words. A document's: words lost in per cent.
 MAX_SYMBOLS, MAX_SHOUTS, MAX_BARS, MAX_LOST = 15, 50, 20, 50
@@ -62,18 +72,20 @@ def _has(lines: pa.Array, pattern: str) -> np.ndarray:
 def failing(lines: pa.Array, owner: np.ndarray, words: np.ndarray, chars: np.ndarray, symbols: np.ndarray) -> np.ndarray:
     """Whether each line is removed. ``owner``: the text it is of; ``words`` (none: it
     stays) of ``chars`` code points; ``symbols`` in it."""
-    marked = _has(lines, SENTENCE_MARKS)
+    marked = _has(lines, SENTENCE_MARKS) | _has(lines, UNMARKED)
     full = np.flatnonzero(words)
     leads = np.zeros(len(lines), dtype=bool)  # the next line with words has a sentence mark
     leads[full[:-1]] = marked[full[1:]] & (owner[full[1:]] == owner[full[:-1]])
     heading = (words <= HEADING_WORDS) & leads & _has(lines, HEADING)
     menu = _count(lines, MENU)
-    out = ~marked & ~heading
+    item = (words >= ITEM_WORDS) & _has(lines, ITEM)
+    prose = (words >= PROSE_WORDS) & _has(lines, PROSE)
+    out = ~marked & ~heading & ~item
     out |= 100 * symbols > MAX_SYMBOLS * chars
     out |= 100 * pc.count_substring(lines, "!").to_numpy().astype(np.int64) > MAX_SHOUTS * words
     out |= 100 * _count(lines, BARS) > MAX_BARS * words
     out |= _has(lines, BOILERPLATE)
-    out |= (menu > 1) & (5 * menu >= 2 * words)
+    out |= (menu > 1) & (5 * menu >= 2 * words) & ~prose
     return out & (words > 0)
 
 
@@ -182,6 +194,7 @@ def clean(docs: DataFrame) -> DataFrame:
     return out
 
 
+_SQL_MARKED = f"(?:{SENTENCE_MARKS}|{UNMARKED})"
 _SQL_BOILER, _SQL_MENU = BOILERPLATE.replace("'", "''"), MENU.replace("'", "''")
 ORACLE = rf"""
 WITH d AS (
@@ -201,11 +214,12 @@ WITH d AS (
   FROM y WHERE n > 0
 ), x AS (
   SELECT id, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS dups, CAST(sum(CASE WHEN
-      (NOT regexp_matches(line, '{SENTENCE_MARKS}') AND NOT (n <= {HEADING_WORDS} AND regexp_matches(line, '{HEADING}') AND regexp_matches(after, '{SENTENCE_MARKS}')))
+      (NOT regexp_matches(line, '{_SQL_MARKED}') AND NOT (n <= {HEADING_WORDS} AND regexp_matches(line, '{HEADING}') AND regexp_matches(after, '{_SQL_MARKED}'))
+        AND NOT (n >= {ITEM_WORDS} AND regexp_matches(line, '{ITEM}')))
       OR 100 * length(regexp_replace(line, '[^{SYMBOLS}]', '', 'g')) > {MAX_SYMBOLS} * chars
       OR 100 * (length(line) - length(replace(line, '!', ''))) > {MAX_SHOUTS} * n
       OR 100 * length(regexp_replace(line, '[^|»•]', '', 'g')) > {MAX_BARS} * n
-      OR regexp_matches(line, '{_SQL_BOILER}') OR (menu > 1 AND 5 * menu >= 2 * n) THEN n ELSE 0 END) AS BIGINT) AS lost
+      OR regexp_matches(line, '{_SQL_BOILER}') OR (menu > 1 AND 5 * menu >= 2 * n AND NOT (n >= {PROSE_WORDS} AND regexp_matches(line, '{PROSE}'))) THEN n ELSE 0 END) AS BIGINT) AS lost
   FROM l GROUP BY id
 ), b AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
