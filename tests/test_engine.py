@@ -246,6 +246,11 @@ def test_tools_over_stored_runs(spark, tree, tmp_path):
     tools.decide(spark.createDataFrame([("1", "approve")], "id string, decision string"))
     assert [r.status for r in tools.memory("search", "box").collect()] == ["active"] and tools.memory("drafts").count() == 1
     assert [r.id for r in tools.memory("for_path", "pkg/c.py").collect()] == ["1"]
+    assert [r.id for r in tools.memory("get", "2").collect()] == ["2"] and tools.memory("stale").count() == 0
+    assert [r.id for r in tools.memory("for_symbol", "pkg/c.py").collect()] == ["1"]
+    seen = {r.path for r in tools.table(tools.latest_run(), "units").select("path").distinct().collect()}
+    assert [tuple(r) for r in tools.memory("coverage", "pkg/c.py").collect()] == [(1, 1, 100)]
+    assert [tuple(r) for r in tools.memory("coverage").collect()] == [(len(seen), 1, round(100 / len(seen)))]
     texts = [("a", "dead_code:pkg.c:late is not new. But dead_code:pkg.c:late was introduced here."), ("b", "F-12 is fine, no regressions."), ("c", "cycle:pkg.a does not block the release")]
     said = tools.validate_claims(second, spark.createDataFrame(texts, "text_id string, text string"))
     assert {(r.text_id, r.id) for r in said["citations"].collect()} == {("a", "dead_code:pkg.c:late"), ("c", "cycle:pkg.a")}
@@ -307,3 +312,33 @@ def test_deep_expressions(spark):
     rows = [("/r/a.py", ("def f():\n    return " + " + ".join(["x"] * 3000) + "\n").encode())]
     got = extract.extract(spark.createDataFrame(rows, "path string, content binary"), "/r").collect()[0]
     assert (got.ok, got.error) == (True, None)
+
+
+def test_memory_records_against_places(spark):
+    from veinstone.operators import records
+
+    rows = spark.createDataFrame([("1", "a"), ("2", "a/b/"), ("3", "a/b/c.py"), ("4", "a/x.py"), ("5", "m.f"), ("6", "m.g"), ("7", None)], "id string, subject string")
+    paths = spark.createDataFrame([("a/b/c.py",), ("a/d.py",), ("z.py",), (None,)], "path string")
+    names = spark.createDataFrame([("m.f",), (None,)], "qualname string")
+    assert sorted(r.id for r in records.without_place(rows, paths, names).collect()) == ["4", "6", "7"]
+
+    def coverage(ids, scope):
+        return tuple(records.subject_coverage(rows.where(rows.id.isin(ids)), paths, scope).first())
+
+    assert coverage(["2"], []) == (3, 1, 33) and coverage(["1"], []) == (3, 2, 67)
+    assert coverage(["3"], ["a/b/c.py", "a/b/"]) == (2, 1, 50) and coverage(["1"], ["nowhere"]) == (1, 0, 0)
+    assert tuple(records.subject_coverage(rows, paths.limit(0), []).first()) == (0, 0, 100)
+
+
+def test_trajectory_modes(spark, tmp_path):
+    from veinstone.tools import Tools
+
+    kinds = "workflow_id string, seq long, event_type string, status string, severity string, surface string, tool string, core string, core_sha string"
+    rows = [("w1", 1, "intent.declared", "active", "info", "mcp", "t", "{}", "x"), ("w1", 2, "patch.verified", "accepted", "info", "mcp", "t", "{}", "x"), ("w2", 3, "intent.declared", "active", "error", "hook", "t", "{}", "x")]
+    events, tools = spark.createDataFrame(rows, kinds), Tools(spark, str(tmp_path))
+    assert [r.workflow_id for r in tools.trajectory(events, "get", "w2").collect()] == ["w2"]
+    assert [r.workflow_id for r in tools.trajectory(events, "search", "patch.verified").collect()] == ["w1"]
+    assert sum(r.n for r in tools.trajectory(events, "status").collect()) == 2
+    assert all(r.n >= 1 and r.first in ("w1", "w2") for r in tools.trajectory(events, "anomalies").collect())
+    with pytest.raises(ValueError):
+        tools.trajectory(events, "none").collect()

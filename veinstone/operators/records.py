@@ -156,3 +156,25 @@ def semantic_search(found: DataFrame, sources: dict[str, DataFrame], k: int) ->
     whose row is gone are left out before they count."""
     parts = [found.where(F.col("source") == name).join(rows.select("id", "text"), "id") for name, rows in sorted(sources.items())]
     return reduce(DataFrame.unionByName, parts).orderBy(F.desc("score"), "source", "id").limit(k)
+
+
+def without_place(rows: DataFrame, paths: DataFrame, names: DataFrame) -> DataFrame:
+    """2.14.13: records whose subject is neither a path (path) nor a folder above one nor a
+    qualified name (qualname). Each path gives its folders, so the anti-join is on equal keys."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    known = paths.where("path IS NOT NULL").select(F.explode(above).alias("_s")).union(names.where("qualname IS NOT NULL").select("qualname")).distinct()
+    return rows.join(known, F.rtrim(F.col("subject"), F.lit("/")) == F.col("_s"), "left_anti")
+
+
+def subject_coverage(rows: DataFrame, paths: DataFrame, scope: list[str]) -> DataFrame:
+    """2.14.13: one row: the total of distinct paths in the scope (all of ``paths`` without one),
+    those covered by a record of their own or of a folder above them, and percent (whole, 100 for none)."""
+    asked = rows.sparkSession.createDataFrame([(p.rstrip("/"),) for p in scope], "path string") if scope else paths
+    wanted = asked.where("path IS NOT NULL").distinct()
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    hit = wanted.select("path", F.explode(above).alias("_a")).join(rows.select(F.rtrim(F.col("subject"), F.lit("/")).alias("_s")).distinct(), F.col("_a") == F.col("_s"), "left_semi")
+    both = wanted.join(hit.select("path").distinct().withColumn("_hit", F.lit(1)), "path", "left").agg(F.count("*").alias("total"), F.count("_hit").alias("covered"))
+    share = F.when(F.col("total") == 0, 100).otherwise(F.bround(100 * F.col("covered") / F.col("total"), 0).cast("int"))
+    return both.withColumn("percent", share)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veinstone.engine import analyze
 from veinstone.functions.scalars import below
 from veinstone.operators import claims, context, gates, graph, joins, ranking, records, reporting
+from veinstone.operators import events as E
 from veinstone.operators.windows import numbered
 from veinstone.sinks.ledger import Ledger
 
@@ -182,13 +183,37 @@ class Tools:
 
         self._memory.change(MEMORY, decided)
 
-    def memory(self, mode: str, wanted: str = "", limit: int = 20) -> DataFrame:
-        """2.14.8, 2.14.13: status, search, for_path, drafts or all."""
+    def memory(self, mode: str, wanted: str = "", limit: int = 20, run: str | None = None) -> DataFrame:
+        """2.14.8, 2.14.13: status, get (an id), stale, coverage (paths, comma-joined; without
+        any, all of the run's), search, for_path, for_symbol (a qualified name and what it holds),
+        drafts or all. ``run``: the run by whose places a record is stale or a path is covered,
+        the newest one if none is named."""
         r = self._records()
         modes = {
             "status": lambda: r.groupBy("type", "status").agg(F.count("*").alias("n")), "drafts": lambda: r.where("status = 'draft'").orderBy("id"), "all": lambda: r.orderBy("id"),
+            "get": lambda: r.where(F.col("id") == wanted), "stale": lambda: records.without_place(r.where("status = 'active'"), *self._places(run)).orderBy("id"),
+            "coverage": lambda: records.subject_coverage(r.where("status IN ('active', 'historical', 'stale')"), self._places(run)[0], [p.strip() for p in wanted.split(",") if p.strip()]),
             "search": lambda: r.join(records.like_matches(r, "id", F.concat_ws(" ", "statement", "subject"), wanted), "id", "left_semi").orderBy("id"),
             "for_path": lambda: joins.under_paths(r, "subject", self.spark.createDataFrame([(wanted,)], "p string"), "p").orderBy("id"),
+            "for_symbol": lambda: r.where((F.col("subject") == wanted) | F.col("subject").startswith(f"{wanted}.") | F.col("subject").startswith(f"{wanted}:")).orderBy("id"),
+        }
+        return context.dispatch(modes, mode, limit)
+
+    def _places(self, run: str | None) -> tuple[DataFrame, DataFrame]:
+        """Paths and qualified names of a run, one each."""
+        units = self.table(run or self.latest_run(), "units")
+        return units.select("path").distinct(), units.select("qualname").distinct()
+
+    def trajectory(self, events: DataFrame, mode: str, wanted: str = "", limit: int = 20) -> DataFrame:
+        """2.14.13: the trajectory modes over audit events (those of ``events.trajectories``):
+        status, get (a workflow), search (words of its types, outcome and labels) and anomalies."""
+        t = E.trajectories(events)
+        said = F.concat_ws(" ", "workflow_id", "outcome", "tier", F.array_join("types", " "), F.array_join("labels", " "))
+        modes = {
+            "status": lambda: t.groupBy("outcome", "tier").agg(F.count("*").alias("n"), F.sum("event_count").alias("events"), F.sum("incidents").alias("incidents")).orderBy("outcome", "tier"),
+            "get": lambda: t.where(F.col("workflow_id") == wanted),
+            "search": lambda: t.join(records.like_matches(t, "workflow_id", said, wanted), "workflow_id", "left_semi").orderBy(F.desc("last_seq"), "workflow_id"),
+            "anomalies": lambda: t.select("workflow_id", F.explode(E.anomalies(t)).alias("a")).groupBy("a.kind", "a.severity").agg(F.count("*").alias("n"), F.min("workflow_id").alias("first")).orderBy("kind"),
         }
         return context.dispatch(modes, mode, limit)
 
