@@ -207,17 +207,30 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def l2_normal(v: Column) -> Column:
     """2.11.19; a zero vector stays as it is."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    norm = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, x: s + x * x))
+    return _let(v, lambda w: _let(norm(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w)))
+
+
+def round_signed(x: Column, digits: int) -> Column:
+    """Halves away from zero over the product with a power of ten, as DuckDB does it; what a
+    negative number rounds to keeps its sign, so there is a -0.0."""
+    power = 10.0**digits
+    size = F.floor(F.abs(x) * power + 0.5).cast("double") / power
+    return F.when(x < 0, -size).otherwise(size)
 
 
 def hash_embedding(text: Column, dims: int = 8) -> Column:
     """2.11.20: 4-byte pieces of SHA-256(text, NUL, counter) as [-1, 1], L2-normalised."""
-    blocks = [F.sha2(F.concat(text, F.lit("\0"), F.lit(str(k))), 256) for k in range(-(-dims // 8))]
-    words = [F.conv(F.substring(b, 1 + 8 * j, 8), 16, 10).cast("double") for b in blocks for j in range(8)][:dims]
-    return l2_normal(F.array(*[w / F.lit(4294967295.0) * 2 - 1 for w in words]))
+    blocks = F.concat(*[F.sha2(F.concat(text, F.lit("\0"), F.lit(str(k))), 256) for k in range(-(-dims // 8))])
+    word = lambda b, j: F.conv(F.substring(b, 1 + 8 * j, 8), 16, 10).cast("double")
+    return l2_normal(_let(blocks, lambda b: F.array(*[word(b, j) / F.lit(4294967295.0) * 2 - 1 for j in range(dims)])))
 
 
 def sql_fingerprint(sql: Column, limit: int = 200) -> Column:

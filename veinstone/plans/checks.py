@@ -34,7 +34,7 @@ def normal_vectors(spark: SparkSession, sf: str) -> DataFrame:
 SELECT event_id, list_transform(v, lambda x: round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 6)) AS v FROM w""")
 def hashed_vectors(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat("event_type", F.col("event_id").cast("string"))
-    return read_table(spark, sf, "events").select("event_id", F.transform(S.hash_embedding(text, 8), lambda x: F.round(x, 6)).alias("v"))
+    return read_table(spark, sf, "events").select("event_id", F.transform(S.hash_embedding(text, 8), lambda x: S.round_signed(x, 6)).alias("v"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE greatest(0, (o_orderkey % 7 - 2) * 90) END AS seconds, least(100, least(40, o_orderkey % 30 * 2) + least(30, o_orderkey % 17 * 3) + least(20, o_orderkey % 19 * 2)) AS score FROM orders""")
