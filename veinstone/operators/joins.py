@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinstone.functions.scalars import permille
+from veinstone.session import written
 
 
 def coverage_join(units: DataFrame, lines: DataFrame) -> DataFrame:
@@ -109,12 +110,38 @@ def relations(links: DataFrame) -> DataFrame:
 def precedents(current: DataFrame, past: DataFrame, k: int) -> DataFrame:
     """2.8.19: for each current row (id, workflow, started, subjects) the k latest past rows
     (pid, pworkflow, finished, psubjects) of another workflow that finished before it and
-    share a subject. Subjects are exploded, so the overlap is an equi-join."""
+    share a subject.
+
+    No pairs are made: a subject's past rows are numbered in order, and a current row looks up
+    a fixed number of places. These are the k places before it, and of the earlier runs of one
+    workflow the k last rows of each, k * (k + 1) in all: between two runs of its own workflow
+    lies a row of another one, so k of these rows are of others, if there are so many."""
     from pyspark.sql import Window
 
-    c = current.select("id", "workflow", "started", F.explode("subjects").alias("s"))
-    p = past.select("pid", "pworkflow", "finished", F.explode("psubjects").alias("ps"))
-    j = c.join(p, (F.col("s") == F.col("ps")) & (F.col("finished") < F.col("started")) & (F.col("workflow") != F.col("pworkflow"))).select("id", "pid", "finished").distinct()
+    c = current.where("workflow IS NOT NULL AND started IS NOT NULL").select("id", "workflow", "started", F.explode(F.array_distinct("subjects")).alias("s")).where("s IS NOT NULL")
+    p = past.where("pworkflow IS NOT NULL AND finished IS NOT NULL").select("pid", "pworkflow", "finished", F.explode(F.array_distinct("psubjects")).alias("s")).where("s IS NOT NULL")
+    # a row that stands there with several workflows is of another one for every current row
+    p = p.repartition("s").groupBy("s", "finished", "pid").agg(F.min("pworkflow").alias("lo"), F.max("pworkflow").alias("hi"))
+    order = Window.partitionBy("s").orderBy("finished", "pid")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    same = (F.col("lo") == F.col("hi")) & (F.lag("lo").over(order) == F.col("lo")) & (F.lag("hi").over(order) == F.col("lo"))
+    p = p.withColumn("at", F.row_number().over(order)).withColumn("fresh", ~F.coalesce(same, F.lit(False))).withColumn("run", F.sum(F.col("fresh").cast("long")).over(upto))
+    p = p.withColumn("kept", (~F.coalesce(F.lead("run", k).over(order) == F.col("run"), F.lit(False))).cast("long")).withColumn("nth", F.sum("kept").over(upto))
+    p = p.withColumn("before", F.max(F.when(F.col("fresh"), F.col("nth") - F.col("kept"))).over(upto))
+    p = written(p.select("s", "finished", "pid", "lo", "hi", F.col("at").cast("long").alias("at"), "kept", "nth", "before"))
+
+    none = F.lit(None)
+    rows = p.select("s", F.col("finished").alias("t"), F.lit(1).alias("kind"), F.struct("at", "before").alias("x"), none.cast(c.schema["id"].dataType).alias("id"), none.cast(c.schema["workflow"].dataType).alias("workflow"))
+    rows = rows.unionByName(c.select("s", F.col("started").alias("t"), F.lit(0).alias("kind"), none.cast(rows.schema["x"].dataType).alias("x"), "id", "workflow"))
+    latest = F.last("x", ignorenulls=True).over(Window.partitionBy("s").orderBy("t", "kind", "x").rowsBetween(Window.unboundedPreceding, 0))
+    asked = written(rows.withColumn("x", latest).where("kind = 0 AND x IS NOT NULL").select("id", "workflow", "s", "x.at", "x.before"))
+
+    def found(rows: DataFrame, top: str, n: int, of: DataFrame) -> DataFrame:
+        steps = rows.select("id", "workflow", F.col("s").alias("_s"), F.explode(F.sequence(F.greatest(F.col(top) - (n - 1), F.lit(1)), F.col(top))).alias("_at"))
+        j = steps.join(of.select("s", "at", "pid", "finished", "lo", "hi"), (F.col("_s") == F.col("s")) & (F.col("_at") == F.col("at")))
+        return j.where("lo <> workflow OR hi <> workflow").select("id", "pid", "finished")
+
+    j = found(asked, "at", k, p).unionByName(found(asked.where("before > 0"), "before", k * (k + 1), p.where("kept = 1").withColumn("at", F.col("nth")))).distinct()
     w = Window.partitionBy("id").orderBy(F.desc("finished"), F.desc("pid"))
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
