@@ -9,16 +9,27 @@ from veinstone.functions.scalars import permille
 from veinstone.session import written
 
 
+#: Lines that meet in one join key of :func:`coverage_join`.
+SPAN = 64
+
+
 def coverage_join(units: DataFrame, lines: DataFrame) -> DataFrame:
     """2.8.1: unit rows (path, qualname, start, end, risk) with executable and covered
-    lines (path, line, hits), permille and status. Equi-join on the path; the range is a
-    residual condition, and counts are aggregated per unit right after."""
+    lines (path, line, hits), permille and status. Rows of one line are counted before they
+    meet the distinct ranges of a path, in an equi-join on stretches of ``SPAN`` lines; the
+    sums of a range are then joined to its units. Repeated units count their lines as often."""
     r = lines.select(F.col("path").alias("_p"), "line", "hits")
     files = lines.select(F.col("path").alias("_f")).distinct()
-    j = units.join(r, (F.col("path") == F.col("_p")) & F.col("line").between(F.col("start"), F.col("end")), "left")
-    g = j.groupBy("path", "qualname", "start", "end", "risk").agg(
-        F.count("line").cast("int").alias("executable"), F.count_if(F.col("hits") > 0).cast("int").alias("covered")
-    )
+    each = r.where("_p IS NOT NULL AND line IS NOT NULL").groupBy("_p", "line").agg(F.count("*").alias("_n"), F.count_if(F.col("hits") > 0).alias("_hit"))
+    each = each.withColumn("_part", F.floor(F.col("line") / SPAN))
+    own = units.groupBy("path", "qualname", "start", "end", "risk").agg(F.count("*").alias("_units"))
+    parts = F.explode(F.sequence(F.floor(F.col("start") / SPAN), F.floor(F.col("end") / SPAN))).alias("_part2")
+    ranges = own.where("start <= end").select("path", "start", "end").distinct().select("path", "start", "end", parts)
+    inside = (F.col("path") == F.col("_p")) & (F.col("_part2") == F.col("_part")) & F.col("line").between(F.col("start"), F.col("end"))
+    sums = ranges.join(each, inside).groupBy(F.col("path").alias("_path"), F.col("start").alias("_start"), F.col("end").alias("_end")).agg(F.sum("_n").alias("_n"), F.sum("_hit").alias("_hit"))
+    g = own.join(sums, (F.col("path") == F.col("_path")) & (F.col("start") == F.col("_start")) & (F.col("end") == F.col("_end")), "left")
+    times = lambda c: (F.coalesce(F.col(c), F.lit(0)) * F.col("_units")).cast("int")
+    g = g.select("path", "qualname", "start", "end", "risk", times("_n").alias("executable"), times("_hit").alias("covered"))
     g = g.join(files, F.col("path") == F.col("_f"), "left")
     status = F.when(F.col("_f").isNull(), "missing_from_report").when(F.col("executable") == 0, "no_executable_lines").otherwise("measured")
     return g.withColumn("status", status).withColumn("permille", permille(F.col("covered"), F.col("executable"))).drop("_f")
