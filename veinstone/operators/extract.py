@@ -26,17 +26,24 @@ FAMILIES = {
     "methods": "qualname string, class string, why string",
     "reach": "qualname string, framework string, edge_kind string, confidence string",
 }
-_STATS = "stats struct<lines:int,functions:int,methods:int,classes:int>, adoption struct<params:int,annotated:int,returns:int,returns_annotated:int,public:int,documented:int>"
+#: The other facts of a file: lists of names, and counts.
+_NAMES = ("names", "qualnames")
+_COUNTS = {"stats": "lines functions methods classes".split(), "adoption": "params annotated returns returns_annotated public documented".split()}
 MAX_BYTES = 10 << 20
+#: Files whose facts a worker holds at once.
+FILES = 128
 
 
-def _schema() -> str:
-    fields = [f"{k} array<struct<{', '.join(f'{f.split()[0]}:{f.split()[1]}' for f in v.split(', '))}>>" for k, v in FAMILIES.items()]
-    return f"path string, module string, ok boolean, error_kind string, error string, names array<string>, qualnames array<string>, {_STATS}, {', '.join(fields)}"
+def _schema(wanted: frozenset[str]) -> str:
+    names = [f"{k} array<string>" for k in _NAMES if k in wanted]
+    counts = [f"{k} struct<{', '.join(f'{f}:int' for f in v)}>" for k, v in _COUNTS.items() if k in wanted]
+    fields = [f"{k} array<struct<{', '.join(f'{f.split()[0]}:{f.split()[1]}' for f in v.split(', '))}>>" for k, v in FAMILIES.items() if k in wanted]
+    return ", ".join(["path string, module string, ok boolean, error_kind string, error string", *names, *counts, *fields])
 
 
-def extract(files: DataFrame, root: str, seconds: float = 30.0) -> DataFrame:
-    """2.1.3, 2.1.4, 2.3.1: files (path, content) to one row each with all facts as arrays.
+def extract(files: DataFrame, root: str, seconds: float = 30.0, families: tuple[str, ...] | None = None) -> DataFrame:
+    """2.1.3, 2.1.4, 2.3.1: files (path, content) to one row each with all facts as arrays, or
+    with those of some families (of ``FAMILIES``, names, qualnames, stats and adoption) alone.
 
     Files over 10 MiB, undecodable and unparsable ones, and those that take more than
     ``seconds`` of CPU time, become rows with an error kind.
@@ -44,11 +51,13 @@ def extract(files: DataFrame, root: str, seconds: float = 30.0) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    schema: StructType = _parse_datatype_string(_schema())
+    wanted = frozenset((*FAMILIES, *_NAMES, *_COUNTS) if families is None else families)
+    schema: StructType = _parse_datatype_string(_schema(wanted))
     arrow = to_arrow_schema(schema)
     names = [f.name for f in arrow]
-    keys = {k: [f.split()[0] for f in v.split(", ")] for k, v in FAMILIES.items()}
-    stat_keys = {"stats": ["lines", "functions", "methods", "classes"], "adoption": ["params", "annotated", "returns", "returns_annotated", "public", "documented"]}
+    keys = {k: [f.split()[0] for f in v.split(", ")] for k, v in FAMILIES.items() if k in wanted}
+    count_keys = {k: v for k, v in _COUNTS.items() if k in wanted}
+    limit = FILES
 
     def one(path: str, module: str, content: bytes | None, test: bool) -> dict:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # long chains of operators nest deep
@@ -59,17 +68,17 @@ def extract(files: DataFrame, root: str, seconds: float = 30.0) -> DataFrame:
             return row | {"error_kind": "file_too_large" if content else "source_read_error"}
         try:
             with time_limit(seconds):
-                found = facts(content.decode("utf-8"), module, test)
+                found = facts(content.decode("utf-8"), module, test, wanted)
         except UnicodeDecodeError as e:
             return row | {"error_kind": "source_read_error", "error": str(e)[:200]}
         except (SyntaxError, ValueError, RecursionError, TimeoutError) as e:
             return row | {"error_kind": "parse_error", "error": str(e)[:200]}
-        row |= {k: [dict(zip(keys[k], r, strict=True)) for r in found[k]] for k in FAMILIES}
-        row |= {k: dict(zip(v, found[k], strict=True)) for k, v in stat_keys.items()}
-        return row | {"ok": True, "names": list(found["names"]), "qualnames": list(found["qualnames"])}
+        row |= {k: [dict(zip(keys[k], r, strict=True)) for r in found[k]] for k in keys}
+        row |= {k: dict(zip(v, found[k], strict=True)) for k, v in count_keys.items()}
+        return row | {"ok": True, **{k: list(found[k]) for k in _NAMES if k in wanted}}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, limit) for b in batches for at in range(0, b.num_rows, limit)):
             rows = [one(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], f.type) for n, f in zip(names, arrow, strict=True)], names=names)
 
