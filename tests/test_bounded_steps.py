@@ -109,3 +109,16 @@ def test_extraction_holds_few_files(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"path": [f"src/f{i}.py" for i in range(n)], "module": ["f"] * n, "content": [b"import os"] * n, "test": [False] * n})
     sizes = [b.num_rows for b in caught[0](iter([batch]))]
     assert sum(sizes) == n and max(sizes) <= X.FILES
+
+
+def test_evidence_is_picked_before_rows_meet(spark):
+    from veinstone.operators import metrics as M
+
+    rows = [(i % 400, ["f"], ["s_x", "y"], "ok" if i % 3 else "bad", f"a{i % 4}", None if i % 50 == 0 else (i * 7919) % 900) for i in range(3000)]
+    df = M.experiences(spark.createDataFrame(rows, "id int, families array<string>, signals array<string>, outcome string, agent string, finished int"))
+    got = {(r.family, r.signal, r.outcome): r for r in df.collect()}
+    for (_, signal, outcome), r in got.items():
+        pairs = sorted({(-1 if f is None else f, i) for i, _, _, o, _, f in rows if o == outcome})
+        assert r.evidence == [i for _, i in pairs][:20] and r.support == len({i for _, i in pairs}) and r.agents == 4, signal
+    assert len(got) == 4
+    assert "collect_set" not in df._jdf.queryExecution().toString()

@@ -158,11 +158,16 @@ def experiences(trajectories: DataFrame, least_support: int = 5, least_value: in
     """2.6.38 to 2.6.40: trajectories (id, family, signals, outcome, agent, finished) exploded
     to (family, signal, outcome), kept with enough support and information, with the first
     20 as evidence."""
+    key = ["family", "signal", "outcome"]
     rows = trajectories.select("id", "outcome", "agent", "finished", F.explode("families").alias("family"), "signals").withColumn("signal", F.explode("signals"))
-    g = rows.groupBy("family", "signal", "outcome").agg(
-        F.countDistinct("id").alias("support"), F.countDistinct("agent").alias("agents"),
-        F.slice(F.transform(F.array_sort(F.collect_set(F.struct("finished", "id"))), lambda x: x["id"]), 1, 20).alias("evidence"),
-    )
+    each = rows.groupBy(*key, "id", "agent").agg(F.count("*").alias("_n"))
+    counts = each.groupBy(*key).agg(F.countDistinct("id").alias("support"), F.countDistinct("agent").alias("agents"))
+    # the first ones of each group are picked where the rows are read, before they meet
+    place = F.dense_rank().over(Window.partitionBy(*key).orderBy(F.col("finished").asc_nulls_first(), F.col("id").asc_nulls_first()))
+    first = rows.select(*key, "finished", "id").withColumn("_place", place).where(F.col("_place") <= 20).select(*key, "_place", "id").distinct()
+    first = first.groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "id"))), lambda x: x["id"]).alias("evidence"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    g = counts.join(first, same[0] & same[1] & same[2]).select(*key, "support", "agents", "evidence")
     g = g.withColumn("information", information_value(F.col("agents"), F.col("signal").startswith("s")))
     return g.where((F.col("support") >= least_support) & (F.col("information") >= least_value))
 
