@@ -122,3 +122,17 @@ def test_evidence_is_picked_before_rows_meet(spark):
         assert r.evidence == [i for _, i in pairs][:20] and r.support == len({i for _, i in pairs}) and r.agents == 4, signal
     assert len(got) == 4
     assert "collect_set" not in df._jdf.queryExecution().toString()
+
+
+def test_segment_reports_look_at_a_place_once(spark):
+    from veinstone.operators import reporting as P
+
+    items = [(g, "p" if g % 50 else None, "q", 1 + g % 3, 30 + g % 3) for g in range(600)] + [(600, "p", "q", 300, 310), (0, "p", "q", 1, 31)]
+    stmts = [("p", "q", i, i, ["Assign", "Expr", "If", None][i % 4 if i > 5 else 0], i % 5 != 0, None if i % 3 else False) for i in range(1, 31)]
+    df, gone = P.segment_report_groups(spark.createDataFrame(items, "group_key int, path string, qualname string, start int, end int"), spark.createDataFrame(stmts, "path string, qualname string, start int, end int, kind string, attribute_only boolean, call boolean"))
+    assert gone.count() == 0 and df.count() == 602
+    plain = [("p", "q", i, i, "Assign", True, False) for i in range(1, 31)]
+    df, gone = P.segment_report_groups(spark.createDataFrame(items, "group_key int, path string, qualname string, start int, end int"), spark.createDataFrame(plain, "path string, qualname string, start int, end int, kind string, attribute_only boolean, call boolean"))
+    assert {r.group_key for r in gone.collect()} == {g for g in range(600) if g % 50}
+    assert {r.group_key for r in df.collect()} == {0, *range(0, 600, 50), 600}
+    assert joined_rows(df) < 600 * 5
