@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veinstone.operators import density as D
 from veinstone.operators import neighbours as N
+from veinstone.operators import vectors as V
 from veinstone.operators.vectors import project
 
 
@@ -173,3 +174,27 @@ def test_sweep(spark):
         assert [None if r.cluster is None else r.cluster - 1 for r in mine] == labels
         row = results.where(f"dims = {dims} AND min_size = {m} AND min_samples = {k} AND method = '{how}'").first()
         assert row.clusters == len(set(labels) - {None}) and abs(row.noise - labels.count(None) / 400) < 1e-9
+
+
+@pytest.mark.parametrize(("eps", "least"), [(1.0, 4), (2.5, 6), (0.0, 3)])
+def test_density_clusters_make_no_pairs_of_rows(spark, monkeypatch, eps, least):
+    """Dense groups, copies, borders, vectors without a distance; and parts of a few points."""
+    monkeypatch.setattr(N, "PART", (90, 90))
+    monkeypatch.setattr(N, "AT_ONCE", 3000)
+    x = np.vstack([cloud(600, 3), np.array([[50.0, 0, 0], [50.0, 0.6, 0.8], [50.0, 0.6, -0.8], [50.0, -1.0, 0]])])
+    rows = [(i, [float(a) for a in r]) for i, r in enumerate(x)] + [(-1, None), (-2, [1.0, None, 2.0]), (-3, [float("nan")] * 3), (-4, [])]
+    sizes = []
+    monkeypatch.setattr(V, "cut_lineage", lambda df, *a, real=V.cut_lineage: sizes.append((out := real(df, *a)).count()) or out)
+    found = V.density_clusters(spark.createDataFrame(rows, "id long, v array<double>").repartition(4), "id", "v", eps, least)
+    got = {r.id: r.cluster for r in found.collect()}
+    near = np.stack([np.sqrt(((x - r) ** 2).cumsum(1)[:, -1]) <= eps for r in x])
+    core = near.sum(1) >= least
+    low = np.where(core, np.arange(len(x)), len(x))
+    while True:
+        new = np.where(core, np.where(near & core[None, :], low[None, :], len(x)).min(1), low)
+        if (new == low).all():
+            break
+        low = new
+    want = np.where(near & core[None, :], low[None, :], len(x)).min(1)
+    assert got == {i: None if w == len(x) else int(w) for i, w in enumerate(want)} | {-1: None, -2: None, -3: None, -4: None}
+    assert len(set(want)) > 1 and max(sizes) < 20 * len(x)  # near pairs: up to 20 000

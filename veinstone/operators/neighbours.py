@@ -25,6 +25,9 @@ from veinstone.session import cut_lineage
 
 #: Points in a block and queries in a chunk: what one task compares at once.
 BLOCK, CHUNK = 4096, 2048
+#: Tasks to which pairs are dealt at most. The number is given, as Spark would put pairs of few MB,
+#: which take long, into one task.
+TASKS = 1024
 DIGITS = 12
 
 
@@ -123,6 +126,8 @@ def tiles(visits: DataFrame, points: DataFrame, cells: Cells, run: Callable[[pa.
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     right = points.join(sizes(), ["space", "cell"]).withColumns({"block": block, "chunk": F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))})
     key = ["space", "cell", "chunk", "block"]
+    tasks = max(1, min(sum(chunks * blocks for *_, chunks, blocks in plan), TASKS))
+    left, right = left.repartition(tasks, *key), right.repartition(tasks, *key)
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema), pairs
 
 
@@ -191,3 +196,108 @@ def nearest(queries: DataFrame, cells: Cells, k: int, with_self: bool = False, d
     second, more = tiles(cut_lineage(again.select("space", "q", "qv", "u").mapInArrow(plan(True), visit)), points, cells, compare, out)
     both = first.drop("rank").unionByName(second).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return cut_lineage(both, first), (pairs + more) / total
+
+
+#: Points in a part, at least and at most; in between so many that each space has about ``PARTS``.
+PART, PARTS = (2048, 32768), 16
+#: Distances that a task looks at together.
+AT_ONCE = 1 << 21
+
+
+@dataclass(frozen=True)
+class Parts:
+    """points (space, id, v, cell, part) of cells in pieces; first: each cell's first part, and how
+    many it has."""
+
+    points: DataFrame
+    pivots: dict[int, np.ndarray]
+    radius: dict[int, np.ndarray]
+    first: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def only(self, ids: DataFrame) -> Parts:
+        """The points of some ids (id)."""
+        return Parts(self.points.join(ids, "id", "left_semi"), self.pivots, self.radius, self.first)
+
+    def meet(self, eps: float) -> DataFrame:
+        """(lo, hi, part, id, v): every point once for each pair of parts, one being its own, in
+        which another point may be within ``eps`` of it."""
+        pivots, radius, first = self.pivots, self.radius, self.first
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                space, own = batch.column("space").to_numpy(), batch.column("part").to_numpy()
+                for s in np.unique(space):
+                    at = np.flatnonzero(space == s)
+                    _, least = bounds(matrix(batch.column("v").take(pa.array(at))), pivots[s], radius[s])
+                    start, pieces = first[s]
+                    for c in np.flatnonzero(pieces):
+                        here = at[least[:, c] <= eps]
+                        rows = batch.select(["part", "id", "v"]).take(pa.array(here))
+                        for other in range(start[c], start[c] + pieces[c]) if len(here) else ():
+                            ends = [pa.array(f(own[here], other), pa.int32()) for f in (np.minimum, np.maximum)]
+                            yield pa.RecordBatch.from_arrays([*ends, *rows.columns], names=["lo", "hi", *rows.schema.names])
+
+        types = dict(self.points.dtypes)
+        met = self.points.select("space", "part", "id", "v").mapInArrow(run, f"lo int, hi int, part int, id {types['id']}, v {types['v']}")
+        n = sum(int(pieces.sum()) for _, pieces in first.values())
+        return met.repartition(min(n * (n + 1) // 2, TASKS), "lo", "hi")
+
+
+def in_parts(points: DataFrame) -> Parts | None:
+    """Parts of ``points`` (space int, node long, id, v), which no two points share that are not of one cell."""
+    sizes = [r.n for r in points.groupBy("space").agg(F.count("*").alias("n")).collect()]
+    if not sizes:
+        return None
+    side = min(max(-(-max(sizes) // PARTS), PART[0]), PART[1])
+    cells = in_cells(points, side)
+    first, so_far = {}, 0
+    for s, n in cells.members.items():
+        pieces = -(-n // side)
+        first[s] = (so_far + np.cumsum(pieces) - pieces, pieces)
+        so_far += int(pieces.sum())
+    plan = [(int(s), c, int(a), int(k)) for s, (start, pieces) in first.items() for c, (a, k) in enumerate(zip(start, pieces, strict=True)) if k]
+    places = points.sparkSession.createDataFrame(plan, "space int, cell int, start int, pieces int")
+    part = F.col("start") + F.pmod(F.xxhash64("node", F.lit(1)), F.col("pieces")).cast("int")
+    return Parts(cells.points.join(F.broadcast(places), ["space", "cell"]).select("space", "id", "v", part.alias("part")), cells.pivots, cells.radius, first)
+
+
+def sides(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The two parts that have met, or twice the one that met itself."""
+    lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+    if lo == hi:
+        return table, table
+    own = table["part"].to_numpy() == lo
+    return table.filter(pa.array(own)), table.filter(pa.array(~own))
+
+
+def close(x: np.ndarray, y: np.ndarray, eps: float) -> Iterator[tuple[slice, np.ndarray]]:
+    """Rows of x, some at a time, and which rows of y are within ``eps`` of them. Where the
+    products leave it open, the differences are squared and added in their order."""
+    if not len(x) or not len(y):
+        return
+    yy, step = (y * y).sum(1), max(1, AT_ONCE // len(y))
+    for start in range(0, len(x), step):
+        at = slice(start, min(start + step, len(x)))
+        both = (x[at] * x[at]).sum(1)[:, None] + yy[None, :]
+        over = both - 2 * (x[at] @ y.T) - eps * eps
+        off = 1e-12 * (1.0 + both)
+        near = over < -off
+        i, j = np.nonzero(np.abs(over) <= off)
+        for k in range(0, len(i), 1 << 15):
+            a, b = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+            gap, total = x[at][a] - y[b], np.zeros(len(a))
+            for c in range(gap.shape[1]):
+                total += gap[:, c] * gap[:, c]
+            near[a, b] = np.sqrt(total) <= eps
+        yield at, near
+
+
+def unite(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the ends of edges: ``low`` names a smallest member for each node and stays flat."""
+    while len(a):
+        x, y = low[a], low[b]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low[:] = low[low]
+        open_ = low[a] != low[b]
+        a, b = a[open_], b[open_]

@@ -192,29 +192,61 @@ def project(items: DataFrame, vector: str, dims: int, out: str = "projected") ->
     return scaled.withColumn("_moved", moved).withColumn(out, F.when(F.col("_unit").isNotNull(), F.transform(rows, coordinate))).drop("_unit", "_moved")
 
 
-def widest(items: DataFrame, vector: str, n: int) -> list[int]:
-    """The ``n`` coordinates of the largest variance, by falling variance."""
-    parts = items.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x"))
-    rows = parts.groupBy("i").agg(F.var_pop("x").alias("v")).orderBy(F.desc_nulls_last("v"), "i").limit(n).collect()
-    return [r.i for r in rows]
-
-
 def density_clusters(items: DataFrame, ident: str, vector: str, eps: float, least: int) -> DataFrame:
-    """2.12.1 in place of HDBSCAN: DBSCAN by grid cells. Points are dealt to cells of
-    width eps of the three coordinates of the largest variance and compared with neighbouring
-    cells only, the only places where a point within eps can be. Core points link into
-    components (one row a point, whatever the size of a cluster)."""
-    v = F.col(vector).cast("array<double>")
-    axes = widest(items, vector, 3)
-    cell = [F.floor(F.coalesce(F.get(v, i), F.lit(0.0)) / eps) for i in axes]
-    p = items.select(F.col(ident).alias("id"), v.alias("v"), F.array(*cell).cast("array<long>").alias("cell"))
-    steps = F.array(*[F.array(*[F.lit(x // 3**k % 3 - 1).cast("long") for k in range(len(axes))]).cast("array<long>") for x in range(3 ** len(axes))])
-    q = p.select(F.col("id").alias("id2"), F.col("v").alias("v2"), "cell", F.explode(steps).alias("step"))
-    q = q.select("id2", "v2", F.zip_with("cell", "step", lambda a, b: a + b).alias("cell"))
-    near = cut_lineage(p.join(q, "cell").where(euclidean(F.col("v"), F.col("v2")) <= eps).select("id", "id2"))
-    core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
-    e = near.join(core, "id").join(core.select(F.col("id").alias("id2")), "id2")
-    roots = components(e.select(F.col("id").alias("a"), F.col("id2").alias("b")))
-    alone = core.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("root", "id").alias("root"))
-    border = near.join(alone, F.col("id2") == F.col("node")).groupBy("id").agg(F.min("root").alias("cluster"))
-    return p.select("id").join(border, "id", "left").select("id", "cluster")
+    """2.12.1 in place of HDBSCAN: exact DBSCAN, a point within ``eps`` of ``least`` points (itself
+    included) being a core point. Points meet in pairs of parts (:func:`neighbours.close`), as
+    products of matrices, but for parts that the triangle inequality keeps apart. No pair leaves
+    its task for being near: the first time a task gives counts, and the neighbours of points
+    that have fewer than ``least`` there; then, of core points alone, which of them it connects."""
+    from veinstone.operators import neighbours as N
+
+    kind = items.schema[ident].dataType.simpleString()
+    rows = items.select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("d"), F.col(vector).alias("v"))
+    sound = F.forall("d", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    known = rows.where(F.col("d").isNotNull() & sound).withColumn("space", F.size("d"))
+    known = known.select("space", F.xxhash64("id").alias("node"), "id", F.when(F.size("d") > 0, F.col("v")).otherwise(F.array(F.lit(0.0)).cast(items.schema[vector].dataType)).alias("v"))
+    parts = N.in_parts(known)
+    if parts is None:
+        return rows.select("id", F.lit(None).cast(kind).alias("cluster"))
+
+    def count(table: pa.Table) -> pa.Table:
+        left, right = N.sides(table)
+        x, y, one = N.matrix(left["v"]), N.matrix(right["v"]), left is right
+        across, down, pairs = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
+        for at, near in N.close(x, y, eps):
+            across[at] = near.sum(1)
+            i, j = np.nonzero(near & (across[at] < least)[:, None])
+            pairs.append((i + at.start, j, np.zeros(len(i), bool)))
+            if not one:
+                down += near.sum(0)
+                i, j = np.nonzero(near & (down < least)[None, :])
+                pairs.append((i + at.start, j, np.ones(len(i), bool)))
+        i, j, back = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))
+        keep = ~back | (down[j] < least)
+        i, j, back = i[keep], j[keep], back[keep]
+        ids, others = left["id"].combine_chunks(), right["id"].combine_chunks()
+        few = pa.concat_arrays([ids.take(pa.array(i[~back])), others.take(pa.array(j[back]))])
+        near_few = pa.concat_arrays([others.take(pa.array(j[~back])), ids.take(pa.array(i[back]))])
+        every = pa.concat_arrays([ids, others.slice(0, 0 if one else len(others))])
+        n = np.concatenate([across, down[: 0 if one else len(down)]])
+        return pa.table({"id": pa.concat_arrays([every, few]), "n": pa.array(np.concatenate([n, np.zeros(len(few), np.int64)])), "id2": pa.concat_arrays([pa.nulls(len(every), near_few.type), near_few])})
+
+    def connect(table: pa.Table) -> pa.Table:
+        left, right = N.sides(table)
+        x, y = N.matrix(left["v"]), N.matrix(right["v"])
+        first = 0 if left is right else len(x)
+        low = np.arange(first + len(y))
+        for at, near in N.close(x, y, eps):
+            i, j = np.nonzero(near & (low[at][:, None] != low[first:][None, :]))
+            N.unite(low, i + at.start, j + first)
+        ids = left["id"].combine_chunks() if left is right else pa.concat_arrays([left["id"].combine_chunks(), right["id"].combine_chunks()])
+        moved = np.flatnonzero(low != np.arange(len(low)))
+        return pa.table({"a": ids.take(pa.array(moved)), "b": ids.take(pa.array(low[moved]))})
+
+    found = cut_lineage(parts.meet(eps).groupBy("lo", "hi").applyInArrow(count, f"id {kind}, n long, id2 {kind}").where("n > 0 OR id2 IS NOT NULL"))
+    core = cut_lineage(found.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("id"))
+    links = cut_lineage(parts.only(core).meet(eps).groupBy("lo", "hi").applyInArrow(connect, f"a {kind}, b {kind}"))
+    roots = components(links)
+    alone = cut_lineage(core.join(roots, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("root", "id").alias("root")))
+    edge = found.where("id2 IS NOT NULL").select("id", "id2").join(core, "id", "left_anti").join(alone, F.col("id2") == F.col("node")).groupBy("id").agg(F.min("root").alias("cluster"))
+    return rows.select("id").join(alone.select(F.col("node").alias("id"), F.col("root").alias("cluster")).unionByName(edge), "id", "left").select("id", "cluster")
