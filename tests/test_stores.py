@@ -161,3 +161,22 @@ def test_trees_of_any_size_are_listed(spark, tmp_path):
         (tmp_path / "t" / name).write_text("x = 1\n" * len(name))
     few, many = (readers.list_tree(spark, f"{tmp_path}/t", most=most).collect() for most in (1000, 2))
     assert few == many and len(few) == 5
+
+
+def test_an_index_groups_documents_without_sorting_them(spark, tmp_path, monkeypatch):
+    from veinstone.operators import textindex as T
+
+    monkeypatch.setattr(T, "GROUP", 4)
+    monkeypatch.setattr(T, "TASKS", 3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % k}" for k in range(1, 9)) + f" x{i % 5}" * (i % 4)) for i in range(50)], "id long, text string")
+    index = T.TextIndex(spark, str(tmp_path / "index"))
+    index.add(docs.withColumn("text", F.lit("w0")), "id", "text")
+    index.add(docs, "id", "text")
+    last = [p for p in index.ledger.read().parts if p["kind"] == "segment"][-1]
+    rows = index._read(last, None).select("group", F.explode("docs.id").alias("id")).distinct().collect()
+    assert len(rows) == 50 and {r.group for r in rows} <= set(range(13))
+    asked = spark.createDataFrame([(1, "x2"), (1, "w3"), (2, "w0"), (2, "w6")], "qid int, token string")
+    every, best = ({(r.qid, r.id): round(r.score, 9) for r in index.search(asked, k).collect()} for k in (None, 3))
+    for q in (1, 2):
+        order = sorted((-s, i) for (qid, i), s in every.items() if qid == q)[:3]
+        assert order == sorted((-s, i) for (qid, i), s in best.items() if qid == q)
