@@ -198,3 +198,36 @@ def test_density_clusters_make_no_pairs_of_rows(spark, monkeypatch, eps, least):
     want = np.where(near & core[None, :], low[None, :], len(x)).min(1)
     assert got == {i: None if w == len(x) else int(w) for i, w in enumerate(want)} | {-1: None, -2: None, -3: None, -4: None}
     assert len(set(want)) > 1 and max(sizes) < 20 * len(x)  # near pairs: up to 20 000
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_trees_of_pairs_and_of_rounds(spark, monkeypatch, parts):
+    """The same weights both ways, in a few jobs where pairs of parts give the tree."""
+    monkeypatch.setattr(D, "PART", (-(-300 // parts),) * 2)
+    x = cloud(300, 4, 8)
+    rows = frame(spark, x).select(F.explode(F.array(F.lit(2), F.lit(4))).alias("space"), F.col("id").alias("node"), "v").select("space", "node", F.slice("v", 1, F.col("space")).alias("v"))
+    cells, samples = N.in_cells(rows, 60), {2: (1, 5), 4: (5,)}
+    jobs = []
+    for module in (D, N):
+        monkeypatch.setattr(module, "cut_lineage", lambda *a, real=module.cut_lineage: jobs.append(1) or real(*a))
+    nodes, tree = D.tree_of_pairs(cells, samples)
+    assert nodes.groupBy("space").count().collect() and len(jobs) <= 5
+    points, listed = D.reachable(cells, samples)
+    assert sorted(map(tuple, nodes.collect())) == sorted((r.space, r.node) for r in points.collect())
+
+    def shape(df):
+        got: dict = {}
+        for r in df.collect():
+            got.setdefault(r.space, []).append(r.w)
+        return {s: sorted(w) for s, w in got.items()}
+
+    found = shape(tree)
+    assert found == shape(D.spanning_tree(points, listed, cells)) and {s: len(w) for s, w in found.items()} == {2001: 299, 2005: 299, 4005: 299}
+
+
+def test_hdbscan_of_more_points_than_pairs_take(spark, monkeypatch):
+    monkeypatch.setattr(D, "DENSE", 100)
+    x = cloud(600, seed=600)
+    got = {r.id: r for r in D.hdbscan(frame(spark, x), "id", "v", 5, 1, "leaf", per_cell=100).collect()}
+    labels, strengths = plain(x, 5, 1, "leaf")
+    assert [got[i].cluster for i in range(600)] == labels and np.allclose([got[i].strength for i in range(600)], strengths)

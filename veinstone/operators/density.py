@@ -1,10 +1,12 @@
 """Hierarchical density clusters (2.12.1) and the sweep over their parameters (2.12.2 to 2.12.5).
 
 The distance of two points is at least the distance of either to its k-th neighbour (mutual
-reachability). A spanning tree of least weight is grown in rounds (Boruvka): every component
-takes its lightest edge out. The edge comes from stored neighbour lists where these reach
-far enough to be sure, and else from an exact search of the cells that may hold a lighter
-one. Edges are ordered by weight and both ends, so the tree does not depend on the run.
+reachability). Up to ``DENSE`` points a space, a spanning tree of least weight comes from pairs
+of parts: every edge lies in one of them, so the trees of all pairs hold one of the whole. Larger
+spaces grow theirs in rounds (Boruvka): every component takes its lightest edge out. The edge
+comes from stored neighbour lists where these reach far enough to be sure, and else from an
+exact search of the cells that may hold a lighter one. Trees of one space differ in nothing but
+edges of the same weight, which the next step does not tell apart.
 
 The tree's edges, by rising weight, make the condensed tree: a component of at least
 ``min_size`` points is a cluster, smaller ones that join it are points that it loses at that
@@ -34,12 +36,29 @@ from veinstone.session import cut_lineage, drop_checkpoint
 
 #: Edges of one tree that a task condenses at once.
 EDGES = 1_000_000
+#: Points of a space whose tree comes from pairs of parts: then the trees of all pairs, which one task
+#: merges, have at most 4 million edges.
+DENSE = 1 << 17
+#: Points in a part, at least and at most, and parts that there are before these are filled.
+PART, PARTS = (1024, 4096), 8
 #: The least weight; equal points have infinite density otherwise.
 TINY = 1e-9
 #: More than the number of any space.
 SPACES = 1_000_000
 
 
+def _core(k, size):
+    """The distance to the k-th other point of the sorted list ``near``, to the last one of fewer."""
+    return F.coalesce(F.try_element_at("near", F.least(k, F.greatest(size, F.lit(1))))["d"], F.lit(0.0))
+
+
+def _near(cells: N.Cells, most: int) -> DataFrame:
+    """All points with their lists of ``most`` neighbours, nearest first, as ``near``."""
+    lists, _ = N.nearest(cells.points.select("space", F.col("node").alias("q"), F.col("v").alias("qv")), cells, most)
+    each = lists.groupBy("space", F.col("q").alias("node")).agg(F.sort_array(F.collect_list(F.struct("rank", "d", "node"))).alias("near"))
+    return cells.points.join(each, ["space", "node"], "left")
+
+
 def reachable(cells: N.Cells, samples: dict[int, tuple[int, ...]], more: int = 6) -> tuple[DataFrame, DataFrame]:
     """Points and edges of the spaces in which clusters are looked for: one for every base space
     and number of samples k, numbered 1000 * base + k (both less than 1000).
@@ -48,14 +67,12 @@ def reachable(cells: N.Cells, samples: dict[int, tuple[int, ...]], more: int = 6
     other point (the last one, if there are fewer); every point within ``reach`` is in the list
     of edges (space, a, b, w). Nodes are numbered anew, by node and space."""
     most = max(k for ks in samples.values() for k in ks) + more
-    lists, _ = N.nearest(cells.points.select("space", F.col("node").alias("q"), F.col("v").alias("qv")), cells, most)
-    each = lists.groupBy("space", F.col("q").alias("node")).agg(F.sort_array(F.collect_list(F.struct("rank", "d", "node"))).alias("near"))
     full = F.create_map(*[F.lit(x) for s in cells.pivots for x in (s, cells.total(s) - 1)])
     ks = F.create_map(*[x for s, k in samples.items() for x in (F.lit(s), F.array(*[F.lit(i) for i in k]))])
-    joined = cells.points.join(each, ["space", "node"], "left").withColumn("k", F.explode(ks[F.col("space")]))
+    joined = _near(cells, most).withColumn("k", F.explode(ks[F.col("space")]))
     size = F.coalesce(F.size("near"), F.lit(0))
     reach = F.when(size >= full[F.col("space")], F.lit(float("inf"))).otherwise(F.element_at("near", -1)["d"])
-    core = F.coalesce(F.try_element_at("near", F.least("k", F.greatest(size, F.lit(1))))["d"], F.lit(0.0))
+    core = _core("k", size)
     number = (F.col("space") * 1000 + F.col("k")).cast("int")
     p = cut_lineage(joined.select(number.alias("space"), (F.col("node") * SPACES + number).alias("node"), F.col("space").alias("base"), "v", "cell", core.alias("core"), reach.alias("reach"), "near"))
     e = p.select("space", "node", "core", F.explode("near").alias("n")).select("space", F.col("node").alias("a"), (F.col("n.node") * SPACES + F.col("space")).alias("b"), "core", F.col("n.d").alias("d"))
@@ -64,6 +81,76 @@ def reachable(cells: N.Cells, samples: dict[int, tuple[int, ...]], more: int = 6
     return p.drop("near"), e
 
 
+def least_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends and weights of a least spanning tree of some points, one point after the other. The
+    points that are not in it are kept together in front, so that a step looks at no others."""
+    n = len(x)
+    left, near, least = np.arange(1, n), np.zeros(max(n - 1, 0), int), np.full(max(n - 1, 0), np.inf)
+    y, other = x[1:].copy(), core[1:].copy()
+    a, b, w = np.zeros(max(n - 1, 0), int), np.zeros(max(n - 1, 0), int), np.zeros(max(n - 1, 0))
+    at = 0
+    for m in range(n - 1, 0, -1):
+        d = np.maximum(np.maximum(N.exact(x[at], y[:m]), other[:m]), core[at])
+        closer = d < least[:m]
+        np.copyto(least[:m], d, where=closer)
+        near[:m][closer] = at
+        j = int(least[:m].argmin())
+        a[m - 1], b[m - 1], w[m - 1] = near[j], left[j], least[j]
+        at = left[j]
+        for kept in (left, near, least, y, other):
+            kept[j] = kept[m - 1]
+    return a, b, w
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which edges, that come by rising weight, are in a least spanning forest of n nodes."""
+    low, at, kept = np.arange(n), np.arange(len(a)), [np.zeros(0, int)]
+    while len(at := at[low[a[at]] != low[b[at]]]):
+        best = np.full(n, len(a))
+        for ends in (a, b):
+            np.minimum.at(best, low[ends[at]], at)
+        kept.append(np.unique(best[best < len(a)]))
+        N.unite(low, a[kept[-1]], b[kept[-1]])
+    return np.concatenate(kept)
+
+
+def tree_of_pairs(cells: N.Cells, samples: dict[int, tuple[int, ...]]) -> tuple[DataFrame, DataFrame]:
+    """(space, node) and (space, lo, hi, w): the nodes and the edges of a least spanning tree of
+    each space, numbered as in :func:`reachable`. Points meet in pairs of parts, each pair gives
+    its own tree, and one task a space merges these: points times parts, not pairs of points."""
+    size = F.coalesce(F.size("near"), F.lit(0))
+    ks = F.create_map(*[x for s, k in samples.items() for x in (F.lit(s), F.array(*[F.lit(i) for i in k]))])
+    cores = F.transform(ks[F.col("space")], lambda k: _core(k, size))
+    points = cut_lineage(_near(cells, max(k for ks in samples.values() for k in ks)).select("space", "node", "v", cores.alias("cores")))
+    parts = {s: max(1, -(-cells.total(s) // min(max(-(-cells.total(s) // PARTS), PART[0]), PART[1]))) for s in cells.pivots}
+    n = F.create_map(*[F.lit(x) for item in parts.items() for x in item])[F.col("space")]
+    met = points.withColumn("part", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).where((F.col("part") != F.col("other")) | (n == 1))
+    met = met.select("space", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "node", "v", "cores")
+
+    def pair(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        base, node, x = table["space"][0].as_py(), table["node"].to_numpy(), N.matrix(table["v"])
+        out = []
+        for k, core in zip(samples[base], N.matrix(table["cores"]).T, strict=True):
+            number = 1000 * base + k
+            a, b, w = least_tree(x, np.ascontiguousarray(core))
+            lo, hi = np.minimum(node[a], node[b]) * SPACES + number, np.maximum(node[a], node[b]) * SPACES + number
+            out.append(pa.table({"space": pa.array(np.full(len(w), number, np.int32)), "lo": lo, "hi": hi, "w": w}))
+        return pa.concat_tables(out)
+
+    def merge(table: pa.Table) -> pa.Table:
+        lo, hi, w = (table[c].to_numpy() for c in ("lo", "hi", "w"))
+        order = np.lexsort((hi, lo, w))
+        names, ends = np.unique(np.concatenate([lo[order], hi[order]]), return_inverse=True)
+        return table.take(pa.array(order[forest(len(names), ends[: len(lo)], ends[len(lo) :])]))
+
+    key, schema = ["space", "one", "two"], "space int, lo long, hi long, w double"
+    tasks = min(sum(max(1, p * (p - 1) // 2) for p in parts.values()), N.TASKS)
+    tree = met.repartition(tasks, *key).groupBy(*key).applyInArrow(pair, schema).groupBy("space").applyInArrow(merge, schema)
+    spaces = points.withColumn("k", F.explode(ks[F.col("space")])).withColumn("number", (F.col("space") * 1000 + F.col("k")).cast("int"))
+    return spaces.select(F.col("number").alias("space"), (F.col("node") * SPACES + F.col("number")).alias("node")), cut_lineage(tree)
+
+
 def _edge(other: str = "cb"):
     """An edge by weight and both ends, and the component that it leads to."""
     return F.struct("w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), other)
@@ -346,9 +433,12 @@ def clusterings(spaces: DataFrame, samples: dict[int, tuple[int, ...]], min_size
     cells = N.in_cells(spaces, per_cell)
     if not cells.pivots:
         return spaces.select(F.col("space").alias("base"), F.lit(0).alias("samples"), F.lit(0).alias("min_size"), F.lit("").alias("method"), "node", F.col("node").alias("cluster"), F.lit(0.0).alias("strength")).limit(0)
-    points, listed = reachable(cells, samples)
-    tree = spanning_tree(points, listed, cells)
-    drop_checkpoint(listed)
+    if max(cells.total(s) for s in cells.pivots) <= DENSE:
+        points, tree = tree_of_pairs(cells, samples)
+    else:
+        points, listed = reachable(cells, samples)
+        tree = spanning_tree(points, listed, cells)
+        drop_checkpoint(listed)
     lost, clusters = condense(tree, min_sizes, edges)
     picked = selected(clusters)
     inside = cut_lineage(lost.join(picked, ["space", "min_size", "cluster"]).select("space", "min_size", "method", "node", "to", F.least(F.lit(1.0), F.col("lam") / F.col("top")).alias("strength")))
