@@ -57,3 +57,42 @@ def test_a_long_ring_takes_few_rounds(spark, monkeypatch):
     tail = spark.range(2000).selectExpr("concat('t', lpad(id, 5, '0')) AS src", "concat('t', lpad(id + 1, 5, '0')) AS dst")
     got = graph.cycles(ring.union(tail).union(spark.sql("SELECT '000500', 't00000'"))).collect()
     assert [(r.component, r["size"]) for r in got] == [("000000", n)] and len(rounds) < 50
+
+
+def moved(spark, run) -> int:
+    """Rows that a call's stages write for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._jvm.java.util.ArrayList()
+    total = lambda: sum(s.shuffleWriteRecords() for s in (stages.apply(i) for stages in [store.stageList(none, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), none)] for i in range(stages.size())))
+    before = total()
+    run()
+    return total() - before
+
+
+def ladder(spark, n: int):
+    """Rungs of two nodes, each with edges to both of the next rung."""
+    name = lambda c, i: f"concat('{c}', lpad({i}, 5, '0'))"
+    return spark.range(n).selectExpr(f"explode(array(struct({name('a', 'id')} AS src, {name('a', 'id + 1')} AS dst), struct({name('a', 'id')} AS src, {name('b', 'id + 1')} AS dst), struct({name('b', 'id')} AS src, {name('a', 'id + 1')} AS dst))) AS x").select("x.*").distinct()
+
+
+def test_reach_does_not_move_what_is_known(spark):
+    n = 24
+    e = ladder(spark, n)
+    origins = e.selectExpr("src AS origin", "src AS node").distinct()
+    found = {}
+    rows = moved(spark, lambda: found.update({(r.origin, r.node): r.depth for r in graph.closure(e, origins).collect()}))
+    want = {(f"{c}{i:05d}", f"{t}{j:05d}"): j - i for c in "ab" for i in range(n) for j in range(i + 1, n + 1) for t in "ab"}
+    want = {k: v for k, v in want.items() if not (k[0][0] == "b" and k[1][0] == "b" and v == 1)}
+    assert found == want
+    assert rows < 12 * len(want)  # with all that is known in every round: 24 times half of it
+
+
+def test_layers_move_an_edge_once(spark):
+    n = 14
+    e = ladder(spark, n).localCheckpoint()
+    got = {}
+    rows = moved(spark, lambda: got.update({r.node: r.depth for r in graph.depths(e, few=0).collect()}))
+    assert got == {f"{c}{i:05d}": n + 1 - i for c in "ab" for i in range(n + 1)}
+    assert rows < 25 * e.count()  # with all edges left in every round: 14 times half of them, four times
+    assert [tuple(r.path) for r in graph.chains(e, 2, few=0).collect()] == [tuple(f"a{i:05d}" for i in range(n + 1)), ("b00000", *(f"a{i:05d}" for i in range(1, n + 1)))]
+    assert graph._peel(e.unionByName(spark.sql("SELECT 'x' AS src, 'y' AS dst UNION ALL SELECT 'y', 'x' UNION ALL SELECT 'y', 'a00000' UNION ALL SELECT 'b00014', 'x'"))).count() > 3 * n - 3
