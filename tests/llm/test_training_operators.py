@@ -644,3 +644,31 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert {r.doc_id for r in at.collect()} == {r.doc_id for r in kept["source mixing"].collect()}
     assert Counter(tuple(r)[:5] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(tuple(r)[:5] for r in at.collect())
 
+
+
+def test_packing_lays_out_few_ids_at_once(monkeypatch):
+    """The ids of a batch of texts are made a few texts at a time, and are those of each text."""
+    import pyarrow as pa
+
+    texts = [f"word{i % 97} other{i % 89} don't x{i}! " * 400 for i in range(200)] + [None, "", " \n", "one", "many " * 120_000]
+    most, pick = [], packing.Ragged.pick
+    monkeypatch.setattr(packing.Ragged, "pick", lambda self, rows: most.append(len(rows)) or pick(self, rows))
+    encode = packing.WordEncoder(tokenizer_path())
+    got = [np.frombuffer(x, "<u4").tolist() for x in encode.encode(pa.array(texts[:-1]))]
+    assert max(most) <= packing.WORDS < sum(len((t or "").split()) for t in texts[:-1])
+    got += [np.frombuffer(x, "<u4").tolist() for x in encode.encode(pa.array(texts[-1:]))]
+    for t, ids in zip(texts, got, strict=True):
+        assert ids == encode.tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_packing_reads_small_batches(spark, monkeypatch):
+    """Long texts come to the tokenizer in batches of few bytes; the session's setting is put back."""
+    key, seen, cut = "spark.sql.execution.arrow.maxBytesPerBatch", [], packing.cut_lineage
+    monkeypatch.setattr(packing, "cut_lineage", lambda df: seen.append(int(spark.conf.get(key))) or cut(df))
+    docs = spark.range(12).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 500_000).alias("text"))
+    before = spark.conf.get(key, None)
+    assert packing.pack_documents(docs, tokenizer_path()).agg(F.sum("length")).first()[0] == 12 * 500_001
+    assert seen == [packing.BYTES] and spark.conf.get(key, None) == before
+    with pytest.raises(KeyError), packing.batch_bytes(spark, 1):
+        raise KeyError
+    assert spark.conf.get(key, None) == before

@@ -26,7 +26,12 @@ from pyspark.sql import functions as F
 
 from veinstone.llm.text import sliced_by_bytes
 from veinstone.operators.windows import numbered
-from veinstone.session import cut_lineage
+from veinstone.session import batch_bytes, cut_lineage
+
+#: Bytes of texts that a worker holds and splits at once.
+BYTES = 4_000_000
+#: Words whose ids are laid out at once; a longer text's are as many as it has.
+WORDS = 50_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -81,8 +86,8 @@ class WordEncoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """One call for many pieces; the end-of-word ids say where each ends."""
-        for at in range(0, len(pieces), 20_000):
-            part = pieces[at : at + 20_000]
+        for at in range(0, len(pieces), 5_000):
+            part = pieces[at : at + 5_000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):
@@ -129,10 +134,16 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text; none for null."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = pc.list_flatten(split).dictionary_encode()
-        rows = self._words(coded.dictionary).pick(coded.indices.to_numpy())
-        rows = rows.joined(pc.list_value_length(split).to_numpy())
-        for start, length in zip(rows.starts.tolist(), rows.lengths.tolist(), strict=True):
-            yield rows.flat[start : start + length].tobytes()
+        words, places = self._words(coded.dictionary), coded.indices.to_numpy()
+        groups = pc.list_value_length(split).to_numpy()
+        upto = np.concatenate([[0], np.cumsum(groups, dtype=np.int64)])
+        at = 0
+        while at < len(groups):  # a few texts at once: an id takes 4 bytes, its place among all words' ids 8 and more
+            stop = max(at + 1, int(np.searchsorted(upto, upto[at] + WORDS, side="right")) - 1)
+            rows = words.pick(places[upto[at] : upto[stop]]).joined(groups[at:stop])
+            for start, length in zip(rows.starts.tolist(), rows.lengths.tolist(), strict=True):
+                yield rows.flat[start : start + length].tobytes()
+            at = stop
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -155,7 +166,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in sliced_by_bytes(batches, 1, 4_000_000):
+        for batch in sliced_by_bytes(batches, 1, BYTES):
             rows: list[tuple] = []
             for doc_id, raw in zip(batch.column(0).to_pylist(), encode.encode(batch.column(1)), strict=True):
                 raw += end
@@ -257,5 +268,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, cap: Capacity | None = None,
     number of blocks.
     """
     cap = cap or Capacity()
-    pieces = cut_lineage(tokenize_pieces(docs, tokenizer, cap.tokens))
+    with batch_bytes(docs.sparkSession, BYTES):
+        pieces = cut_lineage(tokenize_pieces(docs, tokenizer, cap.tokens))
     return pack_pieces(pieces, cap, block)
