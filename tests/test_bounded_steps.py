@@ -136,3 +136,12 @@ def test_segment_reports_look_at_a_place_once(spark):
     assert {r.group_key for r in gone.collect()} == {g for g in range(600) if g % 50}
     assert {r.group_key for r in df.collect()} == {0, *range(0, 600, 50), 600}
     assert joined_rows(df) < 600 * 5
+
+
+def test_classes_share_the_builtin_names(monkeypatch):
+    """The names of ``builtins`` are listed once, not for every class."""
+    from veinstone.functions import python_facts
+
+    monkeypatch.setattr(python_facts, "dir", lambda x: pytest.fail("listed again"), raising=False)
+    found = python_facts.facts("from m import g\nclass A:\n    def a(self): return g(len(self.x), A, B)\nclass B: pass", "t", False, frozenset(["classes"]))
+    assert [(c[0], c[3]) for c in found["classes"]] == [("t:A", 2), ("t:B", 0)]
