@@ -145,3 +145,14 @@ def test_classes_share_the_builtin_names(monkeypatch):
     monkeypatch.setattr(python_facts, "dir", lambda x: pytest.fail("listed again"), raising=False)
     found = python_facts.facts("from m import g\nclass A:\n    def a(self): return g(len(self.x), A, B)\nclass B: pass", "t", False, frozenset(["classes"]))
     assert [(c[0], c[3]) for c in found["classes"]] == [("t:A", 2), ("t:B", 0)]
+
+
+def test_adoption_alone_writes_no_signatures(monkeypatch):
+    """Counts of annotations and public names need no text of an annotation; both ways agree."""
+    from veinstone.functions import python_facts
+
+    source = 'class C:\n    def a(self, n: int): return n\ndef f(n: int, m=0) -> int:\n    "Doc."\n    return n\ndef _g(x: str): pass'
+    both = python_facts.facts(source, "t", False, frozenset(["adoption", "api"]))
+    monkeypatch.setattr(python_facts.ast, "unparse", lambda x: pytest.fail("not asked for"))
+    alone = python_facts.facts(source, "t", False, frozenset(["adoption"]))
+    assert alone["adoption"] == both["adoption"] == (4, 3, 3, 1, 3, 1) and len(both["api"]) == 3 and alone["api"] == []
