@@ -231,3 +231,44 @@ def test_hdbscan_of_more_points_than_pairs_take(spark, monkeypatch):
     got = {r.id: r for r in D.hdbscan(frame(spark, x), "id", "v", 5, 1, "leaf", per_cell=100).collect()}
     labels, strengths = plain(x, 5, 1, "leaf")
     assert [got[i].cluster for i in range(600)] == labels and np.allclose([got[i].strength for i in range(600)], strengths)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_only_edges_lighter_than_the_way_are_kept(monkeypatch, same):
+    """From any first tree, and in blocks of a few rows, what is kept completes a least tree."""
+    monkeypatch.setattr(N, "AT_ONCE", 2000)
+    x = cloud(400, 6, 3)
+    d = np.stack([N.exact(np.repeat(x[i : i + 1], len(x), 0), x) for i in range(len(x))])
+    core = np.sort(d, axis=1)[:, 5]
+    reach = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+    first = np.array([(i, int(np.random.default_rng(i).integers(0, i))) for i in range(1, 400)])
+    w = reach[first[:, 0], first[:, 1]]
+    order = np.argsort(w, kind="stable")
+    a, b, w = first[order, 0], first[order, 1], w[order]
+    at, gap = D.leaves(400, a.tolist(), b.tolist(), w.tolist())
+    place = np.argsort(at)
+    high = D.Highest(gap)
+    pieces = [np.arange(400)] if same else [np.arange(150), np.arange(150, 400)]
+    edges = [(a, b, w)]
+    for k, one in enumerate(pieces):
+        for two in pieces[k:]:
+            ((i, j, v),) = D.lighter(x[one], x[two], one is two, [(core[one], core[two])], [(place[one], place[two])], [high])
+            assert len(v) < len(one) + len(two) and (v == reach[one[i], two[j]]).all()
+            edges.append((one[i], two[j], v))
+    a, b, w = (np.concatenate(c) for c in zip(*edges, strict=True))
+    order = np.argsort(w, kind="stable")
+    kept = order[D.forest(400, a[order], b[order])]
+    assert sorted(w[kept]) == sorted(D.least_tree(x, core)[2])
+    step = [(int(low), int(low) + 7) for low in range(0, 390, 13)]
+    assert [high(np.array([p]), np.array([q]))[0] for p, q in step] == [gap[p:q].max() for p, q in step]
+
+
+def test_trees_of_pairs_keep_no_row_for_a_cell(spark, monkeypatch):
+    """Where no cell can be passed over, what is kept does not grow with the number of cells."""
+    sizes = []
+    x = np.random.default_rng(4).normal(size=(300, 12))
+    cells = N.in_cells(frame(spark, x).select(F.lit(0).alias("space"), F.col("id").alias("node"), "v"), 10)
+    for module in (D, N):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, *a, real=module.cut_lineage: sizes.append((out := real(df, *a)).count()) or out)
+    assert D.tree_of_pairs(cells, {0: (1, 5)})[1].count() == 598
+    assert max(sizes) < 1000

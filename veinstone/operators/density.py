@@ -2,8 +2,8 @@
 
 The distance of two points is at least the distance of either to its k-th neighbour (mutual
 reachability). Up to ``DENSE`` points a space, a spanning tree of least weight comes from pairs
-of parts: every edge lies in one of them, so the trees of all pairs hold one of the whole. Larger
-spaces grow theirs in rounds (Boruvka): every component takes its lightest edge out. The edge
+of parts: the lists of neighbours give a first tree, and every pair the edges that can still
+take a place in it. Larger spaces grow theirs in rounds (Boruvka): every component takes its lightest edge out. The edge
 comes from stored neighbour lists where these reach far enough to be sure, and else from an
 exact search of the cells that may hold a lighter one. Trees of one space differ in nothing but
 edges of the same weight, which the next step does not tell apart.
@@ -36,11 +36,13 @@ from veinstone.session import cut_lineage, drop_checkpoint
 
 #: Edges of one tree that a task condenses at once.
 EDGES = 1_000_000
-#: Points of a space whose tree comes from pairs of parts: then the trees of all pairs, which one task
-#: merges, have at most 4 million edges.
+#: Points of a space whose tree comes from pairs of parts: the driver hands its first tree to all tasks, and
+#: one task merges what the pairs add, at most 4 million edges.
 DENSE = 1 << 17
 #: Points in a part, at least and at most, and parts that there are before these are filled.
-PART, PARTS = (1024, 4096), 8
+PART, PARTS = (1024, 16384), 8
+#: Rows that limit what may be among the nearest, and points that connect the components of the lists.
+FIRST, MET = 1024, 4096
 #: The least weight; equal points have infinite density otherwise.
 TINY = 1e-9
 #: More than the number of any space.
@@ -114,41 +116,254 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(kept)
 
 
-def tree_of_pairs(cells: N.Cells, samples: dict[int, tuple[int, ...]]) -> tuple[DataFrame, DataFrame]:
+def _in_pairs(points: DataFrame, parts: dict[int, int], *columns: str):
+    """Points (space, part, node, v and more) grouped by each pair of parts, one of them theirs (:func:`neighbours.sides`)."""
+    n = F.create_map(*[F.lit(x) for item in parts.items() for x in item])[F.col("space")]
+    met = points.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    key = ["space", "lo", "hi"]
+    met = met.select("space", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "v", *columns)
+    return met.repartition(min(sum(p * (p + 1) for p in parts.values()), N.TASKS), *key).groupBy(*key)
+
+
+def nearest_rows(x: np.ndarray, y: np.ndarray, node: np.ndarray, k: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of x with their k nearest rows of y, by distance, ties to the smaller ``node``; ``same``: x is
+    y, and no row is its own neighbour. A limit from the first rows of y leaves few to be sorted."""
+    top = min(k, len(y) - same)
+    if top < 1 or not len(x):
+        return
+    off, yy, turned = 2 * N.slack(x, y), (y * y).sum(1), np.ascontiguousarray(-2 * y.T)
+    step = max(1, N.AT_ONCE // len(y))
+    for start in range(0, len(x), step):
+        rows = x[start : start + step]
+        d2 = rows @ turned
+        d2 += yy
+        d2 += (rows * rows).sum(1)[:, None]
+        if same:
+            d2[np.arange(len(rows)), start + np.arange(len(rows))] = np.inf
+        head = d2[:, : max(FIRST, top)]
+        limit = np.minimum(np.partition(head, top - 1, axis=1)[:, top - 1] + off, np.finfo(float).max)
+        i, j = np.divmod(np.flatnonzero(d2 <= limit[:, None]), len(y))
+        found = d2[i, j]
+        order = np.lexsort((found, i))
+        starts = np.searchsorted(i, np.arange(len(rows)))  # i is sorted as it is
+        last = np.minimum(starts + top, np.append(starts[1:], len(i))) - 1
+        limit = (np.sqrt(np.maximum(found[order][last], 0.0) + off) + 2 * 10.0**-N.DIGITS) ** 2
+        keep = found <= limit[i]  # what rounding may make equal is looked at
+        i, j = i[keep], j[keep]
+        d = N.exact(rows[i], y[j])
+        order = np.lexsort((node[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, np.arange(len(rows)))[i] < k
+        yield i[keep] + start, j[keep], d[keep]
+
+
+def _near_in_pairs(points: DataFrame, parts: dict[int, int], most: int) -> DataFrame:
+    """What :func:`_near` gives, from pairs of parts: every point has one list from each part."""
+
+    def lists(table: pa.Table) -> pa.Table:
+        left, right = N.sides(table)
+        out = []
+        for one, two in [(left, right)] if left is right else [(left, right), (right, left)]:
+            node, number = two["node"].to_numpy(), np.zeros(len(one), np.int64)
+            j, d = np.zeros(0, int), np.zeros(0)
+            got = list(nearest_rows(N.matrix(one["v"]), N.matrix(two["v"]), node, most, left is right))
+            if got:
+                i, j, d = (np.concatenate(c) for c in zip(*got, strict=True))
+                number = np.bincount(i, minlength=len(one))
+            near = pa.StructArray.from_arrays([pa.array(d), pa.array(node[j])], ["d", "node"])
+            near = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(number)]).astype(np.int32)), near)
+            out.append(pa.table({"space": one["space"], "node": one["node"], "near": near}))
+        return pa.concat_tables(out)
+
+    found = _in_pairs(points, parts).applyInArrow(lists, "space int, node long, near array<struct<d: double, node: long>>")
+    near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most)
+    return points.join(found.groupBy("space", "node").agg(near.alias("near")), ["space", "node"])
+
+
+def leaves(n: int, a: list[int], b: list[int], w: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """The n nodes of a tree, whose edges come by rising weight, in an order in which every component
+    of any weight is a run, and the gap after each: the heaviest edge between two nodes is the
+    highest gap between their places."""
+    root, head, tail, size, after = list(range(n)), list(range(n)), list(range(n)), [1] * n, [-1] * n
+    gap = [float("inf")] * n
+    x = 0
+    for x, y, weight in zip(a, b, w, strict=True):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if size[x] < size[y]:
+            x, y = y, x
+        after[tail[x]], gap[tail[x]] = head[y], weight
+        tail[x], root[y] = tail[y], x
+        size[x] += size[y]
+    while root[x] != x:
+        x = root[x]
+    order, at = [], head[x]
+    while at >= 0:
+        order.append(at)
+        at = after[at]
+    return np.array(order), np.array(gap)[order]
+
+
+class Highest:
+    """The highest of the gaps between places, from maxima over runs of every power of two."""
+
+    def __init__(self, gap: np.ndarray) -> None:
+        levels = [gap]
+        while (step := 1 << (len(levels) - 1)) < len(gap):
+            levels.append(np.maximum(levels[-1], np.append(levels[-1][step:], np.full(step, np.inf))))
+        self.levels = np.stack(levels)
+
+    def __call__(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(p, q), np.maximum(p, q)
+        level = np.frexp(np.maximum(high - low, 1).astype(float))[1] - 1
+        return np.where(low == high, 0.0, np.maximum(self.levels[level, low], self.levels[level, np.maximum(high - (1 << level), 0)]))
+
+
+def lighter(x: np.ndarray, y: np.ndarray, same: bool, cores: list[tuple[np.ndarray, np.ndarray]], places: list[tuple[np.ndarray, np.ndarray]], highest: list[Highest]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each tree, the edges (row of x, row of y, weight) that are lighter than the heaviest one on the
+    tree's way between their ends, or a least forest of these.
+
+    No way is heavier than the heavier of the two through a third point, so most pairs need no look at their own."""
+    off, yy, turned, n = 2 * N.slack(x, y), (y * y).sum(1), np.ascontiguousarray(-2 * y.T), len(x)
+    through = []
+    for (cx, cy), (px, py), high in zip(cores, places, highest, strict=True):
+        third = px[cx.argmin()] if cx.min() <= cy.min() else py[cy.argmin()]
+        through.append([high(p, np.full(len(p), third)) ** 2 + off for p in (px, py)])
+    kept = [[] for _ in cores]
+    step = max(1, N.AT_ONCE // len(y))
+    for start in range(0, n, step):
+        from_ = start if same else 0
+        rows = x[start : start + step]
+        d2 = rows @ turned[:, from_:]
+        d2 += yy[from_:]
+        d2 += (rows * rows).sum(1)[:, None]
+        for t, ((cx, cy), (px, py), high) in enumerate(zip(cores, places, highest, strict=True)):
+            ax, ay = through[t]
+            where = np.flatnonzero(d2 < np.maximum(ax[start : start + step, None], ay[None, from_:]))
+            for at in range(0, len(where), N.AT_ONCE):
+                i, j = np.divmod(where[at : at + N.AT_ONCE], d2.shape[1])
+                near, i, j = d2[i, j], i + start, j + from_
+                most, core = high(px[i], py[j]), np.maximum(cx[i], cy[j])
+                keep = (core < most) & (near < most * most + off)
+                keep &= (i < j) if same else True
+                i, j, core, most = i[keep], j[keep], core[keep], most[keep]
+                w = np.maximum(N.exact(x[i], y[j]), core)
+                keep = w < most
+                kept[t].append((i[keep], j[keep], w[keep]))
+            if sum(len(e[0]) for e in kept[t]) > 8 * (n + len(y)):
+                kept[t] = [_least(n, len(y), same, kept[t])]
+    return [_least(n, len(y), same, e) for e in kept]
+
+
+def _least(n: int, m: int, same: bool, edges: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, j, w = (np.concatenate(c) for c in zip((np.zeros(0, int), np.zeros(0, int), np.zeros(0)), *edges, strict=True))
+    order = np.argsort(w, kind="stable")
+    order = order[forest(n if same else n + m, i[order], j[order] if same else j[order] + n)]
+    return i[order], j[order], w[order]
+
+
+def tree_of_pairs(cells: N.Cells, samples: dict[int, tuple[int, ...]], more: int = 2) -> tuple[DataFrame, DataFrame]:
     """(space, node) and (space, lo, hi, w): the nodes and the edges of a least spanning tree of
-    each space, numbered as in :func:`reachable`. Points meet in pairs of parts, each pair gives
-    its own tree, and one task a space merges these: points times parts, not pairs of points."""
+    each space, numbered as in :func:`reachable`.
+
+    A first tree comes from the lists of neighbours, and where these leave components, from a
+    few points of each. Then all points meet in pairs of parts, which give the edges that are lighter than
+    the first tree's way between their ends: no others can take an edge's place in it. One task a
+    space merges these: points times parts, not pairs of points."""
     size = F.coalesce(F.size("near"), F.lit(0))
     ks = F.create_map(*[x for s, k in samples.items() for x in (F.lit(s), F.array(*[F.lit(i) for i in k]))])
     cores = F.transform(ks[F.col("space")], lambda k: _core(k, size))
-    points = cut_lineage(_near(cells, max(k for ks in samples.values() for k in ks)).select("space", "node", "v", cores.alias("cores")))
-    parts = {s: max(1, -(-cells.total(s) // min(max(-(-cells.total(s) // PARTS), PART[0]), PART[1]))) for s in cells.pivots}
+    total = {s: cells.total(s) for s in cells.pivots}
+    side = {s: min(max(-(-n // PARTS), PART[0]), PART[1]) for s, n in total.items()}
+    parts = {s: max(1, -(-n // side[s])) for s, n in total.items()}
     n = F.create_map(*[F.lit(x) for item in parts.items() for x in item])[F.col("space")]
-    met = points.withColumn("part", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1))).where((F.col("part") != F.col("other")) | (n == 1))
-    met = met.select("space", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "node", "v", "cores")
+    dealt = cells.points.select("space", F.pmod(F.xxhash64("node"), n).cast("int").alias("part"), "node", "v")
+    points = cut_lineage(_near_in_pairs(dealt, parts, max(k for ks in samples.values() for k in ks) + more).select("space", "node", "v", "near", cores.alias("cores")))
 
-    def pair(table: pa.Table) -> pa.Table:
+    def listed(table: pa.Table) -> pa.Table:
+        """The least forest of the lists, and some points of each of its components (no hi)."""
         table = table.sort_by("node")
-        base, node, x = table["space"][0].as_py(), table["node"].to_numpy(), N.matrix(table["v"])
-        out = []
-        for k, core in zip(samples[base], N.matrix(table["cores"]).T, strict=True):
-            number = 1000 * base + k
-            a, b, w = least_tree(x, np.ascontiguousarray(core))
-            lo, hi = np.minimum(node[a], node[b]) * SPACES + number, np.maximum(node[a], node[b]) * SPACES + number
-            out.append(pa.table({"space": pa.array(np.full(len(w), number, np.int32)), "lo": lo, "hi": hi, "w": w}))
+        base, node, cores = table["space"][0].as_py(), table["node"].to_numpy(), N.matrix(table["cores"])
+        near = table["near"].combine_chunks()
+        a, flat = np.repeat(np.arange(len(node)), near.value_lengths().to_numpy()), near.flatten()
+        b, d = np.searchsorted(node, flat.field("node").to_numpy()), flat.field("d").to_numpy()
+        low, out = np.arange(len(node)), []
+        for k, core in zip(samples[base], cores.T, strict=True):
+            w = np.maximum(np.maximum(d, core[a]), core[b])
+            order = np.argsort(w, kind="stable")
+            order = order[forest(len(node), a[order], b[order])]
+            N.unite(low, a[order], b[order])
+            out.append(pa.table({"space": pa.array(np.full(len(order), 1000 * base + k, np.int32)), "lo": node[a[order]], "hi": node[b[order]], "w": w[order]}))
+        order = np.lexsort((np.random.default_rng(0).random(len(low)), low))
+        _, first, length = np.unique(low[order], return_index=True, return_counts=True)
+        few = order[np.arange(len(low)) - np.repeat(first, length) < max(1, MET // len(first))]
+        out.append(pa.table({"space": pa.array(np.full(len(few), base, np.int32)), "lo": node[few], "hi": pa.nulls(len(few), pa.int64()), "w": pa.nulls(len(few), pa.float64())}))
+        return pa.concat_tables(out)
+
+    def connect(edges: pa.Table, few: pa.Table) -> pa.Table:
+        """A tree (lo, hi, w) of the forest and the points that connect it, and its leaves (node, gap)."""
+        few = few.sort_by("node")
+        number, some = few["space"][0].as_py(), few["node"].to_numpy()
+        a, b, w = least_tree(N.matrix(few["v"]), few["core"].to_numpy())
+        lo, hi, w = np.concatenate([edges["lo"].to_numpy(), some[a]]), np.concatenate([edges["hi"].to_numpy(), some[b]]), np.concatenate([edges["w"].to_numpy(), w])
+        names, ends = np.unique(np.concatenate([lo, hi, some]), return_inverse=True)
+        order = np.argsort(w, kind="stable")
+        a, b = ends[: len(lo)][order], ends[len(lo) : 2 * len(lo)][order]
+        tree = np.sort(forest(len(names), a, b))
+        at, gap = leaves(len(names), a[tree].tolist(), b[tree].tolist(), w[order[tree]].tolist())
+        pad = pa.nulls(1, pa.int64())
+        return pa.table({
+            "space": pa.array(np.full(len(names), number, np.int32)), "place": np.arange(len(names)), "node": names[at], "gap": gap,
+            "lo": pa.chunked_array([names[a[tree]], pad]), "hi": pa.chunked_array([names[b[tree]], pad]), "w": pa.chunked_array([w[order[tree]], pad.cast(pa.float64())]),
+        })
+
+    schema = "space int, lo long, hi long, w double"
+    first = cut_lineage(points.select("space", "node", "cores", "near").groupBy("space").applyInArrow(listed, schema))
+    some = first.where("hi IS NULL").select("space", F.col("lo").alias("node")).join(points, ["space", "node"])
+    some = some.select((F.col("space") * 1000).alias("base"), "node", "v", F.explode(F.arrays_zip(ks[F.col("space")].alias("k"), F.col("cores").alias("core"))).alias("z"))
+    some = some.select((F.col("base") + F.col("z.k")).cast("int").alias("space"), "node", "v", "z.core")
+    rough = first.where("hi IS NOT NULL").groupBy("space").cogroup(some.groupBy("space"))
+    rough = cut_lineage(rough.applyInArrow(connect, "space int, place long, node long, gap double, lo long, hi long, w double"), first)
+    table = rough.select("space", "place", "node", "gap").toArrow()  # at most DENSE rows a space
+    numbers, nodes, orders = table["space"].to_numpy(), {}, {}
+    for number in np.unique(numbers):
+        rows = table.filter(pa.array(numbers == number)).sort_by("place")
+        node = rows["node"].to_numpy()
+        nodes[int(number) // 1000] = np.sort(node)
+        orders[int(number)] = (np.argsort(node).astype(np.int32), rows["gap"].to_numpy())
+
+    def pair(table: pa.Table) -> pa.Table:
+        left, right = N.sides(table)
+        base, same = table["space"][0].as_py(), left is right
+        ends = [t["node"].to_numpy() for t in (left, right)]
+        trees = [orders[1000 * base + k] for k in samples[base]]
+        at = [np.searchsorted(nodes[base], e) for e in ends]
+        core = [np.ascontiguousarray(N.matrix(t["cores"]).T) for t in (left, right)]
+        out = [pa.table({"space": pa.array([], pa.int32()), "lo": pa.array([], pa.int64()), "hi": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})]
+        if len(left) and len(right):
+            found = lighter(N.matrix(left["v"]), N.matrix(right["v"]), same, list(zip(*core, strict=True)), [tuple(p[i] for i in at) for p, _ in trees], [Highest(gap) for _, gap in trees])
+            for k, (i, j, w) in zip(samples[base], found, strict=True):
+                out.append(pa.table({"space": pa.array(np.full(len(w), 1000 * base + k, np.int32)), "lo": ends[0][i], "hi": ends[1][j], "w": w}))
         return pa.concat_tables(out)
 
     def merge(table: pa.Table) -> pa.Table:
-        lo, hi, w = (table[c].to_numpy() for c in ("lo", "hi", "w"))
+        number = table["space"][0].as_py()
+        one, two, w = (table[c].to_numpy() for c in ("lo", "hi", "w"))
+        lo, hi = np.minimum(one, two), np.maximum(one, two)
         order = np.lexsort((hi, lo, w))
         names, ends = np.unique(np.concatenate([lo[order], hi[order]]), return_inverse=True)
-        return table.take(pa.array(order[forest(len(names), ends[: len(lo)], ends[len(lo) :])]))
-
-    key, schema = ["space", "one", "two"], "space int, lo long, hi long, w double"
-    tasks = min(sum(max(1, p * (p - 1) // 2) for p in parts.values()), N.TASKS)
-    tree = met.repartition(tasks, *key).groupBy(*key).applyInArrow(pair, schema).groupBy("space").applyInArrow(merge, schema)
+        order = order[forest(len(names), ends[: len(lo)], ends[len(lo) :])]
+        return pa.table({"space": table["space"].take(pa.array(order)), "lo": lo[order] * SPACES + number, "hi": hi[order] * SPACES + number, "w": w[order]})
+
+    # parts along the first tree of a space, whose points have light ways to each other
+    along = F.create_map(*[x for s, k in samples.items() for x in (F.lit(1000 * s + k[0]), F.lit(side[s]))])[F.col("space")]
+    place = rough.select("space", "node", "place").withColumn("side", along).where("side IS NOT NULL").select(F.expr("space div 1000").cast("int").alias("space"), "node", F.expr("place div side").cast("int").alias("part"))
+    found = _in_pairs(points.drop("near").join(place, ["space", "node"]), parts, "cores").applyInArrow(pair, schema)
+    tree = found.unionByName(rough.where("lo IS NOT NULL").select("space", "lo", "hi", "w")).groupBy("space").applyInArrow(merge, schema)
     spaces = points.withColumn("k", F.explode(ks[F.col("space")])).withColumn("number", (F.col("space") * 1000 + F.col("k")).cast("int"))
-    return spaces.select(F.col("number").alias("space"), (F.col("node") * SPACES + F.col("number")).alias("node")), cut_lineage(tree)
+    return spaces.select(F.col("number").alias("space"), (F.col("node") * SPACES + F.col("number")).alias("node")), cut_lineage(tree, rough)
 
 
 def _edge(other: str = "cb"):
