@@ -156,3 +156,24 @@ def test_adoption_alone_writes_no_signatures(monkeypatch):
     monkeypatch.setattr(python_facts.ast, "unparse", lambda x: pytest.fail("not asked for"))
     alone = python_facts.facts(source, "t", False, frozenset(["adoption"]))
     assert alone["adoption"] == both["adoption"] == (4, 3, 3, 1, 3, 1) and len(both["api"]) == 3 and alone["api"] == []
+
+
+def test_index_counts_tokens_before_they_move(spark, tmp_path):
+    """No row or regular expression of Spark for each token, and the tokens that bm25 counts, of any text."""
+    from pyspark.sql import functions as F
+
+    from veinstone.operators import textindex as X
+    from veinstone.operators.ranking import text_tokens
+
+    texts = ["", None, "a b a", "ÀÉ ß İi İ Σς ɏ ɐ \U0001f600x́y", " -- ", "x" * 50 + " " + "y " * 500, "A\tb\nB 0_9"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = {r.id: r.t for r in rows.select("id", text_tokens(F.col("text")).alias("t")).collect()}
+    seen = []
+    index = X.TextIndex(spark, str(tmp_path / "index"))
+    segment = index._segment
+    index._segment = lambda df: seen.extend(df.collect()) or segment(df)
+    index.add(rows, "id", "text")
+    assert {r.id: ({e.token: e.tf for e in r.t}, r.len) for r in seen} == {i: ({x: t.count(x) for x in t}, len(t)) for i, t in want.items()}
+    index.merge()
+    assert {r.id: {e.token: e.tf for e in r.t or ()} for r in seen[len(texts) :]} == {i: {x: t.count(x) for x in t} for i, t in want.items()}
+    assert {r.id for r in index.search(spark.createDataFrame([(1, "b")], "qid int, token string")).collect()} == {2, 6}
